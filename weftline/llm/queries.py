@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftline.llm import language_id, pii, sentencepiece_codec
+from weftline.llm import language_id, pii, sentencepiece_codec, simhash
 from weftline.llm.common import written
 
 PII_KEY = "weftline demonstration key"
@@ -33,6 +33,10 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.predict_languages(docs, profiles, keep=("held_out",)).select("doc_id", "held_out", "lang_pred", "score")
 
 
+def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.simhash_components(_documents(spark, sf_dir))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and name[2].isdigit()}
 
