@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftline.llm import language_id, pii, sentencepiece_codec, simhash
+from weftline.llm import language_id, pii, sentencepiece_codec, simhash, token_files
 from weftline.llm.common import written
 
 PII_KEY = "weftline demonstration key"
@@ -27,6 +27,12 @@ def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentencepiece_codec.digests(sentencepiece_codec.sentencepiece(_documents(spark, sf_dir), model, spans=False))
 
 
+def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = token_files.new_folder(spark)
+    manifest = written(token_files.write_token_files(_documents(spark, sf_dir), path, public_tokenizers.path("word_bpe_49k.json"), 2), "manifest")
+    return token_files.read_token_files(manifest, path, with_ids=False).select(F.col("id").alias("doc_id"), "start", "n_tokens", "ids_crc32")
+
+
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _documents(spark, sf_dir).withColumn("held_out", language_id.held_out())
     profiles = written(language_id.learn_profiles(docs.where(~F.col("held_out"))), "profiles")
