@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftline.llm import language_id, pii, sentencepiece_codec, simhash, token_files
+from weftline.llm import language_id, line_dedup, pii, sentencepiece_codec, simhash, token_files
 from weftline.llm.common import written
 
 PII_KEY = "weftline demonstration key"
@@ -27,6 +27,10 @@ def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentencepiece_codec.digests(sentencepiece_codec.sentencepiece(_documents(spark, sf_dir), model, spans=False))
 
 
+def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.line_dedup(_documents(spark, sf_dir))
+
+
 def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = token_files.new_folder(spark)
     manifest = written(token_files.write_token_files(_documents(spark, sf_dir), path, public_tokenizers.path("word_bpe_49k.json"), 2), "manifest")
