@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftline.llm import language_id, line_dedup, pii, sentencepiece_codec, simhash, token_files
+from weftline.llm import decontamination, html_text, language_id, line_dedup, pii, sentencepiece_codec, simhash, token_files
 from weftline.llm.common import written
 
 PII_KEY = "weftline demonstration key"
@@ -22,6 +22,16 @@ def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.kind_counts(pii.pii_pseudonyms(_documents(spark, sf_dir), PII_KEY))
 
 
+def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _documents(spark, sf_dir)
+    found = written(decontamination.decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")), "matches")
+    return decontamination.verdicts(docs, found)
+
+
+def op4_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract_text(spark.read.parquet(f"{sf_dir}/pages.parquet"), keep=("url",))
+
+
 def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = public_tokenizers.path("piece_bpe_32k.model")
     return sentencepiece_codec.digests(sentencepiece_codec.sentencepiece(_documents(spark, sf_dir), model, spans=False))
