@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftline.llm import decontamination, html_text, language_id, line_dedup, pii, sentencepiece_codec, simhash, token_files
+from weftline.llm import decontamination, html_text, language_id, line_dedup, pii, sentencepiece_codec, simhash, suffix_dedup, token_files
 from weftline.llm.common import written
 
 PII_KEY = "weftline demonstration key"
@@ -37,6 +37,10 @@ def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentencepiece_codec.digests(sentencepiece_codec.sentencepiece(_documents(spark, sf_dir), model, spans=False))
 
 
+def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.digest_columns(suffix_dedup.remove_repeats(_documents(spark, sf_dir)))
+
+
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.line_dedup(_documents(spark, sf_dir))
 
