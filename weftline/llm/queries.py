@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftline.llm import decontamination, html_text, language_id, line_dedup, pii, sentencepiece_codec, simhash, suffix_dedup, token_files
+from weftline.llm import decontamination, html_text, language_id, line_dedup, minhash, pii, sentencepiece_codec, simhash, suffix_dedup, token_files
 from weftline.llm.common import written
 
 PII_KEY = "weftline demonstration key"
@@ -28,6 +28,10 @@ def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.verdicts(docs, found)
 
 
+def op3_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.edited_fingerprints(_documents(spark, sf_dir))
+
+
 def op4_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract_text(spark.read.parquet(f"{sf_dir}/pages.parquet"), keep=("url",))
 
