@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from weftline.plans import relational
+from weftline.plans import relational, textual
 
-MODULES = [relational]
+MODULES = [relational, textual]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
