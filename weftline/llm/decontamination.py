@@ -1,9 +1,10 @@
 """Benchmark decontamination: a BM25 inverted index of the test items, queried by every training passage.
 
 Postings hold the BM25 weight of a term in an item as a share of the item's own total, so one threshold serves items of
-any length. They lie in blocks with their largest weights. A passage (a window of words, half of it new) is a query of
-its distinct terms: if even the lists' largest weights can't reach the threshold, nothing can; else block-max WAND walks
-the lists in item order, skips what the blocks' maxima rule out, and returns every item above the threshold. Each hit
+any length. Items lie in blocks, and for each term and block the largest weight is kept. A passage (a window of words, half of it new) is a query of
+its distinct terms. The sums of its terms' block maxima bound what any item of a block can score; a passage with no block that
+reaches the threshold is done. For the others block-max WAND walks the lists in item order, skips what the maxima rule
+out, and returns every item above the threshold. Each hit
 is verified in the document: word trigrams of the question and of the answer must be there.
 """
 
@@ -23,10 +24,12 @@ from weftline.llm.common import map_batches, text_or_empty
 
 WORDS = re.compile(r"\w+")
 K1, B = 1.2, 0.75
-BLOCK = 16
+BLOCK = 2
+#: A term in more blocks than this counts with its largest weight everywhere when passages are ruled out.
+WIDE = 64
 #: Words of test items in one broadcast index; more items are taken in blocks of about this size.
 INDEX_WORDS = 2_000_000
-THRESHOLD = 0.5
+THRESHOLD = 0.6
 QUESTION, ANSWER = 0.6, 0.5
 NGRAM = 3
 
@@ -70,13 +73,25 @@ class Index:
         self.docs = [[d for d, _ in p] for p in lists.values()]
         self.weights = [[w for _, w in p] for p in lists.values()]
         self.most = np.array([max(w) for w in self.weights] + [0.0])
-        self.block_most = [[max(w[k : k + BLOCK]) for k in range(0, len(w), BLOCK)] for w in self.weights]
+        self.block_most: list[dict[int, float]] = []
+        for docs, weights in zip(self.docs, self.weights, strict=True):
+            most: dict[int, float] = {}
+            for doc, w in zip(docs, weights, strict=True):
+                most[doc // BLOCK] = max(most.get(doc // BLOCK, 0.0), w)
+            self.block_most.append(most)
+        # The same for whole documents at once: the blocks of each term in one array, and the terms of too many blocks apart.
+        rows = [m if len(m) <= WIDE else {} for m in self.block_most] + [{}]
+        self.first = np.cumsum([0, *map(len, rows)])
+        self.blocks = np.array([b for m in rows for b in m], np.int64)
+        self.maxima = np.array([w for m in rows for w in m.values()], np.float64)
+        self.wide = np.where(np.diff(self.first) == 0, self.most, 0.0)
+        self.n_blocks = len(items) // BLOCK + 1
         self.longest = max((len(q) + len(a) for _, q, a in items), default=1)
 
     def above(self, terms: list[int], threshold: float) -> list[tuple[int, float]]:
         """Items whose score for the distinct ``terms`` is ``threshold`` at least, by block-max WAND."""
         out = []
-        most, docs = self.most, self.docs
+        most, docs, block_most = self.most, self.docs, self.block_most
         cursors = [[docs[t][0], 0, t] for t in terms]
         slack = threshold - 1e-9
         while cursors:
@@ -92,14 +107,9 @@ class Index:
             doc = cursors[pivot][0]
             while pivot + 1 < len(cursors) and cursors[pivot + 1][0] == doc:
                 pivot += 1
-            # Largest weights of the blocks where the pivot item would be, and where the first of these blocks ends.
-            bound, end = 0.0, cursors[pivot + 1][0] if pivot + 1 < len(cursors) else len(self.ids)
-            for _, at, t in cursors[: pivot + 1]:
-                block = bisect_left(docs[t], doc, at) // BLOCK
-                if block < len(self.block_most[t]):
-                    bound += self.block_most[t][block]
-                    last = docs[t][min(len(docs[t]), (block + 1) * BLOCK) - 1]
-                    end = min(end, last + 1)
+            block = doc // BLOCK
+            bound = sum([block_most[t].get(block, 0.0) for _, _, t in cursors[: pivot + 1]])
+            end = min((block + 1) * BLOCK, cursors[pivot + 1][0] if pivot + 1 < len(cursors) else len(self.ids))
             if bound >= slack:
                 if cursors[0][0] == doc:
                     score = sum(self.weights[t][at] for d, at, t in cursors[: pivot + 1] if d == doc)
@@ -121,23 +131,35 @@ class Index:
             cursors = moved
         return out
 
+    def hopeful(self, terms: np.ndarray, step: int, threshold: float) -> list[int]:
+        """Passages (two steps from each step on) where the block maxima of some block reach the threshold; a term counts once a step."""
+        steps, out = max(1, -(-len(terms) // step)), []
+        slab = max(2, 2_000_000 // self.n_blocks)
+        for low in range(0, max(1, steps - 1), slab - 1):
+            high = min(low + slab, steps)
+            part = terms[low * step : high * step]
+            pairs = np.unique(np.arange(len(part)) // step * len(self.first) + part)
+            at, term = pairs // len(self.first), pairs % len(self.first)
+            sizes = self.first[term + 1] - self.first[term]
+            where = np.repeat(self.first[term] - np.cumsum(sizes) + sizes, sizes) + np.arange(sizes.sum())
+            cells = np.repeat(at, sizes) * self.n_blocks + self.blocks[where]
+            bound = np.bincount(cells, weights=self.maxima[where], minlength=(high - low) * self.n_blocks).reshape(high - low, self.n_blocks).astype(np.float64)
+            bound += np.bincount(at, weights=self.wide[term], minlength=high - low)[:, None]
+            if high - low > 1:
+                bound = bound[:-1] + bound[1:]
+            out += (low + np.flatnonzero(bound.max(axis=1) >= threshold - 1e-6)).tolist()
+        return out
+
     def matches(self, text: str, threshold: float, question: float, answer: float) -> list[tuple[int, float, float, float]]:
         """Item, best score, question and answer overlap of each item that the text holds."""
         words = words_of(text)
         none = len(self.docs)
         get = self.terms.get
-        terms = np.fromiter((get(w, none) for w in words), dtype=np.int64, count=len(words))
+        terms = np.array([get(w, none) for w in words], dtype=np.int64)
         step = max(32, self.longest)
-        ceiling = np.concatenate([[0.0], np.cumsum(self.most[terms])])
-        starts = np.arange(0, max(1, len(words) - step), step)
-        ends = np.minimum(starts + 2 * step, len(words))
         best: dict[int, float] = {}
-        for a, b in zip(starts.tolist(), ends.tolist(), strict=True):
-            if ceiling[b] - ceiling[a] < threshold - 1e-6:
-                continue
-            distinct = [t for t in set(terms[a:b].tolist()) if t != none]
-            if self.most[distinct].sum() < threshold - 1e-6:
-                continue
+        for a in self.hopeful(terms, step, threshold) if words else []:
+            distinct = [t for t in set(terms[a * step : (a + 2) * step].tolist()) if t != none]
             for doc, score in self.above(distinct, threshold):
                 best[doc] = max(best.get(doc, 0.0), score)
         if not best:
