@@ -11,6 +11,8 @@ A key is an id and the number of earlier rows with that id in the shard (0 for u
 
 from __future__ import annotations
 
+import json
+import re
 import struct
 import uuid
 import zlib
@@ -27,7 +29,12 @@ from weftline.llm.common import new_path, partitions, text_or_empty
 MAGIC = b"WTOK0001"
 LEVELS = 48
 GAMMA = 2
-CACHE = 300_000
+CACHE = 400_000
+#: What the definition of a tokenizer must say for its words to be encoded one by one.
+FIXED = (r'"Lowercase"', r'"NFC"', json.dumps(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"), r'"behavior":"Removed"')
+#: The tokenizer's split of a lower-cased text whose characters all lie in Latin-1, where NFC changes nothing; and what lies beyond.
+LATIN = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zªµºß-öø-ÿ]+|[0-9²³¹¼½¾]|[^\t-\r \x85\xa0a-zªµºß-öø-ÿ0-9²³¹¼½¾]+")
+BEYOND = re.compile(r"[^\x00-\xff]")
 BLOCK = struct.Struct("<8sQQHHI")  # magic, documents, tokens, bytes of an id, levels, keys kept in a list
 
 
@@ -177,10 +184,11 @@ _TOKENIZERS: dict[int, tuple] = {}
 
 
 def word_encoder(definition: str) -> Callable[[list[str]], list[np.ndarray]]:
-    """Encodes texts with a tokenizer of the tokenizers library whose pre-tokenizer drops white space.
+    """Encodes texts with the word tokenizer: NFC, lower case, words split from marks and digits, white space dropped.
 
-    No token of it crosses white space, so a text is the concatenation of its words' ids; the words met last are kept
-    in two tables of bounded size, and the library encodes the others.
+    No token of it crosses white space or the split, so a text is the concatenation of the ids of its words: in a Latin-1
+    text those of ``LATIN``, else the parts between blanks. The words met last are kept in two tables of bounded size,
+    and the library encodes the others. A tokenizer that works otherwise encodes whole texts.
     """
     key = hash(definition)
     if key not in _TOKENIZERS:
@@ -189,22 +197,28 @@ def word_encoder(definition: str) -> Callable[[list[str]], list[np.ndarray]]:
         _TOKENIZERS.clear()
         _TOKENIZERS[key] = (Tokenizer.from_str(definition), [{}, {}])
     tokenizer, tables = _TOKENIZERS[key]
+    if not all(part in definition for part in FIXED):
+        return lambda texts: [np.array(e.ids, "<u4") for e in tokenizer.encode_batch(texts, add_special_tokens=False)]
 
     def encode(texts: list[str]) -> list[np.ndarray]:
-        words = [t.replace("\n", " ").replace("\t", " ").split(" ") for t in texts]
+        words = [LATIN.findall(t.lower()) if "<|" not in t and BEYOND.search(t) is None else t.replace("\n", " ").replace("\t", " ").split(" ") for t in texts]
         if len(tables[0]) > CACHE:
             tables[1], tables[0] = tables[0], {}
         known, older = tables
         known.setdefault("", b"")
-        missing = []
-        for w in set().union(*words) - known.keys():
+        missing, unknown = list(set().union(*words) - known.keys()), []
+        for w in missing:
             if (ids := older.get(w)) is None:
-                missing.append(w)
+                unknown.append(w)
             else:
                 known[w] = ids
-        own = dict(zip(missing, (np.array(e.ids, "<u4").tobytes() for e in tokenizer.encode_batch(missing, add_special_tokens=False)), strict=True))
-        known.update((w, ids) for w, ids in own.items() if len(w) <= 64)
-        return [np.frombuffer(b"".join([known.get(w) if w in known else own[w] for w in ws]), "<u4") for ws in words]
+        for w, e in zip(unknown, tokenizer.encode_batch_fast(unknown, add_special_tokens=False), strict=True):
+            known[w] = np.array(e.ids, "<u4").tobytes()
+        out = [np.frombuffer(b"".join(map(known.__getitem__, ws)), "<u4") for ws in words]
+        for w in missing:
+            if len(w) > 64:
+                del known[w]
+        return out
 
     return encode
 
