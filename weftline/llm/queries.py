@@ -69,5 +69,21 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and name[2].isdigit()}
 
 
+#: Windows of 50 bytes as 100 hex digits, cut from pieces of 256 starts each; removed runs as islands of overlapping windows; what is kept as the pieces between them.
+OP6_SQL = """
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+c AS (SELECT doc_id, j, substr(h, 512 * j + 1, 610) AS t FROM (SELECT doc_id, h, unnest(range(0, length(h) // 512 + 1)) AS j FROM d)),
+w AS (SELECT doc_id, 256 * j + i AS i, substr(t, 2 * i + 1, 100) AS g FROM (SELECT doc_id, j, t, unnest(range(0, least(256, greatest(0, length(t) // 2 - 49)))) AS i FROM c)),
+r AS (SELECT doc_id, i FROM (SELECT doc_id, i, min(doc_id) OVER (PARTITION BY g) AS first_doc FROM w) WHERE first_doc < doc_id),
+o AS (SELECT doc_id, i, CASE WHEN i - lag(i) OVER (PARTITION BY doc_id ORDER BY i) <= 50 THEN 0 ELSE 1 END AS opens FROM r),
+n AS (SELECT doc_id, i, sum(opens) OVER (PARTITION BY doc_id ORDER BY i) AS island FROM o),
+s AS (SELECT doc_id, island, min(i) AS a, max(i) + 50 AS b FROM n GROUP BY doc_id, island),
+p AS (SELECT doc_id, a, b, lag(b, 1, 0) OVER (PARTITION BY doc_id ORDER BY a) AS before FROM s),
+k AS (SELECT p.doc_id, sum(b - a) AS removed, count(*) AS spans, string_agg(substr(h, 2 * before + 1, 2 * (a - before)), '' ORDER BY a) || substr(any_value(h), 2 * max(b) + 1) AS kept FROM p JOIN d ON p.doc_id = d.doc_id GROUP BY p.doc_id)
+SELECT d.doc_id, CAST(length(h) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(removed, 0) AS BIGINT) AS n_removed, coalesce(spans, 0) AS n_spans, sha256(unhex(coalesce(kept, h))) AS kept_sha256
+FROM d LEFT JOIN k ON d.doc_id = k.doc_id
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op6_suffix_dedup": OP6_SQL}
