@@ -1,6 +1,7 @@
 """Every query against its SQL in DuckDB on the small tables."""
 
 import math
+import os
 from pathlib import Path
 
 import duckdb
@@ -10,7 +11,7 @@ import __spark_entry__ as entry
 from weftline.plans import catalogue
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
-FOLDER = Path("/root/testdata/sf0.001")
+FOLDER = Path(os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001"))
 
 
 @pytest.fixture(scope="module")

@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from weftline.plans import relational, textual
+from weftline.plans import mappings, relational, textual
 
-MODULES = [relational, textual]
+MODULES = [relational, textual, mappings]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

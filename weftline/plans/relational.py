@@ -407,9 +407,9 @@ def _(spark, sf):
     return spec.nested_strings(both, ["r_name"], "n_name", "s_name")
 
 
-@query("a27_supp_rows", "SELECT l_suppkey, count(DISTINCT l_partkey) AS n_parts, min(l_orderkey) AS first_order, arg_min(l_returnflag, (l_orderkey, l_linenumber)) AS first_flag FROM lineitem GROUP BY l_suppkey")
+@query("a27_supp_rows", "SELECT l_suppkey, count(DISTINCT l_partkey) AS n_parts, min(l_orderkey) AS first_order, arg_min(l_returnflag, (l_orderkey, l_linenumber, l_returnflag)) AS first_flag FROM lineitem GROUP BY l_suppkey")
 def _(spark, sf):
-    return table(spark, sf, "lineitem").groupBy("l_suppkey").agg(F.count_distinct("l_partkey").alias("n_parts"), F.min("l_orderkey").alias("first_order"), F.min_by("l_returnflag", F.struct("l_orderkey", "l_linenumber")).alias("first_flag"))
+    return table(spark, sf, "lineitem").groupBy("l_suppkey").agg(F.count_distinct("l_partkey").alias("n_parts"), F.min("l_orderkey").alias("first_order"), F.min_by("l_returnflag", F.struct("l_orderkey", "l_linenumber", "l_returnflag")).alias("first_flag"))
 
 
 @query(
