@@ -73,3 +73,9 @@ def test_similarity_and_words_are_those_asked_for():
 
     defaults = inspect.signature(simhash.near_duplicates).parameters
     assert defaults["words"].default == 5 and defaults["similarity"].default == 0.8
+
+
+def test_rows_of_one_id_with_different_texts_stay(spark):
+    rows = [(5, "some words of one kind are here now", "en", "s", 1), (5, "and quite different things are said in this", "en", "s", 1), (5, "and quite different things are said in this", "en", "s", 1)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    assert c.near_duplicate_stage(spark, docs, DATA).count() == 2

@@ -19,6 +19,8 @@ from weftline.llm.common import map_batches
 
 WORDS = re.compile(r"[^\W\d_]+")
 GRAMS = 400
+#: Languages that a broadcast table of profiles may have.
+MOST_LANGS = 2000
 ORDERS = 3
 FLUSH = 400_000
 
@@ -141,7 +143,9 @@ def predict_languages(df: DataFrame, profiles: DataFrame, id_column: str = "doc_
     there are no profiles gets ``und`` and 0. Ties go to the language that is first in the alphabet. The profiles (at
     most ``grams`` rows a language) are collected and broadcast; rows are not shuffled.
     """
-    rows = [(r.lang, r.gram, r.rank) for r in profiles.collect()]
+    rows = [(r.lang, r.gram, r.rank) for r in profiles.limit(MOST_LANGS * grams + 1).collect()]
+    if len(rows) > MOST_LANGS * grams:
+        raise ValueError(f"more than {MOST_LANGS} languages")
     shared = df.sparkSession.sparkContext.broadcast(rows)
     kinds = dict(df.dtypes)
 
