@@ -30,7 +30,7 @@ ENDS_P = frozenset("address article aside blockquote center details dialog dd di
 CLOSES = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
 
 BOILER_TAGS = frozenset("nav header footer aside menu".split())
-BOILER = re.compile(r"(?i)(?:^|[\s_-])(?:ad|ads|advert\w*|banner|breadcrumbs?|comments?|comment-?list|cookies?|consent|disqus|footer|gdpr|header|masthead|menu|nav|navbar|navigation|newsletter|notice|pager|pagination|popup|promo\w*|related|replies|reply|share|sharing|sidebar|side-bar|signup|skip|social|sponsor\w*|subscribe|toolbar|widget)(?:$|[\s_-])")
+BOILER = re.compile(r"(?i)(?:^|[\s_-])(?:ads?|ad-?(?:box|slot|wrap\w*|unit|block)s?|advert\w*|banner|breadcrumbs?|comments?|comment-?list|cookies?|consent|disqus|footer|gdpr|header|masthead|menu|nav|navbar|navigation|newsletter|notice|pager|pagination|popup|promo\w*|related|replies|reply|share|sharing|sidebar|side-bar|signup|skip|social|sponsor\w*|subscribe|toolbar|widget)(?:$|[\s_-])")
 GOOD = re.compile(r"(?i)article|body|content|entry|main|page|post|story|text")
 BOILER_ROLES = frozenset("navigation banner contentinfo complementary search dialog alert form menu menubar".split())
 BASE = {"article": 10, "main": 10, "section": 3, "div": 3, "td": 3, "pre": 3, "blockquote": 3, "body": 0, "ul": -3, "ol": -3, "li": -3, "dl": -3, "form": -3, "th": -5}
