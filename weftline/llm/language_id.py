@@ -21,13 +21,57 @@ WORDS = re.compile(r"[^\W\d_]+")
 GRAMS = 400
 #: Languages that a broadcast table of profiles may have.
 MOST_LANGS = 2000
-ORDERS = 3
+MARK = ord("_")
+CHUNK = 1 << 20
 FLUSH = 400_000
 
 
 def grams_of(word: str) -> list[str]:
+    """The n-grams of one word, the mark alone left out."""
     marked = f"_{word}_"
-    return [g for n in range(1, ORDERS + 1) for i in range(len(marked) - n + 1) if (g := marked[i : i + n]) != "_"]
+    return [g for n in (1, 2, 3) for i in range(len(marked) - n + 1) if (g := marked[i : i + n]) != "_"]
+
+
+def count_grams(text: str) -> tuple[np.ndarray, np.ndarray]:
+    """Keys and counts of the n-grams of all words of a text. A key is the code points in 21 bits each, so keys sort like the n-grams."""
+    words = WORDS.findall(text.lower())
+    if not words:
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    # One mark between two words ends the one and begins the other; n-grams with a mark inside belong to neither.
+    codes = np.frombuffer(f"_{'_'.join(words)}_".encode("utf-32-le", "surrogatepass"), "<u4")
+    chars = np.flatnonzero(np.bincount(codes))
+    place = np.zeros(chars[-1] + 1, np.int64)
+    place[chars] = np.arange(len(chars))
+    c, k, mark = place[codes], len(chars), int(place[MARK])
+    a, b, d = c[:-2], c[1:-1], c[2:]
+    inside = b != mark
+    found, wide = [], chars.astype(np.uint64)
+    for size, value in ((k, c[c != mark]), (k * k, c[:-1] * k + c[1:]), (k**3, (a * k * k + b * k + d)[inside])):
+        if size <= 4 * len(value) + 100_000:
+            counts = np.bincount(value)
+            seen = np.flatnonzero(counts)
+            counts = counts[seen]
+        else:
+            seen, counts = np.unique(value, return_counts=True)
+        if not found:
+            keys = wide[seen] << np.uint64(42)
+        elif len(found) == 1:
+            keys = wide[seen // k] << np.uint64(42) | wide[seen % k] << np.uint64(21)
+        else:
+            keys = wide[seen // (k * k)] << np.uint64(42) | wide[seen // k % k] << np.uint64(21) | wide[seen % k]
+        found.append((keys, counts))
+    return np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found])
+
+
+def gram_of(key: int) -> str:
+    return "".join(chr(c) for c in (key >> 42, key >> 21 & 0x1FFFFF, key & 0x1FFFFF) if c)
+
+
+def key_of(gram: str) -> int:
+    key = 0
+    for c in gram.ljust(3, "\0"):
+        key = key << 21 | ord(c)
+    return key
 
 
 def held_out(id_column: str = "doc_id") -> Column:
@@ -38,28 +82,38 @@ def held_out(id_column: str = "doc_id") -> Column:
 def learn_profiles(labelled: DataFrame, text_column: str = "text", lang_column: str = "lang", grams: int = GRAMS) -> DataFrame:
     """The profile of each language over all rows: lang, gram, rank (from 0), by count and then by gram.
 
-    Each task counts words, then the n-grams of the distinct words, and hands on sums; a table that reaches ``FLUSH``
-    entries is handed on early, so memory is bounded and one common language makes no large task.
+    Each task counts the n-grams of a language's texts, about a megabyte at once, and hands on sums; a table that reaches
+    ``FLUSH`` entries is handed on early, so memory is bounded and one common language makes no large task.
     """
 
     def work(columns: list[list]) -> Iterator[list]:
-        words: dict[str, Counter] = {}
+        waiting: dict[str, list[str]] = {}
+        size: Counter = Counter()
+        sums: Counter = Counter()
 
-        def sums() -> list:
-            out: Counter = Counter()
-            for lang, counts in words.items():
-                for word, n in counts.items():
-                    for g in grams_of(word):
-                        out[lang, g] += n
-            words.clear()
-            return [[k[0] for k in out], [k[1] for k in out], list(out.values())]
+        def count(lang: str) -> None:
+            keys, counts = count_grams("\n".join(waiting.pop(lang)))
+            size[lang] = 0
+            for key, n in zip(keys.tolist(), counts.tolist(), strict=True):
+                sums[lang, key] += n
+
+        def handed_on() -> list:
+            out = [[k[0] for k in sums], [gram_of(k[1]) for k in sums], list(sums.values())]
+            sums.clear()
+            return out
 
         for text, lang in zip(*columns, strict=True):
-            counts = words.setdefault(lang, Counter())
-            counts.update(WORDS.findall(text.lower()))
-            if sum(map(len, words.values())) > FLUSH:
-                yield sums()
-        yield sums()
+            waiting.setdefault(lang, []).append(text)
+            size[lang] += len(text)
+            if size[lang] > CHUNK:
+                count(lang)
+                if len(sums) > FLUSH:
+                    yield handed_on()
+        for lang in list(waiting):
+            count(lang)
+            if len(sums) > FLUSH:
+                yield handed_on()
+        yield handed_on()
 
     source = labelled.select(F.col(text_column).cast("string").alias("__text"), F.col(lang_column).cast("string").alias("__lang")).where("__text is not null and __lang is not null")
     counted = map_batches(source, ["__text", "__lang"], work, "lang string, gram string, n bigint").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
@@ -68,69 +122,29 @@ def learn_profiles(labelled: DataFrame, text_column: str = "text", lang_column:
 
 
 class Profiles:
-    """Profiles as rank arrays; words that were met last keep their n-grams in a table of bounded size."""
-
-    CACHE = 150_000
+    """Profiles as rank arrays."""
 
     def __init__(self, rows: list[tuple[str, str, int]], grams: int) -> None:
         self.langs, self.grams = sorted({r[0] for r in rows}), grams
-        self.fixed = {g: i for i, g in enumerate(sorted({r[1] for r in rows}))}
-        self.ranks = np.full((len(self.langs), len(self.fixed)), -1, dtype=np.int64)
+        self.keys = np.array(sorted({key_of(r[1]) for r in rows}), np.uint64)
+        self.ranks = np.full((len(self.langs), len(self.keys)), -1, dtype=np.int64)
         for lang, gram, rank in rows:
-            self.ranks[self.langs.index(lang), self.fixed[gram]] = rank
-        self._reset()
-
-    def _reset(self) -> None:
-        self.ids, self.words = dict(self.fixed), {}
-        self.keys = np.zeros(len(self.ids) + 1024, dtype=np.uint64)
-        for g, i in self.ids.items():
-            self.keys[i] = self._key(g)
-
-    @staticmethod
-    def _key(gram: str) -> int:
-        """Numbers in the order of the n-grams' code points."""
-        key = 0
-        for c in gram.ljust(ORDERS, "\0"):
-            key = key << 21 | ord(c)
-        return key
-
-    def _ids(self, word: str) -> np.ndarray:
-        out = []
-        for g in grams_of(word):
-            if (i := self.ids.get(g)) is None:
-                self.ids[g] = i = len(self.ids)
-                if i >= len(self.keys):
-                    self.keys = np.concatenate([self.keys, np.zeros(len(self.keys), dtype=np.uint64)])
-                self.keys[i] = self._key(g)
-            out.append(i)
-        return np.array(out, dtype=np.int64)
+            self.ranks[self.langs.index(lang), np.searchsorted(self.keys, np.uint64(key_of(gram)))] = rank
 
     def predict(self, text: str | None) -> tuple[str, float]:
-        counts = Counter(WORDS.findall(text.lower())) if text else None
-        if not counts or not self.langs:
+        keys, counts = count_grams(text) if text else ((), ())
+        if not len(keys) or not self.langs:
             return "und", 0.0
-        if len(self.words) > self.CACHE or len(self.ids) > 4 * self.CACHE:
-            self._reset()
-        words, parts = self.words, []
-        for w in counts:
-            if (p := words.get(w)) is None:
-                p = self._ids(w)
-                if len(w) <= 40:
-                    words[w] = p
-            parts.append(p)
-        sizes = np.fromiter(map(len, parts), dtype=np.int64, count=len(parts))
-        weights = np.repeat(np.fromiter(counts.values(), dtype=np.float64, count=len(parts)), sizes)
-        total = np.bincount(np.concatenate(parts), weights=weights)
-        seen = np.flatnonzero(total)
-        if len(seen) > self.grams:
-            least = -np.partition(-total[seen], self.grams - 1)[self.grams - 1]
-            seen = seen[total[seen] >= least]
-        seen = seen[np.lexsort((self.keys[seen], -total[seen]))][: self.grams]
-        place, known = np.arange(len(seen)), seen < self.ranks.shape[1]
-        theirs = self.ranks[:, seen[known]]
-        apart = np.where(theirs >= 0, np.abs(theirs - place[known]), self.grams).sum(axis=1) + self.grams * int((~known).sum())
+        if len(keys) > self.grams:
+            least = -np.partition(-counts, self.grams - 1)[self.grams - 1]
+            keys, counts = keys[counts >= least], counts[counts >= least]
+        own = keys[np.lexsort((keys, -counts))][: self.grams]
+        at = np.minimum(np.searchsorted(self.keys, own), len(self.keys) - 1)
+        known = np.flatnonzero(self.keys[at] == own)
+        theirs = self.ranks[:, at[known]]
+        apart = np.where(theirs >= 0, np.abs(theirs - known), self.grams).sum(axis=1) + self.grams * (len(own) - len(known))
         best = int(np.argmin(apart))
-        return self.langs[best], float(1 - apart[best] / (self.grams * len(seen)))
+        return self.langs[best], float(1 - apart[best] / (self.grams * len(own)))
 
 
 _READY: list = []
