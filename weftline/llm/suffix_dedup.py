@@ -45,47 +45,73 @@ def _mix(x: np.ndarray) -> np.ndarray:
 
 
 def gram_hashes(data: np.ndarray, gram: int = GRAM) -> np.ndarray:
-    """A hash of the ``gram`` bytes from each position that has so many."""
+    """A hash of the ``gram`` bytes (8 at least) from each position that has so many: its eight-byte words by odd multipliers, mixed."""
     n = len(data) - gram + 1
     if n <= 0:
         return np.zeros(0, dtype=np.uint64)
-    # Eight bytes from each position as a number, and from these the gram.
-    padded = np.concatenate([data, np.zeros(8, np.uint8)])
-    words = np.lib.stride_tricks.as_strided(padded, (len(data), 8), (1, 1))
-    eight = np.ascontiguousarray(words).view("<u8").ravel()
-    h = np.zeros(n, dtype=np.uint64)
-    for at in [*range(0, gram - 7, 8), *([gram - 8] if gram % 8 else [])]:
-        h = _mix((h ^ eight[at : at + n]) + np.uint64(0x9E3779B97F4A7C15))
-    return h
+    # Eight bytes from each position as a number.
+    eight = np.empty(len(data) - 7, dtype=np.uint64)
+    for at in range(8):
+        part = eight[at::8]
+        part[:] = data[at : at + 8 * len(part)].view("<u8")
+    h = eight[:n] * np.uint64(0x9E3779B97F4A7C15)
+    for k, at in enumerate([*range(8, gram - 7, 8), *([gram - 8] if gram % 8 else [])]):
+        h += eight[at : at + n] * np.uint64((0xD6E8FEB86659FD93 * (2 * k + 3)) & 0xFFFFFFFFFFFFFFFF)
+        h ^= h >> np.uint64(32)
+    return _mix(h)
 
 
 def window_anchors(h: np.ndarray, width: int) -> np.ndarray:
-    """For each window of ``width`` hashes the position of its least one, leftmost of equals; by doubling the width of the minima."""
+    """For each window of ``width`` hashes the position of its least one by the upper 32 bits, leftmost of equals.
+
+    Hash and position share a number, so minima over windows come by doubling their width.
+    """
     n = len(h) - width + 1
     if n <= 0:
         return np.zeros(0, dtype=np.int64)
-    least, at, step = h.copy(), np.arange(len(h)), 1
+    least, step = (h & np.uint64(0xFFFFFFFF00000000)) | np.arange(len(h), dtype=np.uint64), 1
     while step < width:
         move = min(step, width - step)
-        a, b = least[: len(least) - move], least[move:]
-        right = b < a
-        at = np.where(right, at[move:], at[: len(at) - move])
-        least = np.where(right, b, a)
+        least = np.minimum(least[: len(least) - move], least[move:])
         step += move
-    return at[:n]
+    return (least[:n] & np.uint64(0xFFFFFFFF)).astype(np.int64)
 
 
 class Runs:
-    """Runs of windows with one anchor in a text: hash of the anchor, first window, number of windows."""
-
-    def __init__(self, data: bytes, length: int) -> None:
-        flat = np.frombuffer(data, np.uint8)
-        h = gram_hashes(flat)
-        at = window_anchors(h, length - GRAM + 1)
-        first = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]])) if len(at) else np.zeros(0, np.int64)
-        self.first = first
-        self.count = np.diff(np.append(first, len(at)))
-        self.hash = h[at[first]] >> np.uint64(16) if len(at) else np.zeros(0, np.uint64)
+    """Runs of windows with one anchor in texts: number of the text, first window in it, number of windows, hash of the anchor (48 bits)."""
+
+    def __init__(self, texts: list[bytes], length: int) -> None:
+        parts, at = [], 0
+        while at < len(texts):
+            # About a megabyte at once, as one string; windows across a boundary are left out.
+            end, size = at + 1, len(texts[at])
+            while end < len(texts) and size + len(texts[end]) <= 1 << 20:
+                size += len(texts[end])
+                end += 1
+            parts.append(self._of(texts[at:end], at, length))
+            at = end
+        self.text, self.first, self.count, self.hash = (np.concatenate([np.zeros(0, t), *[p[k] for p in parts]]) for k, t in enumerate((np.int64, np.int64, np.int64, np.uint64)))
+
+    @staticmethod
+    def _of(texts: list[bytes], number: int, length: int) -> tuple[np.ndarray, ...]:
+        sizes = np.array([len(t) for t in texts], np.int64)
+        begins = np.cumsum(sizes) - sizes
+        ends = begins + np.maximum(sizes - length + 1, 0)  # behind the last window of each text
+        h = gram_hashes(np.frombuffer(b"".join(texts), np.uint8))
+        anchors = window_anchors(h, length - GRAM + 1)
+        some = ends > begins
+        if not some.any():
+            return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64)
+        inside = np.zeros(len(anchors) + 1, np.int8)
+        inside[begins[some]] = 1
+        inside[ends[some]] -= 1
+        new = np.ones(len(anchors), bool)
+        np.not_equal(anchors[1:], anchors[:-1], out=new[1:])
+        new[begins[some]] = True
+        new = np.flatnonzero(new & np.cumsum(inside[:-1], dtype=np.int8).view(bool))
+        owner = np.searchsorted(begins, new, side="right") - 1
+        count = np.minimum(np.append(new[1:], len(anchors)), ends[owner]) - new
+        return owner + number, new - begins[owner], count, h[anchors[new]] >> np.uint64(16)
 
 
 def repeated_windows(windows: np.ndarray, ids: np.ndarray) -> np.ndarray:
@@ -125,21 +151,19 @@ def _texts(table: pa.Table) -> list[tuple[int, bytes]]:
     return sorted(zip(keys, (t.as_py() for t in table.column("text").cast(pa.binary())), strict=True))
 
 
-def _batch_anchors(texts: list[tuple[int, bytes]], length: int, buckets: int) -> tuple[list[Runs], list[np.ndarray], np.ndarray]:
-    """The runs of each text; for each bucket the distinct anchors in order; and whether an anchor (all buckets in line) has two ids here."""
-    runs = [Runs(t, length) for _, t in texts]
-    if not runs:
-        return [], [np.zeros(0, np.uint64)] * buckets, np.zeros(0, bool)
-    hashes = np.concatenate([r.hash for r in runs])
-    ids = np.repeat(np.array([k for k, _ in texts], np.int64), [len(r.hash) for r in runs])
-    order = np.lexsort((ids, hashes, _bucket(hashes, buckets)))
-    hashes, ids = hashes[order], ids[order]
+def _batch_anchors(texts: list[tuple[int, bytes]], length: int, buckets: int) -> tuple[Runs, list[np.ndarray], np.ndarray]:
+    """The runs of a batch; for each bucket the distinct anchors in order; and whether an anchor (all buckets in line) has two ids here."""
+    runs = Runs([t for _, t in texts], length)
+    ids = np.array([k for k, _ in texts], np.int64)[runs.text]
+    order = np.lexsort((ids, runs.hash))
+    hashes, ids = runs.hash[order], ids[order]
     starts = np.flatnonzero(np.concatenate([[True], hashes[1:] != hashes[:-1]])) if len(hashes) else np.zeros(0, np.int64)
-    ends = np.append(starts[1:], len(hashes))
-    several = ids[starts] != ids[ends - 1]
-    distinct = hashes[starts]
-    cuts = np.searchsorted(_bucket(distinct, buckets), np.arange(buckets + 1))
-    return runs, [distinct[a:b] for a, b in zip(cuts, cuts[1:], strict=False)], several
+    ends = np.append(starts[1:], len(hashes))[: len(starts)]
+    distinct, several = hashes[starts], ids[starts] != ids[ends - 1]
+    bucket = _bucket(distinct, buckets)
+    order = np.argsort(bucket, kind="stable")
+    cuts = np.searchsorted(bucket[order], np.arange(buckets + 1))
+    return runs, [distinct[order[a:b]] for a, b in zip(cuts, cuts[1:], strict=False)], several[order]
 
 
 def _pack48(h: np.ndarray) -> bytes:
@@ -162,24 +186,22 @@ def _isin(sorted_: np.ndarray, x: np.ndarray) -> np.ndarray:
 class _Chosen:
     """The distinct runs of a batch whose anchors are repeated, in an order that every pass finds again."""
 
-    def __init__(self, texts: list[tuple[int, bytes]], runs: list[Runs], repeated: np.ndarray, length: int, buckets: int) -> None:
-        self.places: list[list[tuple[int, int, int]]] = []  # for each text: distinct run, first window, windows
+    def __init__(self, texts: list[tuple[int, bytes]], runs: Runs, repeated: np.ndarray, length: int, buckets: int) -> None:
+        self.places: list[list[tuple[int, int, int]]] = [[] for _ in texts]  # for each text: distinct run, first window, windows
         known: dict[bytes, int] = {}
         self.bytes: list[bytes] = []
         self.least: list[int] = []
         hashes: list[int] = []
-        for (key, text), r in zip(texts, runs, strict=True):
-            mine = []
-            for k in np.flatnonzero(_isin(repeated, r.hash)).tolist():
-                a, n = int(r.first[k]), int(r.count[k])
-                piece = text[a : a + n + length - 1]
-                number = known.setdefault(piece, len(known))
-                if number == len(self.bytes):
-                    self.bytes.append(piece)
-                    self.least.append(key)  # texts come in order of id
-                    hashes.append(int(r.hash[k]))
-                mine.append((number, a, n))
-            self.places.append(mine)
+        pick = np.flatnonzero(_isin(repeated, runs.hash))
+        for number, a, n, h in zip(runs.text[pick].tolist(), runs.first[pick].tolist(), runs.count[pick].tolist(), runs.hash[pick].tolist(), strict=True):
+            key, text = texts[number]
+            piece = text[a : a + n + length - 1]
+            run = known.setdefault(piece, len(known))
+            if run == len(self.bytes):
+                self.bytes.append(piece)
+                self.least.append(key)  # texts come in order of id
+                hashes.append(h)
+            self.places[number].append((run, a, n))
         self.hash = np.array(hashes, np.uint64)
         self.bucket = _bucket(self.hash, buckets)
 
