@@ -58,6 +58,16 @@ def test_awkward_rows(spark):
 
 
 def test_likeness_is_corrected_for_chance(spark):
-    a, b = "0" * 256, "0" * 16 + "1" * 240
-    found = spark.range(1).select(minhash.likeness(F.lit(a), F.lit(a)).alias("same"), minhash.likeness(F.lit(a), F.lit(b)).alias("chance")).first()
-    assert found.same == 1.0 and found.chance == 0.0
+    a, b = F.array_repeat(F.lit(0), 256), F.concat(F.array_repeat(F.lit(0), 16), F.array_repeat(F.lit(1), 240))
+    found = spark.range(1).select(minhash.likeness(a, a).alias("same"), minhash.likeness(a, b).alias("chance"), minhash.fingerprint(b).alias("hex")).first()
+    assert found.same == 1.0 and found.chance == 0.0 and found.hex == "0" * 16 + "1" * 240
+
+
+def test_bins_are_the_least_values(spark):
+    df = spark.createDataFrame([(1, [(0, 5), (63, 7), (64, 9), (255, 11)])], "k int, p array<struct<bin:int,value:bigint>>")
+    masks = [F.lit(v).cast("long") for v in (1 | -(1 << 63), 1, 0, -(1 << 63))]
+    found = df.select(minhash.filled(masks, F.col("p.value")).alias("x"), minhash.densified(minhash.filled(masks, F.col("p.value"))).alias("d")).first()
+    assert {i: v for i, v in enumerate(found.x) if v is not None} == {0: 5, 63: 7, 64: 9, 255: 11}
+    assert set(found.d) <= {5, 7, 9, 11} and len(found.d) == 256 and found.d[63] == 7
+    probes = spark.range(256).select(F.col("id").cast("int").alias("b")).select(F.size(F.array_distinct(F.transform(F.sequence(F.lit(0), F.lit(255)), lambda j: minhash._probe(F.col("b"), j)))).alias("n"))
+    assert {r.n for r in probes.collect()} == {256}

@@ -2,7 +2,7 @@
 
 Each five-word shingle of a text is hashed once: the hash's low bits choose one of ``BINS`` bins and the rest is its
 value there; a bin keeps the least. An empty bin takes the value of the first full bin on a probe sequence of its own
-(optimal densification: the sequence depends on the bin alone, so equal sets stay equal). The fingerprint stores the
+(optimal densification; the sequence depends on the bin alone, so equal sets stay equal). The fingerprint stores the
 low ``BITS`` bits of each bin as one hex digit; the likeness of two fingerprints is the share of equal digits, corrected for
 the 1 in 16 that agree by chance.
 
@@ -28,44 +28,64 @@ def word_hashes(text: Column) -> Column:
 
 
 def _probe(b: Column, j: Column | int) -> Column:
-    """The j-th bin that bin b asks: an arithmetic sequence whose start and odd step depend on b, so that all bins come up."""
-    r = F.xxhash64(b)
-    step = F.shiftrightunsigned(r, 16).bitwiseAND(BINS - 1).bitwiseOR(1)
-    return (F.shiftrightunsigned(r, 32).bitwiseAND(BINS - 1) + step * j).bitwiseAND(BINS - 1).cast("int")
+    """The j-th bin that bin b asks: an arithmetic sequence whose start and odd step are hashes of b, so that all bins come up."""
+    start, step = F.shiftright(b * 40503 + 12345, 5), F.shiftright(b * 48271 + 54321, 6).bitwiseOR(1)
+    return (start.bitwiseAND(BINS - 1) + step.bitwiseAND(BINS - 1) * j).bitwiseAND(BINS - 1)
 
 
-def densified(filled: Column) -> Column:
+def filled(masks: list[Column], packed: Column) -> Column:
+    """The ``BINS`` values with nulls for empty bins: ``packed`` holds the full bins' values in order, ``masks`` 64 bins' bits each."""
+
+    def value(b: Column) -> Column:
+        word = F.shiftright(b, 6)
+        mask, before = masks[0], F.lit(0)
+        for k in range(1, len(masks)):
+            mask = F.when(word == k, masks[k]).otherwise(mask)
+            before = before + F.when(word >= k, F.bit_count(masks[k - 1])).otherwise(0)
+        upto = F.call_function("shiftleft", mask, F.lit(63) - b.bitwiseAND(63))  # the bits of this bin and those before it, at the top
+        return F.when(upto < 0, F.get(packed, before + F.bit_count(upto) - 1))
+
+    return F.transform(F.sequence(F.lit(0), F.lit(BINS - 1)), value)
+
+
+def densified(values: Column) -> Column:
     """The ``BINS`` values of an array with nulls for empty bins, densified; all null if all are empty."""
 
     def value(b: Column) -> Column:
-        asked = [F.get(filled, _probe(b, j)) for j in range(PROBES)]
+        asked = [F.get(values, _probe(b, j)) for j in range(PROBES)]
         # Few shingles: go on along the sequence to its end.
-        rest = F.get(F.filter(F.transform(F.sequence(F.lit(PROBES), F.lit(BINS - 1)), lambda j: F.get(filled, _probe(b, j))), lambda v: v.isNotNull()), F.lit(0))
-        return F.coalesce(F.get(filled, b), *asked, rest)
+        rest = F.get(F.filter(F.transform(F.sequence(F.lit(PROBES), F.lit(BINS - 1)), lambda j: F.get(values, _probe(b, j))), lambda v: v.isNotNull()), F.lit(0))
+        return F.coalesce(F.get(values, b), *asked, rest)
 
     return F.transform(F.sequence(F.lit(0), F.lit(BINS - 1)), value)
 
 
-def fingerprint(values: Column) -> Column:
-    """The low bits of each bin as a hex digit; an empty string for a text without words.
+def digits(values: Column) -> Column:
+    """The low bits of each bin; an empty array for a text without words.
 
     They are taken from a hash of value and bin, else all bins that borrow from one would agree by chance together.
     """
-    return F.when(F.get(values, F.lit(0)).isNull(), F.lit("")).otherwise(F.concat_ws("", F.transform(values, lambda v, b: F.substring(F.lit("0123456789abcdef"), F.xxhash64(v, b).bitwiseAND((1 << BITS) - 1).cast("int") + 1, F.lit(1)))))
+    return F.when(F.get(values, F.lit(0)).isNull(), F.array().cast("array<int>")).otherwise(F.transform(values, lambda v, b: F.xxhash64(v, b).bitwiseAND((1 << BITS) - 1).cast("int")))
+
+
+def fingerprint(digits_: Column) -> Column:
+    """Digits as a hex string."""
+    return F.concat_ws("", F.transform(digits_, lambda d: F.substring(F.lit("0123456789abcdef"), d + 1, F.lit(1))))
 
 
 def likeness(a: Column, b: Column) -> Column:
-    """Estimated Jaccard similarity of two fingerprints, between 0 and 1; two texts without words are alike."""
+    """Estimated Jaccard similarity of two arrays of digits, between 0 and 1; two texts without words are alike."""
     chance = 1.0 / (1 << BITS)
-    equal = F.aggregate(F.sequence(F.lit(1), F.lit(BINS)), F.lit(0), lambda n, i: n + (F.substring(a, i, F.lit(1)) == F.substring(b, i, F.lit(1))).cast("int"))
+    equal = F.size(F.filter(F.zip_with(a, b, lambda x, y: x == y), lambda e: e))
     share = (equal.cast("double") / BINS - chance) / (1 - chance)
-    return F.when((a == "") | (b == ""), (a == b).cast("double")).otherwise(F.greatest(F.least(share, F.lit(1.0)), F.lit(0.0)))
+    none = (F.size(a) == 0) | (F.size(b) == 0)
+    return F.when(none, (F.size(a) == F.size(b)).cast("double")).otherwise(F.greatest(F.least(share, F.lit(1.0)), F.lit(0.0)))
 
 
 def fingerprints(df: DataFrame, keys: list[str], text_column: str = "text") -> DataFrame:
-    """keys, fingerprint of each row of texts whose ``keys`` are unique; no shuffle if the rows are partitioned by some of the keys.
+    """keys, digits of each row of texts whose ``keys`` are unique; no shuffle if the rows are partitioned by some of the keys.
 
-    A null or wordless text has the empty fingerprint.
+    A null or wordless text has no digits.
     """
     rows = df.select(*keys, word_hashes(text_or_empty(text_column)).alias("words"))
     n = F.size("words")
@@ -74,13 +94,14 @@ def fingerprints(df: DataFrame, keys: list[str], text_column: str = "text") -> D
     exploded = rows.select(*keys, "words", at.alias("at"))
     h = F.when(F.col("at").isNotNull(), F.xxhash64(*[F.get(F.col("words"), F.col("at") + k) for k in range(WORDS)]))
     hashed = exploded.select(*keys, h.alias("h"))
-    hashed = hashed.select(*keys, F.col("h").bitwiseAND(BINS - 1).cast("int").alias("bin"), F.shiftrightunsigned("h", BINS.bit_length() - 1).alias("value"))
+    # The bin stands in the upper bits, so values in numeric order are in order of their bins.
+    hashed = hashed.select(*keys, F.col("h").bitwiseAND(BINS - 1).cast("int").alias("bin"), F.shiftrightunsigned("h", BINS.bit_length()).alias("value"))
     bins = hashed.groupBy(*keys, "bin").agg(F.min("value").alias("value"))
-    by = bins.groupBy(*keys).agg(F.collect_list(F.struct("bin", "value")).alias("pairs"))
-    by = by.select(*keys, F.col("pairs.bin").alias("bins"), F.col("pairs.value").alias("values"))
-    filled = F.transform(F.sequence(F.lit(0), F.lit(BINS - 1)), lambda b: F.get(F.col("values"), F.array_position("bins", b).cast("int") - 1))
-    by = by.select(*keys, filled.alias("filled"))
-    return by.select(*keys, densified(F.col("filled")).alias("dense")).select(*keys, fingerprint(F.col("dense")).alias("fingerprint"))
+    masks = [F.coalesce(F.bit_or(F.when(F.shiftright("bin", 6) == k, F.call_function("shiftleft", F.lit(1).cast("long"), F.col("bin").bitwiseAND(63)))), F.lit(0).cast("long")).alias(f"m{k}") for k in range(BINS // 64)]
+    in_place = F.shiftleft(F.col("bin").cast("long"), 63 - BINS.bit_length() + 1).bitwiseOR(F.col("value"))
+    by = bins.groupBy(*keys).agg(F.sort_array(F.collect_list(in_place)).alias("packed"), *masks)
+    by = by.select(*keys, filled([F.col(f"m{k}") for k in range(BINS // 64)], F.col("packed")).alias("filled"))
+    return by.select(*keys, densified(F.col("filled")).alias("dense")).select(*keys, digits(F.col("dense")).alias("digits"))
 
 
 def in_order(df: DataFrame, id_column: str, text_column: str) -> DataFrame:
@@ -127,16 +148,16 @@ def edited_fingerprints(df: DataFrame, id_column: str = "doc_id", text_column: s
     rows = prints.groupBy("bucket", "place", "doc", "extra").agg(
         F.max(F.when(F.col("version") == 0, F.col("n_chars"))).alias("n_chars"),
         F.max("sha").alias("edited_sha256"),
-        F.max(F.when(F.col("version") == 0, F.col("fingerprint"))).alias("fingerprint"),
-        F.max(F.when(F.col("version") == 1, F.col("fingerprint"))).alias("edited_fingerprint"),
+        F.max(F.when(F.col("version") == 0, F.col("digits"))).alias("digits"),
+        F.max(F.when(F.col("version") == 1, F.col("digits"))).alias("edited_digits"),
     )
-    after = rows.withColumn("next_fingerprint", F.lead("fingerprint").over(Window.partitionBy("bucket").orderBy("place"))).where("extra = 0")
+    after = rows.withColumn("next_digits", F.lead("digits").over(Window.partitionBy("bucket").orderBy("place"))).where("extra = 0")
     return after.select(
         F.col("doc").alias(id_column),
         "n_chars",
         "edited_sha256",
-        "fingerprint",
-        "edited_fingerprint",
-        likeness(F.col("fingerprint"), F.col("edited_fingerprint")).alias("near_edited"),
-        likeness(F.col("fingerprint"), F.col("next_fingerprint")).alias("near_next"),
+        fingerprint(F.col("digits")).alias("fingerprint"),
+        fingerprint(F.col("edited_digits")).alias("edited_fingerprint"),
+        likeness(F.col("digits"), F.col("edited_digits")).alias("near_edited"),
+        likeness(F.col("digits"), F.col("next_digits")).alias("near_next"),
     )
