@@ -158,10 +158,13 @@ def size_buckets(nodes: DataFrame, ratio: float) -> DataFrame:
     return nodes.select("node", "lanes", "n_shingles", F.inline(both))
 
 
-def _parts(rows: DataFrame) -> DataFrame:
-    """Rows with their tasks: a bucket of more than ``PART`` rows becomes g parts, and each pair of parts a task."""
+def _parts(rows: DataFrame, few: bool) -> DataFrame:
+    """Rows with their tasks: a bucket of more than ``PART`` rows becomes g parts, and each pair of parts a task.
+
+    ``few``: buckets are steps of a geometric scale, of which there are some hundreds at any size, so their counts are broadcast.
+    """
     sizes = rows.groupBy("bucket").count().where(F.col("count") > PART)
-    cut = rows.join(sizes, "bucket", "left")
+    cut = rows.join(F.broadcast(sizes) if few else sizes, "bucket", "left")
     g = F.coalesce(F.ceil(F.col("count") / PART), F.lit(1)).cast("int")
     cut = cut.withColumn("g", g).withColumn("part", F.pmod(F.xxhash64("node"), F.col("g")).cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.col("g") - 1)).alias("other")
@@ -171,7 +174,7 @@ def _parts(rows: DataFrame) -> DataFrame:
 
 def links(rows: DataFrame, radius: int, lanes: int, ratio: float = 0.0) -> DataFrame:
     """a, b: a spanning forest of the links within each task of ``rows`` (bucket, node, lanes, n_shingles, side)."""
-    dealt = _parts(rows).repartition(partitions(rows.sparkSession), "bucket", "low", "high").sortWithinPartitions("bucket", "low", "high")
+    dealt = _parts(rows, ratio > 0).repartition(partitions(rows.sparkSession), "bucket", "low", "high").sortWithinPartitions("bucket", "low", "high")
     dealt = dealt.select("bucket", "low", "high", "node", "side", "part", "n_shingles", *[F.col("lanes")[k].alias(f"l{k}") for k in range(lanes)])
 
     def of_task(t: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
