@@ -108,9 +108,10 @@ def in_order(df: DataFrame, id_column: str, text_column: str) -> DataFrame:
     """bucket, doc, tie, text, extra: rows dealt to buckets by range of id, so that a bucket holds its rows' successors.
 
     A bucket's range starts at an id that is there; rows with it go to the bucket before as well (``extra``), and rows
-    with the least id to the last bucket. The ranges are a quantile sketch, as many as there are shuffle partitions.
+    with the least id to the last bucket. The ranges are a quantile sketch, four for each shuffle partition, so that
+    partitions get about equal shares when buckets are dealt by hash.
     """
-    n = partitions(df.sparkSession)
+    n = 4 * partitions(df.sparkSession)
     rows = df.select(F.col(id_column).cast("long").alias("doc"), text_or_empty(text_column).alias("text"))
     cuts, nulls, least = rows.agg(F.percentile_approx("doc", F.array(*[F.lit(k / n) for k in range(1, n)]) if n > 1 else F.array(F.lit(0.5)), 10_000), F.count_if(F.col("doc").isNull()), F.min("doc")).first()
     cuts = sorted(set(cuts or []) - ({least} if not nulls else set()))
