@@ -1,6 +1,9 @@
 """Line dedup against a brute-force version, and the shift resistance of its chunks."""
 
-from weftline.llm.line_dedup import LEAST_LINES, chunks, line_dedup
+from collections import Counter
+
+import corpus_pipeline
+from weftline.llm.line_dedup import LEAST_LINES, chunks, line_dedup, line_runs
 from weftline.llm.queries import op7_line_dedup
 
 
@@ -50,3 +53,38 @@ def test_chunks_resist_shifts():
     one = {"\n".join(lines[a:b]) for a, b in chunks("\n".join(lines))}
     two = {"\n".join((["new"] + lines)[a:b]) for a, b in chunks("\n".join(["new", *lines]))}
     assert len(one & two) >= 0.9 * len(one)
+
+
+def runs_left(rows, found):
+    """(id, line) of lines in a run of two lines that stood in an earlier document and still stand, and how many such lines there were."""
+    seen, left, owed = set(), [], 0
+    after = {k: Counter(text.split("\n")) for k, text in found if text is not None}
+    for key, text in sorted((k, t) for k, t in rows if t is not None):
+        lines = text.split("\n")
+        pairs = [p for p in zip(lines, lines[1:]) if any(c.isalnum() for line in p for c in line)]
+        covered = {i for i, p in enumerate(zip(lines, lines[1:])) if p in seen}
+        covered |= {i + 1 for i in covered}
+        owed += len(covered)
+        allowed = Counter(line for i, line in enumerate(lines) if i not in covered)
+        left += [(key, line) for line, n in after[key].items() if n > allowed[line] and any(c.isalnum() for c in line)]
+        seen |= set(pairs)
+    return left, owed
+
+
+def test_pipeline_stage_removes_every_repeated_run(spark, small):
+    rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{small}/documents.parquet").collect()]
+    rows += [(10**6 + k, "\n".join([f"a{k}.{i}" for i in range(k)] + [f"shared {i}" for i in range(n)] + ["", "", ""] * (k % 2) + [f"b{k}.{i}" for i in range(5)])) for k, n in enumerate((5, 2, 3, 4, 5, 2, 3))]
+    df = spark.createDataFrame([(k, t, "en", "s", 1) for k, t in rows], "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    found = [(r.doc_id, r.text) for r in corpus_pipeline.line_stage(spark, df, small).collect()]
+    left, owed = runs_left(rows, found)
+    assert owed > 0 and left == []
+    # The first place of every line stays.
+    assert {line for _, t in rows if t for line in t.split("\n")} == {line for _, t in found if t for line in t.split("\n")}
+    assert runs_left(rows, [(r[0], r[1]) for r in brute(rows)])[0]  # chunks alone leave some
+
+
+def test_runs_of_awkward_texts(spark):
+    df = spark.createDataFrame([(1, "x\nx\nx\nx"), (2, "y\nx\nx"), (3, "x\nx\nz")], "doc_id bigint, text string")
+    assert sorted(tuple(r)[:2] for r in line_dedup(df, cut=line_runs).collect()) == [(1, "x\nx"), (2, "y"), (3, "z")]
+    assert line_runs("") == line_runs("\n\n") == line_runs("one") == []
+    assert line_runs("a\nb\n\n\nc") == [(0, 2), (1, 3), (1, 5), (3, 5)]

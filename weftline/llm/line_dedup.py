@@ -11,7 +11,7 @@ bytes is the comparison. All counts are pre-aggregated in each task, so a chunk
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import xxhash
 from pyspark.sql import DataFrame
@@ -40,14 +40,29 @@ def chunks(text: str, window: int = WINDOW, mask: int = MASK) -> list[tuple[int,
     return out
 
 
+def line_runs(text: str) -> list[tuple[int, int]]:
+    """First line and line behind the last of each shortest run of lines that can repeat; these overlap.
+
+    Every two neighbouring lines of which one has a letter or digit are such a run, and so is a stretch of lines without
+    any together with the lines around it. A longer repeated run consists of these, wherever it begins and ends, so all of it is found.
+    """
+    lines = text.split("\n")
+    lettered = [i for i, line in enumerate(lines) if any(c.isalnum() for c in line)]
+    out = {(i - 1, i + 1) for i in lettered if i} | {(i, i + 2) for i in lettered if i + 1 < len(lines)}
+    if lettered:
+        out |= {(a, b + 1) for a, b in zip([0, *lettered], [*lettered, len(lines) - 1], strict=True) if b > a}
+    return sorted(out)
+
+
 def _chunk_bytes(lines: list[str], a: int, b: int) -> bytes:
     return "\n".join(lines[a:b]).encode("utf-8", "surrogatepass")
 
 
-def line_dedup(df: DataFrame, id_column: str = "doc_id", text_column: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
+def line_dedup(df: DataFrame, id_column: str = "doc_id", text_column: str = "text", keep: tuple[str, ...] = (), cut: Callable[[str], list[tuple[int, int]]] = chunks) -> DataFrame:
     """Removes repeated multi-line chunks: id_column, text, n_lines, n_removed (lines), then the columns in ``keep``.
 
-    The first chunk by (id, position) stays. Chunks without a letter or digit are never removed. A document is its id and
+    ``cut`` gives the chunks of a text in order: ``chunks``, or ``line_runs`` to find every repeated run of two lines or
+    more. Chunks may overlap; a line goes with any of them. The first chunk by (id, position) stays. Chunks without a letter or digit are never removed. A document is its id and
     text: repeated rows are treated alike and all keep what the first may keep. Null ids come first. A null text stays null (no lines).
     """
     kinds = dict(df.dtypes)
@@ -62,9 +77,9 @@ def line_dedup(df: DataFrame, id_column: str = "doc_id", text_column: str = "tex
             if text is None or "\n" not in text:
                 continue
             lines = text.split("\n")
-            for a, b in chunks(text):
+            for k, (a, b) in enumerate(cut(text)):
                 if b - a >= LEAST_LINES and any(c.isalnum() for line in lines[a:b] for c in line):
-                    for column, value in zip(out, (key, doc_, a, xxhash.xxh64_intdigest(_chunk_bytes(lines, a, b)) - (1 << 63)), strict=True):
+                    for column, value in zip(out, (key, doc_, k, xxhash.xxh64_intdigest(_chunk_bytes(lines, a, b)) - (1 << 63)), strict=True):
                         column.append(value)
         yield list(out)
 
@@ -76,9 +91,9 @@ def line_dedup(df: DataFrame, id_column: str = "doc_id", text_column: str = "tex
     def with_bytes(columns: list[list]) -> Iterator[list]:
         out: tuple[list, ...] = ([], [], [], [])
         for key, doc_, text, firsts in zip(*columns, strict=True):
-            lines, ends, wanted = text.split("\n"), dict(chunks(text)), set(firsts)
-            for a in wanted:
-                for column, value in zip(out, (key, doc_, a, _chunk_bytes(lines, a, ends[a])), strict=True):
+            lines, places, wanted = text.split("\n"), cut(text), set(firsts)
+            for k in wanted:
+                for column, value in zip(out, (key, doc_, k, _chunk_bytes(lines, *places[k])), strict=True):
                     column.append(value)
         yield list(out)
 
@@ -96,8 +111,15 @@ def line_dedup(df: DataFrame, id_column: str = "doc_id", text_column: str = "tex
             lines = [] if text is None else text.split("\n")
             n_lines.append(len(lines))
             if gone_:
-                drop = set(gone_)
-                lines = [line for a, b in chunks(text) if a not in drop for line in lines[a:b]]
+                places = cut(text)
+                here: dict[str, int] = {}
+                firsts = [here.setdefault("\n".join(lines[a:b]), k) for k, (a, b) in enumerate(places)]
+                drop: set[int] = set()
+                for k in set(gone_):
+                    # Where runs overlap, the first place stays whole: of four equal lines two go.
+                    stay = () if firsts[k] in gone_ else range(*places[firsts[k]])
+                    drop.update(i for i in range(*places[k]) if i not in stay)
+                lines = [line for i, line in enumerate(lines) if i not in drop]
                 text = "\n".join(lines)
             new.append(text)
             n_removed.append(n_lines[-1] - len(lines))
