@@ -77,3 +77,57 @@ def test_near_copies_of_five_word_shingles(spark):
     df = spark.createDataFrame([(1, " ".join(text)), (2, " ".join(near)), (3, " ".join(other))], "doc_id bigint, text string")
     found = {r.doc_id: r.component_id for r in simhash.near_duplicates(df).select("doc_id", F.col("component_id")).collect()}
     assert found == {1: 1, 2: 1, 3: 3}
+
+
+def exact(rows, similarity=0.8):
+    sets = {k: shingles(t) for k, t in rows}
+    label = {k: k for k in sets}
+    linked = [(a, b) for a in sets for b in sets if a < b and len(sets[a] & sets[b]) >= similarity * len(sets[a] | sets[b])]
+    while True:
+        new = dict(label)
+        for a, b in linked:
+            new[a] = new[b] = min(new[a], new[b])
+        if new == label:
+            return label
+        label = new
+
+
+def shingles(text, words=5):
+    w = (text or "").encode().lower().split()
+    return {b" ".join(w[i : i + words]) for i in range(max(1, len(w) - words + 1))} if w else set()
+
+
+def components_of(spark, rows):
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    return {r.doc_id: r.component_id for r in simhash.near_duplicates(df).collect()}
+
+
+def test_links_are_those_of_exact_similarity(spark, small, monkeypatch):
+    rng = np.random.default_rng(3)
+    rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{small}/documents.parquet").collect()]
+    for k in range(60):  # pairs on both sides of 0.8, by edits apart from each other in long and short texts
+        text = [f"v{x}" for x in rng.integers(0, 10**6, int(rng.choice([8, 20, 100, 400])))]
+        near = list(text)
+        for at in range(3, max(4, int(len(text) * rng.uniform(0.0, 0.06)) * 16), 16):
+            near[at % len(text)] = f"new{k}.{at}"
+        rows += [(10**6 + 2 * k, " ".join(text)), (10**6 + 2 * k + 1, " ".join(near))]
+    eight = "a b c d e f g h"
+    rows += [(2 * 10**6, eight), (2 * 10**6 + 1, eight + " i"), (2 * 10**6 + 2, "k l m n o p q"), (2 * 10**6 + 3, "k l m n o p q r")]  # 4 of 5: linked; 3 of 4: not
+    expected = exact(rows)
+    pairs = [expected[10**6 + 2 * k + 1] == 10**6 + 2 * k for k in range(60)]
+    assert any(pairs) and not all(pairs) and expected[2 * 10**6 + 1] == 2 * 10**6 and expected[2 * 10**6 + 3] == 2 * 10**6 + 3
+    assert components_of(spark, rows) == expected
+    monkeypatch.setattr(simhash, "COMMON", 1)  # another order of shingles
+    assert components_of(spark, rows) == expected
+
+
+def test_chains_and_one_prefix_shared_by_many(spark):
+    rng = np.random.default_rng(4)
+    base = [f"w{x}" for x in rng.integers(0, 10**6, 200)]
+    rows = []
+    for k in range(40):  # copies that differ in k passages, in turn: neighbours link, ends don't
+        text = list(base)
+        for at in range(k):
+            text[at * 5] = f"e{at}"
+        rows.append((k, " ".join(text)))
+    assert components_of(spark, rows) == exact(rows)

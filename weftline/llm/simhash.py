@@ -8,6 +8,7 @@ into parts whose pairs are tasks of their own. A tile hands on the links of a sp
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from itertools import combinations
 
@@ -23,6 +24,11 @@ from weftline.llm.components import components
 TILE = 1024
 PART = 40_000
 SEED = 42
+# The order of shingles in prefixes: those of a thousandth of the documents come last.
+SAMPLE = 5000
+COMMON = 5
+MOST_COMMON = 200_000
+HUBS = 4
 
 
 def shingle_hashes(text: str, words: int) -> np.ndarray:
@@ -207,7 +213,7 @@ def links(rows: DataFrame, radius: int, lanes: int, ratio: float = 0.0) -> DataF
             edges = [0, *cuts.tolist(), len(block)]
             found = [of_task(block[a:b, 3:]) for a, b in zip(edges, edges[1:], strict=False) if b - a > 1]
             if found:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([f[k] for f in found]), pa.int64()) for k in range(2)], names=["a", "b"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([f[k] for f in found]), pa.int64()) for k in range(HUBS)], names=["a", "b"])
 
         for batch in batches:
             block = np.column_stack([c.to_numpy(zero_copy_only=False).astype(np.int64) for c in batch.columns]) if batch.num_rows else None
@@ -259,12 +265,99 @@ def simhash_components(df: DataFrame, id_column: str = "doc_id", text_column: st
     return found.select(id_column, hexadecimal(F.col("lanes")[0]).alias("fingerprint"), "component_id")
 
 
-def near_duplicates(df: DataFrame, id_column: str = "doc_id", text_column: str = "text", words: int = 5, similarity: float = 0.8, bits_apart: int = 50) -> DataFrame:
-    """id_column, component_id by the similarity of whole documents: 256-bit fingerprints of five-word shingles.
+def prefix_length(n: int, similarity: float) -> int:
+    """So many of n elements, first in an order that all sets share, that two sets of at least this Jaccard similarity have one of them in common."""
+    return n - math.ceil(similarity * n - 1e-9) + 1 if n else 0
 
-    A Jaccard similarity of s means an angle of acos(2s / (1 + s)) between equally long documents, 39 of 256 bits at 0.8
-    with a spread of 6; ``bits_apart`` leaves room for it (on generated prose it found all of 182 pairs at 0.8 or more, one of three pairs at 0.6 to 0.7, and none of 94,000 under 0.4). Documents whose numbers of distinct shingles are not within ``similarity``
-    cannot be that similar and are not compared.
+
+def shingle_sets(df: DataFrame, id_column: str, text_column: str, words: int) -> DataFrame:
+    """id_column, key (128-bit hash of the set), n (its size), shingles (the distinct shingle hashes in order) of each whole text; a null text has none."""
+    kind = dict(df.dtypes)[id_column]
+
+    def work(columns: list[list]) -> Iterator[list]:
+        sets = [np.unique(shingle_hashes(text, words)).view(np.int64) for text in columns[1]]
+        ends = np.cumsum([0, *map(len, sets)])
+        lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate([np.zeros(0, np.int64), *sets])))
+        yield [columns[0], [xxhash.xxh3_128_digest(h.tobytes()) for h in sets], [len(h) for h in sets], lists]
+
+    source = df.select(F.col(id_column), text_or_empty(text_column).alias("__text"))
+    return map_batches(source, [id_column, "__text"], work, f"`{id_column}` {kind}, key binary, n bigint, shingles array<bigint>")
+
+
+def common_shingles(sets: DataFrame) -> list[int]:
+    """Shingles that at least ``COMMON`` sets of a sample of some ``SAMPLE`` hold, at most ``MOST_COMMON`` of them.
+
+    They only go to the end of the order of shingles. Any order finds the same pairs; this one makes fewer candidates.
+    """
+    step = max(1, sets.count() // SAMPLE)
+    tokens = sets.where(F.pmod(F.xxhash64("node"), F.lit(step)) == 0).select(F.explode("shingles").alias("token"))
+    counts = tokens.groupBy("token").count().where(F.col("count") >= COMMON)
+    return [r.token for r in counts.orderBy(F.desc("count"), "token").limit(MOST_COMMON).collect()]
+
+
+def prefixes(sets: DataFrame, similarity: float) -> DataFrame:
+    """node, key, n, tokens: the shingles of each set's prefix, rare ones first."""
+    late = sets.sparkSession.sparkContext.broadcast(np.sort(np.array(common_shingles(sets), dtype=np.int64)))
+
+    def work(columns: list[list]) -> Iterator[list]:
+        common, out = late.value, []
+        for shingles in columns[3]:
+            h = np.array(shingles, dtype=np.int64)
+            if len(common) and len(h):
+                rare = common[np.minimum(np.searchsorted(common, h), len(common) - 1)] != h
+                h = np.concatenate([h[rare], h[~rare]])
+            out.append(h[: prefix_length(len(h), similarity)])
+        yield [*columns[:3], out]
+
+    return map_batches(sets, ["node", "key", "n", "shingles"], work, "node bigint, key binary, n bigint, tokens array<bigint>")
+
+
+def similar_pairs(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """a, b: the pairs with sets that are that similar."""
+    one = sets.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("shingles").alias("sa"))
+    two = sets.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("shingles").alias("sb"))
+    shared = F.size(F.array_intersect("sa", "sb"))
+    return pairs.join(one, "a").join(two, "b").where(shared / (F.col("na") + F.col("nb") - shared) >= similarity).select("a", "b")
+
+
+def near_duplicates(df: DataFrame, id_column: str = "doc_id", text_column: str = "text", words: int = 5, similarity: float = 0.8) -> DataFrame:
+    """id_column, component_id by the exact Jaccard similarity of the sets of five-word shingles of whole documents.
+
+    Two documents link if it is at least ``similarity``; the component is the smallest id that links reach. Equal sets
+    (so all wordless texts) are one node. Candidates are sets with a shingle of their prefixes in common, which loses no
+    pair. A first round compares each set with ``HUBS`` of those that share a shingle, so a large group of near copies is
+    joined by rows in proportion to it; the second compares all candidates that are in different components by then.
+    Rows with a null id get a null component and link nothing.
     """
-    prints = written(fingerprints(df, id_column, text_column, words, lanes=4), "prints")
-    return near_components(prints, id_column, bits_apart, lanes=4, ratio=similarity).select(id_column, "component_id")
+    rows = written(shingle_sets(df.where(F.col(id_column).isNotNull()), id_column, text_column, words).withColumn("node", F.col(id_column).cast("long")), "shingles")
+    nodes = written(rows.groupBy("key").agg(F.min("node").alias("node")), "nodes")
+    own = prefixes(rows, similarity).join(nodes, ["node", "key"], "left_semi")
+    tokens = written(own.select("node", "n", F.posexplode("tokens").alias("at", "token")), "tokens")
+    place = lambda seed: F.struct(F.xxhash64("node", F.lit(seed)), F.col("node"), F.col("n"), F.col("at"))
+    hubs = tokens.groupBy("token").agg(F.min("node").alias("low"), F.max("node").alias("high"), *[F.min(place(k)).alias(f"hub{k}") for k in range(HUBS)]).where("low < high")
+    shared = written(tokens.join(hubs.drop("low", "high"), "token"), "shared")
+    # Of a pair's common shingles one is first in the order: all of them lie from its places on, at least so many.
+    fit = lambda a, at, b, other_at: F.least(a - at, b - other_at) >= similarity / (1 + similarity) * (a + b) - 1e-6
+
+    hub = F.explode(F.array(*[F.struct(F.col(f"hub{k}.node").alias("other"), F.col(f"hub{k}.n").alias("other_n"), F.col(f"hub{k}.at").alias("other_at")) for k in range(HUBS)]))
+    star = shared.select("node", "n", "at", hub.alias("h")).where((F.col("node") != F.col("h.other")) & fit(F.col("n"), F.col("at"), F.col("h.other_n"), F.col("h.other_at")))
+    first = written(star.select(F.least("node", "h.other").alias("a"), F.greatest("node", "h.other").alias("b")).distinct(), "pairs")
+
+    def sets_of(pairs: DataFrame) -> DataFrame:
+        met = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+        return rows.join(met, "node", "left_semi").join(nodes, ["node", "key"], "left_semi").dropDuplicates(["node", "key"])
+
+    links_ = written(similar_pairs(first, written(sets_of(first), "sets"), similarity), "links")
+    pieces = components(links_)
+    named = shared.select("token", "node", "n", "at").join(pieces, "node", "left").select("token", "node", "n", "at", F.coalesce("component", "node").alias("piece"))
+    named = written(named, "named")
+    mixed = named.groupBy("token").agg(F.min("piece").alias("low"), F.max("piece").alias("high")).where("low < high").select("token")
+    named = named.join(mixed, "token", "left_semi")
+    other = named.select("token", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("at").alias("at_b"), F.col("piece").alias("other"))
+    rest = named.join(other, "token").where((F.col("node") < F.col("b")) & (F.col("piece") != F.col("other")) & fit(F.col("n"), F.col("at"), F.col("nb"), F.col("at_b")))
+    rest = rest.select(F.col("node").alias("a"), "b").distinct().join(first, ["a", "b"], "left_anti")
+    second = written(rest, "pairs")
+    found = components(links_.unionByName(similar_pairs(second, written(sets_of(second), "sets"), similarity)))
+    labels = nodes.join(found, "node", "left").select("key", F.coalesce("component", "node").alias("component_id"))
+    out = rows.select(id_column, "key").join(labels, "key", "left").select(id_column, "component_id")
+    return out.unionByName(df.where(F.col(id_column).isNull()).select(id_column, F.lit(None).cast("long").alias("component_id")))
