@@ -131,3 +131,17 @@ def test_chains_and_one_prefix_shared_by_many(spark):
             text[at * 5] = f"e{at}"
         rows.append((k, " ".join(text)))
     assert components_of(spark, rows) == exact(rows)
+
+
+def test_repeats_of_passages_leave_similarity_as_it_is(spark):
+    rng = np.random.default_rng(5)
+    rows = []
+    for k in range(20):  # a passage repeated 20 times more adds four shingles to a hundred; once and 20 times more have equal sets
+        words = [f"w{x}" for x in rng.integers(0, 10**6, 104)]
+        rows += [(3 * k, " ".join(words)), (3 * k + 1, " ".join(words + words[:54] + words[:4])), (3 * k + 2, " ".join(words + words[:54] * 20))]
+    expected = exact(rows)
+    assert expected == {k: k - k % 3 for k in range(60)}
+    assert components_of(spark, rows) == expected
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    prints = {r.doc_id: (r.lanes, r.n_shingles) for r in simhash.fingerprints(df, words=5, lanes=4).collect()}
+    assert all(prints[k] == prints[k + 1] for k in range(1, 60, 3))

@@ -66,15 +66,19 @@ def majority(h: np.ndarray) -> int:
 
 
 def fingerprints(df: DataFrame, id_column: str = "doc_id", text_column: str = "text", words: int = 4, lanes: int = 1) -> DataFrame:
-    """id_column, lanes array<long> (64 bits each), n_shingles long (distinct ones) of each whole text; a null text is empty."""
+    """id_column, lanes array<long> (64 bits each), n_shingles long of each whole text; a null text is empty.
+
+    One lane counts shingles with their repeats. More lanes estimate the similarity of sets, so they and n_shingles are over distinct ones.
+    """
     kind = dict(df.dtypes)[id_column]
 
     def work(columns: list[list]) -> Iterator[list]:
         prints, sizes = [], []
         for text in columns[1]:
             h = shingle_hashes(text, words)
+            h = np.unique(h) if lanes > 1 else h
             prints.append(np.array([majority(_mix(h, k)) for k in range(lanes)], dtype=np.uint64).view(np.int64).tolist())
-            sizes.append(len(np.unique(h)) if lanes > 1 else len(h))
+            sizes.append(len(h))
         yield [columns[0], prints, sizes]
 
     source = df.select(F.col(id_column), text_or_empty(text_column).alias("__text"))
