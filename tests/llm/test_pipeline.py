@@ -1,5 +1,7 @@
 """The stages of the pipeline, each on its own input."""
 
+import random
+
 import sentencepiece as library
 import public_tokenizers
 
@@ -79,3 +81,20 @@ def test_rows_of_one_id_with_different_texts_stay(spark):
     rows = [(5, "some words of one kind are here now", "en", "s", 1), (5, "and quite different things are said in this", "en", "s", 1), (5, "and quite different things are said in this", "en", "s", 1)]
     docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars bigint")
     assert c.near_duplicate_stage(spark, docs, DATA).count() == 2
+
+
+def test_gibberish_and_unlisted_languages_go_and_clean_documents_stay(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    rng = random.Random(1)
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    bad = [" ".join("".join(rng.choice(letters) for _ in range(rng.randint(2, 9))) for _ in range(n)) for n in (8, 30, 200, 1000)]
+    bad += [" ".join(f"{rng.getrandbits(32):x}" for _ in range(n)) for n in (10, 100, 600)]
+    polish = "Wszyscy ludzie rodzą się wolni i równi pod względem swej godności i swych praw. Są oni obdarzeni rozumem i sumieniem i powinni postępować wobec innych w duchu braterstwa."
+    finnish = "Kaikki ihmiset syntyvät vapaina ja tasavertaisina arvoltaan ja oikeuksiltaan. Heille on annettu järki ja omatunto, ja heidän on toimittava toisiaan kohtaan veljeyden hengessä."
+    turkish = "Bütün insanlar hür, haysiyet ve haklar bakımından eşit doğarlar. Akıl ve vicdana sahiptirler ve birbirlerine karşı kardeşlik zihniyeti ile hareket etmelidirler."
+    bad += [polish, finnish, turkish]
+    extra = spark.createDataFrame([(10**6 + k, t, None, "s", len(t)) for k, t in enumerate(bad)], docs.schema)
+    kept = {r.doc_id for r in c.language_stage(spark, docs.unionByName(extra), "").collect()}
+    clean = {r.doc_id for r in docs.collect()}
+    assert clean - kept == set()
+    assert {k for k in kept if k >= 10**6} == set()
