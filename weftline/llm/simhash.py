@@ -28,7 +28,7 @@ SEED = 42
 SAMPLE = 5000
 COMMON = 5
 MOST_COMMON = 200_000
-HUBS = 4
+HUBS = 2
 
 
 def shingle_hashes(text: str, words: int) -> np.ndarray:
@@ -288,32 +288,37 @@ def shingle_sets(df: DataFrame, id_column: str, text_column: str, words: int) ->
     return map_batches(source, [id_column, "__text"], work, f"`{id_column}` {kind}, key binary, n bigint, shingles array<bigint>")
 
 
-def common_shingles(sets: DataFrame) -> list[int]:
-    """Shingles that at least ``COMMON`` sets of a sample of some ``SAMPLE`` hold, at most ``MOST_COMMON`` of them.
+def common_shingles(df: DataFrame, id_column: str, text_column: str, words: int) -> list[int]:
+    """Shingles that at least ``COMMON`` documents of a sample of some ``SAMPLE`` hold, at most ``MOST_COMMON`` of them.
 
     They only go to the end of the order of shingles. Any order finds the same pairs; this one makes fewer candidates.
     """
-    step = max(1, sets.count() // SAMPLE)
-    tokens = sets.where(F.pmod(F.xxhash64("node"), F.lit(step)) == 0).select(F.explode("shingles").alias("token"))
+    step = max(1, df.count() // SAMPLE)
+    sample = df.where(F.pmod(F.xxhash64(id_column), F.lit(step)) == 0)
+    tokens = shingle_sets(sample, id_column, text_column, words).select(F.explode("shingles").alias("token"))
     counts = tokens.groupBy("token").count().where(F.col("count") >= COMMON)
     return [r.token for r in counts.orderBy(F.desc("count"), "token").limit(MOST_COMMON).collect()]
 
 
-def prefixes(sets: DataFrame, similarity: float) -> DataFrame:
-    """node, key, n, tokens: the shingles of each set's prefix, rare ones first."""
-    late = sets.sparkSession.sparkContext.broadcast(np.sort(np.array(common_shingles(sets), dtype=np.int64)))
+def prefixes(df: DataFrame, id_column: str, text_column: str, words: int, similarity: float) -> DataFrame:
+    """id_column, key and n of ``shingle_sets``, tokens: the shingles of each set's prefix, rare ones first."""
+    kind = dict(df.dtypes)[id_column]
+    late = df.sparkSession.sparkContext.broadcast(np.sort(np.array(common_shingles(df, id_column, text_column, words), dtype=np.int64)))
 
     def work(columns: list[list]) -> Iterator[list]:
-        common, out = late.value, []
-        for shingles in columns[3]:
-            h = np.array(shingles, dtype=np.int64)
+        common, keys, sizes, out = late.value, [], [], []
+        for text in columns[1]:
+            h = np.unique(shingle_hashes(text, words)).view(np.int64)
+            keys.append(xxhash.xxh3_128_digest(h.tobytes()))
+            sizes.append(len(h))
             if len(common) and len(h):
                 rare = common[np.minimum(np.searchsorted(common, h), len(common) - 1)] != h
                 h = np.concatenate([h[rare], h[~rare]])
             out.append(h[: prefix_length(len(h), similarity)])
-        yield [*columns[:3], out]
+        yield [columns[0], keys, sizes, out]
 
-    return map_batches(sets, ["node", "key", "n", "shingles"], work, "node bigint, key binary, n bigint, tokens array<bigint>")
+    source = df.select(F.col(id_column), text_or_empty(text_column).alias("__text"))
+    return map_batches(source, [id_column, "__text"], work, f"`{id_column}` {kind}, key binary, n bigint, tokens array<bigint>")
 
 
 def similar_pairs(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
@@ -333,13 +338,16 @@ def near_duplicates(df: DataFrame, id_column: str = "doc_id", text_column: str =
     joined by rows in proportion to it; the second compares all candidates that are in different components by then.
     Rows with a null id get a null component and link nothing.
     """
-    rows = written(shingle_sets(df.where(F.col(id_column).isNotNull()), id_column, text_column, words).withColumn("node", F.col(id_column).cast("long")), "shingles")
+    known = df.where(F.col(id_column).isNotNull())
+    rows = written(prefixes(known, id_column, text_column, words, similarity).withColumn("node", F.col(id_column).cast("long")), "prefixes")
     nodes = written(rows.groupBy("key").agg(F.min("node").alias("node")), "nodes")
-    own = prefixes(rows, similarity).join(nodes, ["node", "key"], "left_semi")
+    own = rows.join(nodes, ["node", "key"], "left_semi")
     tokens = written(own.select("node", "n", F.posexplode("tokens").alias("at", "token")), "tokens")
+    repeated = written(tokens.groupBy("token").count().where("count > 1").select("token"), "repeated")
+    met = written(tokens.join(repeated, "token", "left_semi"), "met")
     place = lambda seed: F.struct(F.xxhash64("node", F.lit(seed)), F.col("node"), F.col("n"), F.col("at"))
-    hubs = tokens.groupBy("token").agg(F.min("node").alias("low"), F.max("node").alias("high"), *[F.min(place(k)).alias(f"hub{k}") for k in range(HUBS)]).where("low < high")
-    shared = written(tokens.join(hubs.drop("low", "high"), "token"), "shared")
+    hubs = met.groupBy("token").agg(*[F.min(place(k)).alias(f"hub{k}") for k in range(HUBS)])
+    shared = met.join(hubs, "token")
     # Of a pair's common shingles one is first in the order: all of them lie from its places on, at least so many.
     fit = lambda a, at, b, other_at: F.least(a - at, b - other_at) >= similarity / (1 + similarity) * (a + b) - 1e-6
 
@@ -348,12 +356,15 @@ def near_duplicates(df: DataFrame, id_column: str = "doc_id", text_column: str =
     first = written(star.select(F.least("node", "h.other").alias("a"), F.greatest("node", "h.other").alias("b")).distinct(), "pairs")
 
     def sets_of(pairs: DataFrame) -> DataFrame:
-        met = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-        return rows.join(met, "node", "left_semi").join(nodes, ["node", "key"], "left_semi").dropDuplicates(["node", "key"])
+        """The sets of the nodes in pairs, made from their texts again: most documents are in none."""
+        ids = written(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "met")
+        found = shingle_sets(known.join(ids, F.col(id_column).cast("long") == ids.node, "left_semi"), id_column, text_column, words)
+        found = found.withColumn("node", F.col(id_column).cast("long")).join(nodes, ["node", "key"], "left_semi")
+        return found.dropDuplicates(["node", "key"])
 
     links_ = written(similar_pairs(first, written(sets_of(first), "sets"), similarity), "links")
     pieces = components(links_)
-    named = shared.select("token", "node", "n", "at").join(pieces, "node", "left").select("token", "node", "n", "at", F.coalesce("component", "node").alias("piece"))
+    named = met.join(pieces, "node", "left").select("token", "node", "n", "at", F.coalesce("component", "node").alias("piece"))
     named = written(named, "named")
     mixed = named.groupBy("token").agg(F.min("piece").alias("low"), F.max("piece").alias("high")).where("low < high").select("token")
     named = named.join(mixed, "token", "left_semi")
