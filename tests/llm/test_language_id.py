@@ -1,6 +1,8 @@
 """Language identification: accuracy on held-out documents, the distance by hand, rows of all kinds."""
 
+import unicodedata
 import zlib
+from collections import Counter
 
 from weftline.llm import language_id as l
 from weftline.llm.queries import op9_language_id
@@ -44,3 +46,34 @@ def test_distance(spark):
     assert sorted(str((r.doc_id, r.lang_pred, round(r.score, 9))) for r in found) == sorted(str((k, *(round(x, 9) if isinstance(x, float) else x for x in brute(t, profiles, 30)))) for k, t in texts)
     assert l.predict_languages(asked.limit(0), l.learn_profiles(df)).count() == 0
     assert {r.lang_pred for r in l.predict_languages(asked, l.learn_profiles(df.limit(0))).collect()} == {"und"}
+
+
+def test_numbers_are_no_letters(spark):
+    profiles = spark.createDataFrame([("en", "a", 0)], "lang string, gram string, rank int")
+    asked = spark.createDataFrame([(1, "½ ² 3"), (2, "Ⅳ ① ٣"), (3, "ª"), (4, "½a")], "doc_id bigint, text string")
+    found = {r.doc_id: r.lang_pred for r in l.predict_languages(asked, profiles).collect()}
+    assert found == {1: "und", 2: "und", 3: "en", 4: "en"}
+
+
+def test_profiles_are_those_of_a_recount(spark):
+    rows = [(r.text, r.lang) for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()] + [(None, "en"), ("½ only", "xx"), ("a b", None)]
+    counts = {}
+    for text, lang in rows:
+        if text is None or lang is None:
+            continue
+        word = ""
+        for c in text.lower() + " ":
+            if unicodedata.category(c).startswith("L"):
+                word += c
+                continue
+            marked = f"_{word}_" if word else ""
+            for n in (1, 2, 3):
+                for i in range(len(marked) - n + 1):
+                    if marked[i : i + n] != "_":
+                        counts.setdefault(lang, Counter())[marked[i : i + n]] += 1
+            word = ""
+    expected = {(lang, g, k) for lang, c in counts.items() for k, g in enumerate(sorted(c, key=lambda g: (-c[g], g))[:200])}
+    df = spark.createDataFrame([(t, k, 1) for t, k in rows], "text string, lang string, rank int")
+    learned = l.learn_profiles(df, grams=200)
+    assert {tuple(r) for r in learned.collect()} == expected
+    assert "WindowGroupLimit" in learned._jdf.queryExecution().executedPlan().toString()

@@ -3,6 +3,7 @@
 import hashlib
 import random
 
+import numpy as np
 import public_tokenizers
 import sentencepiece as library
 
@@ -53,3 +54,59 @@ def test_character_map_of_nfkc():
         out, starts = chars.apply(text)
         assert out == normaliser.normalize(text)
         assert len(starts) == len(out) + 1 and starts == sorted(starts) and starts[-1] == len(text.encode())
+
+
+def slow_spans(model, text):
+    """Spans piece by piece, as a walk over characters."""
+    normal, starts = model.normalise(text)
+    ids = model.encode_normalised(normal).tolist()
+    if starts is None:
+        starts, at = [0] * bool(model.prefix and normal), 0
+        for c in text:
+            starts.append(at)
+            at += len(c.encode())
+        starts.append(at)
+    out, at, inside = [], 0, 0
+    for i in ids:
+        if i in model.byte_ids:
+            width = len(normal[at].encode())
+            whole = starts[at + 1] - starts[at] == width
+            inside += 1
+            out.append((starts[at] + inside - 1, starts[at] + inside) if whole else (starts[at], starts[at + 1]))
+            if inside == width:
+                at, inside = at + 1, 0
+        else:
+            size = len(model.bytes_of[i].decode())
+            out.append((starts[at], starts[at + size]))
+            at += size
+    return ids, out
+
+
+def test_spans_through_a_character_map_lead_back_to_the_text():
+    """The given model has an empty map, so a model with the map of nmt_nfkc is put together here."""
+    with open(PATH, "rb") as file:
+        model = s.Model(file.read())
+    normaliser = library.SentencePieceNormalizer(rule_name="nmt_nfkc", add_dummy_prefix=False, remove_extra_whitespaces=False, escape_whitespaces=False)
+    spec = next(v for n, v in s._fields(normaliser.serialized_model_proto()) if n == 3)
+    plain = model.map
+    mapped = s.CharacterMap(next(v for n, v in s._fields(spec) if n == 2))
+    rng = random.Random(8)
+    texts = [*AWKWARD, "ﬁne ＡＢＣ １２", "été ½ ㌔", "한글 ﷺ x y", "e\u0301 \u3000 z"]
+    texts += ["".join(rng.choice("abc ﬁ㌔é😀½日 \t") for _ in range(rng.randrange(60))) for _ in range(300)]
+    for model.map in (plain, mapped):
+        for model.squeeze in (False, True):
+            for text in texts:
+                ids, begin, end = model.encode_spans(text)
+                data = text.encode()
+                assert (ids.tolist(), list(zip(begin.tolist(), end.tolist(), strict=True))) == slow_spans(model, text), text
+                # Each span's source, normalised by itself, has the piece; spans go on through the text.
+                assert all(0 <= a <= b <= len(data) for a, b in zip(begin, end, strict=True)) and (np.diff(begin) >= 0).all()
+                if model.map is mapped and not model.squeeze and ids.size and not set(ids.tolist()) & model.byte_ids:
+                    assert begin[0] == 0 and end[-1] == len(data)
+
+
+def test_query_returns_a_digest_of_the_spans(spark, small):
+    found = {r.doc_id: r.spans_xxh64 for r in op5_sentencepiece(spark, small).collect()}
+    rows = s.sentencepiece(spark.read.parquet(f"{small}/documents.parquet"), PATH).selectExpr("doc_id", "xxhash64(piece_start, piece_end) as h", "ids", "piece_end", "piece_start").collect()
+    assert {r.doc_id: r.h for r in rows} == found and len(set(found.values())) > 1
+    assert all(len(r.ids) == len(r.piece_start) == len(r.piece_end) for r in rows)

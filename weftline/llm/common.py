@@ -13,9 +13,15 @@ from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``, or a folder of our own where it is unset (local runs)."""
+    """The folder that driver and executors share: ``spark.checkpoint.dir``.
+
+    Where it is unset, a local session (one machine) gets a temporary folder of its own; on a cluster that is an error.
+    """
     found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("weftline.shared.dir", None)
     if not found:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         found = "file://" + os.path.join(tempfile.gettempdir(), "weftline-shared")
         spark.conf.set("weftline.shared.dir", found)
     return found
@@ -32,10 +38,46 @@ def written(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def delete_path(spark: SparkSession, path: str) -> None:
+    """Deletes a table that nothing reads any more, through the file system of its path."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+#: A key is hot if it has more rows than this part of a shuffle partition's even share.
+HOT = 8
+
+
+def hot_keys(counts: DataFrame, total: int | None = None) -> DataFrame:
+    """key, pieces: the hot keys of ``counts`` (key, n) and into how many pieces of about the same size each is cut.
+
+    With P shuffle partitions a hot key has more than 1 / (8 P) of all rows, so there are fewer than 8 P of them
+    at any size of the data: a bound that allows a broadcast. All pieces together are at most 16 P.
+    """
+    parts = HOT * partitions(counts.sparkSession)
+    total = counts.agg(F.sum("n")).first()[0] if total is None else total
+    piece = max(1, -(-(total or 0) // parts))
+    return counts.where(F.col("n") > piece).select("key", F.ceil(F.col("n") / piece).cast("int").alias("pieces"))
+
+
+def spread_join(big: DataFrame, small: DataFrame, key: str, hot: DataFrame, how: str = "inner") -> DataFrame:
+    """``big`` joined with ``small`` (few rows a key) on ``key``, the rows of hot keys dealt to pieces.
+
+    Rows of ``big`` with a hot key go to a piece by the hash of the row; the rows of ``small`` with it are repeated for
+    each piece. So no task reads more than a piece of a key, at one shuffle of each side. ``hot``: as ``hot_keys`` gives it.
+    """
+    pieces = F.broadcast(hot.select(F.col("key").alias("__hot"), F.col("pieces").alias("__pieces")))
+    dealt = big.join(pieces, big[key] == F.col("__hot"), "left")
+    dealt = dealt.withColumn("__piece", F.when(F.col("__pieces").isNull(), 0).otherwise(F.pmod(F.xxhash64(*[F.col(c) for c in big.columns]), F.col("__pieces")).cast("int"))).drop("__hot", "__pieces")
+    copies = small.join(pieces, small[key] == F.col("__hot"), "left")
+    copies = copies.withColumn("__piece", F.explode(F.sequence(F.lit(0), F.coalesce(F.col("__pieces"), F.lit(1)) - 1))).drop("__hot", "__pieces")
+    return dealt.join(copies, [key, "__piece"], how).drop("__piece")
+
+
 def text_or_empty(column: str = "text") -> Column:
     """A null text counts as empty."""
     return F.coalesce(F.col(column).cast("string"), F.lit(""))

@@ -7,17 +7,18 @@ differences of rank, and the length of the profile for an n-gram that it lacks.
 
 from __future__ import annotations
 
-import re
 from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
+import regex
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from weftline.llm.common import map_batches
 
-WORDS = re.compile(r"[^\W\d_]+")
+#: Words are runs of letters (category L); number characters such as a half or a Roman numeral are none.
+WORDS = regex.compile(r"\p{L}+")
 GRAMS = 400
 #: Languages that a broadcast table of profiles may have.
 MOST_LANGS = 2000
@@ -117,8 +118,9 @@ def learn_profiles(labelled: DataFrame, text_column: str = "text", lang_column:
 
     source = labelled.select(F.col(text_column).cast("string").alias("__text"), F.col(lang_column).cast("string").alias("__lang")).where("__text is not null and __lang is not null")
     counted = map_batches(source, ["__text", "__lang"], work, "lang string, gram string, n bigint").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    # Compared as a row number, so that each task hands on no more than ``grams`` rows of a language.
     first = Window.partitionBy("lang").orderBy(F.desc("n"), "gram")
-    return counted.withColumn("rank", F.row_number().over(first) - 1).where(F.col("rank") < grams).select("lang", "gram", "rank")
+    return counted.withColumn("rank", F.row_number().over(first)).where(F.col("rank") <= grams).select("lang", "gram", (F.col("rank") - 1).alias("rank"))
 
 
 class Profiles:
@@ -153,7 +155,8 @@ _READY: list = []
 def predict_languages(df: DataFrame, profiles: DataFrame, id_column: str = "doc_id", text_column: str = "text", grams: int = GRAMS, keep: tuple[str, ...] = ()) -> DataFrame:
     """Predicts the language of every whole text: id_column, lang_pred, score, then the columns in ``keep``.
 
-    score is 1 less the distance over the largest possible one. A null text, one without a letter, and any text when
+    score is 1 less the distance over the largest possible one. A null text, one without a letter (digits, fractions and
+    numerals are none), and any text when
     there are no profiles gets ``und`` and 0. Ties go to the language that is first in the alphabet. The profiles (at
     most ``grams`` rows a language) are collected and broadcast; rows are not shuffled.
     """

@@ -38,7 +38,7 @@ def op4_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = public_tokenizers.path("piece_bpe_32k.model")
-    return sentencepiece_codec.digests(sentencepiece_codec.sentencepiece(_documents(spark, sf_dir), model, spans=False))
+    return sentencepiece_codec.digests(sentencepiece_codec.sentencepiece(_documents(spark, sf_dir), model))
 
 
 def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,6 +1,6 @@
 """SentencePiece encoding that keeps source offsets, and decoding.
 
-The compiled character map of the model rewrites a text by longest prefix; each normalised character keeps the bytes
+The compiled character map of the model rewrites a text by longest prefix (a model without a map leaves it as it is); each normalised character keeps the bytes
 of the original that it came from, and each piece is projected to an original byte span through that alignment.
 Pieces are found by merging the adjacent pair with the best score, leftmost first.
 
@@ -16,8 +16,9 @@ import heapq
 import re
 import struct
 from collections.abc import Iterator
-from itertools import chain
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -155,8 +156,14 @@ class Model:
         if len(self.byte_ids) != 256 or not self.escape or any(MARK in p.lstrip(MARK) for p in self.id):
             raise ValueError("needs byte fallback, escaped spaces and pieces with marks in front only")
         self.map = CharacterMap(charsmap)
-        self.cache: dict[str, tuple[int, ...]] = {}
-        self.older: dict[str, tuple[int, ...]] = {}
+        #: Of each piece: the normalised characters that it stands for, and whether it is a byte that begins (1) or continues (2) one.
+        self.advance = np.array([len(b.decode(errors="replace")) for b in self.bytes_of], np.int64)
+        self.kind = np.zeros(len(self.bytes_of), np.int8)
+        for value, i in enumerate(self.byte_id):
+            self.kind[i] = 2 if 0x80 <= value < 0xC0 else 1
+            self.advance[i] = self.kind[i] == 1
+        self.cache: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
     def normalise(self, text: str) -> tuple[str, list[int] | None]:
         """Normalised text, and for each of its characters the start of its source in bytes, with the end last (None: a character per character, behind the added mark)."""
@@ -226,7 +233,8 @@ class Model:
                     out.append(found)
         return tuple(out)
 
-    def encode_normalised(self, text: str) -> list[int]:
+    def encode_normalised(self, text: str) -> np.ndarray:
+        """Ids (int32) of a normalised text. Each chunk's ids are kept as bytes, so that a text is one join of them."""
         chunks = CHUNKS.findall(text)
         found = list(map(self.cache.get, chunks))
         if None in found:
@@ -236,39 +244,45 @@ class Model:
             for i, ids in enumerate(found):
                 if ids is None:
                     c = chunks[i]
-                    found[i] = ids = cache.get(c) or older.get(c) or self.pieces(c)
+                    found[i] = ids = cache.get(c) or older.get(c) or np.array(self.pieces(c), "<i4").tobytes()
                     if len(c) <= 64:
                         cache[c] = ids
-        return list(chain.from_iterable(found))
+        return np.frombuffer(b"".join(found), "<i4")
 
     def encode(self, text: str) -> list[int]:
-        return self.encode_normalised(self.normalise(text)[0])
+        return self.encode_normalised(self.normalise(text)[0]).tolist()
 
-    def encode_spans(self, text: str) -> tuple[list[int], list[int], list[int]]:
-        """Ids, and the start and end of each piece in the UTF-8 bytes of ``text``."""
+    def encode_spans(self, text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids, and the start and end of each piece in the UTF-8 bytes of ``text`` (int32).
+
+        Every piece but a byte piece stands for so many normalised characters; a byte piece that begins a character
+        stands for it and those that continue it for none. Running sums give the characters, and the alignment their bytes.
+        """
         normal, starts = self.normalise(text)
         ids = self.encode_normalised(normal)
+        codes = np.frombuffer(normal.encode("utf-32-le"), "<u4")
+        width = 1 + (codes > 0x7F).astype(np.int32) + (codes > 0x7FF) + (codes > 0xFFFF)
         if starts is None:
-            starts, at = [0] * bool(self.prefix and normal), 0
-            for c in text:
-                starts.append(at)
-                at += len(c.encode())
-            starts.append(at)
-        begin, end, at, inside = [], [], 0, 0
-        for i in ids:
-            if i in self.byte_ids:
-                width = len(normal[at].encode())
-                whole = starts[at + 1] - starts[at] == width
-                begin.append(starts[at] + inside if whole else starts[at])
-                inside += 1
-                end.append(starts[at] + inside if whole else starts[at + 1])
-                if inside == width:
-                    at, inside = at + 1, 0
-            else:
-                size = len(self.bytes_of[i].decode())
-                begin.append(starts[at])
-                end.append(starts[at + size])
-                at += size
+            # Unchanged but for blanks, which became marks (three bytes for one), and the added mark in front.
+            plain = np.frombuffer(text.encode("utf-32-le"), "<u4")
+            source = 1 + (plain > 0x7F).astype(np.int32) + (plain > 0x7FF) + (plain > 0xFFFF)
+            at = np.zeros(len(codes) + 1, np.int32)
+            np.cumsum(source, out=at[len(at) - len(source) :])
+        else:
+            at = np.array(starts, np.int32)
+        end_char = np.cumsum(self.advance[ids], dtype=np.int64)
+        begins = self.kind[ids]  # 0: whole characters, 1: the first byte of one, 2: a further byte
+        first = end_char - np.maximum(self.advance[ids], begins == 2)
+        begin, end = at[first], at[end_char]
+        bytes_ = np.flatnonzero(begins)
+        if len(bytes_):
+            char = first[bytes_]
+            # The byte's place in its character; bytes are told apart only where source and character have the same width.
+            opens = np.flatnonzero(begins[bytes_] == 1)
+            inside = np.arange(len(bytes_)) - opens[np.cumsum(begins[bytes_] == 1) - 1]
+            whole = at[char + 1] - at[char] == width[char]
+            begin[bytes_] = np.where(whole, at[char] + inside, at[char])
+            end[bytes_] = np.where(whole, at[char] + inside + 1, at[char + 1])
         return ids, begin, end
 
     def decode(self, ids: list[int]) -> str:
@@ -285,6 +299,11 @@ class Model:
             return data.decode(errors="each_byte")
 
 
+def _lists(rows: list[np.ndarray]) -> pa.Array:
+    ends = np.cumsum([0, *map(len, rows)])
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate([np.zeros(0, np.int32), *rows])))
+
+
 _MODELS: dict[int, Model] = {}
 
 
@@ -314,10 +333,11 @@ def sentencepiece(df: DataFrame, model_path: str, id_column: str = "doc_id", tex
             keys, texts = (c[at : at + 500] for c in columns)
             if spans:
                 rows = [model.encode_spans(t) for t in texts]
-                ids, starts, ends = ([r[k] for r in rows] for k in range(3))
+                ids, starts, ends = (_lists([r[k] for r in rows]) for k in range(3))
             else:
-                ids, starts, ends = [model.encode(t) for t in texts], [None] * len(texts), [None] * len(texts)
-            yield [keys, ids, starts, ends, [model.decode(x) for x in ids]]
+                rows = [(model.encode_normalised(model.normalise(t)[0]),) for t in texts]
+                ids, starts, ends = _lists([r[0] for r in rows]), [None] * len(texts), [None] * len(texts)
+            yield [keys, ids, starts, ends, [model.decode(r[0].tolist()) for r in rows]]
 
     source = df.select(F.col(id_column), text_or_empty(text_column).alias("__text"))
     kind = dict(source.dtypes)[id_column]
@@ -325,10 +345,11 @@ def sentencepiece(df: DataFrame, model_path: str, id_column: str = "doc_id", tex
 
 
 def digests(encoded: DataFrame) -> DataFrame:
-    """n_tokens, ids_sha256 and decoded_sha256 of ``sentencepiece`` rows, in JVM expressions."""
+    """n_tokens, ids_sha256, decoded_sha256 and spans_xxh64 (of the starts and ends of all pieces) of ``sentencepiece`` rows, in JVM expressions."""
     return encoded.select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),
         F.sha2(F.concat_ws(",", F.col("ids").cast("array<string>")), 256).alias("ids_sha256"),
         F.sha2(F.col("decoded"), 256).alias("decoded_sha256"),
+        F.xxhash64("piece_start", "piece_end").alias("spans_xxh64"),
     )
