@@ -58,3 +58,64 @@ def test_awkward_rows(spark):
     assert [r.text for r in found if r.doc_id == 1] == [None]
     assert len({r.text for r in found if r.doc_id in (4, None)}) == 1
     assert pii.pii_pseudonyms(df.limit(0), "k").count() == 0
+
+
+def values(rng):
+    """A random value of each kind and way of writing."""
+    d = lambda n: "".join(rng.choice("0123456789") for _ in range(n))
+    day = f"{rng.randrange(1, 2100):04d}-{rng.randrange(1, 13):02d}-{rng.randrange(1, 29):02d}".split("-")
+    number = rng.choice("3456") + d(14)
+    card = number + next(c for c in "0123456789" if pii.luhn_ok(number + c))
+    body = "WEST" + d(14)
+    iban = f"GB{98 - pii._iban_mod('GB00' + body):02d}{body}"
+    hexa = "".join(rng.choice("0123456789abcdef") for _ in range(40))
+    yield from (("date", "-".join(day)), ("date", ".".join(reversed(day))), ("date", f"{int(day[2])}/{int(day[1])}/{day[0]}"), ("date", f"{day[1]}/{rng.randrange(13, 29)}/{day[0]}"))
+    yield from (("card", card), ("card", " ".join(card[i : i + 4] for i in range(0, 16, 4))), ("iban", iban), ("ssn", f"{rng.randrange(1, 666):03d}-{rng.randrange(1, 100):02d}-{rng.randrange(1, 10000):04d}"))
+    yield from (("phone", f"+1 ({rng.randrange(200, 1000)}) {rng.randrange(200, 1000)}-{d(4)}"), ("phone", f"{rng.randrange(200, 1000)}-{rng.randrange(200, 1000)}-{d(4)}"), ("phone", f"+49 30 {d(4)} {d(4)}"))
+    yield from (("secret", hexa), ("secret", hexa.upper()), ("secret", "AKIA" + "".join(rng.choice("ABC123") for _ in range(16))), ("secret", "ghp_" + hexa[:36]), ("secret", "sk-" + hexa[:30]))
+    yield from (("email", f"Jo.{hexa[:5]}{d(2)}@example.org"), ("ipv4", ".".join(str(rng.randrange(256)) for _ in range(4))))
+
+
+def test_every_value_is_found_keeps_its_shape_and_leads_back():
+    rng = random.Random(9)
+    shape = lambda v: re.sub("[a-z]", "a", re.sub("[A-Z]", "A", re.sub(r"\d", "9", v)))
+    for _ in range(150):
+        for kind, value in values(rng):
+            text = f"Here = {value} is it"
+            new, spans = pii.pseudonymise(text, KEY)
+            assert spans == [(7, 7 + len(value), kind)], value
+            got = new[7 : len(new) - 6]
+            assert pii.pseudonym(kind, got, KEY, True) == value
+            assert pii.pseudonymise(f"x: {value}", KEY)[0] == f"x: {got}"
+            if kind == "secret":
+                assert len(got) == len(value) and (got.isupper(), got.islower()) == (value.isupper(), value.islower())
+            elif kind != "ipv4":
+                assert shape(got) == shape(value)
+            assert pii.pseudonymise(f"Here = {got} is it", KEY)[1][0][2] == kind  # valid in its format again
+
+
+def test_documents_against_a_plain_search(spark, small):
+    """Spans are those of a plain loop over all finders and values, and the pseudonyms lead back to the whole text."""
+    texts = {r.doc_id: r.text for r in spark.read.parquet(f"{small}/documents.parquet").collect()}
+    for r in pii.pii_pseudonyms(spark.read.parquet(f"{small}/documents.parquet"), "k").collect():
+        text, taken, expected = texts[r.doc_id], set(), []
+        for kind in pii.KINDS:
+            for m in pii.FINDERS[kind].finditer(text):
+                if not taken & set(range(*m.span())) and pii.MAKERS[kind](m[0], KEY, False) is not None:
+                    taken |= set(range(*m.span()))
+                    expected.append((m.start(), m.end(), kind))
+        assert [(x.start, x.end, x.kind) for x in r.spans] == sorted(expected) and r.n_pii == len(expected)
+        at = shift = 0
+        for x in r.spans:
+            new = pii.pseudonym(x.kind, text[x.start : x.end], KEY)
+            assert r.text[x.start + shift : x.start + shift + len(new)] == new and pii.pseudonym(x.kind, new, KEY, True) == text[x.start : x.end]
+            assert r.text[at + shift : x.start + shift] == text[at : x.start]
+            at, shift = x.end, shift + len(new) - (x.end - x.start)
+        assert r.text[at + shift :] == text[at:]
+
+
+def test_times_other_eras_and_case():
+    for text in ("2001-02-03T10:00:00Z", "on 1899-05-05.", "1/2/2020", "12/31/2020", "token=04DBEBAB91AB85687D33EEAAF9AC6990"):
+        new, spans = pii.pseudonymise(text, KEY)
+        assert len(spans) == 1 and len(new) == len(text) and new != text
+        assert new.upper() == new or not text.startswith("token") or new[6:].isupper()
