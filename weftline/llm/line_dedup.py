@@ -6,7 +6,8 @@ that stood before (in a document with a smaller id, or earlier in the same one)
 compared with those of the first one.
 
 Chunks are first counted by hash alone; only chunks whose hash repeats travel with their bytes, and grouping by these
-bytes is the comparison. All counts are pre-aggregated in each task, so a chunk of a third of all documents costs a row a task.
+bytes is the comparison. All counts are pre-aggregated in each task, so a chunk of a third of all documents costs a row a
+task there, and the two joins that lead from chunks back to their places deal the rows of such a chunk to many tasks.
 """
 
 from __future__ import annotations
@@ -17,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftline.llm.common import map_batches
+from weftline.llm.common import hot_keys, map_batches, spread_join, written
 
 WINDOW = 2
 MASK = 3  # a boundary after a line with a probability of 1 / (MASK + 1)
@@ -54,6 +55,12 @@ def line_runs(text: str) -> list[tuple[int, int]]:
     return sorted(out)
 
 
+def signed_hash(data: bytes) -> int:
+    """What ``xxhash64`` of Spark gives for these bytes."""
+    h = xxhash.xxh64_intdigest(data, 42)
+    return h - (h >> 63 << 64)
+
+
 def _chunk_bytes(lines: list[str], a: int, b: int) -> bytes:
     return "\n".join(lines[a:b]).encode("utf-8", "surrogatepass")
 
@@ -79,14 +86,16 @@ def line_dedup(df: DataFrame, id_column: str = "doc_id", text_column: str = "tex
             lines = text.split("\n")
             for k, (a, b) in enumerate(cut(text)):
                 if b - a >= LEAST_LINES and any(c.isalnum() for line in lines[a:b] for c in line):
-                    for column, value in zip(out, (key, doc_, k, xxhash.xxh64_intdigest(_chunk_bytes(lines, a, b)) - (1 << 63)), strict=True):
+                    for column, value in zip(out, (key, doc_, k, signed_hash(_chunk_bytes(lines, a, b))), strict=True):
                         column.append(value)
         yield list(out)
 
     found = map_batches(rows.select("__key", "__doc", "__text"), ["__key", "__doc", "__text"], hashed, "key bigint, doc bigint, first int, hash bigint")
     # A hash repeats if it stands at two places; min and max need one row a task and hash.
-    repeated = found.groupBy("hash").agg(F.min(place).alias("low"), F.max(place).alias("high")).where("low < high").select("hash")
-    where = found.join(repeated, "hash").groupBy("key", "doc").agg(F.array_sort(F.collect_set("first")).alias("firsts"))
+    repeated = found.groupBy("hash").agg(F.min(place).alias("low"), F.max(place).alias("high"), F.count("*").alias("n")).where("low < high").select("hash", "n")
+    repeated = written(repeated, "repeated")
+    hot = hot_keys(repeated.select(F.col("hash").alias("key"), "n"))
+    where = spread_join(found, repeated.select("hash"), "hash", hot).groupBy("key", "doc").agg(F.array_sort(F.collect_set("first")).alias("firsts"))
 
     def with_bytes(columns: list[list]) -> Iterator[list]:
         out: tuple[list, ...] = ([], [], [], [])
@@ -102,7 +111,10 @@ def line_dedup(df: DataFrame, id_column: str = "doc_id", text_column: str = "tex
     texts = dealt.join(where.alias("w"), meets("w")).select("__key", "__doc", "__text", "firsts")
     compared = map_batches(texts, ["__key", "__doc", "__text", "firsts"], with_bytes, "key bigint, doc bigint, first int, chunk binary")
     least = compared.groupBy("chunk").agg(F.min(place).alias("low"))
-    gone = compared.join(least, "chunk").where(place > F.col("low")).groupBy("key", "doc").agg(F.collect_set("first").alias("gone"))
+    # Hot chunks are told by their hash, whose counts are known; the join compares the bytes as well.
+    compared, least = (d.withColumn("hash", F.xxhash64("chunk")) for d in (compared, least))
+    found_again = spread_join(compared, least.withColumnRenamed("chunk", "same"), "hash", hot).where("chunk = same")
+    gone = found_again.where(place > F.col("low")).groupBy("key", "doc").agg(F.collect_set("first").alias("gone"))
 
     def kept(columns: list[list]) -> Iterator[list]:
         keys, texts_, gones, *rest = columns
