@@ -145,3 +145,33 @@ def test_repeats_of_passages_leave_similarity_as_it_is(spark):
     df = spark.createDataFrame(rows, "doc_id bigint, text string")
     prints = {r.doc_id: (r.lanes, r.n_shingles) for r in simhash.fingerprints(df, words=5, lanes=4).collect()}
     assert all(prints[k] == prints[k + 1] for k in range(1, 60, 3))
+
+
+def test_tiles_are_skipped_by_population_count(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").collect()
+    prints = np.unique(np.array([simhash.majority(simhash.shingle_hashes(r.text or "", 4)) for r in docs], np.uint64))
+    rng = np.random.default_rng(6)
+    prints = np.unique(np.concatenate([prints, np.bitwise_xor.outer(prints, np.uint64(1) << rng.integers(0, 64, 4).astype(np.uint64)).ravel()]))
+    tally = [0, 0]
+    roots = simhash.tile_links(prints[:, None], np.zeros(len(prints), np.int64), False, 4, None, 0.0, tally)
+    assert tally[0] == (n := -(-len(prints) // simhash.TILE)) * (n + 1) // 2 and tally[1] >= 0.2 * tally[0]
+    links = [(i, j) for i in range(0, len(prints), 7) for j in range(len(prints)) if (int(prints[i]) ^ int(prints[j])).bit_count() <= 4]
+    assert len(links) > 500 and all(roots[i] == roots[j] for i, j in links)
+
+
+def test_bands_lose_no_pair(spark, monkeypatch):
+    rng = np.random.default_rng(7)
+    base = rng.integers(0, 1 << 63, 60)
+    flip = lambda b, k: int(b) ^ sum(1 << int(i) for i in rng.choice(63, k, replace=False))
+    prints = [p for b in base for p in (int(b), flip(b, 4), flip(b, 3), flip(b, 9))]
+    df = spark.createDataFrame([(i, [p], 1) for i, p in enumerate(prints)], "doc_id bigint, lanes array<bigint>, n_shingles bigint")
+    one = sorted(map(str, simhash.near_components(df, "doc_id", 4).collect()))
+    for rows in (1, 40):
+        monkeypatch.setattr(simhash, "ROWS", rows)
+        assert sorted(map(str, simhash.near_components(df, "doc_id", 4).collect())) == one
+
+
+def test_a_fingerprint_of_a_third_of_all_rows(spark):
+    rows = [(k, "" if k % 3 else f"text number {k} of some words") for k in range(600)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    assert sorted(tuple(r) for r in simhash.simhash_components(df).collect()) == brute(rows)

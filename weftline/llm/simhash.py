@@ -1,9 +1,11 @@
 """SimHash near-duplicates: tiled exact comparison of fingerprints.
 
 Fingerprints are sorted by population count and cut into tiles; two tiles are compared by one numpy exclusive-or and bit
-count, and skipped where their population counts lie further apart than the radius. Which fingerprints meet is settled
-beforehand without loss (see ``band_buckets`` and ``size_buckets``), and a bucket that is too large for one task is cut
-into parts whose pairs are tasks of their own. A tile hands on the links of a spanning forest, never all pairs.
+count, and skipped where their population counts lie further apart than the radius. A table of up to ``ROWS`` distinct
+fingerprints is one set of tiles. A larger one is first dealt to buckets of about so many, without loss (see
+``band_buckets`` and ``size_buckets``), so that the tile pairs don't grow as the square of the table; the tiles and their
+skipping do all comparing within a bucket. A bucket that is too large for one task is cut into parts whose pairs are tasks
+of their own. A tile hands on the links of a spanning forest, never all pairs.
 """
 
 from __future__ import annotations
@@ -18,10 +20,11 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from weftline.llm.common import map_batches, partitions, text_or_empty, written
+from weftline.llm.common import HOT, hot_keys, map_batches, partitions, spread_join, text_or_empty, written
 from weftline.llm.components import components
 
-TILE = 1024
+TILE = 256
+ROWS = 4096
 PART = 40_000
 SEED = 42
 # The order of shingles in prefixes: those of a thousandth of the documents come last.
@@ -106,11 +109,17 @@ def _unite(up: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
     return up
 
 
-def tile_links(prints: np.ndarray, side: np.ndarray, cross: bool, radius: int, sizes: np.ndarray | None, ratio: float) -> np.ndarray:
+def tiles_of(pop: np.ndarray, split: int) -> list[tuple[int, int]]:
+    """Tiles of rows in order of population count, cut at ``split`` and where they are full."""
+    edges = [*range(0, split, TILE), *range(split, len(pop), TILE), len(pop)]
+    return [(a, b) for a, b in zip(edges, edges[1:], strict=False) if b > a]
+
+
+def tile_links(prints: np.ndarray, side: np.ndarray, cross: bool, radius: int, sizes: np.ndarray | None, ratio: float, tally: list[int] | None = None) -> np.ndarray:
     """Root of each row after linking all pairs within ``radius`` bits (prints: rows by lanes).
 
     side: pairs of two 1s are left to another bucket; with ``cross`` only pairs of a 0 and a 1 count. sizes: only pairs
-    whose smaller size is ``ratio`` of the larger at least.
+    whose smaller size is ``ratio`` of the larger at least. tally: is added the pairs of tiles, and those skipped by population count.
     """
     n, lanes = prints.shape
     pop = np.bitwise_count(prints).sum(axis=1, dtype=np.int64)
@@ -119,13 +128,18 @@ def tile_links(prints: np.ndarray, side: np.ndarray, cross: bool, radius: int, s
     sizes = None if sizes is None else sizes[order].astype(np.float64)
     up = np.arange(n)
     split = int((side == 0).sum())
-    edges = [*range(0, split, TILE), *range(split, n, TILE), n]
-    tiles = [(a, b) for a, b in zip(edges, edges[1:], strict=False) if b > a]
+    tiles = tiles_of(pop, split)
     first = [np.ascontiguousarray(prints[:, k]) for k in range(lanes)]
     for x, (a, b) in enumerate(tiles):
         for c, d in tiles[x:]:
             one, two = side[a], side[c]
-            if one and two or cross and one == two or pop[c] - pop[b - 1] > radius or pop[a] - pop[d - 1] > radius:
+            if one and two or cross and one == two:
+                continue
+            if tally is not None:
+                tally[0] += 1
+            if pop[c] - pop[b - 1] > radius or pop[a] - pop[d - 1] > radius:
+                if tally is not None:
+                    tally[1] += 1
                 continue
             if up[a] == up[c] and (up[a:b] == up[a]).all() and (up[c:d] == up[a]).all():
                 continue
@@ -148,15 +162,20 @@ def tile_links(prints: np.ndarray, side: np.ndarray, cross: bool, radius: int, s
 
 
 def band_buckets(nodes: DataFrame, radius: int) -> DataFrame:
-    """Buckets where any two 64-bit fingerprints within the radius meet: of m bands at least m - radius are equal.
+    """Buckets of about ``ROWS`` where any two 64-bit fingerprints within the radius meet: of m bands at least m - radius are equal.
 
-    m grows with the number of fingerprints, so that a bucket of random ones stays small; no choice of m loses a pair.
+    With up to ``ROWS`` fingerprints there is one bucket. Beyond that a bucket's key is so many bits of the equal bands as
+    deal random fingerprints to buckets of that size; when all bits are used, m grows. No choice loses a pair.
     """
     n = nodes.count()
-    m = next((m for m in range(radius + 1, radius + 5) if n < 4096 << (64 // m) * (m - radius)), radius + 4)
-    cuts = [round(64 * k / m) for k in range(m + 1)]
+    if n <= ROWS:
+        return nodes.select("node", "lanes", "n_shingles", F.lit(0).cast("long").alias("bucket"), F.lit(0).alias("side"))
+    bits = math.ceil(math.log2(n / ROWS))
+    m = next((m for m in range(radius + 1, radius + 5) if 64 // m * (m - radius) >= bits), radius + 4)
+    each = min(64 // m, -(-bits // (m - radius)))
+    cuts = [round(64 * k / m) for k in range(m)]
     print_ = F.col("lanes")[0]
-    bands = [F.shiftrightunsigned(print_, cuts[k]).bitwiseAND((1 << cuts[k + 1] - cuts[k]) - 1) for k in range(m)]
+    bands = [F.shiftrightunsigned(print_, cut).bitwiseAND((1 << each) - 1) for cut in cuts]
     keys = [F.xxhash64(F.lit(i), *[bands[k] for k in chosen]) for i, chosen in enumerate(combinations(range(m), m - radius))]
     return nodes.select("node", "lanes", "n_shingles", F.explode(F.array(*keys)).alias("bucket"), F.lit(0).alias("side"))
 
@@ -168,13 +187,15 @@ def size_buckets(nodes: DataFrame, ratio: float) -> DataFrame:
     return nodes.select("node", "lanes", "n_shingles", F.inline(both))
 
 
-def _parts(rows: DataFrame, few: bool) -> DataFrame:
+def _parts(rows: DataFrame) -> DataFrame:
     """Rows with their tasks: a bucket of more than ``PART`` rows becomes g parts, and each pair of parts a task.
 
-    ``few``: buckets are steps of a geometric scale, of which there are some hundreds at any size, so their counts are broadcast.
+    Buckets that are cut have more than 1 / (8 P) of all rows as well, with P shuffle partitions: fewer than 8 P of them, whose counts are broadcast.
     """
-    sizes = rows.groupBy("bucket").count().where(F.col("count") > PART)
-    cut = rows.join(F.broadcast(sizes) if few else sizes, "bucket", "left")
+    counts = written(rows.groupBy("bucket").count(), "buckets")
+    total = counts.agg(F.sum("count")).first()[0] or 0
+    large = counts.where(F.col("count") > max(PART, total // (HOT * partitions(rows.sparkSession))))
+    cut = rows.join(F.broadcast(large), "bucket", "left")
     g = F.coalesce(F.ceil(F.col("count") / PART), F.lit(1)).cast("int")
     cut = cut.withColumn("g", g).withColumn("part", F.pmod(F.xxhash64("node"), F.col("g")).cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.col("g") - 1)).alias("other")
@@ -184,7 +205,7 @@ def _parts(rows: DataFrame, few: bool) -> DataFrame:
 
 def links(rows: DataFrame, radius: int, lanes: int, ratio: float = 0.0) -> DataFrame:
     """a, b: a spanning forest of the links within each task of ``rows`` (bucket, node, lanes, n_shingles, side)."""
-    dealt = _parts(rows, ratio > 0).repartition(partitions(rows.sparkSession), "bucket", "low", "high").sortWithinPartitions("bucket", "low", "high")
+    dealt = _parts(rows).repartition(partitions(rows.sparkSession), "bucket", "low", "high").sortWithinPartitions("bucket", "low", "high")
     dealt = dealt.select("bucket", "low", "high", "node", "side", "part", "n_shingles", *[F.col("lanes")[k].alias(f"l{k}") for k in range(lanes)])
 
     def of_task(t: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -245,13 +266,20 @@ def near_components(prints: DataFrame, id_column: str, radius: int, lanes: int =
     node is the smallest id that links reach. Rows with a null id get a null component and link nothing.
     """
     same = ["lanes", "n_shingles"] if ratio else ["lanes"]
-    nodes = prints.where(F.col(id_column).isNotNull()).groupBy(*same).agg(F.min(F.col(id_column).cast("long")).alias("node"), *([] if ratio else [F.max("n_shingles").alias("n_shingles")]))
+    nodes = prints.where(F.col(id_column).isNotNull()).groupBy(*same).agg(F.min(F.col(id_column).cast("long")).alias("node"), F.count("*").alias("copies"), *([] if ratio else [F.max("n_shingles").alias("n_shingles")]))
     nodes = written(nodes, "nodes")
     dealt = size_buckets(nodes, ratio) if ratio else band_buckets(nodes, radius)
     found = components(links(dealt, radius, lanes, ratio))
-    named = nodes.join(found, "node", "left").select(*same, F.coalesce("component", "node").alias("component_id"))
-    out = prints.join(named, same, "left")
-    return out.select(id_column, "lanes", F.when(F.col(id_column).isNotNull(), F.col("component_id")).alias("component_id"))
+    code = F.xxhash64(*same).alias("code")
+    named = nodes.join(found, "node", "left").select(code, *[F.col(c).alias(f"__{c}") for c in same], F.coalesce("component", "node").alias("component_id"))
+    # Rows find their node by the hash of their fingerprint, a common fingerprint's dealt to many tasks, and compare it.
+    hot = hot_keys(nodes.groupBy(code).agg(F.sum("copies").alias("n")).withColumnRenamed("code", "key"))
+    known = prints.where(F.col(id_column).isNotNull()).select(id_column, *same, code)
+    meets = F.lit(True)
+    for c in same:
+        meets = meets & (F.col(c) == F.col(f"__{c}"))
+    out = spread_join(known, named, "code", hot).where(meets).select(id_column, "lanes", "component_id")
+    return out.unionByName(prints.where(F.col(id_column).isNull()).select(id_column, "lanes", F.lit(None).cast("long").alias("component_id")))
 
 
 def hexadecimal(lane: Column) -> Column:
@@ -340,14 +368,16 @@ def near_duplicates(df: DataFrame, id_column: str = "doc_id", text_column: str =
     """
     known = df.where(F.col(id_column).isNotNull())
     rows = written(prefixes(known, id_column, text_column, words, similarity).withColumn("node", F.col(id_column).cast("long")), "prefixes")
-    nodes = written(rows.groupBy("key").agg(F.min("node").alias("node")), "nodes")
+    nodes = written(rows.groupBy("key").agg(F.min("node").alias("node"), F.count("*").alias("copies")), "nodes")
     own = rows.join(nodes, ["node", "key"], "left_semi")
     tokens = written(own.select("node", "n", F.posexplode("tokens").alias("at", "token")), "tokens")
-    repeated = written(tokens.groupBy("token").count().where("count > 1").select("token"), "repeated")
-    met = written(tokens.join(repeated, "token", "left_semi"), "met")
+    repeated = written(tokens.groupBy("token").agg(F.count("*").alias("n")).where("n > 1"), "repeated")
+    # Shingles that many documents share are dealt to many tasks in every join on them.
+    common = written(hot_keys(repeated.select(F.col("token").alias("key"), "n")), "common")
+    met = written(spread_join(tokens, repeated.select("token"), "token", common), "met")
     place = lambda seed: F.struct(F.xxhash64("node", F.lit(seed)), F.col("node"), F.col("n"), F.col("at"))
     hubs = met.groupBy("token").agg(*[F.min(place(k)).alias(f"hub{k}") for k in range(HUBS)])
-    shared = met.join(hubs, "token")
+    shared = spread_join(met, hubs, "token", common)
     # Of a pair's common shingles one is first in the order: all of them lie from its places on, at least so many.
     fit = lambda a, at, b, other_at: F.least(a - at, b - other_at) >= similarity / (1 + similarity) * (a + b) - 1e-6
 
@@ -367,12 +397,14 @@ def near_duplicates(df: DataFrame, id_column: str = "doc_id", text_column: str =
     named = met.join(pieces, "node", "left").select("token", "node", "n", "at", F.coalesce("component", "node").alias("piece"))
     named = written(named, "named")
     mixed = named.groupBy("token").agg(F.min("piece").alias("low"), F.max("piece").alias("high")).where("low < high").select("token")
-    named = named.join(mixed, "token", "left_semi")
+    named = spread_join(named, mixed, "token", common)
     other = named.select("token", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("at").alias("at_b"), F.col("piece").alias("other"))
-    rest = named.join(other, "token").where((F.col("node") < F.col("b")) & (F.col("piece") != F.col("other")) & fit(F.col("n"), F.col("at"), F.col("nb"), F.col("at_b")))
+    rest = spread_join(named, other, "token", common).where((F.col("node") < F.col("b")) & (F.col("piece") != F.col("other")) & fit(F.col("n"), F.col("at"), F.col("nb"), F.col("at_b")))
     rest = rest.select(F.col("node").alias("a"), "b").distinct().join(first, ["a", "b"], "left_anti")
     second = written(rest, "pairs")
     found = components(links_.unionByName(similar_pairs(second, written(sets_of(second), "sets"), similarity)))
-    labels = nodes.join(found, "node", "left").select("key", F.coalesce("component", "node").alias("component_id"))
-    out = rows.select(id_column, "key").join(labels, "key", "left").select(id_column, "component_id")
+    code = F.xxhash64("key").alias("code")
+    labels = nodes.join(found, "node", "left").select(code, F.col("key").alias("__key"), F.coalesce("component", "node").alias("component_id"))
+    hot = hot_keys(nodes.groupBy(code).agg(F.sum("copies").alias("n")).withColumnRenamed("code", "key"))
+    out = spread_join(rows.select(id_column, "key", code), labels, "code", hot).where("key = __key").select(id_column, "component_id")
     return out.unionByName(df.where(F.col(id_column).isNull()).select(id_column, F.lit(None).cast("long").alias("component_id")))
