@@ -56,3 +56,30 @@ def test_digit_passes_find_equal_windows():
     for w, i in zip(map(bytes, windows), ids.tolist(), strict=True):
         expected[w] = min(expected.get(w, i), i)
     assert s.repeated_windows(windows, ids).tolist() == [expected[bytes(w)] for w in windows]
+
+
+def test_a_string_between_ever_different_neighbours(spark):
+    """A line that a third of the documents have, each in other words: its windows at the edges are all different, and no task gets all of them."""
+    rng = random.Random(11)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(12))
+    line = " ".join(word() for _ in range(5))[:55]
+    rows = [(k, f"{word()}{word()} {line}{word()} {word()}" if k % 3 == 0 else " ".join(word() for _ in range(12))) for k in range(400)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    expected = brute(rows)
+    find = lambda: sorted((tuple(r) for r in s.digest_columns(s.remove_repeats(df, buckets=6)).collect()), key=str)
+    assert find() == expected
+    texts = [(k, t.encode()) for k, t in rows]
+    runs, parts, _, number = s._batch_anchors(texts, 50, 6, True)
+    hottest = np.concatenate(parts)[number.argmax()]
+    assert number.max() > 50
+    one = s._Chosen(texts, runs, np.array([hottest]), np.zeros(0, np.uint64), 50, 6)
+    two = s._Chosen(texts, runs, np.array([hottest]), np.array([hottest]), 50, 6)
+    assert len(set(one.hash.tolist())) == 1 and len(set(two.hash.tolist())) > 50 and len(set(two.bucket.tolist())) == 6
+
+
+def test_hot_anchors_change_nothing(spark, small):
+    rows = [(r.doc_id, r.text[:3000]) for r in spark.read.parquet(f"{small}/documents.parquet").collect()]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    for bound in (0, 3):
+        found = sorted((tuple(r) for r in s.digest_columns(s.remove_repeats(df, buckets=4, hot_runs=bound)).collect()), key=str)
+        assert found == brute(rows)
