@@ -1,11 +1,12 @@
 """Benchmark decontamination: a BM25 inverted index of the test items, queried by every training passage.
 
 Postings hold the BM25 weight of a term in an item as a share of the item's own total, so one threshold serves items of
-any length. Items lie in blocks, and for each term and block the largest weight is kept. A passage (a window of words, half of it new) is a query of
-its distinct terms. The sums of its terms' block maxima bound what any item of a block can score; a passage with no block that
-reaches the threshold is done. For the others block-max WAND walks the lists in item order, skips what the maxima rule
-out, and returns every item above the threshold. Each hit
-is verified in the document: word trigrams of the question and of the answer must be there.
+any length. Items lie in blocks, and for each term and block the largest weight is kept. A passage (a window of words,
+half of it new) is a query of its distinct terms. Its terms in the most blocks, as long as their largest weights together
+stay under a third of the threshold, can't make a hit alone: only the block lists of the others are walked, for all passages
+of a text at once, and a block whose maxima, with what those terms could add, stay below the threshold is skipped. For a passage
+with a block left, block-max WAND walks the lists in item order and returns every item above the threshold. Each hit is
+verified in the passage that found it: word trigrams of the question and of the answer must be there.
 """
 
 from __future__ import annotations
@@ -17,18 +18,20 @@ from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from weftline.llm.common import map_batches, text_or_empty
+from weftline.llm.common import map_batches, text_or_empty, written
 
 WORDS = re.compile(r"\w+")
 K1, B = 1.2, 0.75
 BLOCK = 2
-#: A term in more blocks than this counts with its largest weight everywhere when passages are ruled out.
-WIDE = 64
+#: Share of the threshold that a passage's most widespread terms may add without their lists being walked.
+WIDESPREAD = 1 / 3
 #: Words of test items in one broadcast index; more items are taken in blocks of about this size.
 INDEX_WORDS = 2_000_000
+#: Words that one item may have; a longer one is refused.
+ITEM_WORDS = 2_000_000
 THRESHOLD = 0.6
 QUESTION, ANSWER = 0.6, 0.5
 NGRAM = 3
@@ -56,8 +59,8 @@ class Index:
     def __init__(self, items: list[tuple[int, list[str], list[str]]], frequency: dict[str, int], total: int, mean: float) -> None:
         """items: id, question words, answer words; frequency: items with the term, of ``total``; mean: words an item has."""
         self.ids = [i[0] for i in items]
-        self.question = [ngrams(i[1]) for i in items]
-        self.answer = [ngrams(i[2]) for i in items]
+        self.question = [i[1] for i in items]
+        self.answer = [i[2] for i in items]
         lists: dict[str, list[tuple[int, float]]] = {}
         for doc, (_, question, answer) in enumerate(items):
             counts = Counter(question + answer)
@@ -79,12 +82,10 @@ class Index:
             for doc, w in zip(docs, weights, strict=True):
                 most[doc // BLOCK] = max(most.get(doc // BLOCK, 0.0), w)
             self.block_most.append(most)
-        # The same for whole documents at once: the blocks of each term in one array, and the terms of too many blocks apart.
-        rows = [m if len(m) <= WIDE else {} for m in self.block_most] + [{}]
-        self.first = np.cumsum([0, *map(len, rows)])
-        self.blocks = np.array([b for m in rows for b in m], np.int64)
-        self.maxima = np.array([w for m in rows for w in m.values()], np.float64)
-        self.wide = np.where(np.diff(self.first) == 0, self.most, 0.0)
+        # The block lists in one array, for whole documents at once.
+        self.first = np.cumsum([0, *map(len, self.block_most)])
+        self.blocks = np.array([b for m in self.block_most for b in m], np.int64)
+        self.maxima = np.array([w for m in self.block_most for w in m.values()], np.float64)
         self.n_blocks = len(items) // BLOCK + 1
         self.longest = max((len(q) + len(a) for _, q, a in items), default=1)
 
@@ -132,75 +133,108 @@ class Index:
         return out
 
     def hopeful(self, terms: np.ndarray, step: int, threshold: float) -> list[int]:
-        """Passages (two steps from each step on) where the block maxima of some block reach the threshold; a term counts once a step."""
+        """Passages (two steps from each step on) with a block whose maxima reach the threshold. The work is in proportion to the block lists walked."""
+        none, size = len(self.docs), len(self.docs) + 1
         steps, out = max(1, -(-len(terms) // step)), []
-        slab = max(2, 2_000_000 // self.n_blocks)
-        for low in range(0, max(1, steps - 1), slab - 1):
-            high = min(low + slab, steps)
-            part = terms[low * step : high * step]
-            pairs = np.unique(np.arange(len(part)) // step * len(self.first) + part)
-            at, term = pairs // len(self.first), pairs % len(self.first)
-            sizes = self.first[term + 1] - self.first[term]
-            where = np.repeat(self.first[term] - np.cumsum(sizes) + sizes, sizes) + np.arange(sizes.sum())
-            cells = np.repeat(at, sizes) * self.n_blocks + self.blocks[where]
-            bound = np.bincount(cells, weights=self.maxima[where], minlength=(high - low) * self.n_blocks).reshape(high - low, self.n_blocks).astype(np.float64)
-            bound += np.bincount(at, weights=self.wide[term], minlength=high - low)[:, None]
-            if high - low > 1:
-                bound = bound[:-1] + bound[1:]
-            out += (low + np.flatnonzero(bound.max(axis=1) >= threshold - 1e-6)).tolist()
+        last = max(1, steps - 1)
+        slab = max(1, 200_000 // step)
+        for low in range(0, last, slab):
+            high = min(low + slab, last)
+            place = np.arange(low * step, min((high + 1) * step, len(terms)))
+            at, term = place // step, terms[place]
+            # Each word stands in the passage of its step and in the one before.
+            pairs = np.concatenate([at[at < high] * size + term[at < high], (at[at > low] - 1) * size + term[at > low]]) if steps > 1 else term
+            pairs = np.unique(pairs)
+            pairs = pairs[pairs % size != none]
+            passage, term = pairs // size - low, pairs % size
+            lists = self.first[term + 1] - self.first[term]
+            # The most widespread terms of a passage come first; their largest weights are summed up.
+            order = np.lexsort((-lists, passage))
+            passage, term, lists = passage[order], term[order], lists[order]
+            total = np.cumsum(self.most[term])
+            begins = np.searchsorted(passage, np.arange(high - low + 1))
+            before = np.concatenate([[0.0], total])
+            spread = total - before[begins[passage]] < WIDESPREAD * threshold
+            added = np.bincount(passage[spread], weights=self.most[term[spread]], minlength=high - low)
+            sums = before[begins[1:]] - before[begins[:-1]]
+            walk = ~spread & (sums[passage] >= threshold - 1e-6)
+            passage, term, lists = passage[walk], term[walk], lists[walk]
+            where = np.repeat(self.first[term] - np.cumsum(lists) + lists, lists) + np.arange(lists.sum())
+            cell = np.repeat(passage, lists) * self.n_blocks + self.blocks[where]
+            weights = self.maxima[where]
+            if (high - low) * self.n_blocks <= 4 * len(cell):
+                bound = np.bincount(cell, weights=weights, minlength=1)
+                cells = np.flatnonzero(bound)
+                bound = bound[cells]
+            else:
+                cells, inverse = np.unique(cell, return_inverse=True)
+                bound = np.bincount(inverse, weights=weights)
+            found = cells // self.n_blocks
+            out += (low + np.unique(found[bound + added[found] >= threshold - 1e-6])).tolist()
         return out
 
     def matches(self, text: str, threshold: float, question: float, answer: float) -> list[tuple[int, float, float, float]]:
-        """Item, best score, question and answer overlap of each item that the text holds."""
+        """Item, score, question and answer overlap of each item that a passage of the text holds, as in the passage with the best overlaps."""
         words = words_of(text)
         none = len(self.docs)
         get = self.terms.get
         terms = np.array([get(w, none) for w in words], dtype=np.int64)
         step = max(32, self.longest)
-        best: dict[int, float] = {}
+        best: dict[int, tuple[float, float, float]] = {}
         for a in self.hopeful(terms, step, threshold) if words else []:
             distinct = [t for t in set(terms[a * step : (a + 2) * step].tolist()) if t != none]
-            for doc, score in self.above(distinct, threshold):
-                best[doc] = max(best.get(doc, 0.0), score)
-        if not best:
-            return []
-        has, out = ngrams(words), []
-        tokens = set(words)
-        for doc, score in sorted(best.items()):
-            q, a = (len(x & has) / len(x) if x and len(next(iter(x))) == NGRAM else float(all(set(g) <= tokens for g in x)) for x in (self.question[doc], self.answer[doc]))
-            if q >= question and a >= answer:
-                out.append((self.ids[doc], score, q, a))
-        return out
+            hits = self.above(distinct, threshold)
+            if hits:
+                passage = words[a * step : (a + 2) * step]
+                has = ngrams(passage)
+                for doc, score in hits:
+                    q, e = overlap(self.question[doc], passage, has), overlap(self.answer[doc], passage, has)
+                    if q >= question and e >= answer:
+                        best[doc] = max(best.get(doc, (0.0, 0.0, 0.0)), (q, e, score))
+        return [(self.ids[doc], score, q, e) for doc, (q, e, score) in sorted(best.items())]
+
+
+def overlap(part: list[str], passage: list[str], has: set[tuple[str, ...]]) -> float:
+    """Share of the trigrams of a question or an answer that the passage has; a part under a trigram is there as a run of words or not."""
+    if len(part) >= NGRAM:
+        own = ngrams(part)
+        return len(own & has) / len(own)
+    return float(any(passage[i : i + len(part)] == part for i in range(len(passage) - len(part) + 1)))
 
 
 def decontaminate(docs: DataFrame, items: DataFrame, id_column: str = "doc_id", text_column: str = "text", item_column: str = "item_id", question_column: str = "text", answer_column: str | None = None, threshold: float = THRESHOLD, question: float = QUESTION, answer: float = ANSWER) -> DataFrame:
-    """Items found in whole texts: id_column, item_id, score, question_overlap, answer_overlap; one row for a document and item.
+    """Items found in whole texts: id_column, text_hash, item_id, score, question_overlap, answer_overlap; one row for a row of ``docs`` and item.
 
-    Every passage of every document is a query. Items of more than ``INDEX_WORDS`` words together are indexed in blocks,
-    with document frequencies over all items, and the documents are queried with each block. Items without a word and
-    null texts match nothing; repeated rows each have their matches; a null id is returned as it is.
+    Every passage of every document is a query. text_hash (``row_key``) tells rows of one id or of null ids apart. Items
+    of more than ``INDEX_WORDS`` words together are indexed in blocks, with document frequencies over all items, and the
+    documents are queried with each block. Repeated items are one. Items of fewer than ``NGRAM`` words can't be told from
+    common speech and match nothing, as do null texts; repeated rows each have their matches; a null id is returned as it is.
     """
     spark = docs.sparkSession
     answer_text = F.col(answer_column).cast("string") if answer_column else F.lit(None).cast("string")
-    tests = items.select(F.col(item_column).cast("long").alias("item"), text_or_empty(question_column).alias("q"), answer_text.alias("a"))
-    sized = tests.select("item", "q", "a", (F.length("q") + F.length(F.coalesce("a", F.lit("")))).alias("chars"))
-    total, chars = sized.agg(F.count("*"), F.coalesce(F.sum("chars"), F.lit(0))).first()
-    blocks = max(1, math.ceil(chars / (5 * INDEX_WORDS)))
+    tests = items.select(F.col(item_column).cast("long").alias("item"), text_or_empty(question_column).alias("q"), answer_text.alias("a")).distinct()
     kind = dict(docs.dtypes)[id_column]
-    schema = f"`{id_column}` {kind}, item_id bigint, score double, question_overlap double, answer_overlap double"
-    source = docs.select(F.col(id_column).alias("__id"), text_or_empty(text_column).alias("__text"))
+    schema = f"`{id_column}` {kind}, text_hash bigint, item_id bigint, score double, question_overlap double, answer_overlap double"
+    source = docs.select(F.col(id_column).alias("__id"), row_key(text_column).alias("__hash"), text_or_empty(text_column).alias("__text"))
     lexed = map_batches(tests, ["item", "q", "a"], lambda c: iter([[c[0], *map(list, zip(*[split_item(words_of(q), words_of(a)) for q, a in zip(c[1], c[2], strict=True)], strict=True))]] if c[0] else []), "item bigint, q array<string>, a array<string>")
-    lexed = lexed.withColumn("block", F.pmod(F.xxhash64("item", "q"), F.lit(blocks)))
+    lexed = written(lexed.withColumn("words", F.size("q") + F.size("a")).where(F.col("words") >= NGRAM), "items")
+    total, mean, words, longest = lexed.agg(F.count("*"), F.avg("words"), F.coalesce(F.sum("words"), F.lit(0)), F.coalesce(F.max("words"), F.lit(0))).first()
+    if longest > ITEM_WORDS:
+        raise ValueError(f"an item has {longest} words, more than {ITEM_WORDS}")
+    blocks = max(1, math.ceil(words / INDEX_WORDS))
+    number = lambda n: F.pmod(F.xxhash64("item", "q", "a"), F.lit(n))
+    # The hash may deal unevenly: blocks are made until each is within twice the bound.
+    while blocks > 1 and lexed.groupBy(number(blocks).alias("block")).agg(F.sum("words").alias("n")).agg(F.max("n")).first()[0] > 2 * max(INDEX_WORDS, longest):
+        blocks *= 2
+    lexed = lexed.withColumn("block", number(blocks))
     terms = lexed.select("block", F.explode(F.array_distinct(F.concat("q", "a"))).alias("term"))
-    mean = lexed.agg(F.avg(F.size("q") + F.size("a"))).first()[0] or 1.0
     out = None
     for block in range(blocks):
-        # Both are bounded by INDEX_WORDS, up to the evenness of the hash.
-        rows = [(r.item, r.q, r.a) for r in lexed.where(F.col("block") == block).orderBy("item").collect()]
+        rows = [(r.item, r.q, r.a) for r in lexed.where(F.col("block") == block).orderBy("item", "q", "a").collect()]
         mine = terms.where(F.col("block") == block).select("term").distinct()
         frequency = {r.term: r.n for r in terms.join(mine, "term").groupBy("term").agg(F.count("*").alias("n")).collect()}
-        shared = spark.sparkContext.broadcast((rows, frequency, total, mean))
-        found = map_batches(source, ["__id", "__text"], _matcher(shared, threshold, question, answer), schema)
+        shared = spark.sparkContext.broadcast((rows, frequency, total, mean or 1.0))
+        found = map_batches(source, ["__id", "__hash", "__text"], _matcher(shared, threshold, question, answer), schema)
         out = found if out is None else out.unionAll(found)
     return out
 
@@ -212,19 +246,25 @@ def _matcher(shared, threshold: float, question: float, answer: float):
     def work(columns: list[list]) -> Iterator[list]:
         if not _READY or _READY[0] is not shared.value:
             _READY[:] = [shared.value, Index(*shared.value)]
-        out: list[list] = [[] for _ in range(5)]
+        out: list[list] = [[] for _ in range(6)]
         if _READY[1].ids:
-            for key, text in zip(*columns, strict=True):
+            for key, hash_, text in zip(*columns, strict=True):
                 for row in _READY[1].matches(text, threshold, question, answer):
-                    for column, value in zip(out, (key, *row), strict=True):
+                    for column, value in zip(out, (key, hash_, *row), strict=True):
                         column.append(value)
         yield out
 
     return work
 
 
-def verdicts(docs: DataFrame, found: DataFrame, id_column: str = "doc_id") -> DataFrame:
-    """id_column, contaminated, n_items, items (ids in order) for every row of ``docs``."""
-    by = found.where(F.col(id_column).isNotNull()).groupBy(id_column).agg(F.array_sort(F.collect_set("item_id")).alias("items"))
-    joined = docs.select(id_column).join(by, id_column, "left")
+def row_key(text_column: str = "text") -> Column:
+    """What tells rows of one id apart: the hash of the text, a null one as empty. Rows with equal ids and texts are alike in every result."""
+    return F.xxhash64(text_or_empty(text_column))
+
+
+def verdicts(docs: DataFrame, found: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+    """id_column, contaminated, n_items, items (ids in order) for every row of ``docs``; null ids and rows of one id have each their own matches."""
+    by = found.groupBy(F.col(id_column).alias("__id"), "text_hash").agg(F.array_sort(F.collect_set("item_id")).alias("items"))
+    rows = docs.select(F.col(id_column), row_key(text_column).alias("__hash"))
+    joined = rows.join(by, rows[id_column].eqNullSafe(by["__id"]) & (rows["__hash"] == by["text_hash"]), "left")
     return joined.select(id_column, F.col("items").isNotNull().alias("contaminated"), F.coalesce(F.size("items"), F.lit(0)).cast("long").alias("n_items"), F.coalesce("items", F.array().cast("array<bigint>")).alias("items"))
