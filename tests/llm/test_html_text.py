@@ -2,6 +2,7 @@
 
 import html
 import re
+import time
 
 from weftline.llm.html_text import extract_text, main_text
 from weftline.llm.queries import op4_html_text
@@ -41,3 +42,64 @@ def test_awkward_pages(spark):
     found = sorted(map(str, (tuple(r) for r in extract_text(df, keep=("url",)).collect())))
     assert found == sorted(map(str, [(1, "u", "", 0), (2, "u", "", 0), (3, "u", "plain text & no tags <", 22), (4, "u", "unclosed tags", 13), (4, "u", "unclosed tags", 13), (None, "u", "deep", 4), (5, "u", "", 0), (6, "u", "", 0)]))
     assert extract_text(df.limit(0)).count() == 0
+
+
+PROSE = " ".join(LONG.split())
+
+
+def test_marks_give_way_where_the_text_disagrees():
+    menu = "<nav><a href=/>home</a></nav>"
+    for body in (
+        f'<form id="aspnetForm">{menu}<div><p>{LONG}</p></div><input value=x><select><option>no</select></form>',
+        f'{menu}<div class="content has-sidebar"><div><p>{LONG}</p></div></div>',
+        f'{menu}<div class="layout-no-sidebar"><article><p>{LONG}</p></article></div>',
+        f'<form><input name=q><button>Go</button></form><main><p>{LONG}</p></main><form><p>{LONG}{LONG}</p></form>',
+    ):
+        assert main_text(f"<html><body>{body}<footer>me</footer></body></html>") == PROSE, body
+    inside = [
+        ('<header class="entry-header"><h1>Title</h1></header>', "Title "),
+        ('<div class="post-header"><h1>Title</h1></div>', "Title "),
+        ('<section class="share-prices"><p>Prices of shares rose.</p></section>', "Prices of shares rose. "),
+        ('<p class="related">It is related to this.</p>', "It is related to this. "),
+        ('<p class="related"><a href=/x>Other story</a></p>', ""),
+        ('<div class="ad"><p>Buy this.</p></div>', ""),
+        ('<div class="ad-box"><p>Buy this.</p></div>', ""),
+        ('<div class="cookie_notice"><p>We use cookies.</p></div>', ""),
+        ('<form><p>Sign up</p><input></form>', ""),
+        (f'<section id="comments"><p>{LONG}</p><p>{LONG}</p><p>{LONG}</p></section>', ""),
+    ]
+    for part, text in inside:
+        assert main_text(f"<body>{menu}<article>{part}<p>{LONG}</p></article><footer>me</footer></body>") == text + PROSE, part
+        assert main_text(f"<body>{menu}<div class=post>{part}<p>{LONG}</p><p>{LONG}</p></div><footer>me</footer></body>") == f"{text}{PROSE} {PROSE}", part
+    assert main_text(f'<body><section class="comment"><p>{LONG}</p></section></body>') == PROSE  # nothing else is there
+
+
+def test_references_and_attributes():
+    assert main_text("<p title='a > b' class=x>a &amp;amp; b&<b>amp;</b> &notin; &#x41;<br/>c</p>") == "a &amp; b&amp; ∉ A c"
+    assert main_text('<p title="unclosed>one</p><p>two</p>') == "one two"
+    assert main_text("<p><![CDATA[a &amp; <b>]]></p>") == "a &amp; <b>"
+    assert main_text("<article><table><tr><td>a<td>b<tr><td>c</table><dl><dt>d<dd>e</dl></article>") == "a b c d e"
+
+
+def test_hostile_pages_take_time_in_proportion():
+    pages = [
+        lambda n: "<div><p>x" * n,
+        lambda n: "<button>" * n + "x",
+        lambda n: '<a title="' * n,
+        lambda n: "<p title='\">" * n,
+        lambda n: "<div>" * n + "</section>" * n,
+        lambda n: "<x-a>" * n + "<h1></h1>" * n,
+        lambda n: "<p><table><tr><td>" + "<x-a>" * n + "<h1>a</h1>" * n,
+        lambda n: "<!--" * n,
+        lambda n: "<![CDATA[" * n,
+        lambda n: "<script>" * n,
+        lambda n: "<p" + " /" * n + ">" * n,
+        lambda n: "<" * n,
+        lambda n: "<a " * n,
+        lambda n: "<li><a href=x>y, " * n,
+    ]
+    for k, page in enumerate(pages):
+        main_text(page(100))
+        began = time.perf_counter()
+        main_text(page(20_000))
+        assert time.perf_counter() - began < 1.5, k

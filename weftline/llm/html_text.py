@@ -4,6 +4,13 @@ The page is read into blocks (runs of text between block tags) that hang on a tr
 parent, and half as much its grandparent, points for itself, its length and its commas; a container's points count less
 the more of its text stands in links, and more or less by what its tag and class name say. The best container is kept,
 and of its siblings those that score well beside it or read like prose.
+
+Tags and names that speak of menus, notices, adverts and the like mark a container. A mark cuts its container out only if the
+text agrees: not if it holds most of the page's prose (a form around a whole page), not where it is a paragraph or heading
+that is no link list, and not where it is the header of an article. If the marks would leave nothing, those of names, then all, are dropped.
+
+Every step takes time in proportion to the page: tags and attributes are read forwards only, elements to be closed are known
+from each open one, and sums go up the tree once.
 """
 
 from __future__ import annotations
@@ -17,203 +24,333 @@ from pyspark.sql import functions as F
 
 from weftline.llm.common import map_batches, text_or_empty
 
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[(.*?)\]\]>|<[!?][^>]*>|<(/?)([A-Za-z][A-Za-z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
-ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
+NAME = re.compile(r"</?([A-Za-z][A-Za-z0-9:-]*)")
+GAP = re.compile(r"[\s/]*")
+ATTRIBUTE = re.compile(r"([^\s/>=]+|=)\s*(=?)\s*")
+UNQUOTED = re.compile(r"[^\s>]*")
 SPACE = re.compile(r"\s+")
 
-# Fixed values of HTML: elements without content or end tag, elements whose content is raw, and elements inside a line.
+# Fixed values of HTML: elements without content or end tag, elements whose content is no text of the page, those whose content is raw, and elements inside a line.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style textarea title noscript template svg math iframe object canvas select option button form".split())
+DEAD = frozenset("head script style textarea title noscript template svg math iframe object canvas select option button".split())
 VERBATIM = frozenset("script style textarea title".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr img".split())
 ENDS_P = frozenset("address article aside blockquote center details dialog dd dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre section table ul".split())
 CLOSES = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
+P_SCOPE = frozenset("div article section td th li body blockquote".split())
+LIST_SCOPE = frozenset("ul ol dl table select".split())
+PARAGRAPH = frozenset("p h1 h2 h3 h4 h5 h6 pre li td dd dt blockquote figcaption".split())
+LINES = frozenset("p h1 h2 h3 h4 h5 h6 pre blockquote".split())
 
-BOILER_TAGS = frozenset("nav header footer aside menu".split())
-BOILER = re.compile(r"(?i)(?:^|[\s_-])(?:ads?|ad-?(?:box|slot|wrap\w*|unit|block)s?|advert\w*|banner|breadcrumbs?|comments?|comment-?list|cookies?|consent|disqus|footer|gdpr|header|masthead|menu|nav|navbar|navigation|newsletter|notice|pager|pagination|popup|promo\w*|related|replies|reply|share|sharing|sidebar|side-bar|signup|skip|social|sponsor\w*|subscribe|toolbar|widget)(?:$|[\s_-])")
-GOOD = re.compile(r"(?i)article|body|content|entry|main|page|post|story|text")
+BOILER_TAGS = frozenset("nav header footer aside menu form".split())
 BOILER_ROLES = frozenset("navigation banner contentinfo complementary search dialog alert form menu menubar".split())
+#: Words that mark a container where they are a whole class or id, or the last part of one (main-nav).
+BOILER = frozenset(
+    "ad ads advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments cookie cookies consent disqus footer gdpr header masthead menu nav navbar "
+    "navigation newsletter notice pager pagination popup promo promos promotion related replies reply responses share sharing sidebar signup skip social sponsor sponsored subscribe toolbar widget".split()
+)
+#: What may follow such a word (ad-box, related-posts).
+BOILER_TAILS = frozenset("area bar block body box boxes button buttons container content count form group holder icons inner item items label link links list message module news overlay panel posts row section slot stories thread unit units widget wrap wrapper".split())
+COMMENT_WORDS = frozenset("comment comments disqus replies reply responses".split())
+#: What comes before such a word where it says the contrary (has-sidebar), or names the header of an article (entry-header).
+EXEMPT = frozenset("has no not with without".split())
+HEADER = re.compile(r"(?i)(?:article|content|entry|post|section|story)[-_]header\b")
+GOOD = re.compile(r"(?i)article|body|content|entry|main|page|post|story|text")
 BASE = {"article": 10, "main": 10, "section": 3, "div": 3, "td": 3, "pre": 3, "blockquote": 3, "body": 0, "ul": -3, "ol": -3, "li": -3, "dl": -3, "form": -3, "th": -5}
+#: Points that a mark takes from a container that isn't cut out, and the link density from which a marked line is a list of links.
+MARKED, LINK_LIST = 25, 0.3
 
 
 class Node:
-    __slots__ = ("tag", "parent", "names", "boiler", "score", "chars", "linked", "commas", "order")
-
-    def __init__(self, tag: str, parent: Node | None, names: str, boiler: bool, order: int) -> None:
-        self.tag, self.parent, self.names, self.boiler, self.order = tag, parent, names, boiler, order
-        self.score, self.chars, self.linked, self.commas = 0.0, 0, 0, 0
-
-
-class Block:
-    __slots__ = ("node", "parts", "linked")
-
-    def __init__(self, node: Node) -> None:
-        self.node, self.parts, self.linked = node, [], 0
-
-
-def _attributes(text: str) -> dict[str, str]:
-    return {m[1].lower(): html.unescape(m[2] or m[3] or m[4] or "") for m in ATTRIBUTE.finditer(text)} if text.strip(" /\n\t") else {}
+    __slots__ = ("tag", "parent", "names", "dead", "mark", "near", "order", "score", "chars", "linked", "prose", "holds_article", "cut", "kept", "branch")
 
+    def __init__(self, tag: str, parent: Node | None, names: str, dead: bool, mark: str, near: dict[str, Node], order: int) -> None:
+        self.tag, self.parent, self.names, self.dead, self.mark, self.near, self.order = tag, parent, names, dead, mark, near, order
+        self.score, self.chars, self.linked, self.prose, self.holds_article = 0.0, 0, 0, 0, tag in ("article", "main")
+        self.cut = self.kept = False
+        self.branch: Node | None = None
 
-def parse(page: str) -> list[tuple[Node, str, int]]:
-    """Containers with their texts in page order: block, text, linked characters. Scripts, forms and the like are gone, unclosed elements end with their parents."""
-    root = Node("body", None, "", False, 0)
-    here, links, at, order = root, 0, 0, 0
-    blocks: list[Block] = [Block(root)]
 
-    def say(text: str) -> None:
-        if text and not here.boiler:
-            text = html.unescape(text) if "&" in text else text
-            blocks[-1].parts.append(text)
-            if links:
-                blocks[-1].linked += len(text)
-
-    def turn(node: Node) -> None:
-        nonlocal here
-        here = node
-        if blocks[-1].parts:
-            blocks.append(Block(node))
-        else:
-            blocks[-1] = Block(node)
-
-    def closed(tags: tuple[str, ...], stop: tuple[str, ...]) -> None:
-        node = here
-        while node is not None and node.tag not in stop:
-            if node.tag in tags and node.parent is not None:
-                turn(node.parent)
-                node = here
-                continue
-            node = node.parent
-
-    while True:
-        m = TOKEN.search(page, at)
-        if m is None:
-            break
-        say(page[at : m.start()])
-        at = m.end()
-        tag = (m[3] or "").lower()
-        if not tag:
-            if m[1]:
-                say(html.escape(m[1]))
-            continue
-        if m[2]:
-            if tag == "a":
-                links = max(0, links - 1)
-            elif tag == "p" and here.tag != "p":
-                turn(here)
-            elif tag not in INLINE:
-                node = here
-                while node is not None and node.tag != tag:
-                    node = node.parent
-                if node is not None and node.parent is not None:
-                    links = 0
-                    turn(node.parent)
-            continue
-        if tag in RAW:
-            if m[4].rstrip().endswith("/"):
-                continue
-            if tag in VERBATIM:
-                end = re.compile(rf"</{tag}\s*>", re.I).search(page, at)
-                at = end.end() if end else len(page)
-            else:
-                depth = 1
-                for e in re.compile(rf"<(/?){tag}\b[^>]*>", re.I).finditer(page, at):
-                    depth += -1 if e[1] else 1
-                    if not depth:
-                        at = e.end()
-                        break
-            blocks[-1].parts.append(" ")
+def name_mark(names: str, in_article: bool) -> str:
+    """"comment", "name" or "" for the classes and id of an element."""
+    found = ""
+    for token in names.lower().replace("_", "-").split():
+        parts = token.split("-")
+        if parts[0] in EXEMPT or len(parts) > 2 and EXEMPT & set(parts[:-1]):
             continue
-        if tag in INLINE:
-            if tag == "a":
-                links += 1
-            elif tag == "br":
-                say(" ")
+        if parts[-1] == "header" and (in_article or HEADER.search(token)):
             continue
-        if tag in ENDS_P:
-            closed(("p",), ("div", "article", "section", "td", "li", "body", "blockquote"))
-        if tag in CLOSES:
-            closed(CLOSES[tag], ("ul", "ol", "dl", "table", "select"))
+        if parts[-1] in BOILER or parts[0] in BOILER and (len(parts) == 1 or parts[1] in BOILER_TAILS or parts[1] in BOILER or parts[1].isdigit()) or len(parts) > 2 and parts[-2] in BOILER and parts[-1] in BOILER_TAILS:
+            if COMMENT_WORDS & set(parts):
+                return "comment"
+            found = "name"
+    return found
+
+
+class Reader:
+    """Reads a page once, forwards."""
+
+    def __init__(self, page: str) -> None:
+        self.page = page
+        self.root = Node("body", None, "", False, "", {}, 0)
+        self.nodes = [self.root]
+        self.open: dict[str, int] = {}
+        self.here, self.links = self.root, False
+        self.blocks: list[tuple[Node, list[str], list[int]]] = [(self.root, [], [0])]
+        self.none: dict[str, bool] = {}
+
+    def find(self, what: str, at: int) -> int:
+        """``page.find`` that asks no second time for what the rest of the page lacks."""
+        if self.none.get(what):
+            return -1
+        found = self.page.find(what, at)
+        if found < 0:
+            self.none[what] = True
+        return found
+
+    def say(self, text: str, references: bool = True) -> None:
+        if text and not self.here.dead:
+            text = html.unescape(text) if references and "&" in text else text
+            self.blocks[-1][1].append(text)
+            if self.links:
+                self.blocks[-1][2][0] += len(text)
+
+    def turn(self, node: Node) -> None:
+        """Text from here on stands in the open element ``node``; those inside it are closed."""
+        left = self.here
+        while left is not node:
+            self.open[left.tag] = self.open.get(left.tag, 0) - 1
+            left = left.parent
+        self.here = node
+        self.new_block()
+
+    def new_block(self) -> None:
+        if self.blocks[-1][1]:
+            self.blocks.append((self.here, [], [0]))
+        else:
+            self.blocks[-1] = (self.here, [], [0])
+
+    def attributes(self, at: int) -> tuple[dict[str, str], int, bool]:
+        """Attributes of a tag from ``at`` on, the place behind its end, and whether it ends itself."""
+        found: dict[str, str] = {}
+        page, n = self.page, len(self.page)
+        while at < n:
+            at = GAP.match(page, at).end()
+            if at == n or page[at] == ">":
+                return found, min(at + 1, n), page[at - 1] == "/"
+            m = ATTRIBUTE.match(page, at)
+            at, value = m.end(), ""
+            if m[2]:
+                quote = page[at] if at < n else ""
+                end = self.find(quote, at + 1) if quote in ("'", '"') else -1
+                if end >= 0:
+                    value, at = page[at + 1 : end], end + 1
+                else:
+                    u = UNQUOTED.match(page, at)
+                    value, at = u[0], u.end()
+            name = m[1].lower()
+            if name in ("class", "id", "hidden", "aria-hidden", "style", "role"):
+                found.setdefault(name, html.unescape(value))
+        return found, n, False
+
+    def start(self, tag: str, found: dict[str, str]) -> None:
+        here = self.here
+        if tag in ENDS_P and "p" in here.near:
+            self.turn(here.near["p"].parent)
+        for t in CLOSES.get(tag, ()):
+            while t in self.here.near:
+                self.turn(self.here.near[t].parent)
+        here = self.here
         if tag in VOID:
-            turn(here)
-            continue
-        found = _attributes(m[4])
+            self.new_block()
+            return
+        near = here.near
+        if tag in P_SCOPE or tag in LIST_SCOPE or tag == "p" or tag in CLOSES:
+            near = dict(near)
+            if tag in P_SCOPE:
+                near.pop("p", None)
+            if tag in LIST_SCOPE:
+                for t in CLOSES:
+                    near.pop(t, None)
+        in_article = here.holds_article
+        hidden = "hidden" in found or found.get("aria-hidden") == "true" or "display:none" in found.get("style", "").replace(" ", "").lower()
+        dead = here.dead or hidden or tag in DEAD
         names = f"{found.get('class', '')} {found.get('id', '')}"
-        order += 1
-        hidden = "hidden" in found or found.get("aria-hidden") == "true" or "display:none" in found.get("style", "").replace(" ", "")
-        inside_article = tag == "header" and any(n.tag in ("article", "main") for n in _up(here))
-        boiler = here.boiler or hidden or tag == "head" or (tag in BOILER_TAGS and not inside_article) or found.get("role", "") in BOILER_ROLES or (tag not in ("body", "html", "article", "main") and bool(BOILER.search(names)))
-        turn(Node(tag, here, names, boiler, order))
-    if page.rfind("<", at) < 0 or not re.match(r"</?[A-Za-z!]", page[page.rfind("<", at) :]):
-        say(page[at:])
-    else:
-        say(page[at : page.rfind("<", at)])
-    out = []
-    for b in blocks:
-        text = SPACE.sub(" ", "".join(b.parts)).strip()
-        if text:
-            out.append((b.node, text, b.linked))
-    return out
-
-
-def _up(node: Node | None) -> Iterator[Node]:
-    while node is not None:
-        yield node
-        node = node.parent
+        mark = "" if tag in ("body", "html", "article", "main") else name_mark(names, in_article)
+        titles = tag == "header" and (in_article or HEADER.search(names) is not None)
+        if not mark and (tag in BOILER_TAGS and not titles or found.get("role", "") in BOILER_ROLES):
+            mark = "tag"
+        node = Node(tag, here, names, dead, mark, near, len(self.nodes))
+        node.holds_article = in_article or node.holds_article  # while reading: stands in an article
+        if tag == "p" or tag in CLOSES:
+            near[tag] = node
+        self.nodes.append(node)
+        self.open[tag] = self.open.get(tag, 0) + 1
+        self.here = node
+        self.new_block()
+
+    def end(self, tag: str) -> None:
+        if tag == "p" and self.here.tag != "p" and "p" not in self.here.near:
+            self.new_block()
+        elif tag not in INLINE and self.open.get(tag, 0) > 0:
+            node = self.here
+            while node.tag != tag:
+                node = node.parent
+            self.links = False
+            self.turn(node.parent)
+
+    def read(self) -> list[tuple[Node, str, int]]:
+        page, at = self.page, 0
+        while True:
+            opens = self.find("<", at)
+            if opens < 0:
+                break
+            m = NAME.match(page, opens)
+            if m is None:
+                if page.startswith("<!--", opens):
+                    end = self.find("-->", opens + 4)
+                    self.say(page[at:opens])
+                    at = end + 3 if end >= 0 else len(page)
+                    continue
+                if page.startswith("<![CDATA[", opens) and (end := self.find("]]>", opens)) >= 0:
+                    self.say(page[at:opens])
+                    self.say(page[opens + 9 : end], False)
+                    at = end + 3
+                    continue
+                if page[opens + 1 : opens + 2] in ("!", "?") and (end := self.find(">", opens)) >= 0:
+                    self.say(page[at:opens])
+                    at = end + 1
+                    continue
+                self.say(page[at : opens + 1])
+                at = opens + 1
+                continue
+            self.say(page[at:opens])
+            if self.find(">", m.end()) < 0:
+                at = len(page)  # a tag without an end
+                break
+            tag = m[1].lower()
+            found, at, ends_itself = self.attributes(m.end())
+            if page[opens + 1] == "/":
+                if tag == "a":
+                    self.links = False
+                else:
+                    self.end(tag)
+            elif tag in VERBATIM:
+                if not ends_itself:
+                    close = re.compile(rf"</{tag}\s*>", re.I).search(page, at) if not self.none.get(tag) else None
+                    self.none[tag] = close is None
+                    at = close.end() if close else len(page)
+                self.say(" ")
+            elif tag in INLINE:
+                if tag == "a":
+                    self.links = True
+                elif tag == "br":
+                    self.say(" ")
+            elif not (ends_itself and tag in DEAD):
+                self.start(tag, found)
+        self.say(page[at:])
+        out = []
+        for node, parts, linked in self.blocks:
+            text = SPACE.sub(" ", "".join(parts)).strip()
+            if text:
+                out.append((node, text, min(linked[0], len(text))))
+        return out
 
 
 def _density(node: Node) -> float:
     return min(1.0, node.linked / node.chars) if node.chars else 0.0
 
 
-def main_text(page: str) -> str:
-    """The blocks of the best container and its fit siblings, joined by one space; empty if the page has no text outside boilerplate."""
-    blocks = parse(page)
-    if not blocks:
-        return ""
-    candidates: dict[int, Node] = {}
+def _prune(nodes: list[Node], blocks: list[tuple[Node, str, int]], marks: tuple[str, ...]) -> None:
+    """Sums of text up the tree, and the nodes that marks of these kinds cut out."""
+    for n in nodes:
+        n.chars = n.linked = n.prose = 0
+        n.score, n.cut, n.kept, n.branch = 0.0, False, False, None
+        n.holds_article = False
+    for node, text, linked in blocks:
+        node.chars += len(text)
+        node.linked += linked
+        if linked < 0.5 * len(text):
+            node.prose += len(text)
+    for n in reversed(nodes):
+        n.holds_article = n.holds_article or n.tag in ("article", "main") and n.chars > 0
+        up = n.parent
+        if up is not None:
+            up.chars += n.chars
+            up.linked += n.linked
+            up.holds_article = up.holds_article or n.holds_article
+            if not (n.mark == "comment" or n.tag == "nav"):
+                up.prose += n.prose
+    whole = nodes[0]
+    for n in nodes:
+        if n.parent is not None and n.parent.cut:
+            n.cut = True
+        elif n.mark in marks:
+            if n.mark == "comment" or n.tag == "nav":
+                n.cut = True
+            elif n.tag in LINES:
+                n.cut = _density(n) >= LINK_LIST
+            else:
+                # With an article on the page the rest of it is no article; else what holds most of the prose is.
+                n.cut = not n.holds_article if whole.holds_article else n.prose <= 0.5 * whole.prose
+
+
+def _best(nodes: list[Node], blocks: list[tuple[Node, str, int]], marks: tuple[str, ...]) -> str:
+    _prune(nodes, blocks, marks)
+    candidates: list[Node] = []
+    seen: set[int] = set()
     for node, text, linked in blocks:
+        if node.cut:
+            continue
         commas = text.count(",") + text.count("，") + text.count("、")
-        for n in _up(node):
-            n.chars += len(text)
-            n.linked += linked
-            n.commas += commas
         points = (1 + commas + min(3, len(text) // 100)) * (1 - min(1.0, linked / len(text)))
         # A block's own element is the paragraph; text that stands bare in a container makes the container its parent.
-        first = node.parent if node.tag in ("p", "h1", "h2", "h3", "h4", "h5", "h6", "pre", "li", "td", "dd", "dt", "blockquote", "figcaption") and node.parent is not None else node
+        n: Node | None = node.parent if node.tag in PARAGRAPH and node.parent is not None else node
         share = 1.0
-        for n in [n for n, _ in zip(_up(first), range(3), strict=False)]:
-            if n.order not in candidates:
-                candidates[n.order] = n
-                n.score = BASE.get(n.tag, 0) + (25 if GOOD.search(n.names) else 0)
+        for _ in range(3):
+            if n is None:
+                break
+            if n.order not in seen:
+                seen.add(n.order)
+                candidates.append(n)
+                n.score = BASE.get(n.tag, 0) + (25 if GOOD.search(n.names) else 0) - (MARKED if n.mark else 0)
             n.score += points * share
             share = share / 2 if share == 1.0 else share / 3
-    best = max(candidates.values(), key=lambda n: (n.score * (1 - _density(n)), -n.order))
+            n = n.parent
+    if not candidates:
+        return ""
+    best = max(candidates, key=lambda n: (n.score * (1 - _density(n)), -n.order))
     top = best.score * (1 - _density(best))
     # Where the best one is a part of an article or main element, the whole element is the article.
-    for n in _up(best):
+    n = best
+    while n is not None:
         if n.tag in ("article", "main"):
             best = n
-    fits: dict[int, bool] = {}
-
-    def sibling_fits(n: Node) -> bool:
-        if n.order not in fits:
-            own = n.score * (1 - _density(n)) if n.order in candidates else 0.0
-            bonus = 0.2 * top if n.names.strip() and n.names == best.names else 0.0
-            prose = n.tag in ("p", "h1", "h2", "h3", "pre", "blockquote") and (_density(n) < 0.25 if n.chars > 80 else not n.linked)
-            fits[n.order] = own + bonus >= max(10, 0.2 * top) or prose
-        return fits[n.order]
-
-    kept = []
-    for node, text, _ in blocks:
-        line = list(_up(node))
-        if best in line:
-            kept.append(text)
-        elif best.parent is not None and best.parent in line:
-            k = line.index(best.parent)
-            if k == 0 or sibling_fits(line[k - 1]):
-                kept.append(text)
-    return " ".join(kept)
+        n = n.parent
+
+    def fits(n: Node) -> bool:
+        own = n.score * (1 - _density(n)) if n.order in seen else 0.0
+        bonus = 0.2 * top if n.names.strip() and n.names == best.names else 0.0
+        prose = n.tag in ("p", "h1", "h2", "h3", "pre", "blockquote") and (_density(n) < 0.25 if n.chars > 80 else not n.linked)
+        return own + bonus >= max(10, 0.2 * top) or prose
+
+    for n in nodes:  # parents come first
+        if n is best or n.parent is not None and (n.parent.kept or n.parent is best.parent and fits(n)):
+            n.kept = True
+    return " ".join(text for node, text, _ in blocks if not node.cut and (node.kept or node is best.parent))
+
+
+def main_text(page: str) -> str:
+    """The blocks of the best container and its fit siblings, joined by one space; empty if the page has no text."""
+    reader = Reader(page)
+    blocks = reader.read()
+    if not blocks:
+        return ""
+    for marks in (("comment", "name", "tag"), ("tag",), ()):
+        text = _best(reader.nodes, blocks, marks)
+        if text:
+            return text
+    return ""
 
 
 def extract_text(df: DataFrame, id_column: str = "page_id", html_column: str = "html", keep: tuple[str, ...] = ()) -> DataFrame:
