@@ -1,16 +1,19 @@
 """Token ids in binary shards with a minimal perfect hash index.
 
 A shard is two files. ``shard-N.ids`` is the raw payload: little-endian ids, two bytes each where the vocabulary fits,
-else four. ``shard-N.mph`` is the index: for each document, at the slot that a minimal perfect hash gives its key, the
-offset and length of its ids and a 16-bit fingerprint that turns foreign keys away; then the keys in document order. The
-hash is a chain of bitmaps: at each level the keys left hash into twice as many bits as there are keys; a bit that one
-key alone has hit holds it, and its slot is the number of bits set before. A key costs a few probes, however many there are.
-
-A key is an id and the number of earlier rows with that id in the shard (0 for unique ids).
+else four. ``shard-N.mph`` is the index: a minimal perfect hash, for each document at the slot that the hash gives its key
+the offset and length of its ids and a 16-bit fingerprint that turns foreign keys away, then the keys in document order.
+The hash is a chain of bitmaps: at each level the keys left hash into twice as many bits as there are keys; a bit that one
+key alone has hit holds it, and its slot is the number of bits set before. Every 512 bits of a bitmap have that number
+in front of them, so a probe reads one such cell for each level it asks (two on average) and one record, by seeks.
+
+A key is an id and the number of earlier rows with that id (0 for unique ids). Shards are ranges of keys; the manifest, a
+row for each shard, has their ends, so a key leads to its shard.
 """
 
 from __future__ import annotations
 
+import bisect
 import json
 import re
 import struct
@@ -26,7 +29,7 @@ from pyspark.sql import functions as F
 
 from weftline.llm.common import new_path, partitions, text_or_empty
 
-MAGIC = b"WTOK0001"
+MAGIC = b"WTOK0002"
 LEVELS = 48
 GAMMA = 2
 CACHE = 400_000
@@ -36,6 +39,11 @@ FIXED = (r'"Lowercase"', r'"NFC"', json.dumps(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+
 LATIN = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zªµºß-öø-ÿ]+|[0-9²³¹¼½¾]|[^\t-\r \x85\xa0a-zªµºß-öø-ÿ0-9²³¹¼½¾]+")
 BEYOND = re.compile(r"[^\x00-\xff]")
 BLOCK = struct.Struct("<8sQQHHI")  # magic, documents, tokens, bytes of an id, levels, keys kept in a list
+#: Bytes of bitmap in a cell, which begins with the number of bits set before it (eight bytes).
+CELL = 64
+RECORD = np.dtype([("offset", "<u8"), ("length", "<u8"), ("print", "<u2")])
+MANIFEST = "shard int, n_docs bigint, n_tokens bigint, first_key bigint, n_first bigint, last_key bigint, n_last bigint"
+NULL_KEY = -(1 << 63)
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -89,22 +97,37 @@ class PerfectHash:
         return out
 
     def dump(self) -> bytes:
-        parts = [struct.pack("<I", len(b)) + np.packbits(b).tobytes() for b in self.bits]
+        """Numbers of bits of the levels, their cells, and the listed keys."""
+        parts = [np.array([len(b) for b in self.bits], "<u8").tobytes()]
+        for bits, before in zip(self.bits, self.before, strict=True):
+            packed = np.packbits(bits, bitorder="little")
+            n = -(-len(packed) // CELL)
+            cells = np.zeros((n, 8 + CELL), np.uint8)
+            cells[:, :8] = np.ascontiguousarray(before[:: 8 * CELL]).astype("<u8").view(np.uint8).reshape(n, 8)
+            flat = np.zeros(n * CELL, np.uint8)
+            flat[: len(packed)] = packed
+            cells[:, 8:] = flat.reshape(n, CELL)
+            parts.append(cells.tobytes())
         return b"".join(parts) + self.rest.astype("<i8").tobytes()
 
     @classmethod
     def load(cls, data: bytes, at: int, levels: int, rest: int) -> tuple[PerfectHash, int]:
+        sizes, at = np.frombuffer(data, "<u8", levels, at).tolist(), at + 8 * levels
         bits = []
-        for _ in range(levels):
-            n = struct.unpack_from("<I", data, at)[0]
-            size = (n + 7) // 8
-            bits.append(np.unpackbits(np.frombuffer(data, np.uint8, size, at + 4), count=n).astype(bool))
-            at += 4 + size
+        for n in sizes:
+            cells = -(-n // (8 * CELL))
+            part = np.frombuffer(data, np.uint8, cells * (8 + CELL), at).reshape(cells, 8 + CELL)[:, 8:]
+            bits.append(np.unpackbits(part.ravel(), count=n, bitorder="little").astype(bool))
+            at += cells * (8 + CELL)
         return cls(bits, np.frombuffer(data, "<i8", 2 * rest, at).reshape(-1, 2)), at + 16 * rest
 
 
 class ShardWriter:
-    """Streams ids into a shard; the files appear under their names only when ``close`` has finished, so a repeated task does no harm."""
+    """Streams ids into a shard.
+
+    Each try of a task writes files of its own, and gives them their names when both are whole: ids first, the index
+    last. A shard's rows and their order follow from the data, so where an earlier try has left a file, that one stays.
+    """
 
     def __init__(self, uri: str, shard: int, width: int) -> None:
         self.files, self.top = fs.FileSystem.from_uri(uri)
@@ -123,23 +146,41 @@ class ShardWriter:
         self.sizes.append(len(ids))
         self.tokens += len(ids)
 
+    def _publish(self, kind: str) -> None:
+        own, name = f"{self.name}.{kind}.{self.try_}", f"{self.name}.{kind}"
+        there = lambda: self.files.get_file_info(name).type != fs.FileType.NotFound
+        if not there():
+            try:
+                self.files.move(own, name)
+                return
+            except OSError:
+                if not there():
+                    raise
+        self.files.delete_file(own)
+
     def close(self) -> None:
         self.out.close()
         ids, nth, sizes = np.array(self.ids, np.int64), np.array(self.nth, np.int64), np.array(self.sizes, np.int64)
         perfect = PerfectHash.build(ids, nth)
         slots = perfect.slots(ids, nth)
-        offsets, lengths, prints = np.empty(len(ids), "<u8"), np.empty(len(ids), "<u8"), np.empty(len(ids), "<u2")
-        offsets[slots], lengths[slots] = np.cumsum(sizes) - sizes, sizes
-        prints[slots] = hashes(ids, nth, LEVELS + 1).astype("<u2")
+        records = np.empty(len(ids), RECORD)
+        records["offset"][slots], records["length"][slots] = np.cumsum(sizes) - sizes, sizes
+        records["print"][slots] = hashes(ids, nth, LEVELS + 1).astype("<u2")
         head = BLOCK.pack(MAGIC, len(ids), self.tokens, self.width, len(perfect.bits), len(perfect.rest))
         with self.files.open_output_stream(f"{self.name}.mph.{self.try_}") as out:
-            out.write(head + perfect.dump() + offsets.tobytes() + lengths.tobytes() + prints.tobytes() + ids.astype("<i8").tobytes() + nth.astype("<i8").tobytes())
+            out.write(head + perfect.dump() + records.tobytes() + ids.astype("<i8").tobytes() + nth.astype("<i8").tobytes())
         for kind in ("ids", "mph"):
-            self.files.move(f"{self.name}.{kind}.{self.try_}", f"{self.name}.{kind}")
+            self._publish(kind)
+
+    def manifest(self, shard: int) -> list:
+        """The shard's row of the manifest."""
+        ids = np.array(self.ids, np.int64)
+        first, last = self.ids[0], self.ids[-1]
+        return [shard, len(ids), self.tokens, first, int((ids == first).sum()), last, int((ids == last).sum())]
 
 
 class Shard:
-    """Keyed reads from a shard."""
+    """A shard with its whole index in memory, for reading all of it."""
 
     def __init__(self, uri: str, shard: int) -> None:
         self.files, top = fs.FileSystem.from_uri(uri)
@@ -150,19 +191,18 @@ class Shard:
         if magic != MAGIC:
             raise ValueError(f"{self.name}.mph is no index of this format")
         self.hash, at = PerfectHash.load(data, BLOCK.size, levels, rest)
-        self.offsets = np.frombuffer(data, "<u8", self.n, at)
-        self.lengths = np.frombuffer(data, "<u8", self.n, at + 8 * self.n)
-        self.prints = np.frombuffer(data, "<u2", self.n, at + 16 * self.n)
-        self.ids = np.frombuffer(data, "<i8", self.n, at + 18 * self.n)
-        self.nth = np.frombuffer(data, "<i8", self.n, at + 26 * self.n)
+        self.records = np.frombuffer(data, RECORD, self.n, at)
+        self.ids = np.frombuffer(data, "<i8", self.n, at + RECORD.itemsize * self.n)
+        self.nth = np.frombuffer(data, "<i8", self.n, at + (RECORD.itemsize + 8) * self.n)
 
     def find(self, ids: np.ndarray, nth: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Offset and number of ids of each key; -1 and 0 for keys whose fingerprint isn't there."""
         if not self.n:
             return np.full(len(ids), -1), np.zeros(len(ids), np.int64)
         slots = self.hash.slots(ids, nth)
-        good = (slots >= 0) & (self.prints[slots] == hashes(ids, nth, LEVELS + 1).astype("<u2"))
-        return np.where(good, self.offsets[slots].astype(np.int64), -1), np.where(good, self.lengths[slots].astype(np.int64), 0)
+        found = self.records[slots]
+        good = (slots >= 0) & (found["print"] == hashes(ids, nth, LEVELS + 1).astype("<u2"))
+        return np.where(good, found["offset"].astype(np.int64), -1), np.where(good, found["length"].astype(np.int64), 0)
 
     def open(self):
         return self.files.open_input_file(f"{self.name}.ids")
@@ -172,7 +212,7 @@ class Shard:
         return np.frombuffer(file.read(length * self.width), f"<u{self.width}")
 
     def get(self, key: int, nth: int = 0) -> np.ndarray | None:
-        """The ids of a document, None for a foreign key: one index probe and one read of its bytes."""
+        """The ids of a document, None for a foreign key."""
         offset, length = (x[0] for x in self.find(np.array([key]), np.array([nth])))
         if offset < 0:
             return None
@@ -180,6 +220,68 @@ class Shard:
             return self.read(file, int(offset), int(length))
 
 
+class TokenFiles:
+    """Keyed access to the documents of all shards. The manifest (a row for each shard) is held; of the index files each call reads a few cells."""
+
+    def __init__(self, manifest: DataFrame, path: str) -> None:
+        self.files, self.top = fs.FileSystem.from_uri(path)
+        self.rows = sorted(manifest.select("first_key", "last_key", "shard", "n_docs", "n_first", "n_last").collect())
+        self.lasts = [r.last_key for r in self.rows]
+        #: Bytes that the last call has read.
+        self.bytes_read = 0
+
+    def _at(self, file, place: int, size: int) -> bytes:
+        self.bytes_read += size
+        file.seek(place)
+        return file.read(size)
+
+    def _slot(self, file, levels: list[int], rest: int, key: int, nth: int) -> int:
+        at, held = BLOCK.size + 8 * len(levels), 0
+        for level, n in enumerate(levels):
+            place = int(hashes(np.array([key]), np.array([nth]), level)[0] % np.uint64(n))
+            cell, bit = divmod(place, 8 * CELL)
+            data = self._at(file, at + cell * (8 + CELL), 8 + CELL)
+            bits = int.from_bytes(data[8:], "little")
+            if bits >> bit & 1:
+                return int.from_bytes(data[:8], "little") + (bits & (1 << bit) - 1).bit_count()
+            at += -(-n // (8 * CELL)) * (8 + CELL)
+        # No level holds the key: the listed ones come after all others.
+        listed = np.frombuffer(self._at(file, at, 16 * rest), "<i8").reshape(-1, 2).tolist()
+        return -1 - listed.index([key, nth]) if [key, nth] in listed else 0
+
+    def get(self, key: int | None, nth: int = 0) -> np.ndarray | None:
+        """The ids of the document with this id (the ``nth`` of them); None for one that isn't there, but for one foreign key in 65,536."""
+        self.bytes_read = 0
+        key = NULL_KEY if key is None else key
+        for r in self.rows[bisect.bisect_left(self.lasts, key) :]:
+            if r.first_key > key:
+                return None
+            # Rows of one id may fill several shards; their numbers begin anew in each.
+            here = r.n_docs if r.first_key == r.last_key else r.n_first if key == r.first_key else r.n_last if key == r.last_key else None
+            if here is not None and nth >= here:
+                nth -= here
+                continue
+            return self._of_shard(r.shard, key, nth)
+        return None
+
+    def _of_shard(self, shard: int, key: int, nth: int) -> np.ndarray | None:
+        name = f"{self.top}/shard-{shard:06d}"
+        with self.files.open_input_file(f"{name}.mph") as file:
+            magic, n, _, width, n_levels, rest = BLOCK.unpack(self._at(file, 0, BLOCK.size))
+            if magic != MAGIC:
+                raise ValueError(f"{name}.mph is no index of this format")
+            levels = np.frombuffer(self._at(file, BLOCK.size, 8 * n_levels), "<u8").tolist()
+            slot = self._slot(file, levels, rest, key, nth)
+            if slot < 0:
+                slot = n - rest - 1 - slot
+            records = BLOCK.size + 8 * n_levels + sum(-(-b // (8 * CELL)) * (8 + CELL) for b in levels) + 16 * rest
+            record = np.frombuffer(self._at(file, records + RECORD.itemsize * slot, RECORD.itemsize), RECORD)[0]
+        if record["print"] != hashes(np.array([key]), np.array([nth]), LEVELS + 1).astype("<u2")[0]:
+            return None
+        with self.files.open_input_file(f"{name}.ids") as file:
+            return np.frombuffer(self._at(file, int(record["offset"]) * width, int(record["length"]) * width), f"<u{width}")
+
+
 _TOKENIZERS: dict[int, tuple] = {}
 
 
@@ -226,8 +328,9 @@ def word_encoder(definition: str) -> Callable[[list[str]], list[np.ndarray]]:
 def write_token_files(df: DataFrame, path: str, tokenizer_json: str, end_id: int, id_column: str = "doc_id", text_column: str = "text", shards: int | None = None) -> DataFrame:
     """Writes the ids of every whole text, ``end_id`` after each, to shards below ``path`` (a URI all executors reach) in ascending id order.
 
-    Returns shard, n_docs, n_tokens. Rows are dealt to shards by range of id; rows of equal id are ordered by the hash
-    of their texts. A null text is empty (only the end id), a null id comes first and has the least integer as its key.
+    Returns the manifest: shard, n_docs, n_tokens, first and last key and how many rows of the shard have them. Rows are
+    dealt to shards by range of id; rows of equal id are ordered by the hash of their texts. A null text is empty (only
+    the end id), a null id comes first and has the least integer as its key.
     """
     spark = df.sparkSession
     with open(tokenizer_json, encoding="utf-8") as file:
@@ -236,7 +339,7 @@ def write_token_files(df: DataFrame, path: str, tokenizer_json: str, end_id: int
     from tokenizers import Tokenizer
 
     width = 2 if max(Tokenizer.from_str(definition).get_vocab_size(), end_id + 1) <= 1 << 16 else 4
-    key = F.coalesce(F.col(id_column).cast("long"), F.lit(-(1 << 63)))
+    key = F.coalesce(F.col(id_column).cast("long"), F.lit(NULL_KEY))
     rows = df.select(key.alias("key"), text_or_empty(text_column).alias("text")).withColumn("tie", F.xxhash64("text"))
     dealt = rows.repartitionByRange(shards or partitions(spark), "key", "tie").sortWithinPartitions("key", "tie").select("key", "text", F.spark_partition_id().alias("shard"))
 
@@ -252,9 +355,10 @@ def write_token_files(df: DataFrame, path: str, tokenizer_json: str, end_id: int
                     writer.add(k, np.append(ids, np.uint32(end_id)))
         if writer is not None:
             writer.close()
-            yield pa.RecordBatch.from_pydict({"shard": pa.array([shard], pa.int32()), "n_docs": pa.array([len(writer.ids)], pa.int64()), "n_tokens": pa.array([writer.tokens], pa.int64())})
+            row = writer.manifest(shard)
+            yield pa.RecordBatch.from_arrays([pa.array([row[0]], pa.int32()), *[pa.array([v], pa.int64()) for v in row[1:]]], names=[c.split()[0] for c in MANIFEST.split(", ")])
 
-    return dealt.mapInArrow(run, "shard int, n_docs bigint, n_tokens bigint")
+    return dealt.mapInArrow(run, MANIFEST)
 
 
 def read_token_files(manifest: DataFrame, path: str, with_ids: bool = True) -> DataFrame:
@@ -275,7 +379,7 @@ def read_token_files(manifest: DataFrame, path: str, with_ids: bool = True) -> D
                         ids, nth = shard.ids[at : at + 2000], shard.nth[at : at + 2000]
                         offsets, lengths = shard.find(ids, nth)
                         found = [shard.read(file, o, n) for o, n in zip(offsets.tolist(), lengths.tolist(), strict=True)]
-                        keys = [None if k == -(1 << 63) else k for k in ids.tolist()]
+                        keys = [None if k == NULL_KEY else k for k in ids.tolist()]
                         yield pa.RecordBatch.from_pydict({
                             "id": pa.array(keys, pa.int64()), "nth": pa.array(nth, pa.int64()), "start": pa.array(base + offsets, pa.int64()), "n_tokens": pa.array(lengths, pa.int64()),
                             "ids_crc32": pa.array([zlib.crc32(f.astype("<u4").tobytes()) for f in found], pa.int64()),
@@ -285,9 +389,9 @@ def read_token_files(manifest: DataFrame, path: str, with_ids: bool = True) -> D
     return starts.mapInArrow(run, "id bigint, nth bigint, start bigint, n_tokens bigint, ids_crc32 bigint, ids array<int>")
 
 
-def lookup(spark: SparkSession, path: str, shard: int, key: int, nth: int = 0) -> np.ndarray | None:
-    """Constant-time access to one document's ids, on the driver."""
-    return Shard(path, shard).get(key, nth)
+def lookup(manifest: DataFrame, path: str, key: int | None, nth: int = 0) -> np.ndarray | None:
+    """Constant-time access to one document's ids by its key, on the driver; ``TokenFiles`` serves many keys."""
+    return TokenFiles(manifest, path).get(key, nth)
 
 
 def new_folder(spark: SparkSession) -> str:
