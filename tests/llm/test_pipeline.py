@@ -98,3 +98,13 @@ def test_gibberish_and_unlisted_languages_go_and_clean_documents_stay(spark):
     clean = {r.doc_id for r in docs.collect()}
     assert clean - kept == set()
     assert {k for k in kept if k >= 10**6} == set()
+
+
+def test_only_the_row_with_the_leak_goes(spark, tmp_path):
+    leak = "where the old river bends there stands a mill that turns no more since the great flood"
+    spark.createDataFrame([(1, leak)], "item_id bigint, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    rows = [(None, leak), (None, "clean text of no id"), (7, "clean text of seven"), (7, f"and {leak} too"), (8, None), (7, "clean text of seven")]
+    docs = spark.createDataFrame([(k, t, "en", "s", 1) for k, t in rows], "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    found = c.decontamination_stage(spark, docs, str(tmp_path))
+    assert found.columns == c.COLUMNS
+    assert sorted(str(r.text) for r in found.collect()) == sorted(str(t) for _, t in rows if leak not in (t or ""))
