@@ -1,5 +1,7 @@
 """Operators on literal rows, with results worked out by hand from their rules."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -201,3 +203,64 @@ def test_intervals_and_layout(spark):
     assert sorted(r.text for r in layout.merged_lines(wrapped, "form", 3.0).collect()) == ["a long label.", "next"]
     outline = spark.createDataFrame([(1, 1, 1, 20), (1, 2, 3, 20), (1, 1, 8, 20)], "f int, level int, page int, last int")
     assert sorted((r.page, r.end) for r in layout.page_ranges(outline, "f", "last").collect()) == [(1, 7), (3, 7), (8, 20)]
+
+
+def test_fuzzy_blocks_match_brute_force(spark):
+    from difflib import SequenceMatcher
+
+    rng = random.Random(3)
+    word = lambda: "".join(rng.choice("abcd") for _ in range(rng.randrange(1, 9)))
+    names, records = {(rng.choice("xy"), word()) for _ in range(60)}, {(rng.choice("xy"), word()) for _ in range(60)}
+
+    def score(a, b):
+        if a == b:
+            return 1.0
+        return min(len(a), len(b)) / max(len(a), len(b)) if a in b or b in a else SequenceMatcher(None, a, b).ratio()
+
+    expected = []
+    for block, a in names:
+        best = max([score(a, b) for k, b in records if k == block])
+        expected += [(block, a, b, round(best, 6)) for k, b in records if k == block and score(a, b) == best >= 0.75]
+    left, right = spark.createDataFrame(sorted(names), "k string, a string"), spark.createDataFrame(sorted(records), "k string, b string")
+    found = match.blocked_fuzzy(left, right, "k", "a", "b").select("k", "a", "b", F.round("similarity", 6)).collect()
+    assert sorted(tuple(r) for r in found) == sorted(expected)
+    pairs = left.join(right, "k").select("a", "b", text.ratio_bound(F.col("a"), F.col("b")).alias("bound")).collect()
+    assert all(r.bound >= SequenceMatcher(None, r.a, r.b).ratio() - 1e-9 for r in pairs)
+    assert any(r.bound < 0.75 for r in pairs)
+
+
+def test_stages_are_computed_once_each(spark):
+    probe, kb = spark.range(40).withColumnRenamed("id", "k"), spark.range(0, 40, 2).withColumnRenamed("id", "k")
+    calls = spark.sparkContext.accumulator(0)
+
+    def stage(n):
+        def match_(left):
+            calls.add(1)
+            return left.join(kb, "k").where(F.col("k") % 5 == n).select("k")
+
+        return f"s{n}", match_
+
+    found = match.staged(probe, "k", [stage(n) for n in range(5)])
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Range (") + plan.count("Relation [") <= 4 + 4 + 2
+    assert {r.k: r.stage for r in found.collect()} == {k: f"s{k % 5}" for k in range(0, 40, 2)}
+
+
+def test_pairs_and_truth_are_checked(spark):
+    a, b = spark.range(5), spark.range(1, 5)
+    assert match.strictly_paired(b, b, "id").count() == 4
+    with pytest.raises(Exception, match="unpaired id: 0"):
+        match.strictly_paired(a, b, "id").collect()
+
+
+def test_rows_are_numbered_over_ranges(spark):
+    df = spark.range(1000).select((F.col("id") * 7919 % 1000).alias("v"), F.lit(1).alias("w"))
+    found = ranking.numbered(df.repartition(9), "v").collect()
+    assert sorted((r.number, r.v) for r in found) == [(i + 1, i) for i in range(1000)]
+    assert ranking.numbered(df.limit(0), "v").count() == 0
+
+
+def test_outline_deeper_than_said_is_an_error(spark):
+    outline = spark.createDataFrame([("f", 1, 1, 9), ("f", 12, 3, 9)], "f string, level int, page int, last int")
+    with pytest.raises(Exception, match="outline level 12"):
+        layout.page_ranges(outline, "f", "last").collect()

@@ -102,3 +102,64 @@ def test_token_bucket_stream(spark, tmp_path):
 def test_resume(spark):
     todo, done = spark.range(10), spark.range(4)
     assert streams.resume(todo, done, ["id"]).count() == 6
+
+
+def test_json_lines_and_documents(spark, tmp_path):
+    rows = [{"k": 1, "v": "a"}, {"k": 2, "v": "b"}]
+    (tmp_path / "lines.json").write_text("\n".join(map(json.dumps, rows)))
+    (tmp_path / "pretty.json").write_text(json.dumps(rows, indent=2))
+    for name in ("lines.json", "pretty.json"):
+        assert sorted((r.k, r.v) for r in readers.read_records(spark, str(tmp_path / name)).collect()) == [(1, "a"), (2, "b")]
+
+
+def test_checkpoints_by_precedence_and_identity(spark, tmp_path):
+    base = str(tmp_path / "out")
+    recs = lambda v: [{"table_name": "t", "domain_recommendations": [{"variable_name": v, "score": 0.5}, {"variable_name": "", "score": 0.1}]}]
+    assert readers.checkpoint(spark, base) is None
+    (tmp_path / "out.json").write_text(json.dumps(recs("done")))
+    (tmp_path / "out.tmp.json").write_text(json.dumps({"model_name": "m", "checkpoint_context": "c", "recommendations": recs("half")}))
+    names = lambda **k: [r.variable_name for r in readers.checkpoint(spark, base, **k).collect()]
+    assert names() == names(model="m") == names(model="m", context="c") == ["half"]
+    assert names(model="other") == names(model="m", context="d") == ["done"]
+    (tmp_path / "out.tmp.json").write_text(json.dumps(recs("bare")))
+    assert names() == ["bare"] and names(model="m") == ["done"]
+
+
+def test_truth_is_checked(spark):
+    with pytest.raises(ValueError, match="filled and unique"):
+        readers.checked_truth(spark.createDataFrame([("a",), ("a",)], "k string"), ["k"])
+    assert readers.checked_truth(spark.createDataFrame([("a",), ("b",)], "k string"), ["k"]).count() == 2
+
+
+def test_replaced_tables_survive_failed_runs(spark, tmp_path):
+    path = str(tmp_path / "t")
+    sinks.replace_table(spark.range(3), path)
+    (tmp_path / "t").rename(tmp_path / "t.old")  # a run that ended between its moves
+    sinks.replace_table(spark.range(5), path)
+    assert spark.read.parquet(path).count() == 5 and not (tmp_path / "t.old").exists()
+    with pytest.raises(Exception, match="boom"):
+        sinks.replace_table(spark.range(2).select(F.raise_error(F.lit("boom")).alias("id")), path)
+    assert spark.read.parquet(path).count() == 5
+
+
+def test_upserts_rewrite_touched_parts_only(spark, tmp_path):
+    source, target = tmp_path / "in", str(tmp_path / "target")
+    rows = [(k, t, k * 100 + t) for t in range(6) for k in ((0, 1, 2, 3) if t == 0 else (t % 4,))]
+    for t in range(6):
+        spark.createDataFrame([r for r in rows if r[1] == t], "k long, t long, v long").coalesce(1).write.mode("append").parquet(str(source))
+    stream = streams.read_events(spark, str(source), "k long, t long, v long", "*.parquet")
+    streams.upsert_stream(stream, target, str(tmp_path / "c"), ["k"], "t", "v", parts=8)
+    latest_ = {}
+    for k, t, v in rows:
+        latest_[k] = max(latest_.get(k, (0, 0)), (t, v))
+    assert {r.k: (r.t, r.v) for r in streams.newest_version(spark, target).collect()} == latest_
+    kept = [p.name for p in (tmp_path / "target").glob("v*/part=*")]
+    assert len(kept) < 4 + 6 * 2  # parts that no state names are gone
+
+
+def test_windows_go_to_files_when_they_are_closed(spark, tmp_path):
+    rows = [(1, "2024-01-01 00:10:00"), (2, "2024-01-01 00:50:00"), (3, "2024-01-01 05:00:00")]
+    spark.createDataFrame(rows, "event_id long, t string").selectExpr("event_id", "cast(t as timestamp_ntz) as ts", "'a' as event_type", "1.0D as value").coalesce(1).write.parquet(str(tmp_path / "in"))
+    stream = streams.read_events(spark, str(tmp_path / "in"), "event_id long, ts timestamp_ntz, event_type string, value double", "*.parquet")
+    found = streams.run_to_files(streams.summary(stream), str(tmp_path / "out"), str(tmp_path / "check"))
+    assert [(r.kind, r.n, r.total) for r in found.collect()] == [("a", 2, 2.0)]

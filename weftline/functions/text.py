@@ -21,8 +21,10 @@ MASKS = (
     r"\b\d{3}[-.]?\d{3}[-.]?\d{4}\b",
 )
 MARKER = "[REDACTED]"
-#: Bracketed text, slashes, and white space with punctuation, which deep normalisation removes.
-BRACKETED, SLASHES, PUNCTUATION = r"[（(][^)）]*[)）]", r"[/／\\]", r"(?U)[\s_\-—–·.。、,，;；:：]+"
+#: Unicode white space.
+WHITE = "".join(chr(c) for c in range(0x3001) if chr(c).isspace())
+#: Bracketed text, slashes, and punctuation, which deep normalisation removes together with white space.
+BRACKETED, SLASHES, PUNCTUATION = r"[（(][^)）]*[)）]", "/／\\", "_-—–·.。、,，;；:："
 
 
 def blank(c: Column) -> Column:
@@ -32,14 +34,12 @@ def blank(c: Column) -> Column:
 
 def normalise(c: Column) -> Column:
     """Null to '', outer Unicode white space off, lower case."""
-    return F.lower(F.regexp_replace(blank(c), r"(?U)^\s+|\s+$", ""))
+    return F.lower(F.btrim(blank(c), F.lit(WHITE)))
 
 
 def deep_normalise(c: Column) -> Column:
     """T01, then bracketed text, slashes, white space and punctuation go."""
-    for pattern in (BRACKETED, SLASHES, PUNCTUATION):
-        c = F.regexp_replace(normalise(c) if pattern == BRACKETED else c, pattern, "")
-    return c
+    return F.translate(F.regexp_replace(normalise(c), BRACKETED, ""), SLASHES + WHITE + PUNCTUATION, "")
 
 
 def composite_key(*cols: Column) -> Column:
@@ -51,6 +51,11 @@ def composite_key(*cols: Column) -> Column:
     return F.when(filled, F.concat_ws("|||", *parts)).otherwise("")
 
 
+def key_hash(*parts: Column) -> Column:
+    """One hash (MD5) for normalised parts joined by a triple pipe, null if one is blank: a join key that stays short however long the parts are."""
+    return F.md5(F.nullif(F.when(F.exists(F.array(*parts), lambda p: p == ""), "").otherwise(F.concat_ws("|||", *parts)), F.lit("")))
+
+
 @F.pandas_udf(DoubleType())
 def ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     """Ratcliff-Obershelp similarity."""
@@ -68,9 +73,18 @@ def fuzzy_score(a: Column, b: Column) -> Column:
     return F.coalesce(containment(a, b), ratio(a, b))
 
 
+def ratio_bound(a: Column, b: Column) -> Column:
+    """No ratio of two texts is over this: twice the characters that both have, with their repeats, over those of both. Stays in the JVM."""
+    # Characters that are lost when each text's are taken out of the other's, on both sides sorted, are those without a partner.
+    tally = lambda t: F.array_sort(F.split(t, ""))
+    numbered = lambda x: F.transform(x, lambda c, i: F.concat(c, (i - F.array_position(x, c)).cast("string")))
+    shared = F.size(F.array_intersect(numbered(tally(a)), numbered(tally(b))))
+    return 2 * shared / (F.length(a) + F.length(b))
+
+
 def key_terms(c: Column, stop: tuple[str, ...] = STOP_WORDS) -> Column:
     """Lower-case words longer than two letters, without stop words, in order."""
-    return F.filter(F.regexp_extract_all(F.lower(blank(c)), F.lit(r"(?U)(\w+)"), F.lit(1)), lambda w: ~w.isin(*stop) & (F.length(w) > 2))
+    return F.filter(F.regexp_extract_all(F.lower(blank(c)), F.lit(r"([\p{L}\p{N}_]+)"), F.lit(1)), lambda w: ~w.isin(*stop) & (F.length(w) > 2))
 
 
 def naming_score(name: Column, prefix: Column) -> Column:
@@ -168,3 +182,30 @@ def label_line(c: Column) -> Column:
 def clean_label(c: Column) -> Column:
     """White space to one space, numbering in front and colons behind off."""
     return F.trim(F.regexp_replace(F.regexp_replace(F.regexp_replace(blank(c), r"(?U)\s+", " "), r"^\s*\d+[.)、]\s*", ""), r"[:：]\s*$", ""))
+
+
+def filled(*cols: Column) -> Column:
+    """whether all required fields are there."""
+    ok = F.lit(True)
+    for c in cols:
+        ok = ok & (blank(c) != "")
+    return ok
+
+
+def report_label(c: Column, allowed: tuple[str, ...]) -> Column:
+    """F16: a label in capitals if it is one of the allowed ones, else OTHER; a blank one is UNRECORDED."""
+    label = F.upper(F.trim(F.coalesce(F.nullif(c.cast("string"), F.lit("")), F.lit("UNRECORDED"))))
+    return F.when(label.isin(*allowed), label).otherwise("OTHER")
+
+
+def functional_query(role: Column, label: Column) -> Column:
+    """The question that a variable of this role and label stands for."""
+    said = F.lower(blank(label))
+    about = lambda what: F.concat(F.lit(what), said)
+    return (
+        F.when(role == "Identifier", "Map subject identifier field")
+        .when(role == "Topic", about("Map the main topic field for "))
+        .when(role == "Timing", about("Map timing information for "))
+        .when(role == "Qualifier", about("Map qualifier information for "))
+        .otherwise(about("Map field for "))
+    )

@@ -17,7 +17,7 @@ def page_boilerplate(lines: DataFrame, pages: int, band: float = 0.08, drift: fl
 
 
 def modal_size(lines: DataFrame, key: str, size: str = "size") -> DataFrame:
-    """The most frequent size of each key, weighted by characters; of equals the smallest."""
+    """The most frequent size of each key, weighted by characters; of equals the smallest."""
     counts = lines.groupBy(key, F.round(size, 1).alias("size")).agg(F.sum(F.length("text")).alias("n"))
     return first_by(counts, [key], F.col("n").desc(), F.col("size").asc())
 
@@ -36,9 +36,19 @@ def merged_lines(lines: DataFrame, key: str, leading: float) -> DataFrame:
     return marked.groupBy(key, "block").agg(F.min("top").alias("top"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("top", "text"))), lambda x: x["text"]), " ").alias("text"))
 
 
-def page_ranges(outline: DataFrame, key: str, last_page: str) -> DataFrame:
-    """Entries (level, page) with the page before the next entry of the same or a higher level as their end."""
+def page_ranges(outline: DataFrame, key: str, last_page: str, depth: int = 9) -> DataFrame:
+    """Entries (level from 1, page) with the page before the next entry of the same or a higher level as their end.
+
+    For each of the ``depth`` levels the next entry that ends it is looked up, so no row gathers its followers; a deeper level is an error.
+    """
     following = Window.partitionBy(key).orderBy("page", "level").rowsBetween(1, Window.unboundedFollowing)
-    ahead = F.collect_list(F.struct("level", "page")).over(following)
-    stop = F.get(F.filter(ahead, lambda x: x["level"] <= F.col("level")), F.lit(0))["page"]
-    return outline.withColumn("end", F.greatest(F.col("page"), F.coalesce(stop - 1, F.col(last_page))))
+    stops = [F.first(F.when(F.col("level") <= n, F.col("page")), ignorenulls=True).over(following) for n in range(1, depth + 1)]
+    deep = F.raise_error(F.concat(F.lit("outline level "), F.col("level").cast("string"))).cast("int")
+    level = F.when(F.col("level") > depth, deep).otherwise(F.greatest(F.col("level"), F.lit(1)))
+    found = outline.withColumn("__stop", F.element_at(F.array(*stops), level.cast("int")))
+    return found.withColumn("end", F.greatest(F.col("page"), F.coalesce(F.col("__stop") - 1, F.col(last_page)))).drop("__stop")
+
+
+def outline_level(outline: DataFrame, key: str) -> DataFrame:
+    """The level that most entries of a document have, of equals the highest: level, n."""
+    return first_by(outline.groupBy(key, "level").agg(F.count("*").alias("n")), [key], F.col("n").desc(), F.col("level").asc())

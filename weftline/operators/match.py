@@ -6,56 +6,81 @@ Every stage works on the rows that no stage before has matched (anti joins), so
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from weftline.functions import text
+from weftline.operators.ranking import best_scored
+from weftline.session import written
 
 
 def exact_merge(probe: DataFrame, kb: DataFrame, keys: list[str], suggestion: list[str]) -> DataFrame:
     """Probe keys (each once) with the suggestions of the equal record keys; blank keys match nothing.
 
-    Returns key, n and suggestions array<struct> in the order of their fields.
+    Returns key_hash, n and suggestions array<struct> in the order of their fields. Keys are joined and grouped by the
+    hash of their normalised parts, so whole texts may be keys without being shuffled.
     """
-    left = probe.select(text.composite_key(*[F.col(k) for k in keys]).alias("key")).where("key <> ''").distinct()
-    right = kb.select(text.composite_key(*[F.col(k) for k in keys]).alias("key"), F.struct(*suggestion).alias("s")).where("key <> ''")
-    return left.join(right, "key").groupBy("key").agg(F.count("*").alias("n"), F.array_sort(F.collect_list("s")).alias("suggestions"))
+    hashed = text.key_hash(*[text.normalise(F.col(k)) for k in keys]).alias("key_hash")
+    left = probe.select(hashed).where("key_hash is not null").distinct()
+    right = kb.select(hashed, F.struct(*suggestion).alias("s"))
+    return left.join(right, "key_hash").groupBy("key_hash").agg(F.count("*").alias("n"), F.array_sort(F.collect_list("s")).alias("suggestions"))
+
+
+def lower_join(probe: DataFrame, kb: DataFrame, pairs: list[tuple[str, str]], confidence: float = 1.0) -> DataFrame:
+    """Rows whose columns are equal but for case (white space counts), nulls matching nothing, with ``confidence``."""
+    return _hash_join(probe, kb, pairs, F.lower, confidence)
 
 
 def deep_join(probe: DataFrame, kb: DataFrame, pairs: list[tuple[str, str]], confidence: float = 0.95) -> DataFrame:
-    """Rows whose deep-normalised columns are equal and none blank, with ``confidence``."""
-    l_keys = [text.deep_normalise(F.col(a)) for a, _ in pairs]
-    left = reduce(lambda d, i: d.withColumn(f"__d{i}", l_keys[i]).where(F.col(f"__d{i}") != ""), range(len(pairs)), probe)
-    right = reduce(lambda d, i: d.withColumn(f"__d{i}", text.deep_normalise(F.col(pairs[i][1]))), range(len(pairs)), kb)
-    keys = [f"__d{i}" for i in range(len(pairs))]
-    return left.join(right, keys).drop(*keys).withColumn("confidence", F.lit(confidence))
+    """Rows whose deep-normalised columns are equal and none blank, with ``confidence``."""
+    return _hash_join(probe, kb, pairs, text.deep_normalise, confidence)
+
+
+def keyed(df: DataFrame, columns: list[str], normalise: Callable[[Column], Column] = text.deep_normalise) -> DataFrame:
+    """``df`` with ``key_hash`` of its normalised columns."""
+    return df.withColumn("key_hash", text.key_hash(*[normalise(F.col(c)) for c in columns]))
+
+
+def _hash_join(probe: DataFrame, kb: DataFrame, pairs: list[tuple[str, str]], normalise: Callable[[Column], Column], confidence: float) -> DataFrame:
+    left, right = keyed(probe, [a for a, _ in pairs], normalise), keyed(kb, [b for _, b in pairs], normalise)
+    return left.join(right, "key_hash").drop("key_hash").withColumn("confidence", F.lit(confidence))
 
 
 def blocked_fuzzy(probe: DataFrame, kb: DataFrame, block: str, probe_text: str, kb_text: str, least: float = 0.75, base: float = 0.80, gain: float = 0.12, native: bool = False, same: bool = True) -> DataFrame:
-    """Within a block the records whose text is most alike, all ties, at ``least`` or more.
+    """Within a block the records whose text is most alike by T04, all ties, at ``least`` or more.
 
-    similarity, confidence = base + gain * similarity. ``native`` uses containment only and stays out of Python. Without ``same`` equal texts don't count.
+    similarity, confidence = base + gain * similarity. Without ``same`` equal texts don't count. Pairs that can't reach
+    ``least`` by the characters they share never leave the JVM; only those that may are compared in Python. ``native`` uses containment only.
     """
     both = probe.join(kb, block)
     both = both if same else both.where(F.col(probe_text) != F.col(kb_text))
-    alike = text.containment(F.col(probe_text), F.col(kb_text)) if native else text.fuzzy_score(F.col(probe_text), F.col(kb_text))
-    scored = both.withColumn("similarity", alike).where(F.col("similarity") >= least)
+    a, b = F.col(probe_text), F.col(kb_text)
+    held = both.withColumn("__held", text.containment(a, b))
+    sure = held.where(F.col("__held") >= least).withColumnRenamed("__held", "similarity")
+    if not native:
+        hopeful = held.where(F.col("__held").isNull() & (text.ratio_bound(a, b) >= least)).drop("__held")
+        sure = sure.unionByName(hopeful.withColumn("similarity", text.ratio(a, b)).where(F.col("similarity") >= least))
+    scored = sure
     best = scored.withColumn("r", F.rank().over(Window.partitionBy(block, probe_text).orderBy(F.desc("similarity")))).where("r = 1").drop("r")
     return best.withColumn("confidence", F.round(F.lit(base) + gain * F.col("similarity"), 4))
 
 
-def staged(probe: DataFrame, key: str, stages: list[tuple[str, callable]]) -> DataFrame:
+def staged(probe: DataFrame, key: str, stages: list[tuple[str, Callable[[DataFrame], DataFrame]]]) -> DataFrame:
     """``stages`` are (name, function from the rows left to matches with ``key``); stage is added to the matches.
 
-    All matches of the first stage that matches a row are returned.
+    All matches of the first stage that matches a row are returned. Each stage's matches are written once and read for
+    the result and for what is left, so no stage is computed again by those after it.
     """
     left, found = probe, []
-    for name, match in stages:
+    for n, (name, match) in enumerate(stages):
         hit = match(left).withColumn("stage", F.lit(name))
+        if n + 1 < len(stages):
+            hit = written(hit, f"stage-{name}")
+            left = left.join(hit.select(key).distinct(), key, "left_anti")
         found.append(hit)
-        left = left.join(hit.select(key).distinct(), key, "left_anti")
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), found)
 
 
@@ -124,12 +149,39 @@ def paired(a: DataFrame, b: DataFrame, key: str) -> DataFrame:
     return both.withColumn("unpaired", F.col("__l").isNull() | F.col("__r").isNull()).drop("__l", "__r")
 
 
+def strictly_paired(a: DataFrame, b: DataFrame, key: str) -> DataFrame:
+    """J15 as a check: the paired rows, or an error at run time that names an id of one side."""
+    both = paired(a, b, key)
+    fail = F.raise_error(F.concat(F.lit(f"unpaired {key}: "), F.coalesce(F.col(key).cast("string"), F.lit("null")))).cast("boolean")
+    return both.where(F.when(F.col("unpaired"), fail).otherwise(F.lit(True))).drop("unpaired")
+
+
 def leakage(held_out: DataFrame, known: DataFrame, id_column: str, held_text: str, known_id: str, known_text: str) -> DataFrame:
     """Held-out keys among known ones under two normalisations: ids and the normalisation, each once."""
 
     def variants(df: DataFrame, id_: str, column: str, name: str) -> DataFrame:
         plain, deep = text.normalise(F.col(column)), text.deep_normalise(F.col(column))
-        pairs = F.array(F.struct(F.lit("exact").alias("kind"), plain.alias("variant")), F.struct(F.lit("deep").alias("kind"), deep.alias("variant")))
-        return df.select(F.col(id_).alias(name), F.inline(pairs)).where("variant <> ''")
+        pairs = F.array(F.struct(F.lit("exact").alias("kind"), text.key_hash(plain).alias("variant")), F.struct(F.lit("deep").alias("kind"), text.key_hash(deep).alias("variant")))
+        return df.select(F.col(id_).alias(name), F.inline(pairs)).where("variant is not null")
 
     return variants(held_out, id_column, held_text, "held_id").join(variants(known, known_id, known_text, "known_id"), ["kind", "variant"]).select("held_id", "known_id", "kind").distinct()
+
+
+def left_best(df: DataFrame, recommendations: DataFrame, key: str, score: str, seq: str) -> DataFrame:
+    """Every row of a sheet with the best-scored recommendation of its number, the first of equals; rows without one keep nulls."""
+    return df.join(best_scored(recommendations, [key], score, seq).drop(score, seq), key, "left")
+
+
+def cross_references(templates: DataFrame, updates: DataFrame, rules: DataFrame) -> DataFrame:
+    """Cells (sheet, row, col, value) of the variables that a rule refers to another sheet, on sheets that have updates but for the source itself.
+
+    templates: sheet, variable, row, col; updates: sheet; rules: variable, source_sheet, value, a table that people write.
+    """
+    touched = updates.select("sheet").distinct()
+    hits = templates.join(rules, "variable").where(F.col("sheet") != F.col("source_sheet"))
+    return hits.join(touched, "sheet", "left_semi").select("sheet", "row", "col", "value")
+
+
+def not_in(df: DataFrame, other: DataFrame, key: str) -> DataFrame:
+    """The distinct values of ``key`` that ``other`` lacks."""
+    return df.select(key).where(F.col(key).isNotNull()).distinct().join(other.select(key), key, "left_anti")

@@ -11,6 +11,9 @@ from weftline.operators.ranking import best_keep_place, score_of
 #: Endings that are stripped before a name is looked up again.
 SUFFIXES = ("DESC", "NAME", "CODE", "TEXT", "VALUE", "LABEL", "NUM", "IND")
 
+#: Variables of every supplementary data set, which no qualifier may be named like.
+SUPP_VARIABLES = ("RDOMAIN", "IDVAR", "IDVARVAL", "QNAM", "QLABEL", "QVAL", "QORIG", "QEVAL")
+
 
 def classify(domain: Column, variable: Column) -> Column:
     """not_submitted, supp or standard."""
@@ -60,3 +63,33 @@ def closest_name(rows: DataFrame, catalogue: DataFrame, least: float = 0.6) -> D
     scored = both.withColumn("ratio", F.when(F.col("name") == F.col("bare"), F.lit(1.0)).otherwise(ratio(F.col("variable"), F.col("name")))).where(F.col("ratio") >= least)
     w = Window.partitionBy("domain", "variable").orderBy(F.desc("ratio"), "name")
     return scored.withColumn("r", F.row_number().over(w)).where("r = 1").select("domain", "variable", F.col("name").alias("closest"), F.round("ratio", 4).alias("ratio"))
+
+
+def supp_records(rows: DataFrame, catalogue: DataFrame) -> DataFrame:
+    """Supplementary rows as the contract wants them: sdtm_variable QVAL, kind supp, a legal supp_variable, and supp_dataset.
+
+    rows: domain, variable_name, supp_variable, sdtm_variable, auto_corrected, supp_dataset. The qualifier is the first
+    candidate whose token is legal and neither a supplementary nor a standard variable of the base domain: the given
+    one, the variable's name and the target, the name before the given one in corrected rows; else a token of the name made unlike any.
+    """
+    base = F.regexp_replace(F.upper(F.trim(blank(F.col("domain")))), "^SUPP", "")
+    # A domain's variables are a short list that people write.
+    names = catalogue.groupBy(F.col("domain").alias("__base")).agg(F.collect_set("variable").alias("__standard"))
+    both = rows.withColumn("__base", base).join(names, "__base", "left")
+    given, name, target = (stable_token(F.col(c)) for c in ("supp_variable", "variable_name", "sdtm_variable"))
+    candidates = F.when(F.coalesce("auto_corrected", F.lit(False)), F.array(name, given, target)).otherwise(F.array(given, name, target))
+    taken = lambda t: t.isin(*SUPP_VARIABLES) | F.coalesce(F.array_contains(F.col("__standard"), t), F.lit(False))
+    first = F.get(F.filter(candidates, lambda t: t.rlike("^[A-Z][A-Z0-9]{0,7}$") & ~taken(t)), F.lit(0))
+    made = F.when(taken(name), stable_token(F.concat(F.lit("SUPP|"), blank(F.col("variable_name"))))).otherwise(name)
+    qualifier = F.coalesce(first, F.nullif(made, F.lit("")), F.lit("COMMENT"))
+    dataset = F.when(F.col("__base") != "", F.concat(F.lit("SUPP"), "__base")).otherwise(F.coalesce(F.nullif(F.col("supp_dataset"), F.lit("")), F.lit("SUPPXX")))
+    out = both.withColumn("supp_variable", qualifier).withColumn("supp_dataset", dataset)
+    return out.withColumn("sdtm_variable", F.lit("QVAL")).withColumn("kind", F.lit("supp")).drop("__base", "__standard")
+
+
+def cleaned(rows: DataFrame) -> DataFrame:
+    """the columns that leave the chain; those of supplementary data sets are null for all other rows."""
+    supp = F.lower(blank(F.col("kind"))) == "supp"
+    filled = [F.coalesce(F.col(c), F.lit("")).alias(c) for c in ("domain", "sdtm_variable", "kind")]
+    own = [F.when(supp, F.coalesce(F.col(c), F.lit(""))).alias(c) for c in ("supp_dataset", "supp_variable")]
+    return rows.select(*filled, F.coalesce("score", F.lit(0.9)).alias("score"), *[F.coalesce(F.col(c), F.lit("")).alias(c) for c in ("testcd", "source")], "variable_name", *own)

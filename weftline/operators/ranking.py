@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from weftline.session import written
+
 
 def score_of(c: Column) -> Column:
     """A score that doesn't parse, or is no number, counts 0."""
@@ -80,3 +82,26 @@ def ordered_distinct(df: DataFrame, keys: list[str], seq: str, value: str, n: in
 def severity_order(c: Column) -> Column:
     """Error before warning before the rest."""
     return F.when(F.lower(c) == "error", 0).when(F.lower(c) == "warning", 1).otherwise(2)
+
+
+def by_score(df: DataFrame, table: str, score: str, seq: str) -> DataFrame:
+    """The rows of each table numbered (place) by score, best first."""
+    return df.withColumn("place", F.row_number().over(Window.partitionBy(table).orderBy(score_of(F.col(score)).desc(), F.col(seq).asc())))
+
+
+def numbered(df: DataFrame, *order: str, out: str = "number") -> DataFrame:
+    """Rows numbered from 1 in one order over the whole table.
+
+    The table is sorted by ranges and written with the place of each row in its range; the rows before a range are a sum over
+    one row for each range. So no task sees more than its range.
+    """
+    sorted_ = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__id", F.monotonically_increasing_id())
+    placed = written(sorted_, "numbered").withColumn("__range", F.shiftright("__id", 33)).withColumn("__place", F.col("__id").bitwiseAND((1 << 33) - 1))
+    sizes = placed.groupBy("__range").agg(F.count("*").alias("n"))
+    before = sizes.select("__range", F.coalesce(F.sum("n").over(Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__before"))
+    return placed.join(F.broadcast(before), "__range").withColumn(out, F.col("__before") + F.col("__place") + 1).drop("__id", "__range", "__place", "__before")
+
+
+def above(df: DataFrame, score: str, least: float) -> DataFrame:
+    """rows with a score of ``least`` at least; a score that is no number counts 0."""
+    return df.where(score_of(F.col(score)) >= least)

@@ -7,12 +7,19 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from weftline.functions.mapping import number_order
+
 
 def union_aligned(*frames: DataFrame) -> DataFrame:
     """UNION ALL by name, columns that are missing null."""
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)
 
 
+def union_sorted(column: str, *frames: DataFrame) -> DataFrame:
+    """UNION ALL by name in order of a column that is read as a number; what is none comes last."""
+    return union_aligned(*frames).orderBy(number_order(F.col(column)))
+
+
 def union_distinct(*frames: DataFrame) -> DataFrame:
     """U03."""
     return union_aligned(*frames).distinct()

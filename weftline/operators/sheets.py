@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from weftline.functions.text import blank, chunk
+from weftline.functions.text import blank, chunk, mask
 from weftline.operators.ranking import first_by
 
 
@@ -58,6 +58,13 @@ def near_table(a: Column, b: Column) -> Column:
     return (x != "") & (y != "") & (x.contains(y) | y.contains(x))
 
 
+def near_tables(df: DataFrame, names: DataFrame, column: str, name: str, most: int = 10_000) -> DataFrame:
+    """J29 as a join with the list of known tables, which is broadcast and refused over ``most`` rows."""
+    if names.limit(most + 1).count() > most:
+        raise ValueError(f"lists of tables are broadcast and may have {most} rows at most")
+    return df.join(F.broadcast(names), near_table(F.col(column), F.col(name)))
+
+
 def update_plan(updates: DataFrame, cells: DataFrame, keys: list[str]) -> DataFrame:
     """Updates with whether their cell is there: written or skipped."""
     there = cells.select(*keys).distinct().withColumn("__c", F.lit(1))
@@ -88,3 +95,39 @@ def manifest_issues(rows: DataFrame, required: tuple[str, ...], allowed: tuple[s
     blanks = [F.struct(F.lit("blank:" + c).alias("issue"), F.count_if(F.trim(blank(F.col(c))) == "").alias("n")) for c in required if c in names]
     out = [F.struct(F.lit(x).alias("issue"), F.lit(1).cast("long").alias("n")) for x in fixed]
     return rows.agg(F.array(*blanks, *out).alias("i")).select(F.inline("i")).where("n > 0")
+
+
+def session_chunks(rows: DataFrame, source_file: str, seq: str, extra: tuple[str, ...] = ("annotation_variable", "metadata_table", "SDTM_Domain", "SDTM_Variable")) -> DataFrame:
+    """A masked chunk (chunk_id, chunk_text, source_ref, row_index) for each row of an uploaded sheet: table, variable and what else is filled.
+
+    Required columns are found whatever their case; without them there are no chunks. Row numbers come from ``seq``.
+    """
+    lower = {c.lower(): c for c in reversed(rows.columns)}
+    need = ("annotation_table", "metadata_variable")
+    schema = "chunk_id string, chunk_text string, source_ref string, row_index long"
+    if not all(c in lower for c in need):
+        return rows.sparkSession.createDataFrame([], schema)
+    said = lambda label, c: F.when(~F.lower(F.trim(blank(F.col(c)))).isin("", "nan", "none"), F.concat(F.lit(f"{label}: "), F.trim(blank(F.col(c)))))
+    parts = [said("表", lower[need[0]]), said("变量", lower[need[1]]), *[said(c, c) for c in extra if c in rows.columns]]
+    ref = F.substring(F.sha2(F.lit(source_file), 256), 1, 16)
+    text = F.concat_ws(" | ", *parts)
+    out = rows.select(F.concat_ws("_", ref, F.col(seq).cast("string")).alias("chunk_id"), mask(text).alias("chunk_text"), ref.alias("source_ref"), F.col(seq).cast("long").alias("row_index"))
+    return out.where("chunk_text <> ''")
+
+
+def failures(recommendations: DataFrame, issues: DataFrame) -> DataFrame:
+    """n_failed distinct (table, variable) that fell back or are pending, and n_errors distinct issues of severity error, in one row.
+
+    recommendations: table_name, variable_name, sdtm_variable, source; issues: severity and any fields.
+    """
+    target = blank(F.col("sdtm_variable"))
+    failed = (F.upper(blank(F.col("source"))) == "FALLBACK") | F.upper(target).endswith("_PENDING")
+    name = F.coalesce(F.nullif(F.col("variable_name"), F.lit("")), F.nullif(target, F.lit("")), F.lit("unknown"))
+    one = recommendations.agg(F.count_distinct(F.when(failed, F.struct(blank(F.col("table_name")), name))).alias("n_failed"))
+    two = issues.where(F.lower(blank(F.col("severity"))) == "error").agg(F.count_distinct(F.struct("*")).alias("n_errors"))
+    return one.crossJoin(two)  # one row by one row
+
+
+def allowed_metrics(metrics: DataFrame, allowed: tuple[str, ...]) -> DataFrame:
+    """of a table of metrics the columns that may be reported."""
+    return metrics.select(*[c for c in allowed if c in metrics.columns])

@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from weftline.plans import mappings, relational, textual
+from weftline.plans import mappings, records, relational, textual
 
-MODULES = [relational, textual, mappings]
+MODULES = [relational, textual, mappings, records]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -46,9 +46,9 @@ def _(spark, sf):
     return table(spark, sf, "orders").select("o_orderkey", F.when(price < 50000, price).alias("low"), F.when(price > 300000, price).alias("high")).na.drop("all", subset=["low", "high"])
 
 
-@query("f20_rejected_qualifiers", "SELECT p_partkey, upper(p_name) AS qnam FROM part WHERE upper(p_name) NOT IN (SELECT upper(p_name) FROM part WHERE p_size > 40)")
+@query("f20_rejected_qualifiers", "SELECT p_partkey, upper(p_brand || p_name) AS qnam FROM part WHERE upper(p_brand || p_name) NOT IN (SELECT upper(p_brand || p_name) FROM part WHERE p_size > 40)")
 def _(spark, sf):
-    part = table(spark, sf, "part").select("p_partkey", F.upper("p_name").alias("qnam"), "p_size")
+    part = table(spark, sf, "part").select("p_partkey", F.upper(F.concat("p_brand", "p_name")).alias("qnam"), "p_size")
     return recommend.rejected_qualifiers(part, part.where("p_size > 40").select(F.col("qnam").alias("variable"))).select("p_partkey", "qnam")
 
 
@@ -170,9 +170,9 @@ def _(spark, sf):
     return sheets.parents(rows, names, "name", ("CODE", "NAME"))
 
 
-@query("j29_near_tables", "SELECT r_name, n_name FROM region, nation WHERE contains(lower(n_name), lower(left(r_name, 2))) OR contains(lower(left(r_name, 2)), lower(n_name))")
+@query("j29_near_tables", "SELECT r_name, n_name FROM region, nation WHERE contains(lower(n_name), lower(right(r_name, 1))) OR contains(lower(right(r_name, 1)), lower(n_name))")
 def _(spark, sf):
-    return table(spark, sf, "region").join(F.broadcast(table(spark, sf, "nation")), sheets.near_table(F.col("n_name"), F.substring("r_name", 1, 2))).select("r_name", "n_name")
+    return sheets.near_tables(table(spark, sf, "region").withColumn("ending", F.right("r_name", F.lit(1))), table(spark, sf, "nation"), "ending", "n_name").select("r_name", "n_name")
 
 
 @query("k03_cell_styles", "SELECT o_orderkey, CASE WHEN o_orderstatus = 'P' THEN 'ai_only' WHEN o_custkey % 7 = 0 THEN 'unmapped' WHEN o_totalprice / 500000 >= 0.9 THEN 'score_high' WHEN o_totalprice / 500000 >= 0.7 THEN 'score_medium' ELSE 'score_low' END AS style FROM orders")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from weftline.functions import text
@@ -22,6 +23,11 @@ def query(name: str, sql: str):
     return add
 
 
+#: Unicode white space as a SQL string, and the SQL of deep normalisation.
+_WHITE = f"'{text.WHITE}'"
+_DEEP = f"translate(regexp_replace(lower(trim(coalesce({{0}}, ''), {_WHITE})), '{text.BRACKETED}', '', 'g'), '{text.SLASHES + text.WHITE + text.PUNCTUATION}', '')"
+
+
 # Scans and filters ---------------------------------------------------------------------------------------------------
 
 
@@ -71,28 +77,38 @@ def _(spark, sf):
 
 @query(
     "j01_exact_merge",
-    """WITH k AS (SELECT doc_id, source, lang, lower(trim(text)) || '|||' || lower(trim(lang)) AS key FROM documents WHERE trim(text) <> '' AND trim(lang) <> '')
+    f"""WITH k AS (SELECT doc_id, source, lang, lower(trim(text, {_WHITE})) || '|||' || lower(trim(lang, {_WHITE})) AS key FROM documents WHERE trim(text, {_WHITE}) <> '' AND trim(lang, {_WHITE}) <> '')
     SELECT md5(key) AS key, count(*) AS n, string_agg(doc_id || ':' || source, ',' ORDER BY doc_id) AS suggestions FROM k GROUP BY key""",
 )
 def _(spark, sf):
     docs = table(spark, sf, "documents")
     found = match.exact_merge(docs, docs, ["text", "lang"], ["doc_id", "source"])
     listed = F.array_join(F.transform("suggestions", lambda s: F.concat_ws(":", s["doc_id"].cast("string"), s["source"])), ",")
-    return found.select(F.md5("key").alias("key"), "n", listed.alias("suggestions"))
+    return found.select(F.col("key_hash").alias("key"), "n", listed.alias("suggestions"))
 
 
-_DEEP = "regexp_replace(regexp_replace(regexp_replace(lower(trim({0})), '[(][^)]*[)]', '', 'g'), '[/\\\\]', '', 'g'), '[\\s_\\-.,;:]+', '', 'g')"
+@query(
+    "j02_lower_join",
+    """WITH p AS (SELECT l_orderkey, l_linenumber, l_returnflag AS t, l_linestatus || ' ' AS v FROM lineitem), k AS (SELECT min(o_orderkey) AS other, lower(o_orderstatus) AS v, 'r' AS t FROM orders GROUP BY o_orderstatus UNION ALL SELECT 0, 'F ', 'A')
+    SELECT l_orderkey, l_linenumber, other, CAST(1.0 AS DOUBLE) AS confidence FROM p JOIN k ON lower(p.t) = lower(k.t) AND lower(p.v) = lower(k.v)""",
+)
+def _(spark, sf):
+    probe = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", F.col("l_returnflag").alias("t"), F.concat("l_linestatus", F.lit(" ")).alias("v"))
+    kb = table(spark, sf, "orders").groupBy("o_orderstatus").agg(F.min("o_orderkey").alias("other")).select("other", F.lower("o_orderstatus").alias("kv"), F.lit("r").alias("kt"))
+    kb = kb.unionAll(spark.range(1).select(F.lit(0).cast("long"), F.lit("F "), F.lit("A")))
+    return match.lower_join(probe, kb, [("t", "kt"), ("v", "kv")]).select("l_orderkey", "l_linenumber", "other", "confidence")
 
 
 @query(
     "j03_deep_norm_join",
-    f"""WITH d AS (SELECT doc_id, {_DEEP.format("text")} AS k FROM documents WHERE lang = 'en')
+    f"""WITH d AS (SELECT doc_id, {_DEEP.format("text")} AS k FROM documents)
     SELECT a.doc_id AS doc_id, b.doc_id AS other_id, CAST(0.95 AS DOUBLE) AS confidence FROM d a JOIN (SELECT min(doc_id) AS doc_id, k FROM d GROUP BY k) b ON a.k = b.k WHERE a.k <> '' AND a.doc_id <> b.doc_id""",
 )
 def _(spark, sf):
-    docs = table(spark, sf, "documents").where("lang = 'en'").select("doc_id", "text")
-    first = docs.withColumn("k", text.deep_normalise(F.col("text"))).groupBy("k").agg(F.min_by(F.struct(F.col("doc_id").alias("other_id"), F.col("text").alias("other")), "doc_id").alias("s")).select("s.*")
-    return match.deep_join(docs, first, [("text", "other")]).where("doc_id <> other_id").select("doc_id", "other_id", "confidence")
+    # Every document with the first one of its key, as a window over short keys: the key is made once for each text.
+    docs = match.keyed(table(spark, sf, "documents").select("doc_id", "text"), ["text"]).select("doc_id", "key_hash").where("key_hash is not null")
+    first = F.min("doc_id").over(Window.partitionBy("key_hash"))
+    return docs.withColumn("other_id", first).where("doc_id <> other_id").select("doc_id", "other_id", F.lit(0.95).alias("confidence"))
 
 
 @query(
@@ -209,7 +225,7 @@ def _(spark, sf):
     return match.leakage(docs.where("doc_id % 5 = 0"), docs.where("doc_id % 5 <> 0"), "doc_id", "text", "doc_id", "text")
 
 
-_KEYWORDS = [("steel", "metal", 1), ("polished", "finish", 2), ("polished steel", "both", 3), ("brass", "metal", 4), ("ro", "short", 5), ("promo", "offer", 6), ("economy", "offer", 7), ("an", "short", 8)]
+_KEYWORDS = [("steel", "metal", 1), ("polished", "finish", 2), ("polished steel", "both", 3), ("brass", "metal", 4), ("ro", "short", 5), ("promo", "offer", 6), ("economy", "offer", 7), ("an", "short", 8), ("rod", "short", 9)]
 
 
 @query(
@@ -226,11 +242,12 @@ def _(spark, sf):
 @query(
     "j20_keyword_tokens",
     f"""WITH w(word, label, seq) AS (VALUES {", ".join(f"('{w}', '{x}', {n})" for w, x, n in _KEYWORDS)})
-    SELECT p_partkey, word FROM part JOIN w ON CASE WHEN length(word) <= 3 THEN lower(p_name) = word OR list_contains(regexp_split_to_array(lower(p_name), '[^a-z0-9]+'), word) ELSE contains(lower(p_name), word) END""",
+    SELECT p_partkey, word FROM part JOIN w ON CASE WHEN length(word) <= 3 THEN lower(p_name || '/' || p_type) = word OR list_contains(regexp_split_to_array(lower(p_name || '/' || p_type), '[^a-z0-9]+'), word) ELSE contains(lower(p_name || '/' || p_type), word) END""",
 )
 def _(spark, sf):
     words = spark.createDataFrame(_KEYWORDS, "word string, label string, seq int")
-    return match.keyword_hits(table(spark, sf, "part"), "p_name", words).select("p_partkey", "word")
+    part = table(spark, sf, "part").select("p_partkey", F.concat_ws("/", "p_name", "p_type").alias("t"))
+    return match.keyword_hits(part, "t", words).select("p_partkey", "word")
 
 
 @query("j22_overlap_split", "SELECT c_custkey, c_custkey IN (SELECT o_custkey FROM orders WHERE o_orderpriority LIKE '1%') AS urgent FROM customer")

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import os
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -24,3 +28,24 @@ def local_session(cpus: int = 8, shuffle_partitions: int = 8, memory: str = "8g"
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the parquet tables below ``sf_dir``; Catalyst prunes columns and pushes filters into it."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def shared_path(spark: SparkSession, label: str) -> str:
+    """A new path below ``spark.checkpoint.dir``, the folder that driver and executors share.
+
+    Where that is unset, a local session (one machine) takes a temporary folder; on a cluster it is an error.
+    """
+    top = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not top:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        top = "file://" + os.path.join(tempfile.gettempdir(), "weftline-shared")
+    return f"{top}/{label}-{uuid.uuid4().hex}"
+
+
+def written(df: DataFrame, label: str) -> DataFrame:
+    """``df`` as a table in the shared folder, read again: what is used several times is computed once and survives lost executors."""
+    path = shared_path(df.sparkSession, label)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

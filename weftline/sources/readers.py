@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
 
 from weftline.functions.text import blank
+from weftline.operators.ranking import first_by
 
 
 def read_records(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame | None:
@@ -25,11 +26,11 @@ def read_records(spark: SparkSession, path: str, schema: str | None = None) -> D
         if suffix == ".jsonl":
             return reader.json(path)
         if suffix == ".json":
-            return reader.option("multiLine", True).json(path)
+            return reader.option("multiLine", not _is_lines(spark, path)).json(path)
         if suffix in (".csv", ".tsv", ".txt"):
             return reader.option("header", True).option("sep", "," if suffix == ".csv" else "\t").csv(path)
         if suffix in (".xlsx", ".xlsm", ".xls"):
-            return read_workbook(spark, path)
+            return read_workbook(spark, path) if _there(spark, path) else None
         if suffix in (".yaml", ".yml"):
             return read_yaml(spark, path)
     except AnalysisException:
@@ -37,6 +38,17 @@ def read_records(spark: SparkSession, path: str, schema: str | None = None) -> D
     raise ValueError(f"no reader for {suffix} files")
 
 
+def _there(spark: SparkSession, path: str) -> bool:
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark._jsc.hadoopConfiguration()).exists(target)
+
+
+def _is_lines(spark: SparkSession, path: str) -> bool:
+    """Whether a JSON file has an object a line, as Spark writes them; else it is one document over its lines."""
+    first = spark.read.text(path).where(F.trim("value") != "").first()
+    return first is None or first.value.strip()[:1] == "{" and first.value.strip()[-1:] == "}"
+
+
 def first_there(spark: SparkSession, paths: list[str]) -> DataFrame | None:
     """The first of several paths that can be read."""
     for path in paths:
@@ -146,6 +158,70 @@ def duplicate_keys(df: DataFrame, keys: list[str]) -> DataFrame:
     return df.groupBy(*keys).agg(F.count("*").alias("n")).where((F.col("n") > 1) | some_blank)
 
 
+def checked_truth(df: DataFrame, keys: list[str]) -> DataFrame:
+    """S15 as a check: the truth table, or an error that names a key that is blank or repeats."""
+    bad = duplicate_keys(df, keys).first()
+    if bad is not None:
+        raise ValueError(f"truth keys must be filled and unique: {tuple(bad[k] for k in keys)} stands {bad['n']} times")
+    return df
+
+
+def checkpoint(spark: SparkSession, base: str, model: str | None = None, context: str | None = None) -> DataFrame | None:
+    """The recommendations of the first checkpoint that is there and fits: ``base.tmp.json``, ``base.json``, ``base.xlsx``; None without one.
+
+    The temporary file is one object with model_name, checkpoint_context and recommendations; it only counts if both are those
+    asked for (a bare list has no identity and doesn't count if a model is asked for). Rows: table_name and the fields of
+    each recommendation; tables or variables without a name are left out.
+    """
+    for suffix in (".tmp.json", ".json", ".xlsx"):
+        found = read_records(spark, base + suffix)
+        if found is None:
+            continue
+        if suffix == ".xlsx":
+            names = {"table_name": ["表", "Metadata Table"], "variable_name": ["变量", "Metadata Variable"], "domain": ["SDTM_Domain", "SDTM Domain"], "sdtm_variable": ["SDTM_Variable", "Representative Variable"], "score": ["Score"], "priority": ["Priority"]}
+            rows = resolve_aliases(found, names, ("table_name", "variable_name"))
+        else:
+            if suffix == ".tmp.json":
+                head = found.first()
+                if "recommendations" in found.columns:
+                    if model and ("model_name" not in found.columns or head["model_name"] != model):
+                        continue
+                    if context is not None and ("checkpoint_context" not in found.columns or head["checkpoint_context"] != context):
+                        continue
+                    found = found.select(F.inline("recommendations"))
+                elif model:
+                    continue
+            if not {"table_name", "domain_recommendations"} <= set(found.columns):
+                continue
+            rows = found.select("table_name", F.inline("domain_recommendations"))
+        filled = (F.trim(blank(F.col("table_name"))) != "") & (F.trim(blank(F.col("variable_name"))) != "")
+        return rows.where(filled)
+    return None
+
+
+#: Variables that every domain has, which the older catalogue leaves out, and the category of a class of domains.
+COMMON_VARIABLES = ("STUDYID", "DOMAIN", "USUBJID")
+CATEGORIES = {"Interventions": "safety", "Events": "safety", "Findings": "laboratory", "Findings About": "laboratory", "Associated Persons": "safety"}
+
+
+def catalogue(spark: SparkSession, first: list[str], older: list[str], otherwise: DataFrame) -> DataFrame:
+    """Domain, category, variable, label (seq in order) of the first file of ``first`` that can be read, else of ``older``, else ``otherwise``.
+
+    first: rows of domain, class, variable, label, seq. older: domain, variable, label, seq without a class; blanks and the
+    variables that every domain has are left out, and of repeated ones the first stays. otherwise: domain, category, without variables.
+    """
+    if (df := first_there(spark, first)) is not None:
+        pairs = [F.lit(x) for item in CATEGORIES.items() for x in item]
+        return df.select("domain", F.coalesce(F.element_at(F.create_map(*pairs), F.col("class")), F.lit("other")).alias("category"), "variable", "label", "seq")
+    if (df := first_there(spark, older)) is not None:
+        rows = df.select(F.upper(F.trim("domain")).alias("domain"), F.trim("variable").alias("variable"), F.trim("label").alias("label"), "seq")
+        rows = rows.where((F.col("domain") != "") & (F.col("variable") != "") & ~F.col("variable").isin(*COMMON_VARIABLES))
+        kept = first_by(rows, ["domain", "variable"], F.col("seq"))
+        return kept.join(otherwise.select("domain", "category"), "domain", "left").select("domain", F.coalesce("category", F.lit("other")).alias("category"), "variable", "label", "seq")
+    nothing = [F.lit(None).cast(t).alias(n) for n, t in (("variable", "string"), ("label", "string"), ("seq", "long"))]
+    return otherwise.select("domain", "category", *nothing)
+
+
 def kb_shape(columns: list[str]) -> str:
     """The kind of a knowledge file by its columns: structured chunks, mappings, or anything else."""
     have = {c.lower() for c in columns}

@@ -18,15 +18,28 @@ def write_records(df: DataFrame, path: str, kind: str, mode: str = "errorifexist
 
 
 def replace_table(df: DataFrame, path: str) -> None:
-    """Writes a staging folder, then moves it into place, so readers see the old or the new table whole."""
+    """Writes a staging folder whole, then moves the old table aside and the new one into its place.
+
+    A failed write leaves the old table as it is, and a failed move puts it back. Between the two moves there is a moment
+    without a table, as file systems can't exchange folders; what an earlier run has left is cleared first.
+    """
     spark = df.sparkSession
     hadoop = spark._jvm.org.apache.hadoop.fs
     new, old, target = hadoop.Path(f"{path}.staging"), hadoop.Path(f"{path}.old"), hadoop.Path(path)
     files = target.getFileSystem(spark._jsc.hadoopConfiguration())
+    if files.exists(old):
+        if files.exists(target):
+            files.delete(old, True)
+        elif not files.rename(old, target):
+            raise OSError(f"can't put {path}.old back")
     df.write.mode("overwrite").parquet(f"{path}.staging")
-    if files.exists(target):
-        files.rename(target, old)
-    files.rename(new, target)
+    there = files.exists(target)
+    if there and not files.rename(target, old):
+        raise OSError(f"can't move {path} aside")
+    if not files.rename(new, target):
+        if there:
+            files.rename(old, target)
+        raise OSError(f"can't move {path}.staging into place")
     files.delete(old, True)
 
 

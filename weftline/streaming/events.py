@@ -27,33 +27,70 @@ def summary(events: DataFrame, time: str = "ts", kind: str = "event_type", value
 
 
 def run_to_table(stream: DataFrame, name: str, checkpoint: str, mode: str = "append") -> DataFrame:
-    """Runs a stream over all that is there into a memory table, for tests and small results."""
+    """Runs a stream over all that is there into a memory table of the driver, for tests and results of a few rows."""
     query = stream.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     query.awaitTermination()
     return stream.sparkSession.table(name)
 
 
-def upsert_stream(stream: DataFrame, target: str, checkpoint: str, keys: list[str], time: str, seq: str) -> None:
+def run_to_files(stream: DataFrame, path: str, checkpoint: str) -> DataFrame:
+    """Runs a stream over all that is there into Parquet files, exactly once; windows that the watermark hasn't closed yet wait for the next run."""
+    query = stream.writeStream.format("parquet").outputMode("append").option("path", path).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    query.awaitTermination()
+    return stream.sparkSession.read.schema(stream.schema).parquet(path)
+
+
+def upsert_stream(stream: DataFrame, target: str, checkpoint: str, keys: list[str], time: str, seq: str, parts: int = 64) -> None:
     """Keeps in ``target`` the latest row of each key by (time, seq), whatever order files come in.
 
-    Each batch is merged with the last version into a new one; the version number is the batch's, so a batch that is run
-    again after a failure writes the same version.
+    Keys are dealt to ``parts`` parts by hash; a batch rewrites the parts that its keys lie in and leaves the others as they
+    are. A state file of each batch names the version of every part, so a reader sees a batch whole or not at all, and a batch
+    that runs again after a failure writes the same version. Versions that neither of the last two states names are deleted.
     """
+    spark = stream.sparkSession
+    part = F.pmod(F.xxhash64(*keys), F.lit(parts)).cast("int")
 
     def merge(batch: DataFrame, number: int) -> None:
-        rows = batch
-        if number:
-            rows = rows.unionByName(batch.sparkSession.read.parquet(f"{target}/v{number - 1}"))
-        latest(rows, keys, time, seq).write.mode("overwrite").parquet(f"{target}/v{number}")
+        rows = batch.withColumn("part", part).persist()
+        touched = [r.part for r in rows.select("part").distinct().collect()]  # at most ``parts``
+        before = _state(spark, target, number - 1)
+        old = [f"{target}/v{before[p]}/part={p}" for p in touched if p in before]
+        merged = rows
+        if old:
+            merged = rows.unionByName(spark.read.schema(batch.schema).parquet(*old).withColumn("part", part))
+        latest(merged, keys, time, seq).repartition(max(1, len(touched)), "part").write.mode("overwrite").partitionBy("part").parquet(f"{target}/v{number}")
+        rows.unpersist()
+        now = before | {p: number for p in touched}
+        spark.createDataFrame(sorted(now.items()), "part int, version long").coalesce(1).write.mode("overwrite").json(f"{target}/state/{number}")
+        used = {*now.items(), *before.items()}
+        files = _files(spark, target)
+        for p, version in _state(spark, target, number - 2).items():
+            if (p, version) not in used:
+                files.delete(spark._jvm.org.apache.hadoop.fs.Path(f"{target}/v{version}/part={p}"), True)
 
     stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
 
 
+def _files(spark: SparkSession, path: str):
+    return spark._jvm.org.apache.hadoop.fs.Path(path).getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def _state(spark: SparkSession, target: str, number: int) -> dict[int, int]:
+    """The version of each part after a batch; empty before the first."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{target}/state/{number}/_SUCCESS")
+    if number < 0 or not _files(spark, target).exists(path):
+        return {}
+    return {r.part: r.version for r in spark.read.schema("part int, version long").json(f"{target}/state/{number}").collect()}
+
+
 def newest_version(spark: SparkSession, target: str) -> DataFrame:
     """The target of ``upsert_stream``."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(target)
-    names = [s.getPath().getName() for s in path.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(path)]
-    return spark.read.parquet(f"{target}/v{max(int(n[1:]) for n in names if n[:1] == 'v')}")
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{target}/state")
+    names = [int(s.getPath().getName()) for s in _files(spark, target).listStatus(path)]
+    for number in sorted(names, reverse=True):
+        if state := _state(spark, target, number):
+            return spark.read.option("mergeSchema", True).parquet(*[f"{target}/v{v}/part={p}" for p, v in sorted(state.items())])
+    raise ValueError(f"{target} has no whole version")
 
 
 def resume(todo: DataFrame, done: DataFrame, keys: list[str]) -> DataFrame:
