@@ -2,7 +2,11 @@
 
 from collections import Counter
 
+import xxhash
+from pyspark.sql import functions as F
+
 import corpus_pipeline
+from weftline.llm import common
 from weftline.llm.line_dedup import LEAST_LINES, chunks, line_dedup, line_runs
 from weftline.llm.queries import op7_line_dedup
 
@@ -88,3 +92,44 @@ def test_runs_of_awkward_texts(spark):
     assert sorted(tuple(r)[:2] for r in line_dedup(df, cut=line_runs).collect()) == [(1, "x\nx"), (2, "y"), (3, "z")]
     assert line_runs("") == line_runs("\n\n") == line_runs("one") == []
     assert line_runs("a\nb\n\n\nc") == [(0, 2), (1, 3), (1, 5), (3, 5)]
+
+
+def own_chunks(lines):
+    """Boundaries by the definition, worked out anew: after a line (the second of its chunk at least) where the hash of it and the one before has two zero bits."""
+    out, start = [], 0
+    h = [xxhash.xxh64(x.encode()).intdigest() for x in lines]
+    for i, x in enumerate(h):
+        both = x if i == start else (h[i - 1] * 1099511628211 + x) % 2**64
+        both ^= both >> 29
+        if i > start and both % 4 == 0:
+            out.append(lines[start : i + 1])
+            start = i + 1
+    return [*out, lines[start:]] if start < len(lines) else out
+
+
+def test_documents_against_an_independent_chunker(spark, small):
+    rows = sorted((r.doc_id, r.text) for r in spark.read.parquet(f"{small}/documents.parquet").collect())
+    seen, expected = set(), {}
+    for key, text in rows:
+        kept = []
+        for chunk in own_chunks(text.split("\n")):
+            body = "\n".join(chunk)
+            if len(chunk) < 2 or not any(c.isalnum() for c in body) or body not in seen:
+                kept += chunk
+            if len(chunk) >= 2:
+                seen.add(body)
+        expected[key] = "\n".join(kept)
+    assert {r.doc_id: r.text for r in op7_line_dedup(spark, small).collect()} == expected
+
+
+def test_a_chunk_of_a_third_of_all_documents(spark):
+    shared = "\n".join(f"shared line {i}" for i in range(12))
+    rows = [(k, f"{shared}\nown {k}\nand {k}" if k % 3 == 0 else f"a {k}\nb {k}\nc {k}") for k in range(300)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    assert sorted((tuple(r) for r in line_dedup(df).collect()), key=str) == brute(rows)
+    found = spark.range(3000).select((F.when(F.col("id") % 3 == 0, 7).otherwise(F.col("id"))).alias("hash"), F.col("id").alias("row"))
+    small = found.groupBy("hash").agg(F.count("*").alias("n"))
+    hot = common.hot_keys(small.select(F.col("hash").alias("key"), "n"))
+    assert [(r.key, r.pieces > 8) for r in hot.collect()] == [(7, True)]
+    joined = common.spread_join(found, small.select("hash", "n"), "hash", hot)
+    assert joined.count() == 3000 and joined.where("hash = 7 and n = 1001").count() == 1001

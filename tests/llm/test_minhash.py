@@ -2,7 +2,9 @@
 
 import hashlib
 import math
+import struct
 
+import xxhash
 from pyspark.sql import functions as F
 
 from weftline.llm import minhash
@@ -71,3 +73,35 @@ def test_bins_are_the_least_values(spark):
     assert set(found.d) <= {5, 7, 9, 11} and len(found.d) == 256 and found.d[63] == 7
     probes = spark.range(256).select(F.col("id").cast("int").alias("b")).select(F.size(F.array_distinct(F.transform(F.sequence(F.lit(0), F.lit(255)), lambda j: minhash._probe(F.col("b"), j)))).alias("n"))
     assert {r.n for r in probes.collect()} == {256}
+
+
+def own_digits(text):
+    """Digits by the definition, in plain Python with another implementation of the hash."""
+    signed = lambda x: x - (x >> 63 << 64)
+    word_hash = lambda w: xxhash.xxh64_intdigest(w.encode(), 42)
+    words = [word_hash(w) for w in text.lower().split()]
+    if not words:
+        return ""
+    bins = {}
+    for i in range(max(1, len(words) - 4)):
+        h = 42
+        for w in words[i : i + 5]:
+            h = xxhash.xxh64_intdigest(struct.pack("<Q", w), h)
+        b, value = h % 256, h >> 9
+        bins[b] = min(bins.get(b, b << 55 | value), b << 55 | value)  # the value goes with its bin
+    out = []
+    for b in range(256):
+        start, step = (b * 40503 + 12345) >> 5, (b * 48271 + 54321) >> 6 | 1
+        asked = [b, *((start % 256 + step % 256 * j) % 256 for j in range(256))]
+        v = next(bins[x] for x in asked if x in bins)
+        digit = xxhash.xxh64_intdigest(struct.pack("<i", b), xxhash.xxh64_intdigest(struct.pack("<q", signed(v)), 42))
+        out.append("0123456789abcdef"[digit % 16])
+    return "".join(out)
+
+
+def test_digits_are_those_of_an_independent_computation(spark, small):
+    rows = {r.doc_id: r.text for r in spark.read.parquet(f"{small}/documents.parquet").collect()}
+    found = op3_minhash(spark, small).collect()
+    expected = edits(sorted(rows.items()))
+    for r in found[:60]:
+        assert r.fingerprint == own_digits(rows[r.doc_id]) and r.edited_fingerprint == own_digits(expected[r.doc_id][0])

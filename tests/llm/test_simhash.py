@@ -154,7 +154,8 @@ def test_tiles_are_skipped_by_population_count(spark):
     prints = np.unique(np.concatenate([prints, np.bitwise_xor.outer(prints, np.uint64(1) << rng.integers(0, 64, 4).astype(np.uint64)).ravel()]))
     tally = [0, 0]
     roots = simhash.tile_links(prints[:, None], np.zeros(len(prints), np.int64), False, 4, None, 0.0, tally)
-    assert tally[0] == (n := -(-len(prints) // simhash.TILE)) * (n + 1) // 2 and tally[1] >= 0.2 * tally[0]
+    n = -(-len(prints) // simhash.TILE)
+    assert tally[0] == n * (n + 1) // 2 and tally[1] >= 0.2 * tally[0]
     links = [(i, j) for i in range(0, len(prints), 7) for j in range(len(prints)) if (int(prints[i]) ^ int(prints[j])).bit_count() <= 4]
     assert len(links) > 500 and all(roots[i] == roots[j] for i, j in links)
 
@@ -175,3 +176,11 @@ def test_a_fingerprint_of_a_third_of_all_rows(spark):
     rows = [(k, "" if k % 3 else f"text number {k} of some words") for k in range(600)]
     df = spark.createDataFrame(rows, "doc_id bigint, text string")
     assert sorted(tuple(r) for r in simhash.simhash_components(df).collect()) == brute(rows)
+
+
+def test_near_duplicates_of_a_thousand_documents_are_exact(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    rows = [(r.doc_id, r.text) for r in docs.collect()]
+    expected = exact(rows)
+    assert {r.doc_id: r.component_id for r in simhash.near_duplicates(docs).collect()} == expected
+    assert sum(k != v for k, v in expected.items()) > 20

@@ -27,8 +27,25 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
+#: Paths that this driver has made in the shared folder and not deleted, in order.
+_PATHS: list[str] = []
+
+
 def new_path(spark: SparkSession, label: str) -> str:
-    return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    _PATHS.append(path)
+    return path
+
+
+def mark() -> int:
+    """A point in the list of helper tables, for ``clear``."""
+    return len(_PATHS)
+
+
+def clear(spark: SparkSession, since: int, keep: tuple[str, ...] = ()) -> None:
+    """Deletes the helper tables made since ``mark``, but for ``keep``. Call it when the results that read them are written: they are lazy."""
+    for path in [p for p in _PATHS[since:] if p not in keep]:
+        delete_path(spark, path)
 
 
 def written(df: DataFrame, label: str) -> DataFrame:
@@ -42,6 +59,8 @@ def delete_path(spark: SparkSession, path: str) -> None:
     """Deletes a table that nothing reads any more, through the file system of its path."""
     target = spark._jvm.org.apache.hadoop.fs.Path(path)
     target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+    if path in _PATHS:
+        _PATHS.remove(path)
 
 
 def partitions(spark: SparkSession) -> int:
