@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from weftline.operators.intervals import gap_groups
+from weftline.operators.intervals import gap_groups, interval_union
 from weftline.operators.ranking import first_by
 
 
@@ -36,6 +36,20 @@ def merged_lines(lines: DataFrame, key: str, leading: float) -> DataFrame:
     return marked.groupBy(key, "block").agg(F.min("top").alias("top"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("top", "text"))), lambda x: x["text"]), " ").alias("text"))
 
 
+def grid_cells(words: DataFrame, key: str, gap: float = 0.0) -> DataFrame:
+    """The words (top, x0, x1, text) of a page as cells: row (by top), column, text.
+
+    Columns are the bands that words cover from left to right over all lines, those at most ``gap`` apart being one; words of a
+    line in one band are joined by a space. A word lies in exactly one band.
+    """
+    bands = interval_union(words.select(key, "x0", (F.col("x1") + gap).alias("x1")), [key], "x0", "x1").select(key, F.col("start").alias("__a"), F.col("end").alias("__b"), "island")
+    numbered = bands.withColumn("column", F.row_number().over(Window.partitionBy(key).orderBy("__a"))).drop("island")
+    placed = words.join(numbered, key).where((F.col("x0") >= F.col("__a")) & (F.col("x0") <= F.col("__b")))
+    placed = placed.withColumn("row", F.dense_rank().over(Window.partitionBy(key).orderBy("top")))
+    said = F.transform(F.array_sort(F.collect_list(F.struct("x0", "text"))), lambda w: w["text"])
+    return placed.groupBy(key, "row", "column").agg(F.array_join(said, " ").alias("text"))
+
+
 def page_ranges(outline: DataFrame, key: str, last_page: str, depth: int = 9) -> DataFrame:
     """Entries (level from 1, page) with the page before the next entry of the same or a higher level as their end.
 

@@ -53,6 +53,26 @@ def _(spark, sf):
     return readers.resolve_aliases(table(spark, sf, "part"), wanted, ("key", "name"))
 
 
+@query("s11_two_sheets", "SELECT o_orderkey, c_mktsegment FROM orders LEFT JOIN customer ON o_custkey = c_custkey WHERE o_orderstatus = 'O' AND o_orderpriority = '2-HIGH'")
+def _(spark, sf):
+    forms = table(spark, sf, "customer").select(F.col("c_custkey").alias("o_custkey"), "c_mktsegment")
+    return sheets.form_extract(table(spark, sf, "orders"), forms, "o_orderstatus", "o_orderpriority", "o_custkey", "O", "2-HIGH").select("o_orderkey", "c_mktsegment")
+
+
+@query("s13_json_lines", "SELECT event_id, event_type FROM events WHERE value > 50")
+def _(spark, sf):
+    path = shared_path(spark, "held-out") + ".jsonl"
+    table(spark, sf, "events").where("value > 50").select("event_id", "event_type").write.json(path)
+    return readers.read_records(spark, path, "event_id bigint, event_type string")
+
+
+@query("s19_enriched", "SELECT p_partkey, p_name || coalesce(' | ' || k, '') AS text FROM part LEFT JOIN (SELECT p_brand, string_agg(DISTINCT p_type, ', ' ORDER BY p_type) AS k FROM part WHERE p_size > 45 GROUP BY 1) USING (p_brand)")
+def _(spark, sf):
+    part = table(spark, sf, "part")
+    words = part.where("p_size > 45").select("p_brand", F.col("p_type").alias("word"))
+    return sheets.enriched(part.select("p_partkey", "p_brand", F.col("p_name").alias("text")), words, "p_brand").select("p_partkey", "text")
+
+
 @query("s14_nested_outputs", "SELECT o_custkey, o_orderkey FROM orders")
 def _(spark, sf):
     nested = sinks.nested(table(spark, sf, "orders"), "o_custkey", "o_totalprice", ["o_orderkey"])
@@ -110,6 +130,14 @@ def _(spark, sf):
     return readers.read_records(spark, path, "p_partkey bigint, p_name string, p_type string")
 
 
+@query("k09_four_fields", "SELECT p_brand, p_name, p_type, CAST(p_size AS VARCHAR) AS p_size FROM part WHERE p_partkey % 3 = 0")
+def _(spark, sf):
+    path = shared_path(spark, "four-fields") + ".json"
+    rows = table(spark, sf, "part").where("p_partkey % 3 = 0").select("p_brand", "p_name", "p_type", F.col("p_size").cast("string").alias("p_size"))
+    sinks.write_records(rows, path, "json")
+    return readers.read_records(spark, path, "p_brand string, p_name string, p_type string, p_size string")
+
+
 @query("k05_audit_log", "SELECT event_type, 2 * count(*) AS n FROM events GROUP BY 1")
 def _(spark, sf):
     path = shared_path(spark, "log")
@@ -493,6 +521,18 @@ def _(spark, sf):
     return merged.groupBy("o_custkey").agg(F.count("*").alias("lines"), F.sum(F.size(F.split("text", " "))).alias("texts"))
 
 
+@query(
+    "t46_grid_cells",
+    """WITH w AS (SELECT DISTINCT l_orderkey AS page, l_linenumber AS top, l_linestatus AS s, l_returnflag AS text FROM lineitem), c AS (SELECT *, CASE WHEN s = 'F' THEN 1 ELSE 2 END AS k FROM w)
+    SELECT page, dense_rank() OVER (PARTITION BY page ORDER BY top) AS row, dense_rank() OVER (PARTITION BY page ORDER BY k) AS "column", string_agg(text, ' ' ORDER BY x, text) AS text FROM (SELECT *, k * 100 + CASE text WHEN 'A' THEN 0 WHEN 'N' THEN 10 ELSE 20 END AS x FROM c) GROUP BY page, top, k""",
+)
+def _(spark, sf):
+    lines = table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("page"), F.col("l_linenumber").alias("top"), F.col("l_linestatus").alias("s"), F.col("l_returnflag").alias("text")).distinct()
+    x = F.when(F.col("s") == "F", 100).otherwise(200) + F.when(F.col("text") == "A", 0).when(F.col("text") == "N", 10).otherwise(20)
+    words = lines.withColumn("x0", x.cast("double")).withColumn("x1", F.col("x0") + 8)
+    return layout.grid_cells(words, "page", 15.0)
+
+
 @query("t47_words_by_gaps", "SELECT l_orderkey, count(*) AS words FROM (SELECT l_orderkey, l_linenumber - lag(l_linenumber) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber) AS gap FROM (SELECT DISTINCT l_orderkey, l_linenumber FROM lineitem)) WHERE gap IS NULL OR gap > 1 GROUP BY 1")
 def _(spark, sf):
     chars = table(spark, sf, "lineitem").select("l_orderkey", F.col("l_linenumber").cast("double").alias("x0")).distinct().withColumn("text", F.lit("c"))

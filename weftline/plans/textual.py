@@ -50,9 +50,11 @@ def _(spark, sf):
 
 @query("t04_fuzzy_scores")
 def _(spark, sf):
+    """Pairs of names of a brand with a score of 0.5 or more; those that can't reach it by the characters they share stay out of Python."""
     names = table(spark, sf, "part").select("p_brand", F.lower("p_name").alias("a")).distinct()
     pairs = names.join(names.withColumnRenamed("a", "b"), "p_brand").where("a < b")
-    return pairs.select("p_brand", "a", "b", F.round(text.fuzzy_score(F.col("a"), F.col("b")), 6).alias("score"))
+    hopeful = pairs.where(F.coalesce(text.containment(F.col("a"), F.col("b")), text.ratio_bound(F.col("a"), F.col("b"))) >= 0.5)
+    return hopeful.withColumn("score", F.round(text.fuzzy_score(F.col("a"), F.col("b")), 6)).where("score >= 0.5").select("p_brand", "a", "b", "score")
 
 
 #: Pairs of texts and their scores by the definition (twice the matched characters over all, matches longest first).
