@@ -184,3 +184,13 @@ def test_near_duplicates_of_a_thousand_documents_are_exact(spark):
     expected = exact(rows)
     assert {r.doc_id: r.component_id for r in simhash.near_duplicates(docs).collect()} == expected
     assert sum(k != v for k, v in expected.items()) > 20
+
+
+def test_sketches_differ_in_no_more_bits_than_sets(spark):
+    rng = np.random.default_rng(8)
+    bits = lambda a, b: sum((x ^ y).bit_count() for x, y in zip(a, b, strict=True))
+    for n in (0, 1, 50, 400, 5000):
+        a = np.unique(rng.integers(0, 1 << 63, n))
+        b = np.unique(np.concatenate([a[rng.random(len(a)) < 0.8], rng.integers(0, 1 << 63, n // 5)]))
+        assert bits(*([v & (1 << 64) - 1 for v in simhash.parity(x)] for x in (a, b))) <= len(np.setxor1d(a, b))
+    assert simhash.parity(np.zeros(0, np.int64)) == [0] * simhash.SKETCH

@@ -32,6 +32,7 @@ SAMPLE = 5000
 COMMON = 5
 MOST_COMMON = 200_000
 HUBS = 2
+SKETCH = 8
 
 
 def shingle_hashes(text: str, words: int) -> np.ndarray:
@@ -328,25 +329,35 @@ def common_shingles(df: DataFrame, id_column: str, text_column: str, words: int)
     return [r.token for r in counts.orderBy(F.desc("count"), "token").limit(MOST_COMMON).collect()]
 
 
+def parity(h: np.ndarray) -> list[int]:
+    """``SKETCH`` words of 64 bits, each bit telling whether an odd number of the set's hashes fall on it.
+
+    Two sets' sketches differ in no more bits than the sets in elements, as every element on one side alone flips one bit.
+    """
+    bits = np.bincount(h.view(np.uint64) % np.uint64(64 * SKETCH), minlength=64 * SKETCH).astype(np.uint8) & 1
+    return np.packbits(bits, bitorder="little").view(np.int64).tolist()
+
+
 def prefixes(df: DataFrame, id_column: str, text_column: str, words: int, similarity: float) -> DataFrame:
-    """id_column, key and n of ``shingle_sets``, tokens: the shingles of each set's prefix, rare ones first."""
+    """id_column, key and n of ``shingle_sets``, tokens: the shingles of each set's prefix, rare ones first; sketch: ``parity`` of the set."""
     kind = dict(df.dtypes)[id_column]
     late = df.sparkSession.sparkContext.broadcast(np.sort(np.array(common_shingles(df, id_column, text_column, words), dtype=np.int64)))
 
     def work(columns: list[list]) -> Iterator[list]:
-        common, keys, sizes, out = late.value, [], [], []
+        common, keys, sizes, out, sketches = late.value, [], [], [], []
         for text in columns[1]:
             h = np.unique(shingle_hashes(text, words)).view(np.int64)
+            sketches.append(parity(h))
             keys.append(xxhash.xxh3_128_digest(h.tobytes()))
             sizes.append(len(h))
             if len(common) and len(h):
                 rare = common[np.minimum(np.searchsorted(common, h), len(common) - 1)] != h
                 h = np.concatenate([h[rare], h[~rare]])
             out.append(h[: prefix_length(len(h), similarity)])
-        yield [columns[0], keys, sizes, out]
+        yield [columns[0], keys, sizes, out, sketches]
 
     source = df.select(F.col(id_column), text_or_empty(text_column).alias("__text"))
-    return map_batches(source, [id_column, "__text"], work, f"`{id_column}` {kind}, key binary, n bigint, tokens array<bigint>")
+    return map_batches(source, [id_column, "__text"], work, f"`{id_column}` {kind}, key binary, n bigint, tokens array<bigint>, sketch array<bigint>")
 
 
 def similar_pairs(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
@@ -363,7 +374,8 @@ def near_duplicates(df: DataFrame, id_column: str = "doc_id", text_column: str =
     Two documents link if it is at least ``similarity``; the component is the smallest id that links reach. Equal sets
     (so all wordless texts) are one node. Candidates are sets with a shingle of their prefixes in common, which loses no
     pair. A first round compares each set with ``HUBS`` of those that share a shingle, so a large group of near copies is
-    joined by rows in proportion to it; the second compares all candidates that are in different components by then.
+    joined by rows in proportion to it; the second compares all candidates that are in different components by then, but
+    for those whose parity sketches differ in more bits than sets of that similarity differ in elements.
     Rows with a null id get a null component and link nothing.
     """
     known = df.where(F.col(id_column).isNotNull())
@@ -397,9 +409,11 @@ def near_duplicates(df: DataFrame, id_column: str = "doc_id", text_column: str =
     named = met.join(pieces, "node", "left").select("token", "node", "n", "at", F.coalesce("component", "node").alias("piece"))
     named = written(named, "named")
     mixed = named.groupBy("token").agg(F.min("piece").alias("low"), F.max("piece").alias("high")).where("low < high").select("token")
-    named = spread_join(named, mixed, "token", common)
-    other = named.select("token", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("at").alias("at_b"), F.col("piece").alias("other"))
-    rest = spread_join(named, other, "token", common).where((F.col("node") < F.col("b")) & (F.col("piece") != F.col("other")) & fit(F.col("n"), F.col("at"), F.col("nb"), F.col("at_b")))
+    named = spread_join(named, mixed, "token", common).join(own.select("node", "sketch").dropDuplicates(["node"]), "node")
+    other = named.select("token", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("at").alias("at_b"), F.col("piece").alias("other"), F.col("sketch").alias("sketch_b"))
+    differ = sum((F.bit_count(F.col("sketch")[k].bitwiseXOR(F.col("sketch_b")[k])) for k in range(SKETCH)), F.lit(0))
+    near = differ <= (1 - similarity) / (1 + similarity) * (F.col("n") + F.col("nb")) + 1e-6
+    rest = spread_join(named, other, "token", common).where((F.col("node") < F.col("b")) & (F.col("piece") != F.col("other")) & fit(F.col("n"), F.col("at"), F.col("nb"), F.col("at_b")) & near)
     rest = rest.select(F.col("node").alias("a"), "b").distinct().join(first, ["a", "b"], "left_anti")
     second = written(rest, "pairs")
     found = components(links_.unionByName(similar_pairs(second, written(sets_of(second), "sets"), similarity)))
