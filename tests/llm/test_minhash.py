@@ -105,3 +105,18 @@ def test_digits_are_those_of_an_independent_computation(spark, small):
     expected = edits(sorted(rows.items()))
     for r in found[:60]:
         assert r.fingerprint == own_digits(rows[r.doc_id]) and r.edited_fingerprint == own_digits(expected[r.doc_id][0])
+
+
+def test_a_third_of_all_rows_without_an_id(spark):
+    rows = [(None if k % 3 == 0 else k // 2, f"text {k} of a few words and more {k * k}" if k % 7 else "one text of many rows") for k in range(240)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    signed = lambda x: x - (x >> 63 << 64)
+    order = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, signed(xxhash.xxh64_intdigest(r[1].encode(), 42))))
+    expected = []
+    for (key, text), (_, following) in zip(order, order[1:] + order[:1], strict=True):
+        cut = len(text) // 4
+        expected.append((key, len(text), hashlib.sha256((text[: len(text) - cut] + following[:cut]).encode()).hexdigest()))
+    found = [(r.doc_id, r.n_chars, r.edited_sha256) for r in minhash.edited_fingerprints(df).collect()]
+    assert sorted(found, key=str) == sorted(expected, key=str)
+    buckets = minhash.in_order(df, "doc_id", "text").where("extra = 0 and doc is null").groupBy("bucket").count().collect()
+    assert len(buckets) > 4 and max(r["count"] for r in buckets) < 40

@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from weftline.llm.common import partitions, text_or_empty
+from weftline.llm.common import hot_keys, partitions, text_or_empty
 
 BINS = 256
 BITS = 4
@@ -105,24 +105,38 @@ def fingerprints(df: DataFrame, keys: list[str], text_column: str = "text") -> D
 
 
 def in_order(df: DataFrame, id_column: str, text_column: str) -> DataFrame:
-    """bucket, doc, tie, text, extra: rows dealt to buckets by range of id, so that a bucket holds its rows' successors.
+    """bucket, doc, tie, text, extra: rows dealt to buckets by range of (id, hash of the text), so that a bucket holds its rows' successors.
 
-    A bucket's range starts at an id that is there; rows with it go to the bucket before as well (``extra``), and rows
-    with the least id to the last bucket. The ranges are a quantile sketch, four for each shuffle partition, so that
-    partitions get about equal shares when buckets are dealt by hash.
+    A bucket's range starts with a row that is there; rows like it go to the bucket before as well (``extra`` 1), and rows
+    like the least one to the last bucket (``extra`` 2). The ranges are a quantile sketch of the ids, four for each shuffle
+    partition, so that partitions get about equal shares when buckets are dealt by hash; an id with more rows than that (null
+    ids, say) is cut by its texts' hashes. At most 20 bounds for each shuffle partition come to the driver.
     """
-    n = 4 * partitions(df.sparkSession)
+    spark = df.sparkSession
+    n = 4 * partitions(spark)
     rows = df.select(F.col(id_column).cast("long").alias("doc"), text_or_empty(text_column).alias("text"))
-    cuts, nulls, least = rows.agg(F.percentile_approx("doc", F.array(*[F.lit(k / n) for k in range(1, n)]) if n > 1 else F.array(F.lit(0.5)), 10_000), F.count_if(F.col("doc").isNull()), F.min("doc")).first()
-    cuts = sorted(set(cuts or []) - ({least} if not nulls else set()))
-    first = None if nulls else least
-    bounds = F.array(*[F.lit(c).cast("long") for c in cuts]) if cuts else F.array().cast("array<bigint>")
-    bucket = F.when(F.col("doc").isNull(), 0).otherwise(F.size(F.filter(bounds, lambda c: c <= F.col("doc"))))
-    starts = F.array_contains(bounds, F.col("doc"))
+    ids = rows.select("doc")
+    cuts, nulls, least = ids.agg(F.percentile_approx("doc", F.array(*[F.lit(k / n) for k in range(1, n)]) if n > 1 else F.array(F.lit(0.5)), 10_000), F.count_if(F.col("doc").isNull()), F.min("doc")).first()
+    hot = hot_keys(ids.groupBy(F.col("doc").alias("key")).agg(F.count("*").alias("n"))).collect()
+    first_id = None if nulls else least
+    pieces = {c: 1 for c in (*(cuts or []), first_id)} | {r.key: r.pieces for r in hot}
+    cut_ids = F.broadcast(spark.createDataFrame(list(pieces.items()), "cut long, pieces int"))
+    tied = rows.select("doc", F.xxhash64("text").alias("tie")).join(cut_ids, F.col("doc").eqNullSafe(F.col("cut")))
+    piece = F.floor((F.col("tie") / float(1 << 64) + 0.5) * F.col("pieces"))
+    found = sorted((r.doc is not None, r.doc or 0, r.tie) for r in tied.groupBy("doc", piece.alias("piece")).agg(F.min("tie").alias("tie")).collect())
+
+    def place(known: Column, doc: Column, tie: Column) -> Column:
+        return F.struct(known.cast("int").alias("k"), doc.cast("long").alias("d"), tie.cast("long").alias("t"))
+
+    own_place = place(F.col("doc").isNotNull(), F.coalesce("doc", F.lit(0)), F.xxhash64("text"))
+    bounds = F.array(*[place(*map(F.lit, x)) for x in found[1:]]) if len(found) > 1 else F.array().cast("array<struct<k:int,d:bigint,t:bigint>>")
+    placed = rows.withColumn("place", own_place)
+    bucket = F.size(F.filter(bounds, lambda c: c <= F.col("place")))
     own = F.struct(bucket.alias("bucket"), F.lit(0).alias("extra"))
-    before = F.when(F.coalesce(starts, F.lit(False)), F.struct((bucket - 1).alias("bucket"), F.lit(1).alias("extra")))
-    wrap = F.when(F.col("doc").eqNullSafe(F.lit(first).cast("long")), F.struct(F.lit(len(cuts)).alias("bucket"), F.lit(2).alias("extra")))
-    return rows.select("doc", "text", F.xxhash64("text").alias("tie"), F.inline(F.filter(F.array(own, before, wrap), lambda x: x.isNotNull())))
+    before = F.when(F.exists(bounds, lambda c: c == F.col("place")), F.struct((bucket - 1).alias("bucket"), F.lit(1).alias("extra")))
+    is_least = F.col("place") == place(*map(F.lit, found[0])) if found else F.lit(False)
+    wrap = F.when(is_least, F.struct(F.lit(max(0, len(found) - 1)).alias("bucket"), F.lit(2).alias("extra")))
+    return placed.select("doc", "text", F.col("place.t").alias("tie"), F.inline(F.filter(F.array(own, before, wrap), lambda x: x.isNotNull())))
 
 
 def edited_fingerprints(df: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
