@@ -212,7 +212,7 @@ def catalogue(spark: SparkSession, first: list[str], older: list[str], otherwise
     """
     if (df := first_there(spark, first)) is not None:
         pairs = [F.lit(x) for item in CATEGORIES.items() for x in item]
-        return df.select("domain", F.coalesce(F.element_at(F.create_map(*pairs), F.col("class")), F.lit("other")).alias("category"), "variable", "label", "seq")
+        return df.select("domain", F.coalesce(F.try_element_at(F.create_map(*pairs), F.col("class")), F.lit("other")).alias("category"), "variable", "label", "seq")
     if (df := first_there(spark, older)) is not None:
         rows = df.select(F.upper(F.trim("domain")).alias("domain"), F.trim("variable").alias("variable"), F.trim("label").alias("label"), "seq")
         rows = rows.where((F.col("domain") != "") & (F.col("variable") != "") & ~F.col("variable").isin(*COMMON_VARIABLES))
