@@ -50,9 +50,14 @@ def clear(spark: SparkSession, since: int, keep: tuple[str, ...] = ()) -> None:
 
 def written(df: DataFrame, label: str) -> DataFrame:
     """``df`` as a table in the shared folder, read again: cuts lineage and survives lost executors."""
+    return written_at(df, label)[0]
+
+
+def written_at(df: DataFrame, label: str) -> tuple[DataFrame, str]:
+    """``written``, and the table's path for ``delete_path`` when nothing reads it any more."""
     path = new_path(df.sparkSession, label)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path), path
 
 
 def delete_path(spark: SparkSession, path: str) -> None:

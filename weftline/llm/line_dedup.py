@@ -91,8 +91,9 @@ def line_dedup(df: DataFrame, id_column: str = "doc_id", text_column: str = "tex
         yield list(out)
 
     found = map_batches(rows.select("__key", "__doc", "__text"), ["__key", "__doc", "__text"], hashed, "key bigint, doc bigint, first int, hash bigint")
-    # A hash repeats if it stands at two places; min and max need one row a task and hash.
-    repeated = found.groupBy("hash").agg(F.min(place).alias("low"), F.max(place).alias("high"), F.count("*").alias("n")).where("low < high").select("hash", "n")
+    # A hash repeats if it stands at two places; their least and greatest hashes need one short row a task and hash.
+    at = F.xxhash64("key", "doc", "first")
+    repeated = found.groupBy("hash").agg(F.min(at).alias("low"), F.max(at).alias("high"), F.count("*").alias("n")).where("low < high").select("hash", "n")
     repeated = written(repeated, "repeated")
     hot = hot_keys(repeated.select(F.col("hash").alias("key"), "n"))
     where = spread_join(found, repeated.select("hash"), "hash", hot).groupBy("key", "doc").agg(F.array_sort(F.collect_set("first")).alias("firsts"))

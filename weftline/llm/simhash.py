@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from weftline.llm.common import HOT, hot_keys, map_batches, partitions, spread_join, text_or_empty, written
+from weftline.llm.common import HOT, delete_path, hot_keys, map_batches, partitions, spread_join, text_or_empty, written, written_at
 from weftline.llm.components import components
 
 TILE = 256
@@ -360,12 +360,26 @@ def prefixes(df: DataFrame, id_column: str, text_column: str, words: int, simila
     return map_batches(source, [id_column, "__text"], work, f"`{id_column}` {kind}, key binary, n bigint, tokens array<bigint>, sketch array<bigint>")
 
 
+def joined_ends(pairs: DataFrame, ends: DataFrame) -> DataFrame:
+    """``pairs`` (a, b: a written table) with the columns of ``ends`` (node, ...) for both, as a_... and b_...; the pairs of a hub are dealt to many tasks."""
+    out = pairs
+    for side in ("a", "b"):
+        hot = hot_keys(pairs.groupBy(F.col(side).alias("key")).agg(F.count("*").alias("n")))
+        out = spread_join(out, ends.select(F.col("node").alias(side), *[F.col(c).alias(f"{side}_{c}") for c in ends.columns if c != "node"]), side, hot)
+    return out
+
+
 def similar_pairs(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     """a, b: the pairs with sets that are that similar."""
-    one = sets.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("shingles").alias("sa"))
-    two = sets.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("shingles").alias("sb"))
-    shared = F.size(F.array_intersect("sa", "sb"))
-    return pairs.join(one, "a").join(two, "b").where(shared / (F.col("na") + F.col("nb") - shared) >= similarity).select("a", "b")
+    both = joined_ends(pairs, sets.select("node", "n", "shingles"))
+    shared = F.size(F.array_intersect("a_shingles", "b_shingles"))
+    return both.where(shared / (F.col("a_n") + F.col("b_n") - shared) >= similarity).select("a", "b")
+
+
+def may_be_similar(a: str, b: str, n_a: Column, n_b: Column, similarity: float) -> Column:
+    """Whether two sketches differ in no more bits than sets of that similarity differ in elements."""
+    differ = sum((F.bit_count(F.col(a)[k].bitwiseXOR(F.col(b)[k])) for k in range(SKETCH)), F.lit(0))
+    return differ <= (1 - similarity) / (1 + similarity) * (n_a + n_b) + 1e-6
 
 
 def near_duplicates(df: DataFrame, id_column: str = "doc_id", text_column: str = "text", words: int = 5, similarity: float = 0.8) -> DataFrame:
@@ -374,19 +388,24 @@ def near_duplicates(df: DataFrame, id_column: str = "doc_id", text_column: str =
     Two documents link if it is at least ``similarity``; the component is the smallest id that links reach. Equal sets
     (so all wordless texts) are one node. Candidates are sets with a shingle of their prefixes in common, which loses no
     pair. A first round compares each set with ``HUBS`` of those that share a shingle, so a large group of near copies is
-    joined by rows in proportion to it; the second compares all candidates that are in different components by then, but
-    for those whose parity sketches differ in more bits than sets of that similarity differ in elements.
-    Rows with a null id get a null component and link nothing.
+    joined by rows in proportion to it; the second compares all candidates that are in different components by then. In both
+    rounds a candidate is dropped whose parity sketches differ in more bits than sets of that similarity differ in elements.
+    Rows with a null id get a null component and link nothing. Rows of one id with different texts are one node with several sets.
     """
+    spark = df.sparkSession
     known = df.where(F.col(id_column).isNotNull())
-    rows = written(prefixes(known, id_column, text_column, words, similarity).withColumn("node", F.col(id_column).cast("long")), "prefixes")
+    rows, rows_path = written_at(prefixes(known, id_column, text_column, words, similarity).withColumn("node", F.col(id_column).cast("long")), "prefixes")
     nodes = written(rows.groupBy("key").agg(F.min("node").alias("node"), F.count("*").alias("copies")), "nodes")
     own = rows.join(nodes, ["node", "key"], "left_semi")
-    tokens = written(own.select("node", "n", F.posexplode("tokens").alias("at", "token")), "tokens")
+    tokens, tokens_path = written_at(own.select("node", "n", F.posexplode("tokens").alias("at", "token")), "tokens")
+    sketches = written(own.select("node", F.col("n").alias("size"), "sketch").distinct(), "sketches")
+    keys = written(rows.select(id_column, "key"), "keys")
+    delete_path(spark, rows_path)
     repeated = written(tokens.groupBy("token").agg(F.count("*").alias("n")).where("n > 1"), "repeated")
     # Shingles that many documents share are dealt to many tasks in every join on them.
     common = written(hot_keys(repeated.select(F.col("token").alias("key"), "n")), "common")
     met = written(spread_join(tokens, repeated.select("token"), "token", common), "met")
+    delete_path(spark, tokens_path)
     place = lambda seed: F.struct(F.xxhash64("node", F.lit(seed)), F.col("node"), F.col("n"), F.col("at"))
     hubs = met.groupBy("token").agg(*[F.min(place(k)).alias(f"hub{k}") for k in range(HUBS)])
     shared = spread_join(met, hubs, "token", common)
@@ -395,7 +414,9 @@ def near_duplicates(df: DataFrame, id_column: str = "doc_id", text_column: str =
 
     hub = F.explode(F.array(*[F.struct(F.col(f"hub{k}.node").alias("other"), F.col(f"hub{k}.n").alias("other_n"), F.col(f"hub{k}.at").alias("other_at")) for k in range(HUBS)]))
     star = shared.select("node", "n", "at", hub.alias("h")).where((F.col("node") != F.col("h.other")) & fit(F.col("n"), F.col("at"), F.col("h.other_n"), F.col("h.other_at")))
-    first = written(star.select(F.least("node", "h.other").alias("a"), F.greatest("node", "h.other").alias("b")).distinct(), "pairs")
+    starred = written(star.select(F.least("node", "h.other").alias("a"), F.greatest("node", "h.other").alias("b")).distinct(), "star")
+    first = joined_ends(starred, sketches).where(may_be_similar("a_sketch", "b_sketch", F.col("a_size"), F.col("b_size"), similarity))
+    first = written(first.select("a", "b").distinct(), "pairs")
 
     def sets_of(pairs: DataFrame) -> DataFrame:
         """The sets of the nodes in pairs, made from their texts again: most documents are in none."""
@@ -404,21 +425,25 @@ def near_duplicates(df: DataFrame, id_column: str = "doc_id", text_column: str =
         found = found.withColumn("node", F.col(id_column).cast("long")).join(nodes, ["node", "key"], "left_semi")
         return found.dropDuplicates(["node", "key"])
 
-    links_ = written(similar_pairs(first, written(sets_of(first), "sets"), similarity), "links")
+    def linked(pairs: DataFrame) -> DataFrame:
+        sets, path = written_at(sets_of(pairs), "sets")
+        found = written(similar_pairs(pairs, sets, similarity), "links")
+        delete_path(spark, path)
+        return found
+
+    links_ = linked(first)
     pieces = components(links_)
     named = met.join(pieces, "node", "left").select("token", "node", "n", "at", F.coalesce("component", "node").alias("piece"))
     named = written(named, "named")
     mixed = named.groupBy("token").agg(F.min("piece").alias("low"), F.max("piece").alias("high")).where("low < high").select("token")
-    named = spread_join(named, mixed, "token", common).join(own.select("node", "sketch").dropDuplicates(["node"]), "node")
-    other = named.select("token", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("at").alias("at_b"), F.col("piece").alias("other"), F.col("sketch").alias("sketch_b"))
-    differ = sum((F.bit_count(F.col("sketch")[k].bitwiseXOR(F.col("sketch_b")[k])) for k in range(SKETCH)), F.lit(0))
-    near = differ <= (1 - similarity) / (1 + similarity) * (F.col("n") + F.col("nb")) + 1e-6
-    rest = spread_join(named, other, "token", common).where((F.col("node") < F.col("b")) & (F.col("piece") != F.col("other")) & fit(F.col("n"), F.col("at"), F.col("nb"), F.col("at_b")) & near)
-    rest = rest.select(F.col("node").alias("a"), "b").distinct().join(first, ["a", "b"], "left_anti")
-    second = written(rest, "pairs")
-    found = components(links_.unionByName(similar_pairs(second, written(sets_of(second), "sets"), similarity)))
+    named = spread_join(named, mixed, "token", common).join(sketches, "node")
+    other = named.select("token", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("at").alias("at_b"), F.col("piece").alias("other"), F.col("sketch").alias("sketch_b"), F.col("size").alias("size_b"))
+    near = fit(F.col("n"), F.col("at"), F.col("nb"), F.col("at_b")) & may_be_similar("sketch", "sketch_b", F.col("size"), F.col("size_b"), similarity)
+    rest = spread_join(named, other, "token", common).where((F.col("node") < F.col("b")) & (F.col("piece") != F.col("other")) & near)
+    second = written(rest.select(F.col("node").alias("a"), "b").distinct().join(first, ["a", "b"], "left_anti"), "pairs")
+    found = components(links_.unionByName(linked(second)))
     code = F.xxhash64("key").alias("code")
     labels = nodes.join(found, "node", "left").select(code, F.col("key").alias("__key"), F.coalesce("component", "node").alias("component_id"))
     hot = hot_keys(nodes.groupBy(code).agg(F.sum("copies").alias("n")).withColumnRenamed("code", "key"))
-    out = spread_join(rows.select(id_column, "key", code), labels, "code", hot).where("key = __key").select(id_column, "component_id")
+    out = spread_join(keys.select(id_column, "key", code), labels, "code", hot).where("key = __key").select(id_column, "component_id")
     return out.unionByName(df.where(F.col(id_column).isNull()).select(id_column, F.lit(None).cast("long").alias("component_id")))
