@@ -188,9 +188,17 @@ def test_near_duplicates_of_a_thousand_documents_are_exact(spark):
 
 def test_sketches_differ_in_no_more_bits_than_sets(spark):
     rng = np.random.default_rng(8)
-    bits = lambda a, b: sum((x ^ y).bit_count() for x, y in zip(a, b, strict=True))
-    for n in (0, 1, 50, 400, 5000):
-        a = np.unique(rng.integers(0, 1 << 63, n))
-        b = np.unique(np.concatenate([a[rng.random(len(a)) < 0.8], rng.integers(0, 1 << 63, n // 5)]))
-        assert bits(*([v & (1 << 64) - 1 for v in simhash.parity(x)] for x in (a, b))) <= len(np.setxor1d(a, b))
+    rows = []
+    for n in (0, 1, 50, 400, 500, 520, 1030, 5000):
+        for share in (0.5, 0.9, 0.99):
+            a = np.unique(rng.integers(0, 1 << 63, n))
+            b = np.unique(np.concatenate([a[rng.random(len(a)) < share], rng.integers(0, 1 << 63, n // 20)]))
+            rows.append((simhash.parity(a), simhash.parity(b), len(a), len(b), len(np.setxor1d(a, b))))
+    df = spark.createDataFrame(rows, "a array<bigint>, b array<bigint>, na int, nb int, apart int")
+    for similarity in (0.3, 0.8, 0.95):
+        least = (1 - similarity) / (1 + similarity)
+        found = df.withColumn("may", simhash.may_be_similar("a", "b", F.col("na"), F.col("nb"), similarity)).collect()
+        assert all(r.may for r in found if r.apart <= least * (r.na + r.nb))
+        assert similarity < 0.8 or any(not r.may for r in found)
     assert simhash.parity(np.zeros(0, np.int64)) == [0] * simhash.SKETCH
+    assert {len(r[0]) for r in rows} == {8, 16, 32, 128}

@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from weftline.llm.common import HOT, delete_path, hot_keys, map_batches, partitions, spread_join, text_or_empty, written, written_at
+from weftline.llm.common import HOT, delete_path, hot_keys, map_batches, partitions, release, spread_join, text_or_empty, written, written_at
 from weftline.llm.components import components
 
 TILE = 256
@@ -330,11 +330,15 @@ def common_shingles(df: DataFrame, id_column: str, text_column: str, words: int)
 
 
 def parity(h: np.ndarray) -> list[int]:
-    """``SKETCH`` words of 64 bits, each bit telling whether an odd number of the set's hashes fall on it.
+    """Words of 64 bits, each bit telling whether an odd number of the set's hashes fall on it: ``SKETCH`` words, doubled until there is a bit for each element.
 
     Two sets' sketches differ in no more bits than the sets in elements, as every element on one side alone flips one bit.
+    The longer of two is folded to the shorter by exclusive-or of its halves, which is what the shorter length would have given.
     """
-    bits = np.bincount(h.view(np.uint64) % np.uint64(64 * SKETCH), minlength=64 * SKETCH).astype(np.uint8) & 1
+    size = SKETCH
+    while 64 * size < len(h):
+        size *= 2
+    bits = np.bincount((h.view(np.uint64) % np.uint64(64 * size)).astype(np.int64), minlength=64 * size).astype(np.uint8) & 1
     return np.packbits(bits, bitorder="little").view(np.int64).tolist()
 
 
@@ -377,9 +381,14 @@ def similar_pairs(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataF
 
 
 def may_be_similar(a: str, b: str, n_a: Column, n_b: Column, similarity: float) -> Column:
-    """Whether two sketches differ in no more bits than sets of that similarity differ in elements."""
-    differ = sum((F.bit_count(F.col(a)[k].bitwiseXOR(F.col(b)[k])) for k in range(SKETCH)), F.lit(0))
-    return differ <= (1 - similarity) / (1 + similarity) * (n_a + n_b) + 1e-6
+    """Whether two sketches differ in no more bits than sets of that similarity differ in elements; lengths further apart than twofold are let through."""
+    xor = lambda x, y: x.bitwiseXOR(y)
+    half = lambda c: F.zip_with(F.slice(c, 1, (F.size(c) / 2).cast("int")), F.slice(c, (F.size(c) / 2).cast("int") + 1, (F.size(c) / 2).cast("int")), xor)
+    one, two = F.col(a), F.col(b)
+    short = F.least(F.size(one), F.size(two))
+    fitted = lambda c: F.when(F.size(c) == 2 * short, half(c)).otherwise(c)
+    differ = F.aggregate(F.zip_with(fitted(one), fitted(two), lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda total, x: total + x)
+    return (F.greatest(F.size(one), F.size(two)) > 2 * short) | (differ <= (1 - similarity) / (1 + similarity) * (n_a + n_b) + 1e-6)
 
 
 def near_duplicates(df: DataFrame, id_column: str = "doc_id", text_column: str = "text", words: int = 5, similarity: float = 0.8) -> DataFrame:
@@ -398,7 +407,7 @@ def near_duplicates(df: DataFrame, id_column: str = "doc_id", text_column: str =
     nodes = written(rows.groupBy("key").agg(F.min("node").alias("node"), F.count("*").alias("copies")), "nodes")
     own = rows.join(nodes, ["node", "key"], "left_semi")
     tokens, tokens_path = written_at(own.select("node", "n", F.posexplode("tokens").alias("at", "token")), "tokens")
-    sketches = written(own.select("node", F.col("n").alias("size"), "sketch").distinct(), "sketches")
+    sketches = written(own.select("node", "key", F.col("n").alias("size"), "sketch").distinct(), "sketches")
     keys = written(rows.select(id_column, "key"), "keys")
     delete_path(spark, rows_path)
     repeated = written(tokens.groupBy("token").agg(F.count("*").alias("n")).where("n > 1"), "repeated")
@@ -406,6 +415,7 @@ def near_duplicates(df: DataFrame, id_column: str = "doc_id", text_column: str =
     common = written(hot_keys(repeated.select(F.col("token").alias("key"), "n")), "common")
     met = written(spread_join(tokens, repeated.select("token"), "token", common), "met")
     delete_path(spark, tokens_path)
+    release(spark)
     place = lambda seed: F.struct(F.xxhash64("node", F.lit(seed)), F.col("node"), F.col("n"), F.col("at"))
     hubs = met.groupBy("token").agg(*[F.min(place(k)).alias(f"hub{k}") for k in range(HUBS)])
     shared = spread_join(met, hubs, "token", common)
@@ -415,20 +425,26 @@ def near_duplicates(df: DataFrame, id_column: str = "doc_id", text_column: str =
     hub = F.explode(F.array(*[F.struct(F.col(f"hub{k}.node").alias("other"), F.col(f"hub{k}.n").alias("other_n"), F.col(f"hub{k}.at").alias("other_at")) for k in range(HUBS)]))
     star = shared.select("node", "n", "at", hub.alias("h")).where((F.col("node") != F.col("h.other")) & fit(F.col("n"), F.col("at"), F.col("h.other_n"), F.col("h.other_at")))
     starred = written(star.select(F.least("node", "h.other").alias("a"), F.greatest("node", "h.other").alias("b")).distinct(), "star")
-    first = joined_ends(starred, sketches).where(may_be_similar("a_sketch", "b_sketch", F.col("a_size"), F.col("b_size"), similarity))
+    first = joined_ends(starred, sketches.drop("key")).where(may_be_similar("a_sketch", "b_sketch", F.col("a_size"), F.col("b_size"), similarity))
     first = written(first.select("a", "b").distinct(), "pairs")
+    release(spark)
+
+    once = keys.groupBy(id_column, "key").count().where("count > 1").isEmpty()
 
     def sets_of(pairs: DataFrame) -> DataFrame:
         """The sets of the nodes in pairs, made from their texts again: most documents are in none."""
-        ids = written(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "met")
-        found = shingle_sets(known.join(ids, F.col(id_column).cast("long") == ids.node, "left_semi"), id_column, text_column, words)
-        found = found.withColumn("node", F.col(id_column).cast("long")).join(nodes, ["node", "key"], "left_semi")
-        return found.dropDuplicates(["node", "key"])
+        ends = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+        wanted = written(ends.join(sketches.select("node", "key"), "node"), "wanted")
+        chosen = known.join(wanted.select(F.col("node").alias("__node")).distinct(), F.col(id_column).cast("long") == F.col("__node"), "left_semi")
+        found = shingle_sets(chosen, id_column, text_column, words).withColumn("node", F.col(id_column).cast("long"))
+        found = found.join(wanted, ["node", "key"], "left_semi")
+        return found if once else found.dropDuplicates(["node", "key"])
 
     def linked(pairs: DataFrame) -> DataFrame:
         sets, path = written_at(sets_of(pairs), "sets")
         found = written(similar_pairs(pairs, sets, similarity), "links")
         delete_path(spark, path)
+        release(spark)
         return found
 
     links_ = linked(first)
@@ -436,7 +452,7 @@ def near_duplicates(df: DataFrame, id_column: str = "doc_id", text_column: str =
     named = met.join(pieces, "node", "left").select("token", "node", "n", "at", F.coalesce("component", "node").alias("piece"))
     named = written(named, "named")
     mixed = named.groupBy("token").agg(F.min("piece").alias("low"), F.max("piece").alias("high")).where("low < high").select("token")
-    named = spread_join(named, mixed, "token", common).join(sketches, "node")
+    named = spread_join(named, mixed, "token", common).join(sketches.drop("key"), "node")
     other = named.select("token", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("at").alias("at_b"), F.col("piece").alias("other"), F.col("sketch").alias("sketch_b"), F.col("size").alias("size_b"))
     near = fit(F.col("n"), F.col("at"), F.col("nb"), F.col("at_b")) & may_be_similar("sketch", "sketch_b", F.col("size"), F.col("size_b"), similarity)
     rest = spread_join(named, other, "token", common).where((F.col("node") < F.col("b")) & (F.col("piece") != F.col("other")) & near)
