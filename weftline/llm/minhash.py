@@ -120,7 +120,8 @@ def in_order(df: DataFrame, id_column: str, text_column: str) -> DataFrame:
     hot = hot_keys(ids.groupBy(F.col("doc").alias("key")).agg(F.count("*").alias("n"))).collect()
     first_id = None if nulls else least
     pieces = {c: 1 for c in (*(cuts or []), first_id)} | {r.key: r.pieces for r in hot}
-    cut_ids = F.broadcast(spark.createDataFrame(list(pieces.items()), "cut long, pieces int"))
+    listed = F.array(*[F.struct(F.lit(k).cast("long").alias("cut"), F.lit(p).cast("int").alias("pieces")) for k, p in pieces.items()])
+    cut_ids = F.broadcast(spark.range(1).select(F.inline(listed)))
     tied = rows.select("doc", F.xxhash64("text").alias("tie")).join(cut_ids, F.col("doc").eqNullSafe(F.col("cut")))
     piece = F.floor((F.col("tie") / float(1 << 64) + 0.5) * F.col("pieces"))
     found = sorted((r.doc is not None, r.doc or 0, r.tie) for r in tied.groupBy("doc", piece.alias("piece")).agg(F.min("tie").alias("tie")).collect())
