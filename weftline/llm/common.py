@@ -68,11 +68,6 @@ def delete_path(spark: SparkSession, path: str) -> None:
         _PATHS.remove(path)
 
 
-def release(spark: SparkSession) -> None:
-    """Frees the disk of finished shuffles: Spark deletes their files when the driver has collected their plans, which it may put off for long."""
-    spark._jvm.System.gc()
-
-
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

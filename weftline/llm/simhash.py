@@ -15,12 +15,13 @@ from collections.abc import Iterator
 from itertools import combinations
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from weftline.llm.common import HOT, delete_path, hot_keys, map_batches, partitions, release, spread_join, text_or_empty, written, written_at
+from weftline.llm.common import HOT, delete_path, hot_keys, map_batches, partitions, spread_join, text_or_empty, written, written_at
 from weftline.llm.components import components
 
 TILE = 256
@@ -33,6 +34,9 @@ COMMON = 5
 MOST_COMMON = 200_000
 HUBS = 2
 SKETCH = 8
+#: Most words of 64 bits in a Bloom filter of nodes (8 MB).
+BLOOM = 1 << 20
+NONE = -(1 << 63)
 
 
 def shingle_hashes(text: str, words: int) -> np.ndarray:
@@ -391,73 +395,173 @@ def may_be_similar(a: str, b: str, n_a: Column, n_b: Column, similarity: float)
     return (F.greatest(F.size(one), F.size(two)) > 2 * short) | (differ <= (1 - similarity) / (1 + similarity) * (n_a + n_b) + 1e-6)
 
 
+def wanted_words(nodes: DataFrame) -> np.ndarray:
+    """A Bloom filter of the nodes, as words of 64 bits; two bits a node, and at most ``BLOOM`` words however many nodes there are."""
+    n = nodes.count()
+    size = min(BLOOM, 1 << max(6, (n * 16 // 64).bit_length()))
+    place = F.explode(F.array(*[F.pmod(F.xxhash64("node", F.lit(k)), F.lit(64 * size)) for k in range(2)])).alias("bit")
+    words = nodes.select(place).groupBy(F.shiftright("bit", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(bit % 64 as int))")).alias("bits"))
+    table = np.zeros(size, np.int64)
+    for r in words.collect():
+        table[r.word] = r.bits
+    return table
+
+
+def may_be_wanted(df: DataFrame, id_column: str, table: np.ndarray) -> DataFrame:
+    """The rows whose id the filter holds, and a few others; found in each task before anything is shuffled."""
+    shared, size = df.sparkSession.sparkContext.broadcast(table), len(table)
+    place = [F.pmod(F.xxhash64(F.col(id_column).cast("long"), F.lit(k)), F.lit(64 * size)) for k in range(2)]
+
+    @F.pandas_udf("boolean")
+    def held(one: pd.Series, two: pd.Series) -> pd.Series:
+        bit = lambda at: shared.value[at >> 6] >> (at & 63) & 1
+        return pd.Series((bit(one.to_numpy()) & bit(two.to_numpy())).astype(bool))
+
+    return df.where(held(*place))
+
+
+def heavy_tokens(own: DataFrame) -> DataFrame:
+    """key, pieces: tokens with more than 1 / (8 P) of all rows of ``own`` (n, tokens), and into how many pieces their rows go.
+
+    A token with such a share of all rows has it in some block of rows as well. So each task counts its blocks and hands on
+    only their frequent tokens, fewer than 8 P a block; what blocks keep back of one token is less than a piece in all.
+    """
+    share = HOT * partitions(own.sparkSession)
+    total = own.agg(F.sum(F.size("tokens"))).first()[0] or 0
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[np.ndarray] = []
+        size = 0
+
+        def frequent() -> pa.RecordBatch:
+            tokens, n = np.unique(np.concatenate(held), return_counts=True)
+            keep = n > max(1, size // share)
+            return pa.RecordBatch.from_arrays([pa.array(tokens[keep]), pa.array(n[keep])], names=["key", "n"])
+
+        for batch in batches:
+            held.append(batch.column(0).flatten().to_numpy())
+            size += len(held[-1])
+            if size > 1 << 22:
+                yield frequent()
+                held, size = [], 0
+        if size:
+            yield frequent()
+
+    piece = max(1, -(-total // share))
+    counts = own.select("tokens").mapInArrow(work, "key bigint, n bigint").groupBy("key").agg(F.sum("n").alias("n"))
+    return counts.where(F.col("n") > piece).select("key", (F.ceil(F.col("n") / piece) + 1).cast("int").alias("pieces"))
+
+
+def token_groups(own: DataFrame, heavy: DataFrame, similarity: float) -> DataFrame:
+    """token, node, n, at, other: the rows whose token several sets have in their prefixes (other null), and for each of them up to ``HUBS`` others to compare it with.
+
+    own: node, n, tokens. One shuffle by token; the rows of a heavy token are dealt to its pieces, each with hubs of its
+    own. Hubs are the rows first in an order of nodes, so a task holds them and nothing else of a group. A pair is kept
+    that can reach the similarity by its places: of its common shingles one is first in the order, and all lie from there on.
+    """
+    pieces = F.broadcast(heavy.select(F.col("key").alias("__hot"), F.col("pieces").alias("__pieces")))
+    rows = own.select("node", F.col("n").cast("int").alias("n"), F.posexplode("tokens").alias("at", "token"))
+    rows = rows.join(pieces, F.col("token") == F.col("__hot"), "left")
+    piece = F.when(F.col("__pieces").isNull(), -1).otherwise(F.pmod(F.xxhash64("node", F.lit(7)), F.col("__pieces"))).cast("int")
+    rows = rows.select("token", piece.alias("piece"), F.xxhash64("node").alias("place"), "node", "n", "at")
+    dealt = rows.repartition(partitions(own.sparkSession), "token", "piece").sortWithinPartitions("token", "piece", "place", "node")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        carried = np.zeros((0, 5), np.int64)
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            block = np.column_stack([batch.column(k).to_numpy().astype(np.int64) for k in (0, 1, 3, 4, 5)])
+            old = len(carried)
+            block = np.concatenate([carried, block])
+            first = np.ones(len(block), bool)
+            first[1:] = (block[1:, :2] != block[:-1, :2]).any(axis=1)
+            start = np.flatnonzero(first)[np.cumsum(first) - 1]
+            inside = np.arange(len(block)) - start
+            fresh = np.arange(len(block)) >= old
+            out = [np.column_stack([block[:, [0, 2, 3, 4]], np.full(len(block), NONE)])[(fresh & ((inside > 0) | (block[:, 1] >= 0)))]]
+            # The first row of a group counts once a second one is there.
+            lone = np.flatnonzero(fresh & (inside == 1) & (block[:, 1] < 0)) - 1
+            out.append(np.column_stack([block[lone][:, [0, 2, 3, 4]], np.full(len(lone), NONE)]))
+            for k in range(HUBS):
+                i = np.flatnonzero(fresh & (inside > k))
+                j = start[i] + k
+                most = np.minimum(block[i, 3] - block[i, 4], block[j, 3] - block[j, 4])
+                keep = (most >= similarity / (1 + similarity) * (block[i, 3] + block[j, 3]) - 1e-6) & (block[i, 2] != block[j, 2])
+                i, j = i[keep], j[keep]
+                pairs = np.unique(np.column_stack([np.minimum(block[i, 2], block[j, 2]), np.maximum(block[i, 2], block[j, 2])]), axis=0) if len(i) else np.zeros((0, 2), np.int64)
+                zero = np.zeros(len(pairs), np.int64)
+                out.append(np.column_stack([zero, pairs[:, 0], zero, zero, pairs[:, 1]]))
+            table = np.concatenate(out)
+            other = pa.array(table[:, 4], mask=table[:, 4] == NONE)
+            yield pa.RecordBatch.from_arrays([pa.array(table[:, 0]), pa.array(table[:, 1]), pa.array(table[:, 2].astype(np.int32)), pa.array(table[:, 3].astype(np.int32)), other], names=["token", "node", "n", "at", "other"])
+            last = start[-1]
+            carried = block[last : last + HUBS]
+
+    return dealt.mapInArrow(run, "token bigint, node bigint, n int, at int, other bigint")
+
+
 def near_duplicates(df: DataFrame, id_column: str = "doc_id", text_column: str = "text", words: int = 5, similarity: float = 0.8) -> DataFrame:
     """id_column, component_id by the exact Jaccard similarity of the sets of five-word shingles of whole documents.
 
     Two documents link if it is at least ``similarity``; the component is the smallest id that links reach. Equal sets
     (so all wordless texts) are one node. Candidates are sets with a shingle of their prefixes in common, which loses no
     pair. A first round compares each set with ``HUBS`` of those that share a shingle, so a large group of near copies is
-    joined by rows in proportion to it; the second compares all candidates that are in different components by then. In both
-    rounds a candidate is dropped whose parity sketches differ in more bits than sets of that similarity differ in elements.
+    joined by rows in proportion to it. The second compares the candidates that are in different components by then: in
+    each group of a shingle the rows outside its largest component with all others of another component and of a size
+    that allows the similarity. In both rounds a candidate is dropped whose parity sketches differ in more bits than sets of that similarity differ in elements.
     Rows with a null id get a null component and link nothing. Rows of one id with different texts are one node with several sets.
     """
     spark = df.sparkSession
     known = df.where(F.col(id_column).isNotNull())
     rows, rows_path = written_at(prefixes(known, id_column, text_column, words, similarity).withColumn("node", F.col(id_column).cast("long")), "prefixes")
     nodes = written(rows.groupBy("key").agg(F.min("node").alias("node"), F.count("*").alias("copies")), "nodes")
-    own = rows.join(nodes, ["node", "key"], "left_semi")
-    tokens, tokens_path = written_at(own.select("node", "n", F.posexplode("tokens").alias("at", "token")), "tokens")
-    sketches = written(own.select("node", "key", F.col("n").alias("size"), "sketch").distinct(), "sketches")
+    own = rows.join(nodes, ["node", "key"], "left_semi").dropDuplicates(["node", "key"])
+    own, own_path = written_at(own.select("node", "key", "n", "tokens", "sketch"), "own")
     keys = written(rows.select(id_column, "key"), "keys")
     delete_path(spark, rows_path)
-    repeated = written(tokens.groupBy("token").agg(F.count("*").alias("n")).where("n > 1"), "repeated")
-    # Shingles that many documents share are dealt to many tasks in every join on them.
-    common = written(hot_keys(repeated.select(F.col("token").alias("key"), "n")), "common")
-    met = written(spread_join(tokens, repeated.select("token"), "token", common), "met")
-    delete_path(spark, tokens_path)
-    release(spark)
-    place = lambda seed: F.struct(F.xxhash64("node", F.lit(seed)), F.col("node"), F.col("n"), F.col("at"))
-    hubs = met.groupBy("token").agg(*[F.min(place(k)).alias(f"hub{k}") for k in range(HUBS)])
-    shared = spread_join(met, hubs, "token", common)
-    # Of a pair's common shingles one is first in the order: all of them lie from its places on, at least so many.
-    fit = lambda a, at, b, other_at: F.least(a - at, b - other_at) >= similarity / (1 + similarity) * (a + b) - 1e-6
-
-    hub = F.explode(F.array(*[F.struct(F.col(f"hub{k}.node").alias("other"), F.col(f"hub{k}.n").alias("other_n"), F.col(f"hub{k}.at").alias("other_at")) for k in range(HUBS)]))
-    star = shared.select("node", "n", "at", hub.alias("h")).where((F.col("node") != F.col("h.other")) & fit(F.col("n"), F.col("at"), F.col("h.other_n"), F.col("h.other_at")))
-    starred = written(star.select(F.least("node", "h.other").alias("a"), F.greatest("node", "h.other").alias("b")).distinct(), "star")
-    first = joined_ends(starred, sketches.drop("key")).where(may_be_similar("a_sketch", "b_sketch", F.col("a_size"), F.col("b_size"), similarity))
+    sketches = own.select("node", "key", F.col("n").alias("size"), "sketch")
+    heavy = written(heavy_tokens(own), "heavy")
+    groups = written(token_groups(own, heavy, similarity), "groups")
+    starred = groups.where("other is not null").select(F.col("node").alias("a"), F.col("other").alias("b")).distinct()
+    met = groups.where("other is null").select("token", "node", "n", "at")
+    first = joined_ends(written(starred, "star"), sketches.drop("key")).where(may_be_similar("a_sketch", "b_sketch", F.col("a_size"), F.col("b_size"), similarity))
     first = written(first.select("a", "b").distinct(), "pairs")
-    release(spark)
-
-    once = keys.groupBy(id_column, "key").count().where("count > 1").isEmpty()
 
     def sets_of(pairs: DataFrame) -> DataFrame:
         """The sets of the nodes in pairs, made from their texts again: most documents are in none."""
-        ends = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-        wanted = written(ends.join(sketches.select("node", "key"), "node"), "wanted")
-        chosen = known.join(wanted.select(F.col("node").alias("__node")).distinct(), F.col(id_column).cast("long") == F.col("__node"), "left_semi")
-        found = shingle_sets(chosen, id_column, text_column, words).withColumn("node", F.col(id_column).cast("long"))
-        found = found.join(wanted, ["node", "key"], "left_semi")
-        return found if once else found.dropDuplicates(["node", "key"])
+        ends = written(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "ends")
+        wanted = ends.join(sketches.select("node", "key"), "node")
+        found = shingle_sets(may_be_wanted(known, id_column, wanted_words(ends)), id_column, text_column, words).withColumn("node", F.col(id_column).cast("long"))
+        return found.join(wanted, ["node", "key"], "left_semi").dropDuplicates(["node", "key"])
 
     def linked(pairs: DataFrame) -> DataFrame:
         sets, path = written_at(sets_of(pairs), "sets")
         found = written(similar_pairs(pairs, sets, similarity), "links")
         delete_path(spark, path)
-        release(spark)
         return found
 
     links_ = linked(first)
     pieces = components(links_)
-    named = met.join(pieces, "node", "left").select("token", "node", "n", "at", F.coalesce("component", "node").alias("piece"))
-    named = written(named, "named")
-    mixed = named.groupBy("token").agg(F.min("piece").alias("low"), F.max("piece").alias("high")).where("low < high").select("token")
-    named = spread_join(named, mixed, "token", common).join(sketches.drop("key"), "node")
-    other = named.select("token", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("at").alias("at_b"), F.col("piece").alias("other"), F.col("sketch").alias("sketch_b"), F.col("size").alias("size_b"))
-    near = fit(F.col("n"), F.col("at"), F.col("nb"), F.col("at_b")) & may_be_similar("sketch", "sketch_b", F.col("size"), F.col("size_b"), similarity)
-    rest = spread_join(named, other, "token", common).where((F.col("node") < F.col("b")) & (F.col("piece") != F.col("other")) & near)
-    second = written(rest.select(F.col("node").alias("a"), "b").distinct().join(first, ["a", "b"], "left_anti"), "pairs")
+    named = written(met.join(pieces, "node", "left").select("token", "node", "n", "at", F.coalesce("component", "node").alias("piece")), "named")
+    # Shingles that many documents share are dealt to many tasks in every join on them.
+    shares = named.groupBy("token", "piece").agg(F.count("*").alias("n")).groupBy("token").agg(F.count("*").alias("pieces"), F.max_by("piece", "n").alias("largest"))
+    mixed = spread_join(named, shares.where("pieces > 1").select("token", "largest"), "token", heavy).join(sketches.drop("key"), "node")
+    mixed = written(mixed, "mixed")
+    # Two sets of the similarity have sizes at most a step of this scale apart.
+    step = F.floor(F.log(F.greatest(F.col("n"), F.lit(1)).cast("double")) / -math.log(similarity) + 1e-9)
+    key = lambda size: F.xxhash64("token", size)
+    left = mixed.where("piece <> largest").withColumn("key", key(step)).select("key", "node", "n", "at", "piece", "largest", "sketch", "size")
+    other = mixed.withColumn("key", F.explode(F.array(*[key(step + k) for k in (-1, 0, 1)])))
+    other = other.select("key", *[F.col(c).alias(f"{c}_b") for c in ("node", "n", "at", "piece", "sketch", "size")])
+    crowded = hot_keys(left.groupBy("key").agg(F.count("*").alias("n")))
+    fit = F.least(F.col("n") - F.col("at"), F.col("n_b") - F.col("at_b")) >= similarity / (1 + similarity) * (F.col("n") + F.col("n_b")) - 1e-6
+    # Of two rows outside the largest component each finds the other: one time counts.
+    once = (F.col("piece_b") == F.col("largest")) | (F.col("node") < F.col("node_b"))
+    rest = spread_join(left, other, "key", written(crowded, "crowded")).where((F.col("piece") != F.col("piece_b")) & once & fit & may_be_similar("sketch", "sketch_b", F.col("size"), F.col("size_b"), similarity))
+    second = written(rest.select(F.least("node", "node_b").alias("a"), F.greatest("node", "node_b").alias("b")).distinct().join(first, ["a", "b"], "left_anti"), "pairs")
     found = components(links_.unionByName(linked(second)))
+    delete_path(spark, own_path)
     code = F.xxhash64("key").alias("code")
     labels = nodes.join(found, "node", "left").select(code, F.col("key").alias("__key"), F.coalesce("component", "node").alias("component_id"))
     hot = hot_keys(nodes.groupBy(code).agg(F.sum("copies").alias("n")).withColumnRenamed("code", "key"))
