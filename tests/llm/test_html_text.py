@@ -103,3 +103,32 @@ def test_hostile_pages_take_time_in_proportion():
         began = time.perf_counter()
         main_text(page(20_000))
         assert time.perf_counter() - began < 1.5, k
+
+
+def test_a_teaser_is_not_the_article():
+    page = f'<html><body><form id="aspnetForm"><nav><a href=/>home</a></nav><div><p>{LONG}</p><p>{LONG}</p></div></form><article><p>Read also this</p></article></body></html>'
+    assert PROSE in main_text(page)
+    assert main_text(f"<html><body><form><p>{LONG}</p></form><article><p>{LONG}</p></article></body></html>") == PROSE
+
+
+def test_what_readers_wrote_goes():
+    says = "I liked this a lot, thank you, and I will come back for more of it. "
+    for names, item in (("reader-feedback", '<div class="entry"><span class="author">Jo</span><p>{}</p></div>'), ("discussion", "<li><time>9:15</time> <p>{}</p></li>"), ("x1", '<div class="c"><b class="user">ann</b><p>{}</p></div>'), ("discussion", "<p>{}</p>")):
+        tag = "ul" if item.startswith("<li") else "section"
+        told = f'<{tag} class="{names}">' + "".join(item.format(says + str(i)) for i in range(3)) + f"</{tag}>"
+        for page in (f"<body><article><h1>Title</h1><p>{LONG}</p><p>{LONG}</p></article>{told}</body>", f"<body><article><h1>Title</h1><p>{LONG}</p><p>{LONG}</p>{told}</article></body>", f"<body><h1>Title</h1><p>{LONG}</p><p>{LONG}</p>{told}</body>"):
+            assert main_text(page) == f"Title {PROSE} {PROSE}", page
+
+
+def test_a_discussion_with_a_heading_and_lists_of_posts_stay():
+    page = f'<article><p>{LONG}</p><div class="discussion"><h2>Discussion</h2><p>{LONG}</p></div></article>'
+    assert main_text(page) == f"{PROSE} Discussion {PROSE}"
+    posts = "".join(f'<div class="post"><span class="date">May {i}</span><p>{LONG}</p></div>' for i in range(3))
+    assert main_text(f"<body><div id=content>{posts}</div></body>").count(PROSE) == 3
+
+
+def test_menus_and_notices_beside_bare_paragraphs_go():
+    links = "".join(f"<a href=/{i}>Item {i}</a> " for i in range(5))
+    for menu in (f'<div class="topnav">{links}</div>', f'<div class="x">{links}</div>', f"<ul>{links.replace('<a', '<li><a')}</ul>"):
+        page = f'<body>{menu}<div class="cookiebar">We use cookies, as all do. <a href=/ok>OK</a></div><p>{LONG}</p><p>See <a href=/y>this</a>. {LONG}</p></body>'
+        assert main_text(page) == f"{PROSE} See this. {PROSE}", page

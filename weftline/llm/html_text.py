@@ -9,6 +9,9 @@ Tags and names that speak of menus, notices, adverts and the like mark a contain
 text agrees: not if it holds most of the page's prose (a form around a whole page), not where it is a paragraph or heading
 that is no link list, and not where it is the header of an article. If the marks would leave nothing, those of names, then all, are dropped.
 
+What readers wrote is told by its build as well: two or more siblings alike, each with an author or a time and none with a
+heading, which together aren't most of the page. So are menus: containers of links outside articles that hold no prose.
+
 Every step takes time in proportion to the page: tags and attributes are read forwards only, elements to be closed are known
 from each open one, and sums go up the tree once.
 """
@@ -51,6 +54,12 @@ BOILER = frozenset(
 )
 #: What may follow such a word (ad-box, related-posts).
 BOILER_TAILS = frozenset("area bar block body box boxes button buttons container content count form group holder icons inner item items label link links list message module news overlay panel posts row section slot stories thread unit units widget wrap wrapper".split())
+#: What stands in front of such a word where both are written as one (topnav); behind it stands a tail (cookiebar).
+PLACES = frozenset("bottom foot global head left main page right side site sticky sub top user".split())
+#: Names of containers that readers may have filled; they count where no heading is inside.
+TALK = frozenset("discussion feedback talkback".split())
+#: Names of parts that tell who wrote something, or when.
+BYLINE = re.compile(r"(?i)author|avatar|byline|commenter|date|posted|published|time|user|vcard")
 COMMENT_WORDS = frozenset("comment comments disqus replies reply responses".split())
 #: What comes before such a word where it says the contrary (has-sidebar), or names the header of an article (entry-header).
 EXEMPT = frozenset("has no not with without".split())
@@ -59,16 +68,23 @@ GOOD = re.compile(r"(?i)article|body|content|entry|main|page|post|story|text")
 BASE = {"article": 10, "main": 10, "section": 3, "div": 3, "td": 3, "pre": 3, "blockquote": 3, "body": 0, "ul": -3, "ol": -3, "li": -3, "dl": -3, "form": -3, "th": -5}
 #: Points that a mark takes from a container that isn't cut out, and the link density from which a marked line is a list of links.
 MARKED, LINK_LIST = 25, 0.3
+#: Articles with less than this part of the prose of one marked container are teasers.
+TEASER = 4
 
 
 class Node:
-    __slots__ = ("tag", "parent", "names", "dead", "mark", "near", "order", "score", "chars", "linked", "prose", "holds_article", "cut", "kept", "branch")
+    __slots__ = ("tag", "parent", "names", "dead", "mark", "near", "order", "score", "chars", "linked", "prose", "holds_article", "cut", "kept", "byline", "headed")
 
     def __init__(self, tag: str, parent: Node | None, names: str, dead: bool, mark: str, near: dict[str, Node], order: int) -> None:
         self.tag, self.parent, self.names, self.dead, self.mark, self.near, self.order = tag, parent, names, dead, mark, near, order
         self.score, self.chars, self.linked, self.prose, self.holds_article = 0.0, 0, 0, 0, tag in ("article", "main")
         self.cut = self.kept = False
-        self.branch: Node | None = None
+        self.byline, self.headed = False, tag in HEADINGS
+
+
+#: Both kinds of words written as one.
+COMPOUNDS = frozenset({w + t for w in BOILER for t in BOILER_TAILS} | {p + w for p in PLACES for w in BOILER})
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 
 
 def name_mark(names: str, in_article: bool) -> str:
@@ -84,6 +100,10 @@ def name_mark(names: str, in_article: bool) -> str:
             if COMMENT_WORDS & set(parts):
                 return "comment"
             found = "name"
+        elif parts[-1] in TALK or parts[0] in TALK and len(parts) == 2 and parts[1] in BOILER_TAILS:
+            found = "talk"
+        elif COMPOUNDS & set(parts):
+            found = "comment" if any(p.startswith(("comment", "repl", "response", "disqus")) for p in parts) else found or "name"
     return found
 
 
@@ -184,6 +204,7 @@ class Reader:
         node.holds_article = in_article or node.holds_article  # while reading: stands in an article
         if tag == "p" or tag in CLOSES:
             near[tag] = node
+        node.byline = names != " " and BYLINE.search(names) is not None
         self.nodes.append(node)
         self.open[tag] = self.open.get(tag, 0) + 1
         self.here = node
@@ -246,6 +267,8 @@ class Reader:
                     self.links = True
                 elif tag == "br":
                     self.say(" ")
+                if tag == "time" or "class" in found and BYLINE.search(found["class"]):
+                    self.here.byline = True
             elif not (ends_itself and tag in DEAD):
                 self.start(tag, found)
         self.say(page[at:])
@@ -265,7 +288,7 @@ def _prune(nodes: list[Node], blocks: list[tuple[Node, str, int]], marks: tuple[
     """Sums of text up the tree, and the nodes that marks of these kinds cut out."""
     for n in nodes:
         n.chars = n.linked = n.prose = 0
-        n.score, n.cut, n.kept, n.branch = 0.0, False, False, None
+        n.score, n.cut, n.kept = 0.0, False, False
         n.holds_article = False
     for node, text, linked in blocks:
         node.chars += len(text)
@@ -279,11 +302,29 @@ def _prune(nodes: list[Node], blocks: list[tuple[Node, str, int]], marks: tuple[
             up.chars += n.chars
             up.linked += n.linked
             up.holds_article = up.holds_article or n.holds_article
+            up.byline = up.byline or n.byline
+            up.headed = up.headed or n.headed
             if not (n.mark == "comment" or n.tag == "nav"):
                 up.prose += n.prose
     whole = nodes[0]
+    # Prose of the outermost articles; and what stands in one.
+    articles, inside = 0, set()
+    alike: dict[tuple[int, str, str], list[Node]] = {}
     for n in nodes:
-        if n.parent is not None and n.parent.cut:
+        if n.parent is not None and n.parent.order in inside:
+            inside.add(n.order)
+        elif n.tag in ("article", "main"):
+            inside.add(n.order)
+            articles += n.prose
+        if n.byline and not n.headed and n.parent is not None and n.tag not in INLINE and n.chars:
+            alike.setdefault((n.parent.order, n.tag, n.names), []).append(n)
+    talk = {n.order for group in alike.values() if len(group) > 1 and 2 * sum(n.prose for n in group) <= whole.prose for n in group} if "comment" in marks else set()
+    for n in nodes:
+        if n.parent is not None and n.parent.cut or n.order in talk:
+            n.cut = True
+        elif n.mark == "talk" and "comment" in marks:
+            n.cut = not n.headed and not n.holds_article and n.prose <= 0.5 * whole.prose
+        elif not n.mark and "name" in marks and n.tag in ("div", "ul", "ol", "section", "table") and n.order not in inside and not n.prose and n.linked >= 0.7 * n.chars > 0:
             n.cut = True
         elif n.mark in marks:
             if n.mark == "comment" or n.tag == "nav":
@@ -291,8 +332,8 @@ def _prune(nodes: list[Node], blocks: list[tuple[Node, str, int]], marks: tuple[
             elif n.tag in LINES:
                 n.cut = _density(n) >= LINK_LIST
             else:
-                # With an article on the page the rest of it is no article; else what holds most of the prose is.
-                n.cut = not n.holds_article if whole.holds_article else n.prose <= 0.5 * whole.prose
+                # With an article on the page the rest of it is no article, unless that is but a teaser beside it; else what holds most of the prose is.
+                n.cut = not n.holds_article and n.prose <= TEASER * articles if articles else n.prose <= 0.5 * whole.prose
 
 
 def _best(nodes: list[Node], blocks: list[tuple[Node, str, int]], marks: tuple[str, ...]) -> str:
@@ -356,7 +397,8 @@ def main_text(page: str) -> str:
 def extract_text(df: DataFrame, id_column: str = "page_id", html_column: str = "html", keep: tuple[str, ...] = ()) -> DataFrame:
     """The main text of every whole page: id_column, the columns in ``keep``, text, n_chars (code points).
 
-    A null or empty page has an empty text. Pages are independent: nothing is shuffled, ids may be null or repeat.
+    A null or empty page has an empty text, an empty table an empty result. Pages are independent: nothing is shuffled, ids
+    may be null or repeat, and pages of any length take time in proportion to it. Columns that aren't kept aren't read, whatever their names.
     """
     kinds = dict(df.dtypes)
 
