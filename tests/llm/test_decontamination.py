@@ -14,10 +14,11 @@ def test_wand_returns_all_above_the_threshold():
     vocabulary = [f"w{i}" for i in range(60)]
     items = [(i, rng.choices(vocabulary, k=rng.randint(3, 12)), rng.choices(vocabulary, k=2)) for i in range(150)]
     frequency = {w: sum(w in q + a for _, q, a in items) for w in vocabulary}
-    index = d.Index(items, frequency, len(items), 9.0)
+    terms_of = {w: k for k, w in enumerate(vocabulary)}
+    index = d.Index(items, terms_of, 32, frequency, len(items), 9.0)
     for threshold in (0.2, 0.4, 0.7):
         for _ in range(150):
-            terms = sorted({index.terms[w] for w in rng.choices(vocabulary, k=14) if w in index.terms})
+            terms = sorted({terms_of[w] for w in rng.choices(vocabulary, k=14) if index.docs[terms_of[w]]})
             scores = {}
             for t in terms:
                 for doc, w in zip(index.docs[t], index.weights[t], strict=True):
@@ -63,9 +64,8 @@ def plain(rows, items, threshold=d.THRESHOLD, question=d.QUESTION, answer=d.ANSW
     """Every passage against every item by the definition: BM25 shares summed term by term, then trigrams of the passage."""
     items = {(i, q, a) for i, q, a in items}
     parts = [(i, *d.split_item(d.words_of(q), d.words_of(a))) for i, q, a in sorted(items, key=str)]
-    parts = [p for p in parts if len(p[1]) + len(p[2]) >= 3]
+    parts = [p for p in parts if p[1] or p[2]]
     mean = sum(len(q) + len(a) for _, q, a in parts) / max(1, len(parts))
-    step = max([32, *(len(q) + len(a) for _, q, a in parts)])
     df = {}
     for _, q, a in parts:
         for w in set(q + a):
@@ -75,6 +75,7 @@ def plain(rows, items, threshold=d.THRESHOLD, question=d.QUESTION, answer=d.ANSW
         words = d.words_of(text)
         for item, q, a in parts:
             both = q + a
+            step = next(s for s in (32 << k for k in range(30)) if s >= len(both))
             weight = {w: math.log(1 + (len(parts) - df[w] + 0.5) / (df[w] + 0.5)) * both.count(w) * 2.2 / (both.count(w) + 1.2 * (0.25 + 0.75 * len(both) / mean)) for w in both}
             for at in range(0, max(1, len(words) - step), step):
                 passage = words[at : at + 2 * step]
@@ -83,7 +84,7 @@ def plain(rows, items, threshold=d.THRESHOLD, question=d.QUESTION, answer=d.ANSW
                     continue
                 runs = {tuple(passage[i : i + 3]) for i in range(len(passage) - 2)}
                 share = []
-                for part in (q, a):
+                for part in (q, a) if len(both) > 2 else (both, both):
                     grams = {tuple(part[i : i + 3]) for i in range(len(part) - 2)}
                     share.append(len(grams & runs) / len(grams) if grams else float(any(passage[i : i + len(part)] == part for i in range(len(passage) + 1 - len(part)))))
                 if share[0] >= question and share[1] >= answer:
@@ -130,5 +131,18 @@ def test_rows_of_one_id_and_null_ids_have_their_own_verdict(spark):
 def test_short_items_and_scattered_words(spark):
     items = spark.createDataFrame([(1, "Paris"), (2, "a b"), (3, "red fox jumps high over old stone wall")], "item_id bigint, text string")
     scattered = "red fox jumps " + "x " * 90 + "fox jumps high " + "y " * 90 + "jumps high over old stone wall"
-    docs = spark.createDataFrame([(1, "Paris in spring a b"), (2, scattered), (3, "the red fox jumps high over old stone wall")], "doc_id bigint, text string")
-    assert [(r.doc_id, r.item_id) for r in d.decontaminate(docs, items).collect()] == [(3, 3)]
+    docs = spark.createDataFrame([(1, "Paris in spring a b"), (4, "a word, then b, parisian"), (2, scattered), (3, "the red fox jumps high over old stone wall")], "doc_id bigint, text string")
+    assert sorted((r.doc_id, r.item_id) for r in d.decontaminate(docs, items).collect()) == [(1, 1), (1, 2), (3, 3)]
+
+
+def test_a_verdict_does_not_hang_on_the_length_of_other_items(spark):
+    """Trigrams of a short item 200 words apart are no passage, however long another item is."""
+    rng = random.Random(9)
+    item = [f"t{i}" for i in range(15)]
+    scattered = " ".join(" ".join(item[i : i + 3]) + " " + " ".join(f"f{rng.randrange(10**6)}" for _ in range(200)) for i in range(13))
+    long_ = " ".join(f"z{rng.randrange(10**6)}" for _ in range(3000))
+    docs = spark.createDataFrame([(1, scattered), (2, f"x {' '.join(item)} y"), (3, f"a b {long_} c")], "doc_id bigint, text string")
+    for texts in ([" ".join(item)], [" ".join(item), long_]):
+        items = spark.createDataFrame(list(enumerate(texts)), "item_id bigint, text string")
+        found = sorted((r.doc_id, r.item_id) for r in d.decontaminate(docs, items).collect())
+        assert found == [(2, 0), (3, 1)][: len(texts)]

@@ -1,7 +1,8 @@
 """Benchmark decontamination: a BM25 inverted index of the test items, queried by every training passage.
 
 Postings hold the BM25 weight of a term in an item as a share of the item's own total, so one threshold serves items of
-any length. Items lie in blocks, and for each term and block the largest weight is kept. A passage (a window of words,
+any length. Items of like length are a class with lists and a passage size of its own, so no item's verdict hangs on how long
+others are. Items lie in blocks, and for each term and block the largest weight is kept. A passage (a window of words,
 half of it new) is a query of its distinct terms. Its terms in the most blocks, as long as their largest weights together
 stay under a third of the threshold, can't make a hit alone: only the block lists of the others are walked, for all passages
 of a text at once, and a block whose maxima, with what those terms could add, stay below the threshold is skipped. For a passage
@@ -35,6 +36,8 @@ ITEM_WORDS = 2_000_000
 THRESHOLD = 0.6
 QUESTION, ANSWER = 0.6, 0.5
 NGRAM = 3
+#: Words of the longest item of the first class.
+LEAST_STEP = 32
 
 
 def words_of(text: str | None) -> list[str]:
@@ -53,15 +56,23 @@ def ngrams(words: list[str], n: int = NGRAM) -> set[tuple[str, ...]]:
     return {tuple(words[i : i + n]) for i in range(max(1, len(words) - n + 1))} if words else set()
 
 
+def length_class(words: int) -> int:
+    """The words that the longest item of the same class may have: powers of two from ``LEAST_STEP`` on. A passage is two of that."""
+    step = LEAST_STEP
+    while step < words:
+        step *= 2
+    return step
+
+
 class Index:
-    """Items as postings by term, in item order."""
+    """Items of one class of length as postings by term, in item order."""
 
-    def __init__(self, items: list[tuple[int, list[str], list[str]]], frequency: dict[str, int], total: int, mean: float) -> None:
-        """items: id, question words, answer words; frequency: items with the term, of ``total``; mean: words an item has."""
+    def __init__(self, items: list[tuple[int, list[str], list[str]]], terms: dict[str, int], step: int, frequency: dict[str, int], total: int, mean: float) -> None:
+        """items: id, question words, answer words; terms: numbers of the terms of all classes; frequency: items with the term, of ``total``; mean: words an item has."""
         self.ids = [i[0] for i in items]
         self.question = [i[1] for i in items]
         self.answer = [i[2] for i in items]
-        lists: dict[str, list[tuple[int, float]]] = {}
+        lists: list[list[tuple[int, float]]] = [[] for _ in terms]
         for doc, (_, question, answer) in enumerate(items):
             counts = Counter(question + answer)
             size = sum(counts.values())
@@ -71,11 +82,12 @@ class Index:
                 weights[term] = idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * size / mean))
             whole = sum(weights.values())
             for term, w in weights.items():
-                lists.setdefault(term, []).append((doc, w / whole))
-        self.terms = {t: k for k, t in enumerate(lists)}
-        self.docs = [[d for d, _ in p] for p in lists.values()]
-        self.weights = [[w for _, w in p] for p in lists.values()]
-        self.most = np.array([max(w) for w in self.weights] + [0.0])
+                lists[terms[term]].append((doc, w / whole))
+        self.step = step
+        self.docs = [[d for d, _ in p] for p in lists]
+        self.weights = [[w for _, w in p] for p in lists]
+        self.most = np.array([max(w, default=0.0) for w in self.weights] + [0.0])
+        self.has = np.array([bool(w) for w in self.weights] + [False])
         self.block_most: list[dict[int, float]] = []
         for docs, weights in zip(self.docs, self.weights, strict=True):
             most: dict[int, float] = {}
@@ -87,7 +99,6 @@ class Index:
         self.blocks = np.array([b for m in self.block_most for b in m], np.int64)
         self.maxima = np.array([w for m in self.block_most for w in m.values()], np.float64)
         self.n_blocks = len(items) // BLOCK + 1
-        self.longest = max((len(q) + len(a) for _, q, a in items), default=1)
 
     def above(self, terms: list[int], threshold: float) -> list[tuple[int, float]]:
         """Items whose score for the distinct ``terms`` is ``threshold`` at least, by block-max WAND."""
@@ -132,9 +143,9 @@ class Index:
             cursors = moved
         return out
 
-    def hopeful(self, terms: np.ndarray, step: int, threshold: float) -> list[int]:
+    def hopeful(self, terms: np.ndarray, threshold: float) -> list[int]:
         """Passages (two steps from each step on) with a block whose maxima reach the threshold. The work is in proportion to the block lists walked."""
-        none, size = len(self.docs), len(self.docs) + 1
+        step, size = self.step, len(self.docs) + 1
         steps, out = max(1, -(-len(terms) // step)), []
         last = max(1, steps - 1)
         slab = max(1, 200_000 // step)
@@ -145,7 +156,9 @@ class Index:
             # Each word stands in the passage of its step and in the one before.
             pairs = np.concatenate([at[at < high] * size + term[at < high], (at[at > low] - 1) * size + term[at > low]]) if steps > 1 else term
             pairs = np.unique(pairs)
-            pairs = pairs[pairs % size != none]
+            pairs = pairs[self.has[pairs % size]]
+            if not len(pairs):
+                continue
             passage, term = pairs // size - low, pairs % size
             lists = self.first[term + 1] - self.first[term]
             # The most widespread terms of a passage come first; their largest weights are summed up.
@@ -173,27 +186,43 @@ class Index:
             out += (low + np.unique(found[bound + added[found] >= threshold - 1e-6])).tolist()
         return out
 
-    def matches(self, text: str, threshold: float, question: float, answer: float) -> list[tuple[int, float, float, float]]:
+    def matches(self, words: list[str], terms: np.ndarray, threshold: float, question: float, answer: float) -> list[tuple[int, float, float, float]]:
         """Item, score, question and answer overlap of each item that a passage of the text holds, as in the passage with the best overlaps."""
-        words = words_of(text)
-        none = len(self.docs)
-        get = self.terms.get
-        terms = np.array([get(w, none) for w in words], dtype=np.int64)
-        step = max(32, self.longest)
+        step = self.step
         best: dict[int, tuple[float, float, float]] = {}
-        for a in self.hopeful(terms, step, threshold) if words else []:
-            distinct = [t for t in set(terms[a * step : (a + 2) * step].tolist()) if t != none]
+        for a in self.hopeful(terms, threshold) if words else []:
+            distinct = [t for t in set(terms[a * step : (a + 2) * step].tolist()) if self.has[t]]
             hits = self.above(distinct, threshold)
             if hits:
                 passage = words[a * step : (a + 2) * step]
                 has = ngrams(passage)
                 for doc, score in hits:
-                    q, e = overlap(self.question[doc], passage, has), overlap(self.answer[doc], passage, has)
+                    own = self.question[doc], self.answer[doc]
+                    if len(own[0]) + len(own[1]) < NGRAM:  # too short for parts: the item as a whole, as a run of words
+                        own = (own[0] + own[1],) * 2
+                    q, e = (overlap(part, passage, has) for part in own)
                     if q >= question and e >= answer:
                         best[doc] = max(best.get(doc, (0.0, 0.0, 0.0)), (q, e, score))
         return [(self.ids[doc], score, q, e) for doc, (q, e, score) in sorted(best.items())]
 
 
+class Indexes:
+    """The classes of items, with one numbering of terms."""
+
+    def __init__(self, items: list[tuple[int, list[str], list[str]]], frequency: dict[str, int], total: int, mean: float) -> None:
+        self.terms = {t: k for k, t in enumerate(dict.fromkeys(w for _, q, a in items for w in (*q, *a)))}
+        classes: dict[int, list[tuple[int, list[str], list[str]]]] = {}
+        for item in items:
+            classes.setdefault(length_class(len(item[1]) + len(item[2])), []).append(item)
+        self.classes = [Index(own, self.terms, step, frequency, total, mean) for step, own in sorted(classes.items())]
+
+    def matches(self, text: str, threshold: float, question: float, answer: float) -> list[tuple[int, float, float, float]]:
+        words = words_of(text)
+        get, none = self.terms.get, len(self.terms)
+        terms = np.array([get(w, none) for w in words], dtype=np.int64)
+        return sorted(row for own in self.classes for row in own.matches(words, terms, threshold, question, answer))
+
+
 def overlap(part: list[str], passage: list[str], has: set[tuple[str, ...]]) -> float:
     """Share of the trigrams of a question or an answer that the passage has; a part under a trigram is there as a run of words or not."""
     if len(part) >= NGRAM:
@@ -207,8 +236,9 @@ def decontaminate(docs: DataFrame, items: DataFrame, id_column: str = "doc_id",
 
     Every passage of every document is a query. text_hash (``row_key``) tells rows of one id or of null ids apart. Items
     of more than ``INDEX_WORDS`` words together are indexed in blocks, with document frequencies over all items, and the
-    documents are queried with each block. Repeated items are one. Items of fewer than ``NGRAM`` words can't be told from
-    common speech and match nothing, as do null texts; repeated rows each have their matches; a null id is returned as it is.
+    documents are queried with each block. Repeated items are one. An item of fewer than ``NGRAM`` words is there where its words
+    stand as a run; items without a word and null texts match nothing. Repeated rows each have their matches; a null id is
+    returned as it is. Empty tables of either kind give no rows. Other columns aren't read, whatever their names.
     """
     spark = docs.sparkSession
     answer_text = F.col(answer_column).cast("string") if answer_column else F.lit(None).cast("string")
@@ -217,7 +247,7 @@ def decontaminate(docs: DataFrame, items: DataFrame, id_column: str = "doc_id",
     schema = f"`{id_column}` {kind}, text_hash bigint, item_id bigint, score double, question_overlap double, answer_overlap double"
     source = docs.select(F.col(id_column).alias("__id"), row_key(text_column).alias("__hash"), text_or_empty(text_column).alias("__text"))
     lexed = map_batches(tests, ["item", "q", "a"], lambda c: iter([[c[0], *map(list, zip(*[split_item(words_of(q), words_of(a)) for q, a in zip(c[1], c[2], strict=True)], strict=True))]] if c[0] else []), "item bigint, q array<string>, a array<string>")
-    lexed = written(lexed.withColumn("words", F.size("q") + F.size("a")).where(F.col("words") >= NGRAM), "items")
+    lexed = written(lexed.withColumn("words", F.size("q") + F.size("a")).where("words > 0"), "items")
     total, mean, words, longest = lexed.agg(F.count("*"), F.avg("words"), F.coalesce(F.sum("words"), F.lit(0)), F.coalesce(F.max("words"), F.lit(0))).first()
     if longest > ITEM_WORDS:
         raise ValueError(f"an item has {longest} words, more than {ITEM_WORDS}")
@@ -245,9 +275,9 @@ _READY: list = []
 def _matcher(shared, threshold: float, question: float, answer: float):
     def work(columns: list[list]) -> Iterator[list]:
         if not _READY or _READY[0] is not shared.value:
-            _READY[:] = [shared.value, Index(*shared.value)]
+            _READY[:] = [shared.value, Indexes(*shared.value)]
         out: list[list] = [[] for _ in range(6)]
-        if _READY[1].ids:
+        if _READY[1].classes:
             for key, hash_, text in zip(*columns, strict=True):
                 for row in _READY[1].matches(text, threshold, question, answer):
                     for column, value in zip(out, (key, hash_, *row), strict=True):
