@@ -18,10 +18,10 @@ def test_feistel_is_a_permutation_with_an_inverse():
 
 
 def test_formats_stay_valid():
-    text = "Card 4111 1111 1111 1111, IBAN GB82 WEST 1234 5698 7654 32, SSN 123-45-6789, ip 10.20.30.40, tel +1 (212) 555-0147, born 1984-02-29 or 29.02.1984, Jo.Doe7@example.org, token = \"04dbebab91ab85687d33eeaaf9ac699e1188f962\"."
+    text = "Card 4111 1111 1111 1111, IBAN GB82 WEST 1234 5698 7654 32, SSN 123-45-6789, ip 10.20.30.40 or 2001:db8::8a2e:370:7334, tel +1 (212) 555-0147, born 1984-02-29 or 29.02.1984, Jo.Doe7@example.org, token = \"04dbebab91ab85687d33eeaaf9ac699e1188f962\"."
     new, spans = pii.pseudonymise(text, KEY)
     assert {k for _, _, k in spans} == set(pii.KINDS)
-    assert len(new) == len(text) - len("10.20.30.40") + len(re.search(r"ip ([\d.]+),", new)[1])
+    assert len(new) == len(text) - len("10.20.30.40") + len(re.search(r"ip ([\d.]+) or", new)[1])
     card = re.search(r"Card ([\d ]+),", new)[1]
     assert pii.luhn_ok(card.replace(" ", "")) and card[0] == "4" and card != "4111 1111 1111 1111"
     assert pii._iban_mod(re.search(r"IBAN ([A-Z\d ]+),", new)[1].replace(" ", "")) == 1
@@ -119,3 +119,29 @@ def test_times_other_eras_and_case():
         new, spans = pii.pseudonymise(text, KEY)
         assert len(spans) == 1 and len(new) == len(text) and new != text
         assert new.upper() == new or not text.startswith("token") or new[6:].isupper()
+
+
+def test_many_finds_take_time_in_proportion():
+    import time
+
+    def seconds(n):
+        text = " ".join(f"user{i}@mail{i}.example.org called from 10.{i % 250}.{i // 250 % 250}.7 on 2024-01-{1 + i % 28:02d}" for i in range(n))
+        pii.pseudonym.cache_clear()
+        began = time.perf_counter()
+        found = pii.pseudonymise(text, b"k")[1]
+        assert len(found) == 3 * n
+        return time.perf_counter() - began
+
+    seconds(500)
+    assert seconds(33_400) < 40 * max(seconds(1670), 0.05)
+
+
+def test_versions_stay_and_more_formats_go():
+    key = b"k"
+    for text in ("v 1.2.3.4 and version 4.3.2.1", "ratio 1:2:3 at 10:20:30", "password: hunter", "std::vector::size", "::1"):
+        assert pii.pseudonymise(text, key)[0] == text, text
+    for text, value, kind in (("host 2001:db8::ff00:42:8329 up", "2001:db8::ff00:42:8329", "ipv6"), ("at FE80:0:0:0:202:B3FF:FE1E:8329,", "FE80:0:0:0:202:B3FF:FE1E:8329", "ipv6"), ('Password = "s3cret.Word9"', "s3cret.Word9", "secret")):
+        new, spans = pii.pseudonymise(text, key)
+        (start, end, found), = spans
+        assert text[start:end] == value and found == kind and new[start:end] != value and len(new) == len(text)
+        assert pii.pseudonym(kind, new[start:end], key, True) == value
