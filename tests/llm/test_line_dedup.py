@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from weftline.llm import common
-from weftline.llm.line_dedup import LEAST_LINES, chunks, line_dedup, line_runs
+from weftline.llm.line_dedup import LEAST_LINES, chunkings, chunks, line_dedup, line_runs
 from weftline.llm.queries import op7_line_dedup
 
 
@@ -34,19 +34,49 @@ def brute(rows):
     return sorted(out, key=str)
 
 
+def brute_levels(rows):
+    """Of both levels: a chunk goes where an equal one stood before; of overlapping equal chunks of a text the first stays whole."""
+    first = {}
+    for known, key, text in sorted({(k is not None, k or 0, t) for k, t in rows if t is not None}):
+        lines = text.split("\n")
+        for n, (a, b) in enumerate(chunkings(text)):
+            first.setdefault("\n".join(lines[a:b]), (known, key, text, n))
+    out = []
+    for key, text in rows:
+        if text is None:
+            out.append((key, None, 0, 0))
+            continue
+        lines, places = text.split("\n"), chunkings(text)
+        bodies = ["\n".join(lines[a:b]) for a, b in places]
+        gone = {n for n, body in enumerate(bodies) if places[n][1] - places[n][0] > 1 and any(c.isalnum() for c in body) and first[body] != (key is not None, key or 0, text, n)}
+        drop = set()
+        for n in gone:
+            other = bodies.index(bodies[n])
+            drop |= set(range(*places[n])) - (set() if other in gone else set(range(*places[other])))
+        kept = [line for i, line in enumerate(lines) if i not in drop]
+        out.append((key, "\n".join(kept), len(lines), len(lines) - len(kept)))
+    return sorted(out, key=str)
+
+
 def test_documents(spark, small):
-    rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{small}/documents.parquet").collect()]
+    docs = spark.read.parquet(f"{small}/documents.parquet")
+    rows = [(r.doc_id, r.text) for r in docs.collect()]
     found = sorted((tuple(r) for r in op7_line_dedup(spark, small).collect()), key=str)
-    assert found == brute(rows)
-    assert sum(r[3] for r in found) > 0
+    assert found == brute_levels(rows)
+    alone = sorted((tuple(r) for r in line_dedup(docs, cut=chunks).collect()), key=str)
+    assert alone == brute(rows)
+    assert sum(r[3] for r in found) > sum(r[3] for r in alone) > 0
+    left, owed = runs_left(rows, [(r[0], r[1]) for r in found])
+    assert owed > 0 and left == []
 
 
 def test_awkward_rows(spark):
     shared = "\n".join(f"line {i}" for i in range(40))
     rows = [(4, "intro\n" + shared), (2, shared), (9, None), (7, ""), (2, shared), (None, shared + "\nend"), (5, "\n\n\n\n"), (6, "\n\n\n\n"), (8, "x\n" * 3000)]
     df = spark.createDataFrame([(k, t, 1) for k, t in rows], "doc_id bigint, text string, first int")
-    found = sorted((tuple(r) for r in line_dedup(df).collect()), key=str)
+    found = sorted((tuple(r) for r in line_dedup(df, cut=chunks).collect()), key=str)
     assert found == brute(rows)
+    assert sorted((tuple(r) for r in line_dedup(df).collect()), key=str) == brute_levels(rows)
     kept = line_dedup(df, keep=("first",))
     assert kept.columns == ["doc_id", "text", "n_lines", "n_removed", "first"] and kept.count() == len(rows)
     assert line_dedup(df.limit(0)).count() == 0
@@ -119,14 +149,16 @@ def test_documents_against_an_independent_chunker(spark, small):
             if len(chunk) >= 2:
                 seen.add(body)
         expected[key] = "\n".join(kept)
-    assert {r.doc_id: r.text for r in op7_line_dedup(spark, small).collect()} == expected
+    docs = spark.read.parquet(f"{small}/documents.parquet")
+    assert {r.doc_id: r.text for r in line_dedup(docs, cut=chunks).collect()} == expected
 
 
 def test_a_chunk_of_a_third_of_all_documents(spark):
     shared = "\n".join(f"shared line {i}" for i in range(12))
     rows = [(k, f"{shared}\nown {k}\nand {k}" if k % 3 == 0 else f"a {k}\nb {k}\nc {k}") for k in range(300)]
     df = spark.createDataFrame(rows, "doc_id bigint, text string")
-    assert sorted((tuple(r) for r in line_dedup(df).collect()), key=str) == brute(rows)
+    assert sorted((tuple(r) for r in line_dedup(df).collect()), key=str) == brute_levels(rows)
+    assert sorted((tuple(r) for r in line_dedup(df, cut=chunks).collect()), key=str) == brute(rows)
     found = spark.range(3000).select((F.when(F.col("id") % 3 == 0, 7).otherwise(F.col("id"))).alias("hash"), F.col("id").alias("row"))
     small = found.groupBy("hash").agg(F.count("*").alias("n"))
     hot = common.hot_keys(small.select(F.col("hash").alias("key"), "n"))

@@ -5,6 +5,10 @@ boundaries depend on nearby lines only and shift with them when lines are put in
 that stood before (in a document with a smaller id, or earlier in the same one) is removed once its bytes have been
 compared with those of the first one.
 
+One chunking finds long repeats by few chunks, but a short one between other neighbours shares its first or last chunk with
+them. So a text is cut at two levels: by the rolling hash with ``MASK``, and with every line as a boundary (a mask of zero),
+where a chunk is two lines and the next begins a line later. Any repeated run of two lines or more is made of such chunks.
+
 Chunks are first counted by hash alone; only chunks whose hash repeats travel with their bytes, and grouping by these
 bytes is the comparison. All counts are pre-aggregated in each task, so a chunk of a third of all documents costs a row a
 task there, and the two joins that lead from chunks back to their places deal the rows of such a chunk to many tasks.
@@ -55,6 +59,11 @@ def line_runs(text: str) -> list[tuple[int, int]]:
     return sorted(out)
 
 
+def chunkings(text: str) -> list[tuple[int, int]]:
+    """The chunks of both levels, in order; they overlap."""
+    return sorted({*chunks(text), *line_runs(text)})
+
+
 def signed_hash(data: bytes) -> int:
     """What ``xxhash64`` of Spark gives for these bytes."""
     h = xxhash.xxh64_intdigest(data, 42)
@@ -65,11 +74,11 @@ def _chunk_bytes(lines: list[str], a: int, b: int) -> bytes:
     return "\n".join(lines[a:b]).encode("utf-8", "surrogatepass")
 
 
-def line_dedup(df: DataFrame, id_column: str = "doc_id", text_column: str = "text", keep: tuple[str, ...] = (), cut: Callable[[str], list[tuple[int, int]]] = chunks) -> DataFrame:
+def line_dedup(df: DataFrame, id_column: str = "doc_id", text_column: str = "text", keep: tuple[str, ...] = (), cut: Callable[[str], list[tuple[int, int]]] = chunkings) -> DataFrame:
     """Removes repeated multi-line chunks: id_column, text, n_lines, n_removed (lines), then the columns in ``keep``.
 
-    ``cut`` gives the chunks of a text in order: ``chunks``, or ``line_runs`` to find every repeated run of two lines or
-    more. Chunks may overlap; a line goes with any of them. The first chunk by (id, position) stays. Chunks without a letter or digit are never removed. A document is its id and
+    ``cut`` gives the chunks of a text in order: ``chunkings`` for every repeated run of two lines or more, ``chunks`` for
+    the rolling hash's own. Chunks may overlap; a line goes with any of them. The first chunk by (id, position) stays. Chunks without a letter or digit are never removed. A document is its id and
     text: repeated rows are treated alike and all keep what the first may keep. Null ids come first. A null text stays null (no lines).
     """
     kinds = dict(df.dtypes)
