@@ -104,8 +104,14 @@ def test_parts_of_a_long_document(spark, libraries):
     assert [(r.n_a, r.groups) for r in found if r.id == 3] == [(0, "")]
 
 
-def test_byte_level_words(libraries):
-    """The word-wise encoder gives the library's ids."""
-    side = alignment.ByteLevel(open(A).read())
-    for _, text in AWKWARD:
-        assert side.encode(" " + (text or "")).tolist() == libraries[0].encode(" " + (text or ""), add_special_tokens=False).ids
+def test_chunks_are_encoded_as_whole_texts(libraries):
+    """The ids of the chunks are those of the libraries for the text."""
+    pair = alignment.Pair(open(A).read(), open(B, "rb").read())
+    extra = ["\n x", "a\n\n  b", "　 x　", "x \u2028 y", " \t \n z", "it 's  'll", "tail  ", "12 ,5 %  \r\n \r"]
+    texts = [t for _, t in AWKWARD if t] + extra
+    for text, both in zip(texts, pair.encode(texts)):
+        if both is None:
+            assert "▁" in text
+            continue
+        a, b = (alignment.np.frombuffer(x, pair.kind).tolist() for x in both)
+        assert a == libraries[0].encode(" " + text, add_special_tokens=False).ids and b == libraries[1].encode(text)

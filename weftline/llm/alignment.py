@@ -25,21 +25,17 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from weftline.llm.common import map_batches, partitions, text_or_empty, written
-from weftline.llm.sentencepiece_codec import Model
+from weftline.llm.sentencepiece_codec import MARK, Model
 
 #: Events of a row, and links of a document after which the machine hands on a part of it.
 BLOCK, PART = 8192, 1 << 16
 #: Bound on the number of pairs whose counts travel to all tasks.
 FREQUENT = 1 << 17
-#: Words of which a worker keeps the ids, twice.
+#: Chunks of which a worker keeps the ids, twice.
 CACHE = 250_000
-#: The byte-level tokenizer's split of texts in Latin-1.
-LATIN = re.compile(
-    "'s|'t|'re|'ve|'m|'ll|'d| ?[A-Za-zªµºÀ-ÖØ-öø-ÿ]+| ?[0-9²³¹¼½¾]+| ?[^\t-\r \x85\xa00-9²³¹¼½¾A-Za-zªµºÀ-ÖØ-öø-ÿ]+"
-    "|[\t-\r \x85\xa0]+(?![^\t-\r \x85\xa0])|[\t-\r \x85\xa0]+"
-)
-BEYOND = re.compile(r"[^\x00-\xff]")
-#: What the definition must say for a text to be encoded word by word.
+#: Texts are cut in front of every run of blanks: no token of either side crosses such a place.
+CHUNKS = re.compile(" +[^ ]*|[^ ]+")
+#: What the definition must say for that: blanks are parted from what stands before them, and nothing is normalised.
 PLAIN = {"type": "ByteLevel", "add_prefix_space": False, "use_regex": True}
 
 
@@ -60,57 +56,31 @@ class ByteLevel:
         self.tokenizer = Tokenizer.from_str(definition)
         self.tokenizer.encode_special_tokens = True
         said, of = json.loads(definition), byte_characters()
+        if said["normalizer"] is not None or any((said["pre_tokenizer"] or {}).get(k) != v for k, v in PLAIN.items()):
+            raise ValueError("needs the byte-level split and no normaliser")
         vocabulary = said["model"]["vocab"] | {t["content"]: t["id"] for t in said["added_tokens"]}
         self.bytes_of = [b""] * (max(vocabulary.values()) + 1)
         for piece, i in vocabulary.items():
             self.bytes_of[i] = bytes(of[c] for c in piece) if all(c in of for c in piece) else piece.encode()
-        self.by_word = said["normalizer"] is None and all((said["pre_tokenizer"] or {}).get(k) == v for k, v in PLAIN.items())
-        self.cache: dict[str, bytes] = {}
-        self.older: dict[str, bytes] = {}
-
-    def _ids(self, text: str) -> np.ndarray:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4")
-
-    def encode(self, text: str) -> np.ndarray:
-        """Ids (uint32). No token crosses the split, so a Latin-1 text is its words' ids one after the other; the words met last are kept."""
-        if not self.by_word or BEYOND.search(text):
-            return self._ids(text)
-        words = LATIN.findall(text)
-        found = list(map(self.cache.get, words))
-        if None in found:
-            if len(self.cache) > CACHE:
-                self.older, self.cache = self.cache, {}
-            for i, ids in enumerate(found):
-                if ids is None:
-                    w = words[i]
-                    found[i] = ids = self.cache.get(w) or self.older.get(w) or self._ids(w).tobytes()
-                    if len(w) <= 64:
-                        self.cache[w] = ids
-        return np.frombuffer(b"".join(found), "<u4")
-
-
-class Pieces:
-    """A sentencepiece model, with the bytes that its ids stand for."""
-
-    def __init__(self, data: bytes) -> None:
-        self.model = Model(data)
-        self.bytes_of = self.model.bytes_of
-
-    def encode(self, text: str) -> np.ndarray:
-        return self.model.encode_normalised(self.model.normalise(text)[0])
 
-
-_PAIRS: dict[int, Pair] = {}
+    def encode(self, texts: list[str]) -> list[list[int]]:
+        return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
 
 class Pair:
     """Both tokenizers, the byte lengths of their ids, and the ids' decimal strings with what follows them in a list of groups."""
 
     def __init__(self, a: str, b: bytes) -> None:
-        self.a, self.b = ByteLevel(a), Pieces(b)
-        self.lengths = [np.array([len(x) for x in side.bytes_of], np.int64) for side in (self.a, self.b)]
-        self.n_a, self.n_b = len(self.a.bytes_of), len(self.b.bytes_of)
+        self.a, self.b = ByteLevel(a), Model(b)
+        if self.b.map.units or self.b.squeeze or not self.b.prefix:
+            raise ValueError("needs a model that adds a blank in front and changes nothing else")
+        self.bytes_of = [self.a.bytes_of, self.b.bytes_of]
+        self.lengths = [np.array([len(x) for x in side], np.int64) for side in self.bytes_of]
+        self.n_a, self.n_b = map(len, self.bytes_of)
+        self.kind = "<u2" if max(self.n_a, self.n_b) <= 1 << 16 else "<u4"
         self.strings = [f"{i}{end}" for n, last in ((self.n_a, "|"), (self.n_b, ";")) for end in (",", last) for i in range(n)]
+        self.cache: dict[str, tuple[bytes, bytes] | None] = {}
+        self.older: dict[str, tuple[bytes, bytes] | None] = {}
 
     @classmethod
     def of(cls, shared) -> Pair:
@@ -122,19 +92,40 @@ class Pair:
             _PAIRS[key] = cls(a, b)
         return _PAIRS[key]
 
-    def encode(self, text: str) -> tuple[np.ndarray, np.ndarray] | None:
-        """Ids of both sides; None for an empty text and where the bytes of either side aren't a space and the text."""
-        if not text:
-            return None
-        spaced = " " + text
-        whole = spaced.encode()
-        a = self.a.encode(spaced)
-        if b"".join(map(self.a.bytes_of.__getitem__, a.tolist())) != whole:
-            return None
-        b = self.b.encode(text)
-        if b"".join(map(self.b.bytes_of.__getitem__, b.tolist())) != whole:
-            return None
-        return a, b
+    def _chunk(self, chunk: str, a: list[int]) -> tuple[bytes, bytes] | None:
+        """Ids of both sides as bytes; None where either side's bytes aren't the chunk's."""
+        b = () if MARK in chunk else self.b.pieces(chunk.replace(" ", MARK))
+        for ids, of in ((a, self.bytes_of[0]), (b, self.bytes_of[1])):
+            if b"".join([of[i] for i in ids]) != chunk.encode():
+                return None
+        return np.array(a, self.kind).tobytes(), np.array(b, self.kind).tobytes()
+
+    def encode(self, texts: list[str]) -> list[tuple[bytes, bytes] | None]:
+        """Ids of both sides of each text as bytes; None for an empty text and where the bytes of either side aren't a space and the text."""
+        chunks = [CHUNKS.findall(" " + t) if t else [] for t in texts]
+        if len(self.cache) > CACHE:
+            self.older, self.cache = self.cache, {}
+        known, older = self.cache, self.older
+        missing = list(set().union(*chunks) - known.keys())
+        new = []
+        for c in missing:
+            if c in older:
+                known[c] = older[c]
+            else:
+                new.append(c)
+        for c, ids in zip(new, self.a.encode(new), strict=True):
+            known[c] = self._chunk(c, ids)
+        out: list[tuple[bytes, bytes] | None] = []
+        for own in chunks:
+            found = list(map(known.__getitem__, own))
+            out.append((b"".join([f[0] for f in found]), b"".join([f[1] for f in found])) if found and None not in found else None)
+        for c in missing:
+            if len(c) > 64:
+                del known[c]
+        return out
+
+
+_PAIRS: dict[int, Pair] = {}
 
 
 def events(df: DataFrame, shared, id_column: str, text_column: str) -> DataFrame:
@@ -142,21 +133,19 @@ def events(df: DataFrame, shared, id_column: str, text_column: str) -> DataFrame
 
     def work(columns: list[list]) -> Iterator[list]:
         pair = Pair.of(shared)
-        out: list[list] = [[], [], [], [], []]
-        size = 0
-        for key, doc, text in zip(*columns, strict=True):
-            rows = [(-1, 0, b"")]
-            for side, ids in enumerate(pair.encode(text) or ()):
-                ends = np.cumsum(pair.lengths[side][ids])
-                rows += [(int(ends[k - 1]) if k else 0, side, ids[k : k + BLOCK].astype("<u2" if max(pair.n_a, pair.n_b) <= 1 << 16 else "<u4").tobytes()) for k in range(0, len(ids), BLOCK)]
-            for at, side, ids in rows:
-                for column, value in zip(out, (key, doc, at, side, ids), strict=True):
-                    column.append(value)
-                size += len(ids)
-            if size > 8 << 20:
-                yield out
-                out, size = [[], [], [], [], []], 0
-        yield out
+        size = BLOCK * np.dtype(pair.kind).itemsize
+        for at in range(0, len(columns[0]), 250):
+            part = [c[at : at + 250] for c in columns]
+            out: list[list] = [[], [], [], [], []]
+            for key, doc, both in zip(*part[:2], pair.encode(part[2]), strict=True):
+                rows = [(-1, 0, b"")]
+                for side, data in enumerate(both or ()):
+                    ends = np.cumsum(pair.lengths[side][np.frombuffer(data, pair.kind)]) if len(data) > size else ()
+                    rows += [(int(ends[k * BLOCK - 1]) if k else 0, side, data[k * size : (k + 1) * size]) for k in range(-(-len(data) // size))]
+                for row in rows:
+                    for column, value in zip(out, (key, doc, *row), strict=True):
+                        column.append(value)
+            yield out
 
     source = df.select(F.col(id_column).cast("long").alias("id"), text_or_empty(text_column).alias("text")).withColumn("doc", F.xxhash64("text"))
     return map_batches(source, ["id", "doc", "text"], work, "id bigint, doc bigint, at bigint, side int, ids binary")
@@ -178,12 +167,12 @@ class Machine:
         self.n_links = 0
         self.text: list[str] = []
 
-    def event(self, at: int, side: int, data: bytes, width: int) -> None:
+    def event(self, at: int, side: int, data: bytes) -> None:
         if at < 0:
             self.copies += 1
         elif at > self.seen[side]:  # the blocks of a repeated row stand beside those of the first
             self.seen[side] = at
-            self.ids[side].append(np.frombuffer(data, f"<u{width}").astype(np.int64))
+            self.ids[side].append(np.frombuffer(data, self.pair.kind).astype(np.int64))
 
     def sweep(self) -> None:
         """Closes all groups that end by now, and keeps what is open."""
@@ -251,7 +240,6 @@ def swept(df: DataFrame, a_definition: str, b_model: bytes, id_column: str = "do
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pair = Pair.of(shared)
-        width = 2 if max(pair.n_a, pair.n_b) <= 1 << 16 else 4
         at: Machine | None = None
         for batch in batches:
             out: list[tuple] = []
@@ -261,7 +249,7 @@ def swept(df: DataFrame, a_definition: str, b_model: bytes, id_column: str = "do
                         at.sweep()
                         out.append(at.row(True))
                     at = Machine(pair, (key, doc), digest)
-                at.event(offset, side, data, width)
+                at.event(offset, side, data)
                 if len(at.ids[0]) + len(at.ids[1]) > 8:
                     at.sweep()
                     if at.n_links > PART:
