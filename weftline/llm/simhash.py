@@ -15,7 +15,6 @@ from collections.abc import Iterator
 from itertools import combinations
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
@@ -307,18 +306,32 @@ def prefix_length(n: int, similarity: float) -> int:
     return n - math.ceil(similarity * n - 1e-9) + 1 if n else 0
 
 
-def shingle_sets(df: DataFrame, id_column: str, text_column: str, words: int) -> DataFrame:
-    """id_column, key (128-bit hash of the set), n (its size), shingles (the distinct shingle hashes in order) of each whole text; a null text has none."""
+def filter_places(key: str, size: int) -> list[Column]:
+    """The two bits of a node in a filter of so many words."""
+    return [F.pmod(F.xxhash64(F.col(key).cast("long"), F.lit(k)), F.lit(64 * size)) for k in range(2)]
+
+
+def shingle_sets(df: DataFrame, id_column: str, text_column: str, words: int, wanted: np.ndarray | None = None) -> DataFrame:
+    """id_column, key (128-bit hash of the set), n (its size), shingles (the distinct shingle hashes in order) of each whole text; a null text has none.
+
+    wanted: a filter of ``wanted_words``; only rows whose id it holds, and a few others, are made.
+    """
     kind = dict(df.dtypes)[id_column]
+    shared = None if wanted is None else df.sparkSession.sparkContext.broadcast(wanted)
 
     def work(columns: list[list]) -> Iterator[list]:
+        if shared is not None:
+            bits = [shared.value[at >> 6] >> (at & 63) & 1 for at in (np.array(c, np.int64) for c in columns[2:])]
+            held = np.flatnonzero(bits[0] & bits[1]).tolist() if len(columns[0]) else []
+            columns = [[c[k] for k in held] for c in columns[:2]]
         sets = [np.unique(shingle_hashes(text, words)).view(np.int64) for text in columns[1]]
         ends = np.cumsum([0, *map(len, sets)])
         lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate([np.zeros(0, np.int64), *sets])))
         yield [columns[0], [xxhash.xxh3_128_digest(h.tobytes()) for h in sets], [len(h) for h in sets], lists]
 
-    source = df.select(F.col(id_column), text_or_empty(text_column).alias("__text"))
-    return map_batches(source, [id_column, "__text"], work, f"`{id_column}` {kind}, key binary, n bigint, shingles array<bigint>")
+    places = [] if wanted is None else [c.alias(f"__place{k}") for k, c in enumerate(filter_places(id_column, len(wanted)))]
+    source = df.select(F.col(id_column), text_or_empty(text_column).alias("__text"), *places)
+    return map_batches(source, source.columns, work, f"`{id_column}` {kind}, key binary, n bigint, shingles array<bigint>")
 
 
 def common_shingles(df: DataFrame, id_column: str, text_column: str, words: int) -> list[int]:
@@ -399,7 +412,7 @@ def wanted_words(nodes: DataFrame) -> np.ndarray:
     """A Bloom filter of the nodes, as words of 64 bits; two bits a node, and at most ``BLOOM`` words however many nodes there are."""
     n = nodes.count()
     size = min(BLOOM, 1 << max(6, (n * 16 // 64).bit_length()))
-    place = F.explode(F.array(*[F.pmod(F.xxhash64("node", F.lit(k)), F.lit(64 * size)) for k in range(2)])).alias("bit")
+    place = F.explode(F.array(*filter_places("node", size))).alias("bit")
     words = nodes.select(place).groupBy(F.shiftright("bit", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(bit % 64 as int))")).alias("bits"))
     table = np.zeros(size, np.int64)
     for r in words.collect():
@@ -407,19 +420,6 @@ def wanted_words(nodes: DataFrame) -> np.ndarray:
     return table
 
 
-def may_be_wanted(df: DataFrame, id_column: str, table: np.ndarray) -> DataFrame:
-    """The rows whose id the filter holds, and a few others; found in each task before anything is shuffled."""
-    shared, size = df.sparkSession.sparkContext.broadcast(table), len(table)
-    place = [F.pmod(F.xxhash64(F.col(id_column).cast("long"), F.lit(k)), F.lit(64 * size)) for k in range(2)]
-
-    @F.pandas_udf("boolean")
-    def held(one: pd.Series, two: pd.Series) -> pd.Series:
-        bit = lambda at: shared.value[at >> 6] >> (at & 63) & 1
-        return pd.Series((bit(one.to_numpy()) & bit(two.to_numpy())).astype(bool))
-
-    return df.where(held(*place))
-
-
 def heavy_tokens(own: DataFrame) -> DataFrame:
     """key, pieces: tokens with more than 1 / (8 P) of all rows of ``own`` (n, tokens), and into how many pieces their rows go.
 
@@ -532,7 +532,7 @@ def near_duplicates(df: DataFrame, id_column: str = "doc_id", text_column: str =
         """The sets of the nodes in pairs, made from their texts again: most documents are in none."""
         ends = written(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "ends")
         wanted = ends.join(sketches.select("node", "key"), "node")
-        found = shingle_sets(may_be_wanted(known, id_column, wanted_words(ends)), id_column, text_column, words).withColumn("node", F.col(id_column).cast("long"))
+        found = shingle_sets(known, id_column, text_column, words, wanted_words(ends)).withColumn("node", F.col(id_column).cast("long"))
         return found.join(wanted, ["node", "key"], "left_semi").dropDuplicates(["node", "key"])
 
     def linked(pairs: DataFrame) -> DataFrame:
