@@ -4,8 +4,10 @@ import random
 from difflib import SequenceMatcher
 
 import pytest
+from pyspark.sql import functions as F
 
-from weftline.operators import similarity
+from weftline.functions import text
+from weftline.operators import front, similarity
 
 
 def score(a, b, contained=True):
@@ -63,3 +65,46 @@ def test_best_and_empty(spark):
     assert similarity.similar_pairs(none, none.withColumnRenamed("a", "b"), ["k"], "a", "b", 0.7).count() == 0
     with pytest.raises(ValueError):
         similarity.candidates(none, none, 0.0)
+
+
+#: Pairs of texts and their scores by the definition (twice the matched characters over all, matches longest first).
+SCORED = [
+    ("visit date", "visit date", 1.0), ("visit", "visit date", 0.5), ("subject id", "subjid", 0.75), ("weight kg", "height cm", 0.666667), ("abcd", "dcba", 0.25), ("adverse event term", "adverse events", 0.8125),
+    ("体重", "体重变化", 0.5), ("性别", "出生日期", 0.0), ("", "", 0.0), ("a", "", 0.0), ("aab", "aba", 0.666667), ("lab test name", "test lab name", 0.692308), ("systolic pressure", "diastolic pressure", 0.857143),
+    ("x", "y", 0.0), ("medication", "mediation", 0.947368), ("start", "end", 0.0),
+]
+
+
+def test_scores_of_pairs(spark):
+    pairs = spark.createDataFrame(SCORED, "a string, b string, score double")
+    assert all(r.found == r.score for r in pairs.withColumn("found", F.round(text.fuzzy_score(F.col("a"), F.col("b")), 6)).collect())
+
+
+FORMS = [("f1", "Visit", "Visit date"), ("f2", "visit (form)", "visit_date"), ("f3", "visits", "visit date"), ("f4", "Visit", "visit dates"), ("f5", "other", "none"), ("f6", None, "x"), ("f7", "", "")]
+RECORDS = [("r1", "visit", "visit date"), ("r2", "visit", "visit date"), ("r3", "visitor", "visit date"), ("r4", "lab", "test"), ("r5", None, "x"), ("r6", "", "")]
+
+
+def test_strategies_in_order(spark):
+    """The first strategy with a match decides; all its ties stay; thresholds are asked afterwards."""
+    ids = {k: n for n, (k, _, _) in enumerate(FORMS + RECORDS)}
+    names = {n: k for k, n in ids.items()}
+    vec = {"f5": [1.0, 0.0], "r4": [0.99, 0.1], "f1": [0.0, 1.0]}
+    rows = lambda data: spark.createDataFrame([(ids[k], t, v, vec.get(k)) for k, t, v in data], "id bigint, t string, v string, vec array<double>")
+    probe, records = (front.prepared(rows(d), "id", "t", "v", vec="vec") for d in (FORMS, RECORDS))
+    found = front.strategy_matches(probe, records)
+    got = sorted((names[r.key], names[r.record], r.strategy, r.confidence) for r in found.collect())
+    assert got == [
+        ("f1", "r1", "exact", 1.0), ("f1", "r2", "exact", 1.0), ("f2", "r1", "normalised", 0.95), ("f2", "r2", "normalised", 0.95), ("f3", "r1", "fuzzy_table", 0.9), ("f3", "r2", "fuzzy_table", 0.9),
+        ("f4", "r1", "fuzzy_variable", 0.87), ("f4", "r2", "fuzzy_variable", 0.87), ("f5", "r4", "vector", 0.95),
+    ]
+    asked = front.query_front(probe, found, {"fuzzy_table": 0.91, "vector": 0.95}, 0.8)
+    answers = {names[r.key]: (r.source, r.strategy, r.n) for r in asked.collect()}
+    assert answers == {"f1": ("direct", "exact", 2), "f2": ("direct", "normalised", 2), "f3": ("reasoning", "fuzzy_table", 0), "f4": ("direct", "fuzzy_variable", 2), "f5": ("direct", "vector", 1), "f6": ("reasoning", None, 0), "f7": ("reasoning", None, 0)}
+    assert front.suggestions(found, asked).count() == 7
+
+
+def test_precomputed_keys_come_first(spark):
+    df = spark.createDataFrame([(1, "a", "b", "C "), (2, "a", "b", "d")], "id bigint, t string, v string, w string")
+    kb = spark.createDataFrame([(10, "A", "B", "c"), (11, "a", "b", "e")], "id bigint, t string, v string, w string")
+    found = front.strategy_matches(*(front.prepared(x, "id", "t", "v", ("t", "v", "w")) for x in (df, kb)))
+    assert sorted((r.key, r.record, r.strategy) for r in found.collect()) == [(1, 10, "precomputed"), (2, 10, "exact"), (2, 11, "exact")]

@@ -51,9 +51,20 @@ def composite_key(*cols: Column) -> Column:
     return F.when(filled, F.concat_ws("|||", *parts)).otherwise("")
 
 
-def key_hash(*parts: Column) -> Column:
-    """One hash (MD5) for normalised parts joined by a triple pipe, null if one is blank: a join key that stays short however long the parts are."""
-    return F.md5(F.nullif(F.when(F.exists(F.array(*parts), lambda p: p == ""), "").otherwise(F.concat_ws("|||", *parts)), F.lit("")))
+def key_hash(*parts: Column, side: str = "") -> Column:
+    """One hash (MD5) for normalised parts joined by a triple pipe: a join key that stays short however long the parts are.
+
+    A key with a blank part matches nothing: it is no hash but ``side`` and the number of the partition, which no other
+    side has and which deals such rows out. So the key is never null, no join puts a filter on it below the
+    projection, and long texts are normalised once.
+    """
+    joined = F.get(F.transform(F.array(F.array(*parts)), lambda ps: F.when(~F.exists(ps, lambda p: p == ""), F.md5(F.array_join(ps, "|||")))), F.lit(0))
+    return F.coalesce(joined, F.concat(F.lit(f"{side}-"), F.spark_partition_id().cast("string")))
+
+
+def is_key(key: Column) -> Column:
+    """Whether ``key_hash`` is a hash."""
+    return ~key.contains("-")
 
 
 @F.pandas_udf(DoubleType())
@@ -73,15 +84,6 @@ def fuzzy_score(a: Column, b: Column) -> Column:
     return F.coalesce(containment(a, b), ratio(a, b))
 
 
-def ratio_bound(a: Column, b: Column) -> Column:
-    """No ratio of two texts is over this: twice the characters that both have, with their repeats, over those of both. Stays in the JVM."""
-    # Characters that are lost when each text's are taken out of the other's, on both sides sorted, are those without a partner.
-    tally = lambda t: F.array_sort(F.split(t, ""))
-    numbered = lambda x: F.transform(x, lambda c, i: F.concat(c, (i - F.array_position(x, c)).cast("string")))
-    shared = F.size(F.array_intersect(numbered(tally(a)), numbered(tally(b))))
-    return 2 * shared / (F.length(a) + F.length(b))
-
-
 def key_terms(c: Column, stop: tuple[str, ...] = STOP_WORDS) -> Column:
     """Lower-case words longer than two letters, without stop words, in order."""
     return F.filter(F.regexp_extract_all(F.lower(blank(c)), F.lit(r"([\p{L}\p{N}_]+)"), F.lit(1)), lambda w: ~w.isin(*stop) & (F.length(w) > 2))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import struct
 from collections.abc import Iterator
 
 import numpy as np
@@ -54,35 +55,27 @@ def quality_counters(df: DataFrame, counters: dict[str, Column]) -> DataFrame:
     return df.agg(*[F.count_if(c).alias(n) for n, c in counters.items()])
 
 
-#: Cumulative probabilities of a Poisson(1) number of draws being 0, 1, ... 6; the tail beyond counts as 7.
-POISSON = (0.36787944, 0.73575888, 0.91969860, 0.98101184, 0.99634015, 0.99940582, 0.99991676)
-
-
 def bootstrap(pairs: DataFrame, key: str, baseline: Column, candidate: Column, rounds: int = 10_000, seed: int = 20260726) -> DataFrame:
     """Mean difference of paired outcomes and its 95 % interval (nearest rank) by Poisson resampling.
 
-    Each pair is drawn a Poisson(1) number of times in each round, from a hash of key, round and seed: any partitioning gives the same draws.
-    A task adds its pairs up for all rounds in two arrays, so what is shuffled is a row a round and task.
+    Each pair is drawn a Poisson(1) number of times in each round. All pairs with one difference are drawn a Poisson(n) number
+    of times together, which is the same distribution, so the cost of the rounds hangs on how many differences there are and
+    not on the rows: for outcomes right or wrong there are three. A generator seeded by the difference gives the draws: any partitioning gives the same.
+    Differences of a finer kind are drawn one by one in the tasks that hold them.
     """
-    diff = pairs.select(F.xxhash64(F.col(key), F.lit(seed)).alias("h"), (candidate.cast("double") - baseline.cast("double")).alias("d"))
+    diff = pairs.select((candidate.cast("double") - baseline.cast("double")).alias("d"))
+    counts = diff.where("d is not null").groupBy("d").agg(F.count("*").alias("n"))
 
     def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        step = np.arange(1, rounds + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-        bounds = np.array(POISSON)
         total, count = np.zeros(rounds), np.zeros(rounds)
         for batch in batches:
-            for h, d in zip(batch.column(0).to_numpy().view(np.uint64).tolist(), batch.column(1).to_pylist(), strict=True):
-                if d is None:
-                    continue
-                x = step + np.uint64(h)
-                x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-                x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-                draws = np.searchsorted(bounds, ((x ^ (x >> np.uint64(31))) >> np.uint64(11)) / float(1 << 53), side="right")
+            for d, n in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                draws = np.random.default_rng([seed, *struct.unpack("<II", struct.pack("<d", d))]).poisson(n, rounds)
                 total += draws * d
                 count += draws
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(rounds), pa.int32()), pa.array(total), pa.array(count)], names=["round", "total", "count"])
 
-    by_task = diff.mapInArrow(sums, "round int, total double, count double")
+    by_task = counts.mapInArrow(sums, "round int, total double, count double")
     means = by_task.groupBy("round").agg((F.sum("total") / F.sum("count")).alias("mean")).where("mean is not null")
     ends = means.agg(F.expr("percentile_disc(0.025) within group (order by mean)").alias("low"), F.expr("percentile_disc(0.975) within group (order by mean)").alias("high"))
     whole = diff.agg(F.count("*").alias("n"), F.round(F.avg("d"), 6).alias("delta"), F.count_if(F.col("d") > 0).alias("better"), F.count_if(F.col("d") < 0).alias("worse"))

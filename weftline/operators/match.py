@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from weftline.functions import text
 from weftline.operators.ranking import best_scored
+from weftline.operators.similarity import best_similar, confidence, similar_pairs
 from weftline.session import written
 
 
@@ -23,49 +24,55 @@ def exact_merge(probe: DataFrame, kb: DataFrame, keys: list[str], suggestion: li
     Returns key_hash, n and suggestions array<struct> in the order of their fields. Keys are joined and grouped by the
     hash of their normalised parts, so whole texts may be keys without being shuffled.
     """
-    hashed = text.key_hash(*[text.normalise(F.col(k)) for k in keys]).alias("key_hash")
-    left = probe.select(hashed).where("key_hash is not null").distinct()
-    right = kb.select(hashed, F.struct(*suggestion).alias("s"))
+    hashed = lambda side: text.key_hash(*[text.normalise(F.col(k)) for k in keys], side=side).alias("key_hash")
+    left = probe.select(hashed("a")).distinct()
+    right = kb.select(hashed("b"), F.struct(*suggestion).alias("s"))
     return left.join(right, "key_hash").groupBy("key_hash").agg(F.count("*").alias("n"), F.array_sort(F.collect_list("s")).alias("suggestions"))
 
 
-def lower_join(probe: DataFrame, kb: DataFrame, pairs: list[tuple[str, str]], confidence: float = 1.0) -> DataFrame:
-    """Rows whose columns are equal but for case (white space counts), nulls matching nothing, with ``confidence``."""
-    return _hash_join(probe, kb, pairs, F.lower, confidence)
+def lower_join(probe: DataFrame, kb: DataFrame, pairs: list[tuple[str, str]], counts: float = 1.0) -> DataFrame:
+    """Rows whose columns are equal but for case (white space counts), nulls matching nothing; their confidence is ``counts``."""
+    return _hash_join(probe, kb, pairs, F.lower, counts)
 
 
-def deep_join(probe: DataFrame, kb: DataFrame, pairs: list[tuple[str, str]], confidence: float = 0.95) -> DataFrame:
-    """Rows whose deep-normalised columns are equal and none blank, with ``confidence``."""
-    return _hash_join(probe, kb, pairs, text.deep_normalise, confidence)
+def deep_join(probe: DataFrame, kb: DataFrame, pairs: list[tuple[str, str]], counts: float = 0.95) -> DataFrame:
+    """Rows whose deep-normalised columns are equal and none blank; their confidence is ``counts``."""
+    return _hash_join(probe, kb, pairs, text.deep_normalise, counts)
 
 
-def keyed(df: DataFrame, columns: list[str], normalise: Callable[[Column], Column] = text.deep_normalise) -> DataFrame:
+def keyed(df: DataFrame, columns: list[str], normalise: Callable[[Column], Column] = text.deep_normalise, side: str = "") -> DataFrame:
     """``df`` with ``key_hash`` of its normalised columns."""
-    return df.withColumn("key_hash", text.key_hash(*[normalise(F.col(c)) for c in columns]))
+    return df.withColumn("key_hash", text.key_hash(*[normalise(F.col(c)) for c in columns], side=side))
 
 
-def _hash_join(probe: DataFrame, kb: DataFrame, pairs: list[tuple[str, str]], normalise: Callable[[Column], Column], confidence: float) -> DataFrame:
-    left, right = keyed(probe, [a for a, _ in pairs], normalise), keyed(kb, [b for _, b in pairs], normalise)
-    return left.join(right, "key_hash").drop("key_hash").withColumn("confidence", F.lit(confidence))
+def first_of_key(df: DataFrame, key: str, columns: list[str]) -> DataFrame:
+    """J03 within one table: key, first (the least ``key`` with the same deep-normalised columns), of rows that aren't it.
+
+    Keys are made once and written; the least of each is found by pre-aggregation, and the join back leaves a key of many rows to as many tasks as its size asks for.
+    """
+    rows = written(keyed(df.select(key, *columns), columns).select(key, "key_hash").where(text.is_key(F.col("key_hash"))), "keyed")
+    least = rows.groupBy("key_hash").agg(F.min(key).alias("first"))
+    return rows.join(least, "key_hash").where(F.col(key) != F.col("first")).select(key, "first")
+
+
+def _hash_join(probe: DataFrame, kb: DataFrame, pairs: list[tuple[str, str]], normalise: Callable[[Column], Column], counts: float) -> DataFrame:
+    left, right = keyed(probe, [a for a, _ in pairs], normalise, "a"), keyed(kb, [b for _, b in pairs], normalise, "b")
+    return left.join(right, "key_hash").drop("key_hash").withColumn("confidence", F.lit(counts))
 
 
 def blocked_fuzzy(probe: DataFrame, kb: DataFrame, block: str, probe_text: str, kb_text: str, least: float = 0.75, base: float = 0.80, gain: float = 0.12, native: bool = False, same: bool = True) -> DataFrame:
     """Within a block the records whose text is most alike by T04, all ties, at ``least`` or more.
 
-    similarity, confidence = base + gain * similarity. Without ``same`` equal texts don't count. Pairs that can't reach
-    ``least`` by the characters they share never leave the JVM; only those that may are compared in Python. ``native`` uses containment only.
+    similarity, confidence = base + gain * similarity. Without ``same`` equal texts don't count. Candidates come from an
+    index of the characters that texts share (``similarity``), not from all pairs of a block; a text that repeats in a block is
+    compared once. ``native`` uses containment only.
     """
-    both = probe.join(kb, block)
-    both = both if same else both.where(F.col(probe_text) != F.col(kb_text))
-    a, b = F.col(probe_text), F.col(kb_text)
-    held = both.withColumn("__held", text.containment(a, b))
-    sure = held.where(F.col("__held") >= least).withColumnRenamed("__held", "similarity")
-    if not native:
-        hopeful = held.where(F.col("__held").isNull() & (text.ratio_bound(a, b) >= least)).drop("__held")
-        sure = sure.unionByName(hopeful.withColumn("similarity", text.ratio(a, b)).where(F.col("similarity") >= least))
-    scored = sure
-    best = scored.withColumn("r", F.rank().over(Window.partitionBy(block, probe_text).orderBy(F.desc("similarity")))).where("r = 1").drop("r")
-    return best.withColumn("confidence", F.round(F.lit(base) + gain * F.col("similarity"), 4))
+    pairs = similar_pairs(probe, kb, [block], probe_text, kb_text, least)
+    if native:
+        pairs = pairs.where(F.col(probe_text).contains(F.col(kb_text)) | F.col(kb_text).contains(F.col(probe_text)))
+    best = best_similar(pairs if same else pairs.where(F.col(probe_text) != F.col(kb_text)), [block, probe_text])
+    both = probe.join(best, [block, probe_text]).join(kb, [block, kb_text])
+    return both.withColumn("confidence", confidence(base, gain, F.col("similarity")))
 
 
 def staged(probe: DataFrame, key: str, stages: list[tuple[str, Callable[[DataFrame], DataFrame]]]) -> DataFrame:
@@ -161,8 +168,8 @@ def leakage(held_out: DataFrame, known: DataFrame, id_column: str, held_text: st
 
     def variants(df: DataFrame, id_: str, column: str, name: str) -> DataFrame:
         plain, deep = text.normalise(F.col(column)), text.deep_normalise(F.col(column))
-        pairs = F.array(F.struct(F.lit("exact").alias("kind"), text.key_hash(plain).alias("variant")), F.struct(F.lit("deep").alias("kind"), text.key_hash(deep).alias("variant")))
-        return df.select(F.col(id_).alias(name), F.inline(pairs)).where("variant is not null")
+        pairs = F.array(F.struct(F.lit("exact").alias("kind"), text.key_hash(plain, side=name).alias("variant")), F.struct(F.lit("deep").alias("kind"), text.key_hash(deep, side=name).alias("variant")))
+        return df.select(F.col(id_).alias(name), F.inline(pairs))
 
     return variants(held_out, id_column, held_text, "held_id").join(variants(known, known_id, known_text, "known_id"), ["kind", "variant"]).select("held_id", "known_id", "kind").distinct()
 

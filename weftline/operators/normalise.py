@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from weftline.functions.text import blank, first_valid, ratio, split_condition, stable_token
+from weftline.functions.text import blank, first_valid, split_condition, stable_token
 from weftline.operators.ranking import best_keep_place, score_of
+from weftline.operators.similarity import similar_pairs
 
 #: Endings that are stripped before a name is looked up again.
 SUFFIXES = ("DESC", "NAME", "CODE", "TEXT", "VALUE", "LABEL", "NUM", "IND")
@@ -59,8 +60,9 @@ def closest_name(rows: DataFrame, catalogue: DataFrame, least: float = 0.6) -> D
     names = rows.select("domain", "variable").distinct()
     bare = F.regexp_replace("variable", f"(?:{'|'.join(SUFFIXES)})$", "")
     known = catalogue.select("domain", F.col("variable").alias("name")).distinct()
-    both = names.withColumn("bare", bare).join(known, "domain")
-    scored = both.withColumn("ratio", F.when(F.col("name") == F.col("bare"), F.lit(1.0)).otherwise(ratio(F.col("variable"), F.col("name")))).where(F.col("ratio") >= least)
+    there = names.withColumn("name", bare).join(known, ["domain", "name"]).select("domain", "variable", "name", F.lit(1.0).alias("ratio"))
+    alike = similar_pairs(names, known, ["domain"], "variable", "name", least, contained=False).withColumnRenamed("similarity", "ratio")
+    scored = there.unionByName(alike.select("domain", "variable", "name", "ratio"))
     w = Window.partitionBy("domain", "variable").orderBy(F.desc("ratio"), "name")
     return scored.withColumn("r", F.row_number().over(w)).where("r = 1").select("domain", "variable", F.col("name").alias("closest"), F.round("ratio", 4).alias("ratio"))
 

@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from weftline.plans import mappings, records, relational, textual
+from weftline.plans import mappings, records, relational, similar, textual
 
-MODULES = [relational, textual, mappings, records]
+MODULES = [relational, textual, mappings, records, similar]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

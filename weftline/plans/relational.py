@@ -105,10 +105,8 @@ def _(spark, sf):
     SELECT a.doc_id AS doc_id, b.doc_id AS other_id, CAST(0.95 AS DOUBLE) AS confidence FROM d a JOIN (SELECT min(doc_id) AS doc_id, k FROM d GROUP BY k) b ON a.k = b.k WHERE a.k <> '' AND a.doc_id <> b.doc_id""",
 )
 def _(spark, sf):
-    # Every document with the first one of its key, as a window over short keys: the key is made once for each text.
-    docs = match.keyed(table(spark, sf, "documents").select("doc_id", "text"), ["text"]).select("doc_id", "key_hash").where("key_hash is not null")
-    first = F.min("doc_id").over(Window.partitionBy("key_hash"))
-    return docs.withColumn("other_id", first).where("doc_id <> other_id").select("doc_id", "other_id", F.lit(0.95).alias("confidence"))
+    found = match.first_of_key(table(spark, sf, "documents"), "doc_id", ["text"])
+    return found.select("doc_id", F.col("first").alias("other_id"), F.lit(0.95).alias("confidence"))
 
 
 @query(

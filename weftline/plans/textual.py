@@ -48,42 +48,6 @@ def _(spark, sf):
     return table(spark, sf, "part").select("p_partkey", text.composite_key(F.col("p_name"), F.col("p_brand"), F.col("p_type")).alias("key"))
 
 
-@query("t04_fuzzy_scores")
-def _(spark, sf):
-    """Pairs of names of a brand with a score of 0.5 or more; those that can't reach it by the characters they share stay out of Python."""
-    names = table(spark, sf, "part").select("p_brand", F.lower("p_name").alias("a")).distinct()
-    pairs = names.join(names.withColumnRenamed("a", "b"), "p_brand").where("a < b")
-    hopeful = pairs.where(F.coalesce(text.containment(F.col("a"), F.col("b")), text.ratio_bound(F.col("a"), F.col("b"))) >= 0.5)
-    return hopeful.withColumn("score", F.round(text.fuzzy_score(F.col("a"), F.col("b")), 6)).where("score >= 0.5").select("p_brand", "a", "b", "score")
-
-
-#: Pairs of texts and their scores by the definition (twice the matched characters over all, matches longest first).
-_SCORED = [
-    ("visit date", "visit date", 1.0),
-    ("visit", "visit date", 0.5),
-    ("subject id", "subjid", 0.75),
-    ("weight kg", "height cm", 0.666667),
-    ("abcd", "dcba", 0.25),
-    ("adverse event term", "adverse events", 0.8125),
-    ("体重", "体重变化", 0.5),
-    ("性别", "出生日期", 0.0),
-    ("", "", 0.0),
-    ("a", "", 0.0),
-    ("aab", "aba", 0.666667),
-    ("lab test name", "test lab name", 0.692308),
-    ("systolic pressure", "diastolic pressure", 0.857143),
-    ("x", "y", 0.0),
-    ("medication", "mediation", 0.947368),
-    ("start", "end", 0.0),
-]
-
-
-@query("t04_scored_pairs", f"SELECT a, b, score::DOUBLE AS score FROM (VALUES {', '.join(map(str, _SCORED))}) v(a, b, score)")
-def _(spark, sf):
-    pairs = spark.createDataFrame(_SCORED, "a string, b string, expected double").select("a", "b")
-    return pairs.select("a", "b", F.round(text.fuzzy_score(F.col("a"), F.col("b")), 6).alias("score"))
-
-
 _STOP = ", ".join(f"'{w}'" for w in text.STOP_WORDS)
 
 
