@@ -88,3 +88,27 @@ def source_label(origin: Column, derived: Column, page: Column) -> Column:
 def number_order(c: Column) -> Column:
     """Order by number where a text is one, texts last."""
     return c.try_cast("double").asc_nulls_last()
+
+
+#: What parts a table's name into tokens, each in turn.
+SEPARATORS = ("/", "-", "—", "(", "（", ")", "）")
+
+
+def table_domain(c: Column, names: dict[str, str], keywords: list[tuple[str, str]], meanings: list[tuple[str, str]], codes: list[str]) -> Column:
+    """The domain of a table's name, null if no rule knows it. The rules in order:
+
+    its name (with or without blanks) in ``names`` (lower case to code); the first of ``keywords`` that it holds; a token of
+    it in ``names``; the longest of ``meanings`` that it holds; the first of ``codes`` in its capitals; the first of ``names`` inside it. The lists are configuration, hundreds of entries at most.
+    """
+    said = F.trim(blank(c))
+    low, high = F.lower(said), F.upper(said)
+    known = F.create_map(*[F.lit(x) for item in names.items() for x in item]) if names else F.create_map().cast("map<string,string>")
+    of = lambda t: F.try_element_at(known, t)
+    holds = lambda rules: [F.when(low.contains(word), F.lit(code)) for word, code in rules if word]
+    plain = F.replace(low, F.lit("）"), F.lit(")"))
+    tokens = F.concat(F.array(low), *[F.transform(F.split(plain, f"\\Q{s}\\E"), lambda t: F.trim(t)) for s in SEPARATORS])
+    token = of(F.get(F.filter(tokens, lambda t: (t != "") & of(t).isNotNull()), F.lit(0)))
+    longest = sorted(meanings, key=lambda r: -len(r[0]))
+    contained = [F.when(high.contains(code), F.lit(code)) for code in codes if code]
+    found = F.coalesce(of(low), of(F.replace(low, F.lit(" "), F.lit(""))), *holds(keywords), token, *holds(longest), *contained, *holds(list(names.items())), F.lit(None).cast("string"))
+    return F.when(said != "", found)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from difflib import SequenceMatcher
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
@@ -211,3 +211,14 @@ def functional_query(role: Column, label: Column) -> Column:
         .when(role == "Qualifier", about("Map qualifier information for "))
         .otherwise(about("Map field for "))
     )
+
+
+def evaluation_cases(catalogue: DataFrame, domain: str, place: str, name: str, label: str, role: str, kind: str, most: int = 10) -> DataFrame:
+    """For the first variables of each domain two questions, one by label and one by role, ``most`` in all: id, type, query, expected_domain, expected_variable, context, number."""
+    first = catalogue.withColumn("__n", F.row_number().over(Window.partitionBy(domain).orderBy(place)) - 1).where(F.col("__n") * 2 < most)
+    said = lambda c: F.coalesce(F.col(c), F.lit("Unknown"))
+    # The wording of questions and contexts.
+    direct = F.struct(F.lit("direct_mapping").alias("type"), F.concat(F.lit("Map '"), blank(F.col(label)), F.lit("' to SDTM variable")).alias("query"), F.concat(F.lit("Domain: "), domain, F.lit(", Role: "), said(role)).alias("context"), F.lit("direct").alias("word"), F.lit(0).alias("k"))
+    functional = F.struct(F.lit("functional_mapping").alias("type"), functional_query(F.col(role), F.col(label)).alias("query"), F.concat(F.lit("Domain: "), domain, F.lit(", Type: "), said(kind)).alias("context"), F.lit("functional").alias("word"), F.lit(1).alias("k"))
+    cases = first.select(domain, name, "__n", F.explode(F.array(direct, functional)).alias("c")).withColumn("number", 2 * F.col("__n") + F.col("c.k")).where(F.col("number") < most)
+    return cases.select(F.concat_ws("_", domain, F.col("__n").cast("string"), "c.word").alias("id"), "c.type", "c.query", F.col(domain).alias("expected_domain"), F.col(name).alias("expected_variable"), "c.context", "number")

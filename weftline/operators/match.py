@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from weftline.functions import text
+from weftline.operators import keywords
 from weftline.operators.ranking import best_scored
 from weftline.operators.similarity import best_similar, confidence, similar_pairs
 from weftline.session import written
@@ -114,28 +115,22 @@ def overlap(df: DataFrame, other: DataFrame, keys: list[str]) -> tuple[DataFrame
 
 
 def longest_keyword(df: DataFrame, key: str, text_column: str, words: DataFrame) -> DataFrame:
-    """Of the words that a text holds the longest, then the first: words (word, label, seq).
-
-    The word list is the small side; Spark's nested-loop join broadcasts it, so it must be under ``MOST_WORDS`` rows.
-    """
-    n = words.limit(MOST_WORDS + 1).count()
-    if n > MOST_WORDS:
-        raise ValueError(f"keyword lists are broadcast and may have {MOST_WORDS} rows at most")
-    both = df.join(F.broadcast(words), F.lower(F.col(text_column)).contains(F.lower(F.col("word"))))
-    w = Window.partitionBy(key).orderBy(F.length("word").desc(), "seq")
-    return both.withColumn("r", F.row_number().over(w)).where("r = 1").drop("r")
-
-
-MOST_WORDS = 10_000
+    """Of the words that a text holds the longest, then the first by seq and word: words (word, label, seq). ``key`` names the rows, which are unique by it."""
+    sized = words.withColumn("__less", -F.length("word"))
+    return keywords.hits(df, F.col(text_column), sized, ["__less", "seq", "word"], first=True).drop("__less")
 
 
 def keyword_hits(df: DataFrame, text_column: str, words: DataFrame) -> DataFrame:
     """Words of up to three letters match the whole field or an ASCII token; longer ones any part."""
-    if words.limit(MOST_WORDS + 1).count() > MOST_WORDS:
-        raise ValueError(f"keyword lists are broadcast and may have {MOST_WORDS} rows at most")
-    t, w = F.lower(F.col(text_column)), F.lower(F.col("word"))
-    short = (t == w) | F.array_contains(F.split(t, "[^a-z0-9]+"), w)
-    return df.join(F.broadcast(words), F.when(F.length("word") <= 3, short).otherwise(t.contains(w)))
+    return keywords.hits(df, F.col(text_column), words, ["word"], tokens=True)
+
+
+def keyword_outcomes(df: DataFrame, key: str, text_column: str, words: DataFrame, out: str = "labels") -> DataFrame:
+    """``key`` and the labels of all words that a text holds, each once, in the order of the list (word, label, seq); rows without one have none."""
+    found = keywords.hits(df.select(key, text_column), F.col(text_column), words, ["seq"])
+    first = found.groupBy(key, "label").agg(F.min("seq").alias("seq")).groupBy(key).agg(F.array_sort(F.collect_list(F.struct("seq", "label"))).alias("__l"))
+    listed = F.transform("__l", lambda x: x["label"])
+    return df.select(key).join(first.select(key, listed.alias(out)), key, "left").withColumn(out, F.coalesce(out, F.array().cast("array<string>")))
 
 
 def upsert(df: DataFrame, new: DataFrame, keys: list[str], columns: list[str]) -> DataFrame:

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections import deque
+from collections.abc import Callable, Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -67,6 +71,35 @@ def running_context(df: DataFrame, keys: list[str], order: str, value: str, most
     return df.withColumn(out, F.collect_list(value).over(Window.partitionBy(*keys).orderBy(order).rowsBetween(-most, -1)))
 
 
+def folded(df: DataFrame, keys: list[str], order: list[str], columns: list[str], answer: Callable[[dict, list], str | None], most: int = 15, done: str | None = None, out: str = "answer") -> DataFrame:
+    """W20 with feedback: the rows of each key in order, each answered with the answers of up to ``most`` rows before it.
+
+    answer(row, earlier) gets the ``columns`` of a row and the earlier answers, oldest first, and runs on the executors. A row whose
+    column ``done`` is filled keeps that as its answer and hands it on. A null answer isn't handed on. A key is one sequence by its nature; its
+    state is ``most`` answers, however many rows it has, and keys are dealt to tasks.
+    """
+    kept = list(dict.fromkeys([*keys, *order, *columns, *([done] if done else [])]))
+    dealt = df.select(*kept).repartition(*keys).sortWithinPartitions(*keys, *order)
+    schema = ", ".join([*[f"`{c}` {t}" for c, t in dealt.dtypes], f"`{out}` string"])
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        current, earlier = None, deque(maxlen=most)
+        for frame in frames:
+            answers = []
+            for row in frame.to_dict("records"):
+                key = tuple(None if pd.isna(row[k]) else row[k] for k in keys)
+                if key != current:
+                    current, earlier = key, deque(maxlen=most)
+                given = row[done] if done else None
+                said = given if given is not None and not pd.isna(given) else answer(row, list(earlier))
+                if said is not None:
+                    earlier.append(said)
+                answers.append(said)
+            yield frame.assign(**{out: answers})
+
+    return dealt.mapInPandas(run, schema)
+
+
 def within_budget(df: DataFrame, keys: list[str], order: Column | str, size: Column, budget: int) -> DataFrame:
     """Rows of each key as long as the running size stays within the budget."""
     total = F.sum(size).over(Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, 0))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -52,6 +53,34 @@ def embed_distinct(df: DataFrame, column: str, model: Callable[[list[str]], list
     return texts.mapInPandas(run, "text string, embedding array<double>")
 
 
+def embedded(df: DataFrame, column: str, store: str, model: Callable[[list[str]], list[list[float]]], batch: int = 100) -> DataFrame:
+    """V05 with a store of single texts: text, embedding of the distinct filled texts of ``column``; only those that ``store`` lacks are embedded.
+
+    The store is an append-only table keyed by the SHA-256 of a text, so runs share it. A batch that fails leaves its texts out, of this run
+    and of the store, and the others in: the next run tries them again. A text that two runs add at once is there twice and counts once.
+    """
+    spark = df.sparkSession
+    texts = df.select(F.col(column).alias("text")).where(F.trim("text") != "").distinct().select(F.sha2("text", 256).alias("id"), "text")
+    schema = "id string, text string, embedding array<double>"
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(store)
+    there = hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop)
+    known = (lambda: spark.read.schema(schema).parquet(store)) if there else (lambda: spark.createDataFrame([], schema))
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            for at in range(0, len(frame), batch):
+                part = frame.iloc[at : at + batch]
+                try:
+                    yield part.assign(embedding=model(part["text"].tolist()))
+                except Exception:  # any failure of a model leaves the batch for the next run
+                    continue
+
+    new = texts.join(known().select("id"), "id", "left_anti")
+    new.mapInPandas(run, schema).write.mode("append").parquet(store)
+    stored = spark.read.schema(schema).parquet(store)
+    return texts.select("id").join(stored, "id").dropDuplicates(["id"]).select("text", "embedding")
+
+
 def cached(spark: SparkSession, folder: str, signature: Column, df: DataFrame, make: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """What ``make`` gives for ``df``, kept as Parquet under the signature of the data: an equal table is read, not made again."""
     name = df.agg(F.sha2(F.concat_ws(":", F.count("*").cast("string"), F.sum(F.xxhash64(signature).cast("decimal(20,0)")).cast("string")), 256)).first()[0]
@@ -83,6 +112,81 @@ def infer(rows: DataFrame, key: str, prompt: str, model: Callable[[str], str], r
     return rows.select(key, prompt).mapInPandas(run, f"{key} {dict(rows.dtypes)[key]}, answer string, failed boolean")
 
 
+#: An answer's best recommendation, as ``infer_targets`` returns it.
+TARGETS = "domain string, variable string, score double, source string, tries int, reason string"
+
+
+def first_object(text: str | None) -> dict | None:
+    """The first JSON object of a text that has fields, fences and words around it or not."""
+    decoder, at = json.JSONDecoder(), (text or "").find("{")
+    while at >= 0:
+        try:
+            found, _ = decoder.raw_decode(text, at)
+            return found if isinstance(found, dict) and found else None
+        except ValueError:
+            at = text.find("{", at + 1)
+    return None
+
+
+def infer_targets(rows: DataFrame, key: str, prompt: str, name: str, fallback: str, model: Callable[[str, int], str], retries: int = 1) -> DataFrame:
+    """Key, domain, variable, score, source, tries, reason: the target that a model gives each row, asked again after a failed call or an answer that is no JSON.
+
+    model(prompt, try) runs on the executors and answers with an object (domain, sdtm_variable, score). After the last try the row has a
+    placeholder: the domain in the column ``fallback`` (UNMAPPED if blank), DOMAIN_NAME_PENDING as variable, score 0, source FALLBACK and the reason. No row is lost.
+    """
+
+    def ask(text: str) -> tuple[dict | None, int, str | None]:
+        reason = None
+        for n in range(retries + 1):
+            try:
+                answer = model(text, n)
+            except Exception as e:  # any failure of a model leads to the next try
+                reason = type(e).__name__
+                continue
+            found = first_object(answer)
+            if found is not None and isinstance(found.get("domain"), str) and isinstance(found.get("sdtm_variable"), str):
+                return found, n + 1, None
+            reason = "no JSON" if found is None else "no target"
+        return None, retries + 1, reason
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            out = []
+            for k, text, own, domain in zip(frame[key], frame[prompt], frame[name], frame[fallback], strict=True):
+                found, tries, reason = ask(text)
+                if found is not None:
+                    score = found.get("score", 0)
+                    out.append((k, found["domain"].strip().upper(), found["sdtm_variable"].strip(), float(score) if isinstance(score, (int, float)) else 0.0, "LLM", tries, None))
+                else:
+                    target = (domain or "").strip().upper() or "UNMAPPED"
+                    out.append((k, target, f"{target}_{own}_PENDING".upper(), 0.0, "FALLBACK", tries, reason))
+            yield pd.DataFrame(out, columns=[key, "domain", "variable", "score", "source", "tries", "reason"])
+
+    return rows.select(key, prompt, name, fallback).mapInPandas(run, f"`{key}` {dict(rows.dtypes)[key]}, {TARGETS}")
+
+
+def checked_top(rows: DataFrame, catalogue: DataFrame, key: str, score: str, seq: str, similar: int = 3) -> DataFrame:
+    """The best row of each key against the catalogue (domain, variable): validated, validity, issues, suggestions; other rows have nulls.
+
+    rows: key, domain, variable, score, seq. issues name an unknown domain, or a variable that its domain lacks; then
+    suggestions are up to ``similar`` variables of the domain that hold the name or lie in it, shortest first.
+    """
+    place = F.row_number().over(Window.partitionBy(key).orderBy(F.col(score).desc_nulls_last(), seq))
+    ordered = rows.withColumn("__top", place == 1)
+    top = validation_score(ordered.where("__top").withColumn("domain", F.upper(blank(F.col("domain")))), catalogue)
+    lists = catalogue.where(F.col("variable").isNotNull()).groupBy("domain").agg(F.collect_set("variable").alias("__names"))  # a domain's variables are a short list
+    known = top.join(lists, "domain", "left")
+    there = F.coalesce(F.array_contains("__names", F.col("variable")), F.lit(False))
+    named = blank(F.col("variable")) != ""
+    like = F.filter("__names", lambda n: F.upper(n).contains(F.upper("variable")) | F.upper("variable").contains(F.upper(n)))
+    nearest = F.slice(F.transform(F.array_sort(F.transform(like, lambda n: F.struct(F.length(n).alias("size"), n.alias("name")))), lambda s: s["name"]), 1, similar)
+    unknown = F.when((F.col("domain") != "") & F.col("__names").isNull(), F.concat(F.lit("domain "), "domain", F.lit(" not found")))
+    absent = F.when(F.col("__names").isNotNull() & named & ~there, F.concat(F.lit("variable "), "variable", F.lit(" not found in "), "domain"))
+    none = F.array().cast("array<string>")
+    verdict = known.select(key, seq, (there & named).alias("validated"), "validity", F.array_compact(F.array(unknown, absent)).alias("issues"), F.when(absent.isNotNull(), nearest).otherwise(none).alias("suggestions"))
+    return rows.join(verdict, [key, seq], "left")
+
+
 def request_volume(rows: DataFrame, level: str, text: str, batch: int = 100) -> DataFrame:
     """Model calls and embedding requests that a batch needs."""
     return rows.agg(F.count_if(F.col(level) == 4).alias("model_calls"), F.ceil(F.count_distinct(F.col(text)) / batch).alias("embedding_requests"))

@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from weftline.plans import books, mappings, records, relational, similar, textual
+from weftline.plans import answers, books, mappings, records, relational, similar, textual
 
-MODULES = [relational, textual, mappings, records, similar, books]
+MODULES = [relational, textual, mappings, records, similar, books, answers]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -521,9 +521,3 @@ def _answer(prompt: str) -> str:
 @query("m04_inference", "SELECT p_partkey, CASE WHEN p_type <> 'ECONOMY' THEN lower(p_type) END AS answer, p_type = 'ECONOMY' AS failed FROM part")
 def _(spark, sf):
     return recommend.infer(table(spark, sf, "part"), "p_partkey", "p_type", _answer)
-
-
-@query("m05_checked_answers", "SELECT n_nationkey, round(0.3 + CASE WHEN n_nationkey % 2 = 0 THEN 0.5 ELSE 0.0 END + CASE WHEN length(n_name) > 8 THEN 0.0 ELSE 0.2 * 1.0 END, 4)::DOUBLE AS validity FROM nation")
-def _(spark, sf):
-    rows = table(spark, sf, "nation").select("n_nationkey", F.lit("N").alias("domain"), F.col("n_name").alias("variable"))
-    return recommend.validation_score(rows, rows.where("n_nationkey % 2 = 0")).select("n_nationkey", "validity")

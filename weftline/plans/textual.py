@@ -338,11 +338,6 @@ def _(spark, sf):
     return streams.resume(table(spark, sf, "orders").select("o_orderkey"), done, ["o_orderkey"])
 
 
-@query("r04_token_bucket")
-def _(spark, sf):
-    return streams.token_bucket(table(spark, sf, "events"), "user_id", "ts", 12.0)
-
-
 @query("s04_metadata_fields", "SELECT event_id, event_type, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events WHERE event_type = 'click'")
 def _(spark, sf):
     from weftline.sources.readers import with_metadata

@@ -142,12 +142,23 @@ def pdf_lines(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(lines, "path string, page int, text string, x0 double, top double, x1 double, bottom double")
 
 
-def nested_outputs(df: DataFrame, recommendations: str = "recommendations", originals: str | None = None) -> DataFrame:
-    """Nested tables of recommendations as rows; flat input stays as it is."""
+def nested_outputs(df: DataFrame, recommendations: str = "recommendations", originals: str | None = None, name: str = "variable_name", original_name: str = "metadata_variable") -> DataFrame:
+    """Nested tables of recommendations as rows; flat input stays as it is.
+
+    originals: an array of the mappings that a table came from. Each recommendation gets the fields of the first one whose
+    ``original_name`` is its ``name``, as original_..., and ``matched``, which is false where there is none.
+    """
     if recommendations not in df.columns:
         return df
     keep = [c for c in df.columns if c not in (recommendations, originals)]
-    return df.select(*keep, F.explode_outer(recommendations).alias("__r")).select(*keep, "__r.*")
+    rows = df.select(*keep, *([originals] if originals else []), F.explode_outer(recommendations).alias("__r"))
+    if not originals:
+        return rows.select(*keep, "__r.*")
+    said = F.coalesce(F.col("__r")[name].cast("string"), F.lit(""))
+    first = F.get(F.filter(originals, lambda o: F.coalesce(o[original_name].cast("string"), F.lit("")) == said), F.lit(0))
+    fields = [f.name for f in df.schema[originals].dataType.elementType.fields]
+    with_first = rows.withColumn("__o", first)
+    return with_first.select(*keep, "__r.*", *[F.col("__o")[f].alias(f"original_{f}") for f in fields], F.col("__o").isNotNull().alias("matched"))
 
 
 def duplicate_keys(df: DataFrame, keys: list[str]) -> DataFrame:
