@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from weftline.operators import forms
 from weftline.session import shared_path, table
 from weftline.sources import workbooks
 
@@ -121,3 +123,40 @@ def _(spark, sf):
     cells, new, _ = _plan(spark, sf)
     links = cells.where("row % 7 = 0").select("sheet", "row", "col", ((F.col("sheet") + 1) % 10).alias("target"), F.floor(F.col("row") / 2).alias("target_row"))
     return workbooks.moved_links(links, new)
+
+
+# Forms on pages ------------------------------------------------------------------------------------------------------
+
+
+def _form_words(spark, sf):
+    """A page for each brand: a title, a header of two lines with a column for each type, and a numbered row for each part."""
+    part = table(spark, sf, "part")
+    types = part.select("p_brand", "p_type").distinct().withColumn("k", F.dense_rank().over(Window.partitionBy("p_brand").orderBy("p_type")))
+    word = lambda line, top, x, text: F.struct(line.cast("int").alias("line"), top.cast("double").alias("top"), (top + 10).cast("double").alias("bottom"), F.lit(10.0).alias("size"), x.cast("double").alias("x0"), (x + 5 * F.length(text)).cast("double").alias("x1"), text.alias("text"))
+    n = lambda v: F.lit(v)
+    x = 60 + 120 * F.col("k")
+    heads = types.select("p_brand", F.inline(F.array(word(n(2), n(60), x, F.col("p_type")), word(n(2), n(60), x + 5 * F.length("p_type") + 2, n("code")), word(n(3), n(72), x, n("value")))))
+    fixed = part.select("p_brand").distinct().select("p_brand", F.inline(F.array(word(n(1), n(40), n(20), F.replace("p_brand", n("#"), n(""))), word(n(2), n(60), n(20), n("No.")))))
+    place = F.row_number().over(Window.partitionBy("p_brand").orderBy("p_partkey"))
+    rows = part.withColumn("n", place).where("n <= 99").join(types, ["p_brand", "p_type"])
+    body = rows.select("p_brand", F.inline(F.array(word(F.col("n") + 9, 80 + 12 * F.col("n"), n(20), F.col("n").cast("string")), word(F.col("n") + 9, 80 + 12 * F.col("n"), x, F.col("p_name")))))
+    return fixed.unionByName(heads).unionByName(body)
+
+
+@query("t46_page_tables", "SELECT p_brand, 0 AS grid, replace(p_brand, '#', '') AS title, string_agg(DISTINCT p_type || ' code value', ',' ORDER BY p_type || ' code value') AS columns, CAST(3 + least(99, count(*)) AS INTEGER) AS lines FROM part GROUP BY p_brand")
+def _(spark, sf):
+    found = forms.grids(_form_words(spark, sf), ["p_brand"])
+    return found.select("p_brand", "grid", "title", F.array_join("columns", ",").alias("columns"), F.size("lines").alias("lines"))
+
+
+@query(
+    "t46_form_sections",
+    """WITH t AS (SELECT DISTINCT p_brand, p_type || ' code value' AS field FROM part), s AS (SELECT p_brand, replace(p_brand, '#', '') AS title, field, row_number() OVER (PARTITION BY p_brand ORDER BY field) AS place FROM t)
+    SELECT p_brand, 1 AS section, CAST(NULL AS VARCHAR) AS title, 1 AS place, 'Subject' AS field FROM (SELECT DISTINCT p_brand FROM part) UNION ALL SELECT p_brand, 2, title, place, field FROM s UNION ALL SELECT p_brand, 3, NULL, 1, 'Remarks' FROM (SELECT DISTINCT p_brand FROM part)""",
+)
+def _(spark, sf):
+    """Labels before and after the table of each form: three sections."""
+    found = forms.grids(_form_words(spark, sf).withColumn("page", F.lit(1)), ["p_brand", "page"])
+    brands = table(spark, sf, "part").select("p_brand").distinct().withColumn("page", F.lit(1))
+    labels = brands.select("p_brand", "page", F.inline(F.array(F.struct(F.lit(10.0).alias("top"), F.lit("Subject").alias("label")), F.struct(F.lit(9000.0).alias("top"), F.lit("Remarks").alias("label")), F.struct(F.lit(9100.0).alias("top"), F.lit("subject ").alias("label")))))
+    return forms.sections(labels, found, "p_brand", "page")
