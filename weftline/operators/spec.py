@@ -67,3 +67,58 @@ def parse_mappings(domains: Column, variables: Column) -> Column:
         return F.transform(names, one)
 
     return F.filter(F.flatten(F.transform(v, of_part)), lambda m: m["variable"] != "")
+
+
+#: What parts an expression, and what stands for it inside quotes while it is parsed.
+PARTING, QUOTED = "|/= ", "\ue000\ue001\ue002\ue003"
+
+
+def quoted_safe(c: Column) -> Column:
+    """The text with what would part it, inside double quotes, replaced by stand-ins; ``plain_again`` puts it back. An open quote quotes nothing."""
+    pieces = F.split(F.coalesce(c, F.lit("")), '"')
+    inside = lambda i: (i % 2 == 1) & (i < F.size(pieces) - 1)
+    return F.array_join(F.transform(pieces, lambda s, i: F.when(inside(i), F.translate(s, PARTING, QUOTED)).otherwise(s)), '"')
+
+
+def plain_again(c: Column) -> Column:
+    return F.translate(c, QUOTED, PARTING)
+
+
+def grammar(domains: Column, variables: Column) -> Column:
+    """The whole grammar of mappings: array<struct<domain, variable, kind, condition, qnam>>, in order.
+
+    ``|`` pairs variables with domains by place, the last domain serving the rest; ``/`` parts the variables of a domain. A
+    condition (``when`` or ``if``) behind the last ``/`` holds for all variables of its group, unless the group begins with an
+    assignment, whose parts each have their own. kind: assignment (``V=x``, its value in condition), simple, supp (``QVAL`` with a QNAM), conditional (a test or
+    test code is asked) or conditional_other. White space counts once, and none around ``=``; inside double quotes nothing parts.
+    """
+    clean = lambda c: F.regexp_replace(F.regexp_replace(F.trim(quoted_safe(c)), r"(?U)\s+", " "), r" ?= ?", "=")
+    said, places = clean(variables), F.transform(F.split(clean(domains), r"\|"), lambda x: F.upper(F.trim(x)))
+    whole = F.upper(clean(domains))
+    condition = r"(?Ui)^(.*?)\s+(when|if)\s+(.*)$"
+
+    def one(domain: Column, text: Column) -> Column:
+        assigned = text.rlike(r"(?U)^[A-Za-z_]\w*=.+$")
+        name, word, asked = (F.trim(F.regexp_extract(text, condition, k)) for k in (1, 2, 3))
+        conditional = ~assigned & (name != "") & (asked != "")
+        variable = F.upper(F.trim(F.when(assigned, F.regexp_extract(text, r"(?U)^([A-Za-z_]\w*)=", 1)).when(conditional, name).otherwise(text)))
+        first = F.upper(F.regexp_extract(asked, r"(?U)^(\w+)\s*=", 1))
+        supp = conditional & (variable == "QVAL") & F.upper(asked).contains("QNAM")
+        kind = F.when(assigned, "assignment").when(supp, "supp").when(conditional & first.rlike("TEST(CD)?$"), "conditional").when(conditional, "conditional_other").otherwise("simple")
+        told = F.when(assigned, F.trim(F.regexp_extract(text, r"(?U)^[A-Za-z_]\w*=(.+)$", 1))).when(conditional, F.concat_ws(" ", word, asked))
+        qnam = F.when(supp, F.nullif(F.upper(F.regexp_extract(asked, r'(?Ui)QNAM="?([\w\ue000-\ue003]+)', 1)), F.lit("")))
+        return F.struct(domain.alias("domain"), plain_again(variable).alias("variable"), kind.alias("kind"), plain_again(told).alias("condition"), plain_again(qnam).alias("qnam"))
+
+    def group(domain: Column, text: Column) -> Column:
+        parts = F.split(text, "/")
+        own = text.rlike(r"(?U)^[A-Za-z_]\w*=") | ~text.contains("/")
+        # A condition is shared if the first one of the group stands behind its last slash.
+        shared = F.when(~own & ~F.regexp_extract(text, condition, 1).isin("") & ~F.regexp_extract(text, condition, 3).contains("/"), F.concat_ws(" ", F.regexp_extract(text, condition, 2), F.regexp_extract(text, condition, 3)))
+        names = F.when(shared.isNotNull(), F.split(F.regexp_extract(text, condition, 1), "/")).otherwise(parts)
+        said_ = F.transform(names, lambda v: F.when(shared.isNotNull() & ~v.rlike(r"(?Ui)\b(?:when|if)\b") & (F.trim(v) != ""), F.concat_ws(" ", F.trim(v), shared)).otherwise(F.trim(v)))
+        return F.transform(F.filter(F.when(own & ~text.contains("/"), F.array(text)).otherwise(said_), lambda v: v != ""), lambda v: one(domain, v))
+
+    several = said.contains("|")
+    groups = F.transform(F.split(said, r"\|"), lambda v, i: F.struct(F.trim(v).alias("v"), F.get(places, F.least(i, F.size(places) - 1)).alias("d")))
+    pairs = F.when(several, groups).otherwise(F.array(F.struct(said.alias("v"), whole.alias("d"))))
+    return F.flatten(F.transform(F.filter(pairs, lambda g: (g["v"] != "") & (g["d"] != "")), lambda g: group(g["d"], g["v"])))

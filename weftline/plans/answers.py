@@ -7,7 +7,7 @@ import json
 from pyspark.sql import functions as F
 
 from weftline.functions import mapping, text
-from weftline.operators import match, ranking, recommend
+from weftline.operators import match, ranking, recommend, spec
 from weftline.session import shared_path, table
 from weftline.sources import readers
 from weftline.streaming import events as streams
@@ -75,6 +75,31 @@ def _(spark, sf):
     return table(spark, sf, "part").select("p_partkey", mapping.table_domain(named, _NAMES, _RULES, _MEANINGS, ["ECONOMY"]).alias("domain"))
 
 
+# The grammar of mappings ---------------------------------------------------------------------------------------------
+
+
+@query(
+    "t29_five_kinds",
+    """WITH p AS (SELECT p_partkey, p_brand AS b, p_type AS t, p_size % 7 AS k, string_split(p_name, ' ')[1] AS x, string_split(p_name, ' ')[2] AS y FROM part)
+    SELECT p_partkey, 1 AS place, upper(b) AS domain, upper(x) AS variable, 'simple' AS kind, CAST(NULL AS VARCHAR) AS condition, CAST(NULL AS VARCHAR) AS qnam FROM p WHERE k = 0
+    UNION ALL SELECT p_partkey, 2, t, 'QVAL', 'supp', 'when QNAM=' || y, upper(y) FROM p WHERE k = 0
+    UNION ALL SELECT p_partkey, i, upper(b), CASE i WHEN 1 THEN upper(x) ELSE upper(y) END, 'conditional', 'WHEN VSTESTCD="a/b | c when d"', NULL FROM p, range(1, 3) r(i) WHERE k = 1
+    UNION ALL SELECT p_partkey, 1, upper(b), upper(x), 'assignment', y, NULL FROM p WHERE k = 2 UNION ALL SELECT p_partkey, 2, upper(b), upper(y), 'assignment', x || ' when Z=1', NULL FROM p WHERE k = 2
+    UNION ALL SELECT p_partkey, 1, upper(b), upper(x), 'conditional_other', 'if ' || y || '>0', NULL FROM p WHERE k = 3 UNION ALL SELECT p_partkey, 2, upper(b), upper(y), 'simple', NULL, NULL FROM p WHERE k = 3
+    UNION ALL SELECT p_partkey, 1, upper(b), upper(x) || ' WHEN', 'simple', NULL, NULL FROM p WHERE k = 4""",
+)
+def _(spark, sf):
+    """Expressions of all kinds: pairs of domains, shared conditions with quoted slashes and bars, assignments, conditions of one part only, an open condition, and blank ones."""
+    x, y, k, lit = F.split("p_name", " ")[0], F.split("p_name", " ")[1], F.col("p_size") % 7, F.lit
+    domain = F.when(k == 0, F.concat("p_brand", lit(" | "), "p_type")).when(k == 5, "").otherwise(F.concat(lit(" "), F.lower("p_brand")))
+    said = (
+        F.when(k == 0, F.concat(x, lit(" |QVAL  when  QNAM = "), y)).when(k == 1, F.concat(x, lit(" / "), y, lit(' WHEN VSTESTCD = "a/b | c when d"'))).when(k == 2, F.concat(x, lit("="), y, lit("/"), y, lit(" = "), x, lit(" when Z=1")))
+        .when(k == 3, F.concat(x, lit(" if "), y, lit(">0/"), y)).when(k == 4, F.concat(x, lit(" when "))).when(k == 5, x)
+    )
+    parsed = table(spark, sf, "part").select("p_partkey", F.posexplode(spec.grammar(domain, said)).alias("place", "m"))
+    return parsed.select("p_partkey", (F.col("place") + 1).alias("place"), "m.*")
+
+
 # Answers in order, and from models -----------------------------------------------------------------------------------
 
 

@@ -420,9 +420,11 @@ def _(spark, sf):
     return table(spark, sf, "part").select("p_partkey", found.alias("domain"))
 
 
-@query("t30_conditions", "SELECT o_orderkey, 'STATUS = ' || o_orderstatus AS condition, '' AS qnam FROM orders")
+@query("t30_conditions", "SELECT o_orderkey, CASE WHEN o_custkey % 2 = 0 THEN 'QNAM = \"Q' || left(o_orderpriority, 1) || o_orderstatus || '\"' ELSE 'STATUS = ' || o_orderstatus END AS condition, CASE WHEN o_custkey % 2 = 0 THEN 'Q' || left(o_orderpriority, 1) || o_orderstatus ELSE '' END AS qnam FROM orders")
 def _(spark, sf):
-    e = F.concat(F.lit("VAR if STATUS = "), "o_orderstatus")
+    """Conditions with and without a qualifier."""
+    name = F.concat(F.lit("Q"), F.substring("o_orderpriority", 1, 1), F.col("o_orderstatus"))
+    e = F.when(F.col("o_custkey") % 2 == 0, F.concat(F.lit('QVAL when QNAM = "'), name, F.lit('"'))).otherwise(F.concat(F.lit("VAR if STATUS = "), "o_orderstatus"))
     return table(spark, sf, "orders").select("o_orderkey", mapping.condition(e).alias("condition"), mapping.qnam(e).alias("qnam"))
 
 
