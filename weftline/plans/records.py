@@ -42,7 +42,7 @@ def _(spark, sf):
     path = shared_path(spark, "folder")
     orders = table(spark, sf, "orders")
     for status in ("F", "O", "P"):
-        orders.where(F.col("o_orderstatus") == status).coalesce(1).write.mode("append").parquet(path)
+        orders.where(F.col("o_orderstatus") == status).write.mode("append").parquet(path)
     names = readers.read_folder(spark, path).where("o_orderstatus = 'P'").select("file").distinct()
     return readers.read_folder(spark, path, tuple(r.file for r in names.collect())).groupBy("o_orderstatus").agg(F.count("*").alias("n"))
 

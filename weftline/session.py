@@ -41,7 +41,23 @@ def shared_path(spark: SparkSession, label: str) -> str:
         if master != "local" and not master.startswith("local["):
             raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         top = "file://" + os.path.join(tempfile.gettempdir(), "weftline-shared")
-    return f"{top}/{label}-{uuid.uuid4().hex}"
+    return f"{application_folder(spark, top)}/{label}-{uuid.uuid4().hex}"
+
+
+#: Folders of applications that this driver has made.
+_FOLDERS: set[str] = set()
+
+
+def application_folder(spark: SparkSession, top: str) -> str:
+    """The folder of this application below ``top``: what is written on the way lies there and is deleted when the driver ends. Results are lazy, so nothing goes before."""
+    folder = f"{top}/weftline-{spark.sparkContext.applicationId}"
+    if folder not in _FOLDERS:
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        files = path.getFileSystem(spark._jsc.hadoopConfiguration())
+        files.mkdirs(path)
+        files.deleteOnExit(path)
+        _FOLDERS.add(folder)
+    return folder
 
 
 def written(df: DataFrame, label: str) -> DataFrame:
