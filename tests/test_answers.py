@@ -113,3 +113,13 @@ def test_cases_of_a_catalogue(spark):
     df = spark.createDataFrame([("AE", k, f"V{k}", f"Label {k}", "Topic" if k == 0 else None, "Char") for k in range(5)], "d string, k int, n string, l string, r string, t string")
     found = text.evaluation_cases(df, "d", "k", "n", "l", "r", "t", 3).orderBy("number").collect()
     assert [(r.id, r.query, r.context) for r in found] == [("AE_0_direct", "Map 'Label 0' to SDTM variable", "Domain: AE, Role: Topic"), ("AE_0_functional", "Map the main topic field for label 0", "Domain: AE, Type: Char"), ("AE_1_direct", "Map 'Label 1' to SDTM variable", "Domain: AE, Role: Unknown")]
+
+
+def test_listing_of_variables(spark):
+    catalogue = spark.createDataFrame([(d, d.lower(), c, f"{d}{k}", k) for d, c in (("AE", "safety"), ("CM", "safety"), ("TU", "onco"), ("XX", "odd")) for k in range(10)], "domain string, name string, category string, variable string, place int")
+    hints = spark.createDataFrame([(1, "AE", 1), (2, "XX", 1), (2, "CM", 2), (2, "TU", 3), (2, "ZZ", 4), (3, None, None)], "key int, domain string, place int")
+    found = {(r.key, r.place): r.line for r in recommend.variable_listing(hints, catalogue, ["onco", "safety"], ["TU"]).collect()}
+    assert [k for k in sorted(found)] == [(1, 1), (2, 1), (2, 2), (2, 3), (3, 1)]
+    assert found[1, 1] == "- AE (ae): " + ", ".join(f"AE{k}" for k in range(10))
+    assert found[2, 1].startswith("- TU (tu): TU0, ") and found[2, 1].endswith("TU7, ... (+2 more)") and found[2, 3].startswith("- XX")
+    assert found[3, 1].endswith("(+2 more)")

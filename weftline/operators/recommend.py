@@ -187,6 +187,36 @@ def checked_top(rows: DataFrame, catalogue: DataFrame, key: str, score: str, seq
     return rows.join(verdict, [key, seq], "left")
 
 
+#: Domains that a listing has at most, variables of each, and up to how many hints all variables are listed.
+LISTED, VARIABLES, FEW = 6, 8, 2
+
+
+def variable_listing(hints: DataFrame, catalogue: DataFrame, categories: list[str], default: list[str]) -> DataFrame:
+    """The domains and variables that are offered for each row: key, category, domain, place, line.
+
+    hints: key, domain, place (null domain: none; a row without any gets ``default``); catalogue: domain, name, category, variable, place. The first ``LISTED`` hints
+    count, in groups of ``categories`` in their order. A line names ``VARIABLES`` variables and how many more there are; rows with at most ``FEW`` hints get all of them.
+    Domains that the catalogue lacks are left out.
+    """
+    spark = hints.sparkSession
+    rows = hints.select("key").distinct()
+    given = hints.where("domain is not null")
+    counts = given.groupBy("key").agg(F.count("*").alias("n"))
+    usual = spark.createDataFrame(list(enumerate(default)), "place int, domain string")
+    without = rows.join(counts, "key", "left_anti").withColumn("d", F.explode(F.array(*[F.struct(F.lit(k).alias("place"), F.lit(x).alias("domain")) for k, x in enumerate(default)]))).select("key", "d.domain", "d.place") if default else rows.limit(0).crossJoin(usual)
+    asked = given.select("key", "domain", F.col("place").cast("int").alias("place")).unionByName(without.select("key", "domain", "place")).join(counts, "key", "left")
+    first = asked.withColumn("__r", F.row_number().over(Window.partitionBy("key").orderBy("place"))).where(F.col("__r") <= LISTED)
+    # A domain's variables are a short list that people write.
+    lists = catalogue.groupBy("domain").agg(F.first("name").alias("name"), F.first("category").alias("category"), F.transform(F.array_sort(F.collect_list(F.struct("place", "variable"))), lambda v: v["variable"]).alias("names"))
+    known = first.join(lists, "domain")
+    most = F.when(F.col("n").isNotNull() & (F.col("n") <= FEW), F.size("names")).otherwise(VARIABLES)
+    more = F.size("names") - most
+    line = F.concat(F.lit("- "), "domain", F.lit(" ("), "name", F.lit("): "), F.array_join(F.slice("names", F.lit(1), F.greatest(most, F.lit(1))), ", "), F.when(more > 0, F.concat(F.lit(", ... (+"), more.cast("string"), F.lit(" more)"))).otherwise(""))
+    order = F.coalesce(F.nullif(F.array_position(F.array(*map(F.lit, categories)), F.col("category")), F.lit(0)), F.lit(len(categories) + 1))
+    place = F.row_number().over(Window.partitionBy("key").orderBy(order, "__r"))
+    return known.select("key", "category", "domain", place.alias("place"), line.alias("line"))
+
+
 def request_volume(rows: DataFrame, level: str, text: str, batch: int = 100) -> DataFrame:
     """Model calls and embedding requests that a batch needs."""
     return rows.agg(F.count_if(F.col(level) == 4).alias("model_calls"), F.ceil(F.count_distinct(F.col(text)) / batch).alias("embedding_requests"))

@@ -180,6 +180,30 @@ def _(spark, sf):
     return found.select("p_partkey", "validated", "validity", F.array_join("issues", ",").alias("issues"), F.array_join("suggestions", ",").alias("suggestions"))
 
 
+_CATEGORIES = ["LARGE", "SMALL", "ECONOMY"]
+
+
+@query(
+    "t43_variable_listing",
+    """WITH h AS (SELECT DISTINCT o_custkey AS key, 'Brand#' || o_orderkey % 27 AS domain FROM orders WHERE o_orderstatus = 'F'), n AS (SELECT key, count(*) AS n FROM h GROUP BY key), d AS (SELECT c_custkey AS key, 'Brand#' || k AS domain FROM customer, range(1, 4) r(k) WHERE c_custkey NOT IN (SELECT key FROM h)),
+    a AS (SELECT key, domain, n, row_number() OVER (PARTITION BY key ORDER BY CAST(replace(domain, 'Brand#', '') AS INTEGER)) AS r FROM (SELECT key, domain FROM h UNION ALL SELECT * FROM d) LEFT JOIN n USING (key)),
+    l AS (SELECT p_brand AS domain, min(p_type) AS category, list(p_name || ' ' || p_partkey ORDER BY p_partkey) AS names FROM part GROUP BY p_brand),
+    x AS (SELECT key, category, domain, r, CASE WHEN n <= 2 THEN len(names) ELSE 8 END AS most, names FROM a JOIN l USING (domain) WHERE r <= 6)
+    SELECT key, category, domain, CAST(row_number() OVER (PARTITION BY key ORDER BY CASE category WHEN 'LARGE' THEN 1 WHEN 'SMALL' THEN 2 WHEN 'ECONOMY' THEN 3 ELSE 4 END, r) AS INTEGER) AS place, md5('- ' || domain || ' (' || lower(domain) || '): ' || array_to_string(names[1:most], ', ') || CASE WHEN len(names) > most THEN ', ... (+' || len(names) - most || ' more)' ELSE '' END) AS line FROM x""",
+)
+def _(spark, sf):
+    """The brands that a customer's orders hint at, with their parts; customers without a hint get the usual ones."""
+    part = table(spark, sf, "part")
+    brands = part.groupBy("p_brand").agg(F.min("p_type").alias("category"))
+    catalogue = part.join(brands, "p_brand").select(F.col("p_brand").alias("domain"), F.lower("p_brand").alias("name"), "category", F.concat_ws(" ", "p_name", "p_partkey").alias("variable"), F.col("p_partkey").alias("place"))
+    hinted = table(spark, sf, "orders").where("o_orderstatus = 'F'").select(F.col("o_custkey").alias("key"), (F.col("o_orderkey") % 27).alias("place")).distinct()
+    hints = hinted.select("key", F.concat(F.lit("Brand#"), F.col("place").cast("string")).alias("domain"), "place")
+    none = table(spark, sf, "customer").select(F.col("c_custkey").alias("key")).join(hinted.select("key").distinct(), "key", "left_anti")
+    hints = hints.unionByName(none.select("key", F.lit(None).cast("string").alias("domain"), F.lit(None).cast("long").alias("place")))
+    found = recommend.variable_listing(hints, catalogue, _CATEGORIES, ["Brand#1", "Brand#2", "Brand#3"])
+    return found.withColumn("line", F.md5(F.col("line").cast("binary")))
+
+
 # Outputs and cases ---------------------------------------------------------------------------------------------------
 
 
