@@ -17,7 +17,8 @@ from pyspark.sql import functions as F
 
 from weftline.llm.common import map_batches
 
-#: Words are runs of letters (category L); number characters such as a half or a Roman numeral are none.
+#: Words are runs of letters (category L); number characters such as a half or a Roman numeral are none. Vowel signs and other
+#: marks part words, so scripts that write with them (Devanagari, Thai) are compared by the letters between.
 WORDS = regex.compile(r"\p{L}+")
 GRAMS = 400
 #: Languages that a broadcast table of profiles may have.

@@ -19,7 +19,8 @@ the same place, so no pair is lost, and a run of windows with one anchor travels
 What a batch sends for one anchor or run is bounded by its own size however often it repeats. An anchor with more than
 ``HOT_RUNS`` different runs in all batches (a short string between ever different neighbours) is hot: its windows aren't sent as
 runs but one by one, each with its smallest id in the batch, to buckets by the hash of the window. So neither an anchor nor a
-string that a third of all documents share makes a large group. All passes read the documents of the same shuffle.
+string that a third of all documents share makes a large group. The three passes over documents each deal them to the same
+batches, which is a shuffle of the texts each time.
 """
 
 from __future__ import annotations
