@@ -281,3 +281,15 @@ def test_outline_deeper_than_said_is_an_error(spark):
     outline = spark.createDataFrame([("f", 1, 1, 9), ("f", 12, 3, 9)], "f string, level int, page int, last int")
     with pytest.raises(Exception, match="outline level 12"):
         layout.page_ranges(outline, "f", "last").collect()
+
+
+def test_long_keys_are_normalised_once(spark):
+    """No filter on a key stands below the projection that makes it, so each side has each text's expression once in its plan."""
+    df = spark.createDataFrame([(1, "A b", "en"), (2, "a B", "en"), (3, "", "en"), (4, None, "en")], "id int, t string, l string")
+    found = match.exact_merge(df, df, ["t", "l"], ["id"])
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("lower(") == 4
+    assert sorted((r.n, [s.id for s in r.suggestions]) for r in found.collect()) == [(2, [1, 2])]
+    one = match.deep_join(df.withColumnRenamed("id", "a"), df.select(F.col("id").alias("b"), F.col("t").alias("u")), [("t", "u")])
+    assert one._jdf.queryExecution().optimizedPlan().toString().count("lower(") == 2
+    assert sorted((r.a, r.b) for r in one.collect()) == [(1, 1), (1, 2), (2, 1), (2, 2)]
+    assert sorted(tuple(r) for r in match.first_of_key(df, "id", ["t"]).collect()) == [(2, 1)]

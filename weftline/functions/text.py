@@ -203,6 +203,7 @@ def report_label(c: Column, allowed: tuple[str, ...]) -> Column:
 def functional_query(role: Column, label: Column) -> Column:
     """The question that a variable of this role and label stands for."""
     said = F.lower(blank(label))
+    # The wording of the questions.
     about = lambda what: F.concat(F.lit(what), said)
     return (
         F.when(role == "Identifier", "Map subject identifier field")
