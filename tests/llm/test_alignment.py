@@ -115,3 +115,12 @@ def test_chunks_are_encoded_as_whole_texts(libraries):
             continue
         a, b = (alignment.np.frombuffer(x, pair.kind).tolist() for x in both)
         assert a == libraries[0].encode(" " + text, add_special_tokens=False).ids and b == libraries[1].encode(text)
+
+
+def test_a_third_of_all_rows_is_one_row(spark, libraries):
+    """Rows that agree are put together in each task, and each is a result."""
+    rows = [(7, "one row, again and again")] * 400 + [(k, f"text {k} of many") for k in range(100, 900)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
+    shared = spark.sparkContext.broadcast((open(A).read(), open(B, "rb").read()))
+    assert alignment.events(df.where("doc_id = 7"), shared, "doc_id", "text").where("at < 0").count() <= 3
+    assert rows_of(alignment.alignment(df, A, B)) == sorted(map(str, plain(rows, libraries)))
