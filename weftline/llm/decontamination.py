@@ -36,6 +36,8 @@ ITEM_WORDS = 2_000_000
 THRESHOLD = 0.6
 QUESTION, ANSWER = 0.6, 0.5
 NGRAM = 3
+#: Words that are looked at together.
+SLAB = 200_000
 #: Words of the longest item of the first class.
 LEAST_STEP = 32
 
@@ -143,54 +145,80 @@ class Index:
             cursors = moved
         return out
 
-    def hopeful(self, terms: np.ndarray, threshold: float) -> list[int]:
-        """Passages (two steps from each step on) with a block whose maxima reach the threshold. The work is in proportion to the block lists walked."""
-        step, size = self.step, len(self.docs) + 1
-        steps, out = max(1, -(-len(terms) // step)), []
-        last = max(1, steps - 1)
-        slab = max(1, 200_000 // step)
-        for low in range(0, last, slab):
-            high = min(low + slab, last)
-            place = np.arange(low * step, min((high + 1) * step, len(terms)))
-            at, term = place // step, terms[place]
+    def hopeful(self, texts: list[np.ndarray], threshold: float) -> list[list[int]]:
+        """For each text (numbers of its words' terms) the passages (two steps from each step on) with a block whose maxima reach the threshold.
+
+        Texts are taken together, about ``SLAB`` words at a time, and a longer one in parts. The work is in proportion to the block lists walked.
+        """
+        size, step = len(self.docs) + 1, self.step
+        out: list[list[int]] = [[] for _ in texts]
+        held: list[tuple[int, int, int, np.ndarray]] = []  # text, its first passage here, how many, and the words of these passages
+        total = 0
+
+        def walk() -> None:
+            lengths = np.array([len(h[3]) for h in held])
+            counts = np.array([h[2] for h in held])
+            base = np.cumsum(counts) - counts
+            terms = np.concatenate([h[3] for h in held])
+            keep = np.flatnonzero(self.has[terms])
+            own = np.repeat(np.arange(len(held)), lengths)[keep]
+            at = (keep - (np.cumsum(lengths) - lengths)[own]) // step
             # Each word stands in the passage of its step and in the one before.
-            pairs = np.concatenate([at[at < high] * size + term[at < high], (at[at > low] - 1) * size + term[at > low]]) if steps > 1 else term
-            pairs = np.unique(pairs)
-            pairs = pairs[self.has[pairs % size]]
-            if not len(pairs):
-                continue
-            passage, term = pairs // size - low, pairs % size
-            lists = self.first[term + 1] - self.first[term]
-            # The most widespread terms of a passage come first; their largest weights are summed up.
-            order = np.lexsort((-lists, passage))
-            passage, term, lists = passage[order], term[order], lists[order]
-            total = np.cumsum(self.most[term])
-            begins = np.searchsorted(passage, np.arange(high - low + 1))
-            before = np.concatenate([[0.0], total])
-            spread = total - before[begins[passage]] < WIDESPREAD * threshold
-            added = np.bincount(passage[spread], weights=self.most[term[spread]], minlength=high - low)
-            sums = before[begins[1:]] - before[begins[:-1]]
-            walk = ~spread & (sums[passage] >= threshold - 1e-6)
-            passage, term, lists = passage[walk], term[walk], lists[walk]
-            where = np.repeat(self.first[term] - np.cumsum(lists) + lists, lists) + np.arange(lists.sum())
-            cell = np.repeat(passage, lists) * self.n_blocks + self.blocks[where]
-            weights = self.maxima[where]
-            if (high - low) * self.n_blocks <= 4 * len(cell):
-                bound = np.bincount(cell, weights=weights, minlength=1)
-                cells = np.flatnonzero(bound)
-                bound = bound[cells]
-            else:
-                cells, inverse = np.unique(cell, return_inverse=True)
-                bound = np.bincount(inverse, weights=weights)
-            found = cells // self.n_blocks
-            out += (low + np.unique(found[bound + added[found] >= threshold - 1e-6])).tolist()
+            here, before = at < counts[own], at > 0
+            passage, term = base[own] + at, terms[keep]
+            pairs = np.unique(np.concatenate([passage[here] * size + term[here], (passage[before] - 1) * size + term[before]]))
+            found = self._reach(pairs // size, pairs % size, int(counts.sum()), threshold)
+            for p, k in zip(found.tolist(), np.searchsorted(base, found, side="right").tolist(), strict=True):
+                text, first, _, _ = held[k - 1]
+                out[text].append(first + p - int(base[k - 1]))
+            held.clear()
+
+        most = max(1, SLAB // step)
+        for number, terms in enumerate(texts):
+            passages = max(1, -(-len(terms) // step) - 1) if len(terms) else 0
+            for first in range(0, passages, most):
+                n = min(most, passages - first)
+                held.append((number, first, n, terms[first * step : (first + n + 1) * step]))
+                total += len(held[-1][3])
+                if total > SLAB:
+                    walk()
+                    total = 0
+        if held:
+            walk()
         return out
 
-    def matches(self, words: list[str], terms: np.ndarray, threshold: float, question: float, answer: float) -> list[tuple[int, float, float, float]]:
-        """Item, score, question and answer overlap of each item that a passage of the text holds, as in the passage with the best overlaps."""
+    def _reach(self, passage: np.ndarray, term: np.ndarray, count: int, threshold: float) -> np.ndarray:
+        """Of ``count`` passages those that have a block whose maxima, with what the widespread terms could add, reach the threshold; passage and term: distinct pairs, in order."""
+        lists = self.first[term + 1] - self.first[term]
+        # The most widespread terms of a passage come first; their largest weights are summed up.
+        order = np.lexsort((-lists, passage))
+        passage, term, lists = passage[order], term[order], lists[order]
+        total = np.cumsum(self.most[term])
+        begins = np.searchsorted(passage, np.arange(count + 1))
+        before = np.concatenate([[0.0], total])
+        spread = total - before[begins[passage]] < WIDESPREAD * threshold
+        added = np.bincount(passage[spread], weights=self.most[term[spread]], minlength=count)
+        sums = before[begins[1:]] - before[begins[:-1]]
+        walk = ~spread & (sums[passage] >= threshold - 1e-6)
+        passage, term, lists = passage[walk], term[walk], lists[walk]
+        where = np.repeat(self.first[term] - np.cumsum(lists) + lists, lists) + np.arange(lists.sum())
+        cell = np.repeat(passage, lists) * self.n_blocks + self.blocks[where]
+        weights = self.maxima[where]
+        if count * self.n_blocks <= 4 * len(cell):
+            bound = np.bincount(cell, weights=weights, minlength=1)
+            cells = np.flatnonzero(bound)
+            bound = bound[cells]
+        else:
+            cells, inverse = np.unique(cell, return_inverse=True)
+            bound = np.bincount(inverse, weights=weights)
+        found = cells // self.n_blocks
+        return np.unique(found[bound + added[found] >= threshold - 1e-6])
+
+    def matches(self, words: list[str], terms: np.ndarray, passages: list[int], threshold: float, question: float, answer: float) -> list[tuple[int, float, float, float]]:
+        """Of the hopeful passages: item, score, question and answer overlap of each item that a passage of the text holds, as in the passage with the best overlaps."""
         step = self.step
         best: dict[int, tuple[float, float, float]] = {}
-        for a in self.hopeful(terms, threshold) if words else []:
+        for a in passages:
             distinct = [t for t in set(terms[a * step : (a + 2) * step].tolist()) if self.has[t]]
             hits = self.above(distinct, threshold)
             if hits:
@@ -216,11 +244,17 @@ class Indexes:
             classes.setdefault(length_class(len(item[1]) + len(item[2])), []).append(item)
         self.classes = [Index(own, self.terms, step, frequency, total, mean) for step, own in sorted(classes.items())]
 
-    def matches(self, text: str, threshold: float, question: float, answer: float) -> list[tuple[int, float, float, float]]:
-        words = words_of(text)
+    def matches(self, texts: list[str], threshold: float, question: float, answer: float) -> list[list[tuple[int, float, float, float]]]:
+        """The matches of each text."""
         get, none = self.terms.get, len(self.terms)
-        terms = np.array([get(w, none) for w in words], dtype=np.int64)
-        return sorted(row for own in self.classes for row in own.matches(words, terms, threshold, question, answer))
+        words = [words_of(t) for t in texts]
+        terms = [np.array([get(w, none) for w in ws], dtype=np.int64) for ws in words]
+        out: list[list[tuple[int, float, float, float]]] = [[] for _ in texts]
+        for own in self.classes:
+            for rows, ws, ts, passages in zip(out, words, terms, own.hopeful(terms, threshold), strict=True):
+                if passages:
+                    rows += own.matches(ws, ts, passages, threshold, question, answer)
+        return [sorted(rows) for rows in out]
 
 
 def overlap(part: list[str], passage: list[str], has: set[tuple[str, ...]]) -> float:
@@ -278,10 +312,12 @@ def _matcher(shared, threshold: float, question: float, answer: float):
             _READY[:] = [shared.value, Indexes(*shared.value)]
         out: list[list] = [[] for _ in range(6)]
         if _READY[1].classes:
-            for key, hash_, text in zip(*columns, strict=True):
-                for row in _READY[1].matches(text, threshold, question, answer):
-                    for column, value in zip(out, (key, hash_, *row), strict=True):
-                        column.append(value)
+            for at in range(0, len(columns[0]), 200):
+                keys, hashes, texts = (c[at : at + 200] for c in columns)
+                for key, hash_, rows in zip(keys, hashes, _READY[1].matches(texts, threshold, question, answer), strict=True):
+                    for row in rows:
+                        for column, value in zip(out, (key, hash_, *row), strict=True):
+                            column.append(value)
         yield out
 
     return work
