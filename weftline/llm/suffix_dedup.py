@@ -26,7 +26,6 @@ batches, which is a shuffle of the texts each time.
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
