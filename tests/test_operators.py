@@ -60,6 +60,8 @@ def test_masking(spark):
     raw = "SSN 123-45-6789, id AB001-0002, Smith, John; DOB: 1990-01-02 a.b@c.org 555.123.4567 kept 42"
     assert one(spark, text.mask(F.col("a")), a=raw) == "SSN [REDACTED], id [REDACTED], [REDACTED]; [REDACTED] [REDACTED] [REDACTED] kept 42"
     assert one(spark, text.mask(F.col("a")), a=None) is None
+    # As in the SQL, a letter outside ASCII ends a word, and a vertical tab is no white space.
+    assert one(spark, text.mask(F.col("a")), a="of Das, Ciónasa; é123-4567é; DOB:\v2001-02-03") == "of [REDACTED]ónasa; é[REDACTED]é; DOB:\v2001-02-03"
 
 
 def test_small_text_functions(spark):

@@ -143,9 +143,11 @@ def weighted_length(c: Column) -> Column:
 
 
 def mask(c: Column) -> Column:
-    """The masking patterns, one after the other."""
+    """The masking patterns, one after the other. Words and white space are those of ASCII: an accented letter behind a name or a number ends it, so what stands before is masked."""
     for pattern in MASKS:
-        c = F.regexp_replace(c, pattern, MARKER)
+        # Java's \b sees all letters, and its \s the vertical tab.
+        ascii_ = pattern.replace(r"\b", r"(?:(?<=\w)(?!\w)|(?<!\w)(?=\w))").replace(r"[:\s]", r"[:\t\n\f\r ]").replace(r"\s", r"[\t\n\f\r ]")
+        c = F.regexp_replace(c, ascii_, MARKER)
     return c
 
 
