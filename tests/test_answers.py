@@ -85,6 +85,18 @@ def test_automaton_is_the_nested_loop(spark, monkeypatch):
     assert match.keyword_hits(df, "t", table.limit(0)).count() == 0
 
 
+def test_a_list_counts_its_words_once(spark, monkeypatch):
+    words = [(w, label, k) for k, (w, label) in enumerate([("bolt", "b"), ("Bolt", "c"), ("hot", "a"), ("hot", None), ("bolt", "b")] * 40)]
+    df, table = spark.createDataFrame([(1, "HOT bolt"), (2, "bolt"), (3, None)], "id int, t string"), spark.createDataFrame(words, "word string, label string, seq int")
+    made, held = [], keywords._held
+    monkeypatch.setattr(keywords, "WORDS", 2)
+    monkeypatch.setattr(keywords, "_held", lambda *given: made.append(1) or held(*given))
+    assert {r.id: (r.word, r.label, r.seq) for r in match.longest_keyword(df, "id", "t", table).collect()} == {1: ("bolt", "b", 0), 2: ("bolt", "b", 0)}
+    assert len(made) == 1  # two words, not two hundred
+    assert {r.id: r.labels for r in match.keyword_outcomes(df, "id", "t", table).collect()} == {1: ["b", "c", "a", None], 2: ["b", "c"], 3: []}
+    assert len(made) == 3
+
+
 def test_a_fold_sees_the_answers_before(spark):
     rows = [(k, n, "x" * n, "given" if n == 3 else None) for k in ("a", "b", None) for n in range(1, 25)]
     df = spark.createDataFrame(rows, "k string, n int, t string, done string").repartition(5)
@@ -123,3 +135,13 @@ def test_listing_of_variables(spark):
     assert found[1, 1] == "- AE (ae): " + ", ".join(f"AE{k}" for k in range(10))
     assert found[2, 1].startswith("- TU (tu): TU0, ") and found[2, 1].endswith("TU7, ... (+2 more)") and found[2, 3].startswith("- XX")
     assert found[3, 1].endswith("(+2 more)")
+
+
+def test_a_line_is_made_once_for_its_domain(spark):
+    catalogue = spark.createDataFrame([("AE", "ae", "safety", f"AE{k}", k) for k in range(10)], "domain string, name string, category string, variable string, place int")
+    hints = spark.range(1, 400).select(F.col("id").alias("key"), F.lit("AE").alias("domain"), F.lit(1).alias("place"))
+    made = spark.sparkContext.accumulator(0)
+    count = F.udf(lambda line: made.add(1) or f"{len(line)}", "string").asNondeterministic()
+    found = recommend.variable_listing(hints, catalogue, ["safety"], [], count)
+    assert {r.line for r in found.collect()} == {str(len("- AE (ae): " + ", ".join(f"AE{k}" for k in range(10))))} and found.count() == 399
+    assert made.value == 2

@@ -126,11 +126,8 @@ def keyword_hits(df: DataFrame, text_column: str, words: DataFrame) -> DataFrame
 
 
 def keyword_outcomes(df: DataFrame, key: str, text_column: str, words: DataFrame, out: str = "labels") -> DataFrame:
-    """``key`` and the labels of all words that a text holds, each once, in the order of the list (word, label, seq); rows without one have none."""
-    found = keywords.hits(df.select(key, text_column), F.col(text_column), words, ["seq"])
-    first = found.groupBy(key, "label").agg(F.min("seq").alias("seq")).groupBy(key).agg(F.array_sort(F.collect_list(F.struct("seq", "label"))).alias("__l"))
-    listed = F.transform("__l", lambda x: x["label"])
-    return df.select(key).join(first.select(key, listed.alias(out)), key, "left").withColumn(out, F.coalesce(out, F.array().cast("array<string>")))
+    """``key`` and the labels of all words that a text holds, each once, in the order of the list (word, label, seq); rows without one have none. ``key`` names the rows, which are unique by it."""
+    return keywords.labels(df, key, F.col(text_column), words).withColumnRenamed("labels", out)
 
 
 def upsert(df: DataFrame, new: DataFrame, keys: list[str], columns: list[str]) -> DataFrame:
