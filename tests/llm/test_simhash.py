@@ -202,3 +202,15 @@ def test_sketches_differ_in_no_more_bits_than_sets(spark):
         assert similarity < 0.8 or any(not r.may for r in found)
     assert simhash.parity(np.zeros(0, np.int64)) == [0] * simhash.SKETCH
     assert {len(r[0]) for r in rows} == {8, 16, 32, 128}
+
+
+def test_near_duplicates_come_from_fingerprints_first(spark, monkeypatch):
+    rng = np.random.default_rng(12)
+    text = [f"w{x}" for x in rng.integers(0, 10**6, 4000)]
+    near = [*text[:2000], "other", *text[2001:]]
+    rows = [(5, " ".join(text)), (7, " ".join(near)), (9, " ".join(reversed(text))), (11, "")]
+    groups = simhash.token_groups
+    monkeypatch.setattr(simhash, "token_groups", lambda *given: groups(*given).where("false"))  # what fingerprints find alone
+    assert components_of(spark, rows) == {5: 5, 7: 5, 9: 9, 11: 11}
+    monkeypatch.setattr(simhash, "near_components", lambda prints, key, radius: prints.select(key, F.lit(5).cast("long").alias("component_id")))
+    assert components_of(spark, rows) == {5: 5, 7: 5, 9: 9, 11: 11}  # an exact check follows

@@ -24,8 +24,8 @@ GRAMS = 400
 #: Languages that a broadcast table of profiles may have.
 MOST_LANGS = 2000
 MARK = ord("_")
-CHUNK = 1 << 20
-FLUSH = 400_000
+CHUNK = 1 << 18
+FLUSH = 100_000
 
 
 def grams_of(word: str) -> list[str]:
@@ -84,7 +84,7 @@ def held_out(id_column: str = "doc_id") -> Column:
 def learn_profiles(labelled: DataFrame, text_column: str = "text", lang_column: str = "lang", grams: int = GRAMS) -> DataFrame:
     """The profile of each language over all rows: lang, gram, rank (from 0), by count and then by gram.
 
-    Each task counts the n-grams of a language's texts, about a megabyte at once, and hands on sums; a table that reaches
+    Each task counts the n-grams of a language's texts, about a quarter of a megabyte at once, and hands on sums; a table that reaches
     ``FLUSH`` entries is handed on early, so memory is bounded and one common language makes no large task.
     """
 

@@ -360,25 +360,26 @@ def parity(h: np.ndarray) -> list[int]:
 
 
 def prefixes(df: DataFrame, id_column: str, text_column: str, words: int, similarity: float) -> DataFrame:
-    """id_column, key and n of ``shingle_sets``, tokens: the shingles of each set's prefix, rare ones first; sketch: ``parity`` of the set."""
+    """id_column, key and n of ``shingle_sets``, tokens: the shingles of each set's prefix, rare ones first; sketch: ``parity`` of the set; lanes: its SimHash fingerprint."""
     kind = dict(df.dtypes)[id_column]
     late = df.sparkSession.sparkContext.broadcast(np.sort(np.array(common_shingles(df, id_column, text_column, words), dtype=np.int64)))
 
     def work(columns: list[list]) -> Iterator[list]:
-        common, keys, sizes, out, sketches = late.value, [], [], [], []
+        common, keys, sizes, out, sketches, prints = late.value, [], [], [], [], []
         for text in columns[1]:
             h = np.unique(shingle_hashes(text, words)).view(np.int64)
             sketches.append(parity(h))
+            prints.append(np.array([majority(h)], np.uint64).view(np.int64).tolist())
             keys.append(xxhash.xxh3_128_digest(h.tobytes()))
             sizes.append(len(h))
             if len(common) and len(h):
                 rare = common[np.minimum(np.searchsorted(common, h), len(common) - 1)] != h
                 h = np.concatenate([h[rare], h[~rare]])
             out.append(h[: prefix_length(len(h), similarity)])
-        yield [columns[0], keys, sizes, out, sketches]
+        yield [columns[0], keys, sizes, out, sketches, prints]
 
     source = df.select(F.col(id_column), text_or_empty(text_column).alias("__text"))
-    return map_batches(source, [id_column, "__text"], work, f"`{id_column}` {kind}, key binary, n bigint, tokens array<bigint>, sketch array<bigint>")
+    return map_batches(source, [id_column, "__text"], work, f"`{id_column}` {kind}, key binary, n bigint, tokens array<bigint>, sketch array<bigint>, lanes array<bigint>")
 
 
 def joined_ends(pairs: DataFrame, ends: DataFrame) -> DataFrame:
@@ -501,12 +502,13 @@ def token_groups(own: DataFrame, heavy: DataFrame, similarity: float) -> DataFra
     return dealt.mapInArrow(run, "token bigint, node bigint, n int, at int, other bigint")
 
 
-def near_duplicates(df: DataFrame, id_column: str = "doc_id", text_column: str = "text", words: int = 5, similarity: float = 0.8) -> DataFrame:
-    """id_column, component_id by the exact Jaccard similarity of the sets of five-word shingles of whole documents.
+def near_duplicates(df: DataFrame, id_column: str = "doc_id", text_column: str = "text", words: int = 5, similarity: float = 0.8, radius: int = 4) -> DataFrame:
+    """id_column, component_id: SimHash near-duplicates, held to the exact Jaccard similarity of the sets of five-word shingles of whole documents.
 
     Two documents link if it is at least ``similarity``; the component is the smallest id that links reach. Equal sets
-    (so all wordless texts) are one node. Candidates are sets with a shingle of their prefixes in common, which loses no
-    pair. A first round compares each set with ``HUBS`` of those that share a shingle, so a large group of near copies is
+    (so all wordless texts) are one node. First come the components of the sets' SimHash fingerprints (``near_components``, links of at most ``radius`` bits):
+    each set is compared with the smallest id of its own. No radius gives the similarity exactly, so sets with a shingle of their prefixes in common, which
+    loses no pair, are candidates as well. The first round also compares each set with ``HUBS`` of those that share a shingle, so a large group of near copies is
     joined by rows in proportion to it. The second compares the candidates that are in different components by then: in
     each group of a shingle the rows outside its largest component with all others of another component and of a size
     that allows the similarity. In both rounds a candidate is dropped whose parity sketches differ in more bits than sets of that similarity differ in elements.
@@ -517,13 +519,14 @@ def near_duplicates(df: DataFrame, id_column: str = "doc_id", text_column: str =
     rows, rows_path = written_at(prefixes(known, id_column, text_column, words, similarity).withColumn("node", F.col(id_column).cast("long")), "prefixes")
     nodes = written(rows.groupBy("key").agg(F.min("node").alias("node"), F.count("*").alias("copies")), "nodes")
     own = rows.join(nodes, ["node", "key"], "left_semi").dropDuplicates(["node", "key"])
-    own, own_path = written_at(own.select("node", "key", "n", "tokens", "sketch"), "own")
+    own, own_path = written_at(own.select("node", "key", "n", "tokens", "sketch", "lanes"), "own")
     keys = written(rows.select(id_column, "key"), "keys")
     delete_path(spark, rows_path)
     sketches = own.select("node", "key", F.col("n").alias("size"), "sketch")
     heavy = written(heavy_tokens(own), "heavy")
     groups = written(token_groups(own, heavy, similarity), "groups")
-    starred = groups.where("other is not null").select(F.col("node").alias("a"), F.col("other").alias("b")).distinct()
+    hashed = near_components(own.select("node", "lanes", F.col("n").alias("n_shingles")), "node", radius).where(F.col("node") != F.col("component_id"))
+    starred = groups.where("other is not null").select(F.col("node").alias("a"), F.col("other").alias("b")).unionByName(hashed.select(F.col("component_id").alias("a"), F.col("node").alias("b"))).distinct()
     met = groups.where("other is null").select("token", "node", "n", "at")
     first = joined_ends(written(starred, "star"), sketches.drop("key")).where(may_be_similar("a_sketch", "b_sketch", F.col("a_size"), F.col("b_size"), similarity))
     first = written(first.select("a", "b").distinct(), "pairs")
