@@ -6,6 +6,7 @@ from difflib import SequenceMatcher
 import pytest
 from pyspark.sql import functions as F
 
+from weftline import session
 from weftline.functions import text
 from weftline.operators import front, similarity
 
@@ -108,3 +109,18 @@ def test_precomputed_keys_come_first(spark):
     kb = spark.createDataFrame([(10, "A", "B", "c"), (11, "a", "b", "e")], "id bigint, t string, v string, w string")
     found = front.strategy_matches(*(front.prepared(x, "id", "t", "v", ("t", "v", "w")) for x in (df, kb)))
     assert sorted((r.key, r.record, r.strategy) for r in found.collect()) == [(1, 10, "precomputed"), (2, 10, "exact"), (2, 11, "exact")]
+
+
+def test_copies_are_counted_and_dealt(spark, monkeypatch):
+    monkeypatch.setattr(similarity, "PAIRS", 50)
+    left = spark.range(100).select(F.col("id").alias("k"), (F.col("id") % 2).alias("g"))
+    right = spark.range(90).select(F.col("id").alias("r"), F.when(F.col("id") < 80, 0).otherwise(F.col("id")).cast("long").alias("g"))
+    found = similarity.dealt_join(left, right, ["g"])
+    assert sorted(map(tuple, found.select("k", "g", "r").collect())) == sorted((k, 0, r) for k in range(0, 100, 2) for r in range(80))
+    assert found.where("g = 0").select(F.spark_partition_id()).distinct().count() > 1  # one key, several tasks
+    probe, records = (df.select(F.col("id"), F.lit("Vitals").alias("t"), F.when(F.col("id") % 2 == 0, "pulse rate").otherwise("pulse rates").alias("v"), F.lit(None).cast("array<float>").alias("vec")) for df in (spark.range(10), spark.range(100, 160, 2)))
+    probe, records = (front.prepared(df, "id", "t", "v", vec="vec") for df in (probe, records))
+    counts = {r.key: (r.strategy, r.n) for r in front.strategy_counts(probe, records).collect()}
+    assert counts == {k: ("exact" if k % 2 == 0 else "fuzzy_variable", 30) for k in range(10)}
+    links = front.strategy_links(session.written(probe, "probe"), session.written(records, "records"))
+    assert links.count() == 10 and front.strategy_matches(probe, records).count() == 300  # one link a row, however many copies

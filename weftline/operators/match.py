@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from weftline.functions import text
 from weftline.operators import keywords
 from weftline.operators.ranking import best_scored
-from weftline.operators.similarity import best_similar, confidence, similar_pairs
+from weftline.operators.similarity import best_similar, confidence, dealt_join, similar_pairs
 from weftline.session import written
 
 
@@ -41,6 +41,12 @@ def deep_join(probe: DataFrame, kb: DataFrame, pairs: list[tuple[str, str]], cou
     return _hash_join(probe, kb, pairs, text.deep_normalise, counts)
 
 
+def deep_matched(probe: DataFrame, kb: DataFrame, pairs: list[tuple[str, str]]) -> DataFrame:
+    """The rows of ``probe`` that ``deep_join`` gives a partner, each once."""
+    left, right = keyed(probe, [a for a, _ in pairs], side="a"), keyed(kb, [b for _, b in pairs], side="b")
+    return left.join(right.select("key_hash").distinct(), "key_hash", "left_semi").drop("key_hash")
+
+
 def keyed(df: DataFrame, columns: list[str], normalise: Callable[[Column], Column] = text.deep_normalise, side: str = "") -> DataFrame:
     """``df`` with ``key_hash`` of its normalised columns."""
     return df.withColumn("key_hash", text.key_hash(*[normalise(F.col(c)) for c in columns], side=side))
@@ -71,8 +77,9 @@ def blocked_fuzzy(probe: DataFrame, kb: DataFrame, block: str, probe_text: str,
     pairs = similar_pairs(probe, kb, [block], probe_text, kb_text, least)
     if native:
         pairs = pairs.where(F.col(probe_text).contains(F.col(kb_text)) | F.col(kb_text).contains(F.col(probe_text)))
-    best = best_similar(pairs if same else pairs.where(F.col(probe_text) != F.col(kb_text)), [block, probe_text])
-    both = probe.join(best, [block, probe_text]).join(kb, [block, kb_text])
+    best = written(best_similar(pairs if same else pairs.where(F.col(probe_text) != F.col(kb_text)), [block, probe_text]), "best")
+    # Copies make many pairs of few keys: they are dealt to tasks. Best pairs are of distinct texts.
+    both = dealt_join(probe.join(best, [block, probe_text]), kb, [block, kb_text])
     return both.withColumn("confidence", confidence(base, gain, F.col("similarity")))
 
 

@@ -29,6 +29,8 @@ from weftline.session import partitions
 MOST_COMMON = 2_000
 #: Rows of one block and element that one task joins with their like.
 ROWS = 2_000
+#: Pairs of rows of one key that one task makes, about.
+PAIRS = 20_000_000
 MARGIN = 1e-9
 
 
@@ -137,6 +139,21 @@ def similar_pairs(left: DataFrame, right: DataFrame, block: list[str], a: str, b
     return found.select(fields.alias("__block"), F.col("a").alias("__a"), F.col("b").alias("__b"), "similarity").select(*[F.col("__block")[c].alias(c) for c in block], F.col("__a").alias(a), F.col("__b").alias(b), "similarity")
 
 
+def dealt_join(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
+    """The inner join on ``keys``, whose pairs may be many: rows of a key with more than ``PAIRS`` pairs are dealt to pieces on the left, and those on the right copied to each. Both are read twice.
+
+    No key's pairs are made by one task, and the copies are fewer than the pairs: a row on the right is copied once for each ``PAIRS`` pairs of its key at most.
+    """
+    n = left.groupBy(*keys).agg(F.count("*").alias("__n")).join(right.groupBy(*keys).agg(F.count("*").alias("__m")), keys)
+    pieces = n.withColumn("__pieces", F.least(F.col("__n"), F.ceil(F.col("__n") * F.col("__m") / PAIRS)).cast("int")).where("__pieces > 1").select(*keys, "__pieces")
+    one = F.coalesce("__pieces", F.lit(1))
+    dealt = left.join(pieces, keys, "left").withColumn("__piece", F.pmod(F.xxhash64(*left.columns), one).cast("int")).drop("__pieces")
+    copied = right.join(pieces, keys, "left").withColumn("__piece", F.explode(F.sequence(F.lit(0), one - 1))).drop("__pieces")
+    # Few rows make many pairs, so their size must not put pieces together again.
+    spread = lambda df: df.repartition(partitions(df.sparkSession), *keys, "__piece")
+    return spread(dealt).join(spread(copied), [*keys, "__piece"]).drop("__piece")
+
+
 def best_similar(pairs: DataFrame, by: list[str]) -> DataFrame:
     """Of the pairs with the same ``by`` the most alike ones, all ties. A text's partners are few, as each reaches the least similarity."""
     return pairs.withColumn("__best", F.max("similarity").over(Window.partitionBy(*by))).where("similarity = __best").drop("__best")

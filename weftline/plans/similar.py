@@ -126,19 +126,17 @@ _STRATEGIES = f"""{_FORMS}, low AS (SELECT key, record FROM p JOIN r ON lower(p.
     UNION ALL SELECT key, record, 'fuzzy_variable', round(score, 4), round({front.VARIABLE_BASE} + {front.VARIABLE_GAIN} * score, 4) FROM fv UNION ALL SELECT key, record, 'vector', round(score, 4), 0.95 FROM ve)"""
 
 
-def _matches(spark, sf):
-    """All forms against all records, with the vectors of those that have one."""
+def _sides(spark, sf):
+    """All forms and all records, with the vectors of those that have one."""
     vectors = table(spark, sf, "embeddings")
     with_vector = lambda df, key: df.join(vectors.select(F.col("vec_id").alias(key), F.col("embedding").alias("vec")), key, "left")
     forms, records = _forms(spark, sf)
-    probe = front.prepared(with_vector(forms, "key"), "key", "t", "v", vec="vec")
-    known = front.prepared(with_vector(records, "record"), "record", "t", "v", vec="vec")
-    return forms, front.strategy_matches(probe, known, _VECTOR_LEAST)
+    return front.prepared(with_vector(forms, "key"), "key", "t", "v", vec="vec"), front.prepared(with_vector(records, "record"), "record", "t", "v", vec="vec")
 
 
 @query("j06_full_cascade", f"WITH RECURSIVE {_STRATEGIES} SELECT key, record, strategy, score, confidence FROM m")
 def _(spark, sf):
-    return _matches(spark, sf)[1]
+    return front.strategy_matches(*_sides(spark, sf), _VECTOR_LEAST)
 
 
 @query(
@@ -148,8 +146,8 @@ def _(spark, sf):
     SELECT key, CASE WHEN direct THEN 'direct' ELSE 'reasoning' END AS source, strategy, confidence, CASE WHEN direct THEN n ELSE 0 END AS n FROM d""",
 )
 def _(spark, sf):
-    forms, matches = _matches(spark, sf)
-    return front.query_front(forms, matches, _THRESHOLDS)
+    probe, records = _sides(spark, sf)
+    return front.query_front(probe, front.strategy_counts(probe, records, _VECTOR_LEAST), _THRESHOLDS)
 
 
 @query(
