@@ -1,5 +1,7 @@
 """Workbooks by hand: coordinates, kinds of cells, damaged files, and the plan of rows put in."""
 
+import io
+import tracemalloc
 import zipfile
 
 import pytest
@@ -62,3 +64,15 @@ def test_rows_put_in_move_what_follows(spark):
     links = spark.createDataFrame([("s", 5, 1, "s", 2), ("t", 2, 1, "s", 6)], "sheet string, row int, col int, target string, target_row int")
     assert sorted(tuple(r) for r in w.moved_links(links, inserts).collect()) == [("s", 8, 1, "s", 2), ("t", 2, 1, "s", 9)]
     assert w.writing_plan(cells, inserts.limit(0), updates.limit(0)).count() == 7
+
+
+def test_a_book_is_written_and_read_without_being_held():
+    n = 60_000
+    made = (("S", row, 1, f"text {row}") for row in range(1, n + 1))
+    out = io.BytesIO()
+    tracemalloc.start()
+    assert w.write_book(out, made) == n
+    assert sum(1 for _ in w.workbook_cells(out.getvalue())) == n
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 3_000_000

@@ -10,6 +10,7 @@ import io
 import re
 import zipfile
 from collections.abc import Iterator
+from itertools import groupby, islice
 from xml.etree import ElementTree
 from xml.sax.saxutils import escape, quoteattr
 
@@ -78,13 +79,15 @@ def workbook_cells(data: bytes) -> Iterator[tuple[str, int, int, int, str, str]]
             if path not in names or "worksheets" not in path:
                 continue  # a chart
             row = col = 0
-            empty = True
+            empty, table = True, None
             with book.open(path) as part:
                 for event, e in ElementTree.iterparse(part, ("start", "end")):
                     tag = _local(e.tag)
                     if event == "start":
                         if tag == "row":
                             row, col = int(e.get("r") or row + 1), 0
+                        elif tag == "sheetData":
+                            table = e
                         continue
                     if tag == "c":
                         at = e.get("r")
@@ -103,7 +106,8 @@ def workbook_cells(data: bytes) -> Iterator[tuple[str, int, int, int, str, str]]
                             empty = False
                             yield sheet.get("name"), number, row, col, KINDS.get(kind, kind), value
                     elif tag == "row":
-                        e.clear()
+                        # The row and its place among the rows: a sheet's rows aren't held.
+                        (e if table is None else table).clear()
             if empty:
                 yield sheet.get("name"), number, None, None, None, None
 
@@ -122,14 +126,16 @@ def read_cells(spark: SparkSession, path: str, pattern: str = "*.xlsx") -> DataF
         for batch in batches:
             for name, data in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 name = name.rpartition("/")[2]
-                rows: list[tuple] = []
                 try:
-                    rows = [(name, *cell, None) for cell in workbook_cells(data)]
+                    # Read once to its end before anything of it is handed on, and not held.
+                    for _ in workbook_cells(data):
+                        pass
+                    rows = ((name, *cell, None) for cell in workbook_cells(data))
                 except (zipfile.BadZipFile, KeyError, ValueError, IndexError, ElementTree.ParseError, RuntimeError, NotImplementedError, EOFError) as e:
                     # What a damaged, foreign or protected file gives: it is that file's row.
-                    rows = [(name, None, None, None, None, None, None, f"{type(e).__name__}: {e}")]
-                for k in range(0, len(rows), 10_000):
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows[k : k + 10_000], strict=True), types, strict=True)], names=names)
+                    rows = iter([(name, None, None, None, None, None, None, f"{type(e).__name__}: {e}")])
+                while part := list(islice(rows, 10_000)):
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*part, strict=True), types, strict=True)], names=names)
 
     files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(path)
     return files.select("path", "content").mapInArrow(work, CELLS)
@@ -196,25 +202,22 @@ def conversions(cells: DataFrame, wanted: dict[str, list[str]], required: tuple[
     return rows, report.select("file", F.coalesce("n", F.lit(0)).alias("n"), "error")
 
 
-def workbook_bytes(sheets_: list[tuple[str, list[tuple[int, int, str | float | None]]]]) -> bytes:
-    """A workbook of sheets (name, cells by row and column): texts and numbers, no styles."""
-    out = io.BytesIO()
+def write_book(stream, cells: Iterator[tuple[str, int, int, str | float | None]]) -> int:
+    """Writes a workbook of cells (sheet, row, column, value), in the order of sheets and rows, as they come; returns how many: texts and numbers, no styles."""
     head = '<?xml version="1.0" encoding="UTF-8" standalone="yes"?>\n'
     main, office = "http://schemas.openxmlformats.org/spreadsheetml/2006/main", "http://schemas.openxmlformats.org/officeDocument/2006/relationships"
     package = "http://schemas.openxmlformats.org/package/2006"
     kind = "application/vnd.openxmlformats-officedocument.spreadsheetml"
-    with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as book:
-        n = range(1, len(sheets_) + 1)
-        parts = "".join(f'<Override PartName="/xl/worksheets/sheet{i}.xml" ContentType="{kind}.worksheet+xml"/>' for i in n)
-        book.writestr("[Content_Types].xml", f'{head}<Types xmlns="{package}/content-types"><Default Extension="rels" ContentType="application/vnd.openxmlformats-package.relationships+xml"/><Default Extension="xml" ContentType="application/xml"/><Override PartName="/xl/workbook.xml" ContentType="{kind}.sheet.main+xml"/>{parts}</Types>')
-        book.writestr("_rels/.rels", f'{head}<Relationships xmlns="{package}/relationships"><Relationship Id="rId1" Type="{office}/officeDocument" Target="xl/workbook.xml"/></Relationships>')
-        book.writestr("xl/workbook.xml", f'{head}<workbook xmlns="{main}" xmlns:r="{office}"><sheets>' + "".join(f'<sheet name={quoteattr(s[0])} sheetId="{i}" r:id="rId{i}"/>' for i, s in zip(n, sheets_, strict=True)) + "</sheets></workbook>")
-        book.writestr("xl/_rels/workbook.xml.rels", f'{head}<Relationships xmlns="{package}/relationships">' + "".join(f'<Relationship Id="rId{i}" Type="{office}/worksheet" Target="worksheets/sheet{i}.xml"/>' for i in n) + "</Relationships>")
-        for i, (_, cells) in zip(n, sheets_, strict=True):
-            with book.open(f"xl/worksheets/sheet{i}.xml", "w") as part:
+    names: list[str] = []
+    total = 0
+    with zipfile.ZipFile(stream, "w", zipfile.ZIP_DEFLATED) as book:
+        for sheet, own in groupby(cells, key=lambda c: c[0]):
+            names.append(sheet)
+            with book.open(f"xl/worksheets/sheet{len(names)}.xml", "w", force_zip64=True) as part:
                 part.write(f'{head}<worksheet xmlns="{main}"><sheetData>'.encode())
                 at = None
-                for row, col, value in cells:
+                for _, row, col, value in own:
+                    total += 1
                     if row != at:
                         part.write(("</row>" if at is not None else "").encode() + f'<row r="{row}">'.encode())
                         at = row
@@ -225,38 +228,31 @@ def workbook_bytes(sheets_: list[tuple[str, list[tuple[int, int, str | float | N
                         said = escape(ILLEGAL.sub(lambda m: f"_x{ord(m[0]):04X}_", value))
                         part.write(f'<c r="{place}" t="inlineStr"><is><t xml:space="preserve">{said}</t></is></c>'.encode())
                 part.write((b"</row>" if at is not None else b"") + b"</sheetData></worksheet>")
-    return out.getvalue()
+        n = range(1, len(names) + 1)
+        parts = "".join(f'<Override PartName="/xl/worksheets/sheet{i}.xml" ContentType="{kind}.worksheet+xml"/>' for i in n)
+        book.writestr("[Content_Types].xml", f'{head}<Types xmlns="{package}/content-types"><Default Extension="rels" ContentType="application/vnd.openxmlformats-package.relationships+xml"/><Default Extension="xml" ContentType="application/xml"/><Override PartName="/xl/workbook.xml" ContentType="{kind}.sheet.main+xml"/>{parts}</Types>')
+        book.writestr("_rels/.rels", f'{head}<Relationships xmlns="{package}/relationships"><Relationship Id="rId1" Type="{office}/officeDocument" Target="xl/workbook.xml"/></Relationships>')
+        book.writestr("xl/workbook.xml", f'{head}<workbook xmlns="{main}" xmlns:r="{office}"><sheets>' + "".join(f'<sheet name={quoteattr(s)} sheetId="{i}" r:id="rId{i}"/>' for i, s in zip(n, names, strict=True)) + "</sheets></workbook>")
+        book.writestr("xl/_rels/workbook.xml.rels", f'{head}<Relationships xmlns="{package}/relationships">' + "".join(f'<Relationship Id="rId{i}" Type="{office}/worksheet" Target="worksheets/sheet{i}.xml"/>' for i in n) + "</Relationships>")
+    return total
 
 
 def write_workbooks(cells: DataFrame, path: str) -> DataFrame:
     """A workbook for each ``file`` below ``path``, of cells (file, sheet, row, col, value); returns file, n (cells), size in bytes, a row for each. Runs when its rows are read.
 
-    A file's cells go to one task, which a sheet's limit of 1,048,576 rows bounds. Sheets come in the order of their names. Files are written under a
+    A file's cells go to one task, which writes them as they come and holds none. Sheets come in the order of their names. Files are written under a
     name of their own and moved, so a repeated try leaves whole ones.
     """
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         files, top = fs.FileSystem.from_uri(path)
         files.create_dir(top, recursive=True)
-        held: dict[str, list] = {}
-        name = None
-
-        def out() -> pa.RecordBatch:
-            data = workbook_bytes(list(held.items()))
+        rows = (row for batch in batches for at in range(0, batch.num_rows, 10_000) for row in zip(*(c.to_pylist() for c in batch.slice(at, 10_000).columns), strict=True))
+        for name, own in groupby(rows, key=lambda r: r[0]):
             with files.open_output_stream(f"{top}/.{name}.part") as stream:
-                stream.write(data)
+                n = write_book(stream, (r[1:] for r in own))
             files.move(f"{top}/.{name}.part", f"{top}/{name}")
-            return pa.RecordBatch.from_arrays([pa.array([name]), pa.array([sum(map(len, held.values()))]), pa.array([len(data)])], names=["file", "n", "size"])
-
-        for batch in batches:
-            for file, sheet, row, col, value in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if file != name and name is not None:
-                    yield out()
-                    held = {}
-                name = file
-                held.setdefault(sheet, []).append((row, col, value))
-        if name is not None:
-            yield out()
+            yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([n]), pa.array([files.get_file_info(f"{top}/{name}").size])], names=["file", "n", "size"])
 
     dealt = cells.select("file", "sheet", "row", "col", "value").repartition(partitions(cells.sparkSession), "file").sortWithinPartitions("file", "sheet", "row", "col")
     return dealt.mapInArrow(work, "file string, n bigint, size bigint")
