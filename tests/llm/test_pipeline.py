@@ -2,11 +2,12 @@
 
 import random
 
+import pyarrow as pa
 import sentencepiece as library
 import public_tokenizers
 
 import corpus_pipeline as c
-from weftline.llm import decontamination, simhash
+from weftline.llm import common, decontamination, simhash
 
 DATA = "/root/testdata/sf0.001"
 
@@ -108,3 +109,31 @@ def test_only_the_row_with_the_leak_goes(spark, tmp_path):
     found = c.decontamination_stage(spark, docs, str(tmp_path))
     assert found.columns == c.COLUMNS
     assert sorted(str(r.text) for r in found.collect()) == sorted(str(t) for _, t in rows if leak not in (t or ""))
+
+
+def test_workers_hold_one_step_and_batches_are_small(spark):
+    """What filled an executor: batches of 10,000 whole texts on both sides of its workers, as Python values at once, and the tables of stages that were over."""
+    batch = pa.RecordBatch.from_arrays([pa.array(["x" * 1000] * 100), pa.array(range(100))], names=["text", "id"])
+    parts = list(common.slices(batch, 10_000))
+    assert max(p.nbytes for p in parts) < 12_000 and pa.Table.from_batches(parts).equals(pa.Table.from_batches([batch]))
+    assert [p.num_rows for p in common.slices(batch.slice(0, 0))] == [0] and [p.num_rows for p in common.slices(batch)] == [100]
+
+    class Shared:
+        def __init__(self, value):
+            self.value = value
+
+    one, two, made = Shared(["one"]), Shared(["two"]), []
+    for shared in (one, one, two, two):
+        assert common.held(shared, lambda v: made.append(v) or v[0]) == shared.value[0]
+        assert len(common._HELD) == 2
+    assert made == [["one"], ["two"]]
+
+    texts = spark.createDataFrame([(k, "word " * 20_000) for k in range(300)], "doc_id bigint, text string").repartition(1)
+    seen = []
+    stage = c.in_small_batches(lambda s, docs, _: docs.mapInArrow(lambda bs: (pa.RecordBatch.from_arrays([pa.array([b.num_rows])], names=["n"]) for b in bs), "n bigint"))
+    before = spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch")
+    try:
+        seen = [r.n for r in stage(spark, texts, "").collect()]
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", before)
+    assert sum(seen) == 300 and max(seen) * 100_000 < 9 << 20

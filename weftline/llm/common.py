@@ -109,8 +109,30 @@ def text_or_empty(column: str = "text") -> Column:
     return F.coalesce(F.col(column).cast("string"), F.lit(""))
 
 
+#: Bytes of an Arrow batch that are Python values at once, about.
+SLICE_BYTES = 8 << 20
+
+
+def slices(batch: pa.RecordBatch, size: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """The rows of a batch in order, in parts of like numbers of rows and about ``size`` bytes; an empty batch is one part."""
+    rows = max(1, -(-batch.num_rows // max(1, round(batch.nbytes / size))))
+    for at in range(0, max(1, batch.num_rows), rows):
+        yield batch.slice(at, rows)
+
+
+_HELD: list = []
+
+
+def held(shared, make: Callable):
+    """What ``make`` builds from a broadcast value, kept over the tasks of a worker process. It holds that of one step only: workers serve one step after another."""
+    if not _HELD or _HELD[0] is not shared.value:
+        _HELD.clear()
+        _HELD[:] = [shared.value, make(shared.value)]
+    return _HELD[1]
+
+
 def map_batches(df: DataFrame, columns: list[str], work: Callable[[list[list]], Iterator[list]], schema: str) -> DataFrame:
-    """``mapInArrow`` for a function from lists of column values to lists of result columns, one call for each Arrow batch."""
+    """``mapInArrow`` for a function from lists of column values to lists of result columns, one call for each part of an Arrow batch (``slices``)."""
 
     from pyspark.sql.types import StructType
     from pyspark.sql.pandas.types import to_arrow_schema
@@ -119,7 +141,9 @@ def map_batches(df: DataFrame, columns: list[str], work: Callable[[list[list]],
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for result in work([c.to_pylist() for c in batch.columns]):
-                yield pa.RecordBatch.from_arrays([x if isinstance(x, pa.Array) else pa.array(x, t) for x, t in zip(result, out.types, strict=True)], schema=out)
+            for part in slices(batch):
+                for result in work([c.to_pylist() for c in part.columns]):
+                    yield pa.RecordBatch.from_arrays([x if isinstance(x, pa.Array) else pa.array(x, t) for x, t in zip(result, out.types, strict=True)], schema=out)
+        pa.default_memory_pool().release_unused()
 
     return df.select(*columns).mapInArrow(run, schema)

@@ -22,7 +22,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from weftline.llm.common import map_batches, text_or_empty, written
+from weftline.llm.common import held, map_batches, text_or_empty, written
 
 WORDS = re.compile(r"\w+")
 K1, B = 1.2, 0.75
@@ -303,18 +303,14 @@ def decontaminate(docs: DataFrame, items: DataFrame, id_column: str = "doc_id",
     return out
 
 
-_READY: list = []
-
-
 def _matcher(shared, threshold: float, question: float, answer: float):
     def work(columns: list[list]) -> Iterator[list]:
-        if not _READY or _READY[0] is not shared.value:
-            _READY[:] = [shared.value, Indexes(*shared.value)]
+        indexes = held(shared, lambda value: Indexes(*value))
         out: list[list] = [[] for _ in range(6)]
-        if _READY[1].classes:
+        if indexes.classes:
             for at in range(0, len(columns[0]), 200):
                 keys, hashes, texts = (c[at : at + 200] for c in columns)
-                for key, hash_, rows in zip(keys, hashes, _READY[1].matches(texts, threshold, question, answer), strict=True):
+                for key, hash_, rows in zip(keys, hashes, indexes.matches(texts, threshold, question, answer), strict=True):
                     for row in rows:
                         for column, value in zip(out, (key, hash_, *row), strict=True):
                             column.append(value)

@@ -15,7 +15,7 @@ import regex
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from weftline.llm.common import map_batches
+from weftline.llm.common import held, map_batches
 
 #: Words are runs of letters (category L); number characters such as a half or a Roman numeral are none. Vowel signs and other
 #: marks part words, so scripts that write with them (Devanagari, Thai) are compared by the letters between.
@@ -150,9 +150,6 @@ class Profiles:
         return self.langs[best], float(1 - apart[best] / (self.grams * len(own)))
 
 
-_READY: list = []
-
-
 def predict_languages(df: DataFrame, profiles: DataFrame, id_column: str = "doc_id", text_column: str = "text", grams: int = GRAMS, keep: tuple[str, ...] = ()) -> DataFrame:
     """Predicts the language of every whole text: id_column, lang_pred, score, then the columns in ``keep``.
 
@@ -168,9 +165,8 @@ def predict_languages(df: DataFrame, profiles: DataFrame, id_column: str = "doc_
     kinds = dict(df.dtypes)
 
     def work(columns: list[list]) -> Iterator[list]:
-        if not _READY or _READY[0] is not shared.value:
-            _READY[:] = [shared.value, Profiles(shared.value, grams)]
-        found = [_READY[1].predict(t) for t in columns[1]]
+        known = held(shared, lambda value: Profiles(value, grams))
+        found = [known.predict(t) for t in columns[1]]
         yield [columns[0], [f[0] for f in found], [f[1] for f in found], *columns[2:]]
 
     source = df.select(F.col(id_column).alias("__id"), F.col(text_column).cast("string").alias("__text"), *[F.col(c).alias(f"__{i}") for i, c in enumerate(keep)])

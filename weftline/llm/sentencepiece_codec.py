@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftline.llm.common import map_batches, text_or_empty
+from weftline.llm.common import held, map_batches, text_or_empty
 
 MARK = "▁"
 CACHE = 250_000
@@ -304,18 +304,6 @@ def _lists(rows: list[np.ndarray]) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate([np.zeros(0, np.int32), *rows])))
 
 
-_MODELS: dict[int, Model] = {}
-
-
-def _model(shared) -> Model:
-    """One model for each worker process, kept over its tasks."""
-    key = hash(shared.value)
-    if key not in _MODELS:
-        _MODELS.clear()
-        _MODELS[key] = Model(shared.value)
-    return _MODELS[key]
-
-
 def sentencepiece(df: DataFrame, model_path: str, id_column: str = "doc_id", text_column: str = "text", spans: bool = True) -> DataFrame:
     """Encodes every whole text and decodes the ids again.
 
@@ -328,7 +316,7 @@ def sentencepiece(df: DataFrame, model_path: str, id_column: str = "doc_id", tex
         shared = spark.sparkContext.broadcast(file.read())
 
     def work(columns: list[list]) -> Iterator[list]:
-        model = _model(shared)
+        model = held(shared, Model)
         for at in range(0, len(columns[0]), 500):
             keys, texts = (c[at : at + 500] for c in columns)
             if spans:
