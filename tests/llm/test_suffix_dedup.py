@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import time
 
 import numpy as np
 
@@ -83,3 +84,25 @@ def test_hot_anchors_change_nothing(spark, small):
     for bound in (0, 3):
         found = sorted((tuple(r) for r in s.digest_columns(s.remove_repeats(df, buckets=4, hot_runs=bound)).collect()), key=str)
         assert found == brute(rows)
+
+
+def test_work_does_not_grow_with_the_number_of_buckets():
+    """There are as many buckets as batches, so looking at all runs for each bucket grew as the square of the input."""
+    rng = np.random.default_rng(5)
+    texts = [(k, rng.integers(97, 123, 4000, dtype=np.uint8).tobytes()) for k in range(500)]
+    runs, parts, _, _ = s._batch_anchors(texts, 50, 40_000)
+    c = s._Chosen(texts, runs, np.sort(np.concatenate(parts)), np.zeros(0, np.uint64), 50, 40_000)
+    began = time.process_time()
+    found = [c.of(b) for b in range(40_000)]
+    assert time.process_time() - began < 1.5
+    assert len(c.bytes) > 100_000 and sorted(np.concatenate(found).tolist()) == list(range(len(c.bytes)))
+    for b in range(0, 40_000, 1000):
+        assert found[b].tolist() == np.flatnonzero(c.bucket == b).tolist()
+
+
+def test_spans_end_with_their_text():
+    texts = [(1, b"ab" * 10), (s.NULL_ID, b""), (2, b"ab" * 10), (3, b""), (4, b"x")]
+    places = np.array([0, 0, 2, 2]), np.array([2, 15, 0, 8]), np.array([2, 1, 1, 3])
+    rows = s._without(texts, places, 5).to_pylist()
+    assert [(r["key"], r["n_bytes"], r["kept"]) for r in rows] == [(1, 20, b"ab" + b"ababababab"[:7]), (None, 0, b""), (2, 20, b"bab" + b"babab"), (3, 0, b""), (4, 1, b"x")]
+    assert [[(x["start"], x["end"]) for x in r["spans"]] for r in rows] == [[(2, 8), (15, 20)], [], [(0, 5), (8, 15)], [], []]

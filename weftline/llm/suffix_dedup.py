@@ -45,6 +45,9 @@ HOT_RUNS = 4096
 #: Occurrences of an anchor in a batch from which its different runs are counted; fewer count as they are.
 COUNTED = 8
 NULL_ID = -(1 << 63)
+#: Bytes of texts whose removed bytes are worked out together.
+TOGETHER = 2 << 20
+RESULT = pa.schema([("key", pa.int64()), ("n_bytes", pa.int64()), ("kept", pa.binary()), ("spans", pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())])))])
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -158,7 +161,7 @@ def _bucket(h: np.ndarray, buckets: int) -> np.ndarray:
 def _texts(table: pa.Table) -> list[tuple[int, bytes]]:
     """Ids and texts of a batch, in an order that every pass finds again."""
     keys = [NULL_ID if k is None else k for k in table.column("key").to_pylist()]
-    return sorted(zip(keys, (t.as_py() for t in table.column("text").cast(pa.binary())), strict=True))
+    return sorted(zip(keys, table.column("text").cast(pa.binary()).to_pylist(), strict=True))
 
 
 def _batch_anchors(texts: list[tuple[int, bytes]], length: int, buckets: int, counting: bool = False) -> tuple[Runs, list[np.ndarray], np.ndarray, np.ndarray]:
@@ -198,37 +201,45 @@ def _isin(sorted_: np.ndarray, x: np.ndarray) -> np.ndarray:
     return sorted_[at] == x if len(sorted_) else np.zeros(len(x), bool)
 
 
+def _ragged(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """So many numbers from each start on, in line."""
+    return np.repeat(starts - (np.cumsum(counts) - counts), counts) + np.arange(counts.sum())
+
+
 class _Chosen:
-    """The distinct runs of a batch whose anchors are repeated, in an order that every pass finds again."""
+    """The distinct runs of a batch whose anchors are repeated, in an order that every pass finds again; text, run, first and count: the places that have them, in order of the text."""
 
     def __init__(self, texts: list[tuple[int, bytes]], runs: Runs, repeated: np.ndarray, hot: np.ndarray, length: int, buckets: int) -> None:
-        self.places: list[list[tuple[int, int, int]]] = [[] for _ in texts]  # for each text: distinct run, first window, windows
-        known: dict[bytes, int] = {}
-        self.bytes: list[bytes] = []
-        self.least: list[int] = []
-        hashes: list[int] = []
         pick = np.flatnonzero(_isin(repeated, runs.hash))
         alone = _isin(hot, runs.hash[pick])
-        for number, a, n, h, one in zip(runs.text[pick].tolist(), runs.first[pick].tolist(), runs.count[pick].tolist(), runs.hash[pick].tolist(), alone.tolist(), strict=True):
-            key, text = texts[number]
-            # A window has one anchor wherever it stands, so it is sent by itself in all batches or in none.
-            for at, m in ((i, 1) for i in range(a, a + n)) if one else ((a, n),):
-                piece = text[at : at + m + length - 1]
-                run = known.setdefault(piece, len(known))
-                if run == len(self.bytes):
-                    self.bytes.append(piece)
-                    self.least.append(key)  # texts come in order of id
-                    hashes.append(xxhash.xxh64_intdigest(piece) >> 16 if one else h)
-                self.places[number].append((run, at, m))
-        self.hash = np.array(hashes, np.uint64)
+        # A window has one anchor wherever it stands, so it is sent by itself in all batches or in none.
+        times = np.where(alone, runs.count[pick], 1)
+        again = np.repeat(np.arange(len(pick)), times)
+        self.text = runs.text[pick][again]
+        self.first = _ragged(runs.first[pick], times)
+        self.count = np.where(alone, 1, runs.count[pick])[again]
+        known: dict[bytes, int] = {}
+        put, size, data = known.setdefault, known.__len__, [t for _, t in texts]
+        ends = self.first + self.count + (length - 1)
+        self.run = np.array([put(data[k][a:b], size()) for k, a, b in zip(self.text.tolist(), self.first.tolist(), ends.tolist(), strict=True)], np.int64)
+        self.bytes = list(known)
+        self.windows = np.array(list(map(len, self.bytes)), np.int64) - (length - 1)
+        _, at = np.unique(self.run, return_index=True)
+        self.least = np.array([k for k, _ in texts], np.int64)[self.text[at]]  # texts come in order of id
+        self.hash = runs.hash[pick][again][at]
+        for k in np.flatnonzero(alone[again[at]]).tolist():
+            self.hash[k] = xxhash.xxh64_intdigest(self.bytes[k]) >> 16
         self.bucket = _bucket(self.hash, buckets)
+        self._order = np.argsort(self.bucket, kind="stable")
+        self._sorted = self.bucket[self._order]
 
     def of(self, bucket: int) -> np.ndarray:
-        return np.flatnonzero(self.bucket == bucket)
+        """The runs of a bucket; all buckets together are one sort."""
+        return self._order[slice(*np.searchsorted(self._sorted, [bucket, bucket + 1]))]
 
 
-def _resolve(hashes: np.ndarray, ids: np.ndarray, pieces: list[bytes], length: int) -> list[np.ndarray]:
-    """For each run, and each of its windows, the smallest id that has the window."""
+def _resolve(hashes: np.ndarray, ids: np.ndarray, pieces: list[bytes], length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The smallest id that has each window of the distinct runs, in line; for each run where its windows begin there, and how many they are."""
     known: dict[bytes, int] = {}
     number = np.array([known.setdefault(p, len(known)) for p in pieces], np.int64)
     least = np.full(len(known), np.iinfo(np.int64).max)
@@ -236,32 +247,57 @@ def _resolve(hashes: np.ndarray, ids: np.ndarray, pieces: list[bytes], length: i
     rep = np.zeros(len(known), np.int64)
     rep[number] = np.arange(len(pieces))
     distinct = list(known)
-    sizes = np.array([len(p) - length + 1 for p in distinct], np.int64)
+    lengths = np.array(list(map(len, distinct)), np.int64)
+    sizes = lengths - length + 1
+    offsets = np.cumsum(sizes) - sizes
     anchors = hashes[rep]
     order = np.argsort(anchors, kind="stable")
     same = np.concatenate([[False], anchors[order][1:] == anchors[order][:-1]])
     company = np.zeros(len(distinct), bool)
     company[order] = same | np.append(same[1:], False)
-    results: list[np.ndarray | None] = [None] * len(distinct)
+    out = np.repeat(least, sizes)
     # Anchors in order, in blocks of bounded size.
     chosen = order[company[order]]
+    totals, anchors = np.cumsum(sizes[chosen]), anchors[chosen]
     at = 0
     while at < len(chosen):
-        end, total = at, 0
-        while end < len(chosen) and (total < 2_000_000 or anchors[chosen[end]] == anchors[chosen[end - 1]]):
-            total += int(sizes[chosen[end]])
-            end += 1
+        # As many runs as reach the bound, and the others of the last one's anchor.
+        end = int(np.searchsorted(totals, (totals[at - 1] if at else 0) + 2_000_000)) + 1
+        end = int(np.searchsorted(anchors, anchors[min(end, len(chosen)) - 1], side="right"))
         part = chosen[at:end]
-        flat = np.frombuffer(b"".join(distinct[k] for k in part), np.uint8)
-        begins = np.cumsum([0, *(len(distinct[k]) for k in part[:-1])])
-        starts = np.concatenate([b + np.arange(sizes[k]) for b, k in zip(begins.tolist(), part.tolist(), strict=True)])
+        flat = np.frombuffer(b"".join([distinct[k] for k in part.tolist()]), np.uint8)
+        starts = _ragged(np.cumsum(lengths[part]) - lengths[part], sizes[part])
         windows = np.lib.stride_tricks.sliding_window_view(flat, length)[starts]
-        found = repeated_windows(windows, np.repeat(least[part], sizes[part]))
-        for k, piece in zip(part.tolist(), np.split(found, np.cumsum(sizes[part])[:-1]), strict=True):
-            results[k] = piece
+        out[_ragged(offsets[part], sizes[part])] = repeated_windows(windows, np.repeat(least[part], sizes[part]))
         at = end
-    full = [np.full(sizes[k], least[k]) if r is None else r for k, r in enumerate(results)]
-    return [full[k] for k in number.tolist()]
+    return out, offsets[number], sizes[number]
+
+
+def _without(texts: list[tuple[int, bytes]], places: tuple[np.ndarray, ...], length: int) -> pa.Table:
+    """Rows of ``RESULT`` for texts; places: number of the text, first byte of a run of repeated windows in it, and how many they are."""
+    sizes = np.array([len(t) for _, t in texts], np.int64)
+    base = np.cumsum(sizes) - sizes
+    text, first, count = places
+    starts = base[text] + first
+    flat = np.frombuffer(b"".join([t for _, t in texts]), np.uint8)
+    n = len(flat)
+    marks = np.bincount(starts, minlength=n + 1) - np.bincount(starts + count + (length - 1), minlength=n + 1)
+    gone = np.cumsum(marks)[:n] > 0
+    # Spans end with their text.
+    begin, end = gone.copy(), gone.copy()
+    begin[1:] &= ~gone[:-1]
+    end[:-1] &= ~gone[1:]
+    some = sizes > 0
+    begin[base[some]] = gone[base[some]]
+    last = (base + sizes - 1)[some]
+    end[last] = gone[last]
+    begin, end = np.flatnonzero(begin), np.flatnonzero(end) + 1
+    owner = np.searchsorted(base, begin, side="right") - 1
+    spans = pa.StructArray.from_arrays([pa.array(x - base[owner], pa.int32()) for x in (begin, end)], names=["start", "end"])
+    edges = np.concatenate([[0], np.cumsum(np.bincount(owner, minlength=len(texts)))])
+    left = np.concatenate([[0], np.cumsum(~gone)])[np.append(base, n)]
+    kept = pa.Array.from_buffers(pa.binary(), len(texts), [None, pa.py_buffer(left.astype("<i4").tobytes()), pa.py_buffer(flat[~gone].tobytes())])
+    return pa.Table.from_arrays([pa.array([None if k == NULL_ID else k for k, _ in texts], pa.int64()), pa.array(sizes), kept, pa.ListArray.from_arrays(pa.array(edges, pa.int32()), spans)], schema=RESULT)
 
 
 def remove_repeats(df: DataFrame, id_column: str = "doc_id", text_column: str = "text", length: int = 50, buckets: int | None = None, hot_runs: int = HOT_RUNS) -> DataFrame:
@@ -322,11 +358,11 @@ def remove_repeats(df: DataFrame, id_column: str = "doc_id", text_column: str =
             return pa.table({"batch": pa.array([], pa.int32()), "bucket": pa.array([], pa.int32()), "anchors": pa.array([], pa.binary()), "ids": pa.array([], pa.binary()), "sizes": pa.array([], pa.binary()), "pieces": pa.array([], pa.binary())})
         batch = table.column("batch")[0].as_py()
         c = chosen(_texts(table), marks)
-        least, rows = np.array(c.least, np.int64), []
+        rows = []
         for bucket in np.unique(c.bucket).tolist():
             mine = c.of(bucket)
             pieces = [c.bytes[k] for k in mine]
-            rows.append((bucket, _pack48(c.hash[mine]), squeeze(least[mine].astype("<i8").tobytes()), np.array([len(p) for p in pieces], "<u4").tobytes(), squeeze(b"".join(pieces))))
+            rows.append((bucket, _pack48(c.hash[mine]), squeeze(c.least[mine].astype("<i8").tobytes()), np.array([len(p) for p in pieces], "<u4").tobytes(), squeeze(b"".join(pieces))))
         columns = list(zip(*rows, strict=True)) if rows else [()] * 5
         return pa.table({"batch": pa.array([batch] * len(rows), pa.int32()), "bucket": pa.array(columns[0], pa.int32()), **{name: pa.array(col, pa.binary()) for name, col in zip(("anchors", "ids", "sizes", "pieces"), columns[1:], strict=True)}})
 
@@ -340,43 +376,45 @@ def remove_repeats(df: DataFrame, id_column: str = "doc_id", text_column: str =
                 pieces.append(flat[at : at + size])
                 at += size
         owners = np.concatenate(ids)
-        found = _resolve(np.concatenate(hashes), owners, pieces, length)
+        least, begins, counts = _resolve(np.concatenate(hashes), owners, pieces, length)
         out, at = [], 0
         for i in ids:
-            bits = np.concatenate([w < k for w, k in zip(found[at : at + len(i)], i.tolist(), strict=True)])
+            mine = counts[at : at + len(i)]
+            bits = least[_ragged(begins[at : at + len(i)], mine)] < np.repeat(i, mine)
             out.append(zlib.compress(np.packbits(bits).tobytes(), 1))
             at += len(i)
         return pa.table({"batch": table.column("batch"), "bucket": table.column("bucket"), "bits": pa.array(out, pa.binary())})
 
     def pass4(table: pa.Table, marks: pa.Table) -> pa.Table:
         if not table.num_rows:
-            texts, c = [], None
-        else:
-            texts = _texts(table)
-            first = marks.filter(pc.equal(marks.column("stage"), 1))
-            c = chosen(texts, first)
-            second = marks.filter(pc.equal(marks.column("stage"), 2))
-            answers: list = [None] * len(c.bytes)
-            for bucket, bits in zip(second.column("bucket").to_pylist(), second.column("bits").to_pylist(), strict=True):
-                mine = c.of(bucket)
-                sizes = np.array([len(c.bytes[k]) - length + 1 for k in mine], np.int64)
-                flat = np.unpackbits(np.frombuffer(zlib.decompress(bits), np.uint8), count=int(sizes.sum())).astype(bool)
-                for k, part in zip(mine.tolist(), np.split(flat, np.cumsum(sizes)[:-1]), strict=True):
-                    answers[k] = part
-        rows: tuple[list, ...] = ([], [], [], [])
-        for number, (key, text) in enumerate(texts):
-            marks_ = np.zeros(len(text) + 1, np.int64)
-            for run, a, count in c.places[number]:
-                # A smaller id of this batch has the whole run; otherwise the bits say which windows one elsewhere has.
-                hit = np.arange(count) if c.least[run] < key else np.flatnonzero(answers[run])
-                np.add.at(marks_, a + hit, 1)
-                np.add.at(marks_, a + hit + length, -1)
-            gone = np.cumsum(marks_)[:-1] > 0
-            edges = np.flatnonzero(np.diff(np.concatenate([[0], gone.astype(np.int8), [0]])))
-            kept = np.frombuffer(text, np.uint8)[~gone].tobytes()
-            for column, value in zip(rows, (None if key == NULL_ID else key, len(text), kept, [{"start": a, "end": b} for a, b in edges.reshape(-1, 2).tolist()]), strict=True):
-                column.append(value)
-        return pa.table({"key": pa.array(rows[0], pa.int64()), "n_bytes": pa.array(rows[1], pa.int64()), "kept": pa.array(rows[2], pa.binary()), "spans": pa.array(rows[3], pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())])))})
+            return RESULT.empty_table()
+        texts = _texts(table)
+        c = chosen(texts, marks.filter(pc.equal(marks.column("stage"), 1)))
+        second = marks.filter(pc.equal(marks.column("stage"), 2))
+        # A bit for each window of the distinct runs, in line: another batch has it with a smaller id.
+        begins = np.cumsum(c.windows) - c.windows
+        answers = np.zeros(int(c.windows.sum()), bool)
+        for bucket, bits in zip(second.column("bucket").to_pylist(), second.column("bits").to_pylist(), strict=True):
+            mine = c.of(bucket)
+            places = _ragged(begins[mine], c.windows[mine])
+            answers[places] = np.unpackbits(np.frombuffer(zlib.decompress(bits), np.uint8), count=len(places)).astype(bool)
+        ids = np.array([k for k, _ in texts], np.int64)
+        out, at = [], 0
+        while at < len(texts):
+            end, size = at + 1, len(texts[at][1])
+            while end < len(texts) and size + len(texts[end][1]) <= TOGETHER:
+                size += len(texts[end][1])
+                end += 1
+            here = slice(*np.searchsorted(c.text, [at, end]))
+            text, run, first, count = c.text[here], c.run[here], c.first[here], c.count[here]
+            # A smaller id of this batch has the whole run; otherwise the bits say which windows one elsewhere has.
+            own = c.least[run] < ids[text]
+            hit = answers[_ragged(begins[run[~own]], count[~own])]
+            number, window = np.repeat(text[~own], count[~own])[hit], _ragged(first[~own], count[~own])[hit]
+            places = np.concatenate([text[own], number]) - at, np.concatenate([first[own], window]), np.concatenate([count[own], np.ones(len(window), np.int64)])
+            out.append(_without(texts[at:end], places, length))
+            at = end
+        return pa.concat_tables(out)
 
     by_batch = docs.groupBy("batch")
     anchors = by_batch.applyInArrow(pass1, "batch int, bucket int, anchors binary, several binary, runs binary")
