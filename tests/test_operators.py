@@ -295,3 +295,16 @@ def test_long_keys_are_normalised_once(spark):
     assert one._jdf.queryExecution().optimizedPlan().toString().count("lower(") == 2
     assert sorted((r.a, r.b) for r in one.collect()) == [(1, 1), (1, 2), (2, 1), (2, 2)]
     assert sorted(tuple(r) for r in match.first_of_key(df, "id", ["t"]).collect()) == [(2, 1)]
+
+
+def test_tasks_get_a_bounded_number_of_lines(spark, monkeypatch):
+    """Packed numbers are small, so adaptive execution put millions of lines into one task; the query deals them by their number."""
+    import __spark_entry__
+    from weftline import session
+
+    run = lambda: __spark_entry__.queries()["a03_structure_check"](spark, "/root/testdata/sf0.001")
+    expected = sorted(map(tuple, run().collect()))
+    monkeypatch.setattr(session, "ROWS_A_TASK", 500)
+    most = run().groupBy(F.spark_partition_id()).count().agg(F.max("count")).first()[0]
+    assert most < len(expected) / 4
+    assert sorted(map(tuple, run().collect())) == expected
