@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from weftline.functions import mapping, text
 from weftline.operators import cascade, evaluate, layout, match, normalise, profile, ranking, recommend, sets, sheets, spec
-from weftline.session import shared_path, table
+from weftline.session import dealt, shared_path, table
 from weftline.sources import readers, sinks
 from weftline.streaming import events as streams
 
@@ -470,7 +470,8 @@ def _(spark, sf):
     SELECT page, dense_rank() OVER (PARTITION BY page ORDER BY top) AS row, dense_rank() OVER (PARTITION BY page ORDER BY k) AS "column", string_agg(text, ' ' ORDER BY x, text) AS text FROM (SELECT *, k * 100 + CASE text WHEN 'A' THEN 0 WHEN 'N' THEN 10 ELSE 20 END AS x FROM c) GROUP BY page, top, k""",
 )
 def _(spark, sf):
-    lines = table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("page"), F.col("l_linenumber").alias("top"), F.col("l_linestatus").alias("s"), F.col("l_returnflag").alias("text")).distinct()
+    lines = table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("page"), F.col("l_linenumber").alias("top"), F.col("l_linestatus").alias("s"), F.col("l_returnflag").alias("text"))
+    lines = dealt(lines, lines.count(), "page").distinct()
     x = F.when(F.col("s") == "F", 100).otherwise(200) + F.when(F.col("text") == "A", 0).when(F.col("text") == "N", 10).otherwise(20)
     words = lines.withColumn("x0", x.cast("double")).withColumn("x1", F.col("x0") + 8)
     return layout.grid_cells(words, "page", 15.0)
